@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from stratacloud.llm.embedding_dedup import OP8_SQL, op8_embeddings
+from stratacloud.llm.langid import op5_langid
 from stratacloud.llm.minhash_dedup import op9_minhash
 from stratacloud.llm.mixing import op2_mixing
+from stratacloud.llm.quality import op10_quality
+from stratacloud.llm.secret_scan import op7_secrets
+from stratacloud.llm.topk_search import OP6_SQL, op6_topk
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op5_langid": op5_langid,
+    "op6_topk": op6_topk,
+    "op7_secrets": op7_secrets,
+    "op8_embeddings": op8_embeddings,
     "op9_minhash": op9_minhash,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_topk": OP6_SQL,
+    "op8_embeddings": OP8_SQL,
+}
