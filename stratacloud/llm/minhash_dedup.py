@@ -8,8 +8,9 @@ With J = 0.75 a pair misses all 32 bands of 4 with a probability of 5e-6.
 
 Copies are not expanded. Documents with equal sets form a class, each class is one vertex. In a bucket every class is
 first compared with the least one; where that leaves a bucket in several components, the classes outside its largest
-component are compared with all others. So no link between different sets is lost, and a group of n near copies costs
-about n comparisons, in blocks of bounded size.
+component (strays) are compared with all others by their signatures, and then on full sets with all members of each
+component that holds a likely partner. So no link between different sets is lost, a group of n near copies costs about n
+comparisons, and neither pairs nor groups grow beyond blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, binary_array, column_bytes, pieces_of, read_table
+from stratacloud.llm._shared import Scratch, binary_array, column_bytes, n_partitions, pieces_of, read_table
 from stratacloud.llm._text import PIECE_BYTES, mix, shingles
 from stratacloud.llm.components import connected_components
 
@@ -29,8 +30,10 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Classes that one block of a bucket compares with another.
 BLOCK = 2048
-#: Coordinates that must agree before full sets are compared: at J = 0.75 96 of 128 are expected, and fewer than 64 come with a probability of 1e-10.
-LEAST_AGREEING = COORDINATES // 2
+#: Members of a component that a stray is compared with at once.
+MEMBER_BLOCK = 512
+#: Coordinates that must agree before full sets are compared: at J = 0.75 96 of 128 are expected, and fewer than 74 come with a probability of 4e-6.
+LEAST_AGREEING = 74
 
 _STEPS = (np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64((1 << 32) // COORDINATES)).astype(np.uint32)
 
@@ -114,22 +117,76 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: tuple[int, int]) ->
     return both.select("a", "b", "a_text", "b_text").mapInArrow(_verified(*similarity), "a long, b long")
 
 
-def _stray_pairs(frame):
-    """In one block of a bucket: pairs of a stray with any class of another component whose signatures agree enough."""
-    import pandas as pd
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``keys``, one table per key; a key may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() != c[0] for k, c in zip(keys, columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for x, y in zip(cuts, cuts[1:]):
+            if x:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _stray_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block of a bucket: each stray with the other components that hold a class whose signature agrees enough."""
+    for t in _grouped(batches, ["bucket", "i", "j"]):
+        stray = t.column("is_stray").to_numpy()
+        if not stray.any() or stray.all():
+            continue
+        cid, comp, n = (t.column(c).to_numpy() for c in ("cid", "comp", "n"))
+        low = column_bytes(t.column("low"))[0].reshape(-1, COORDINATES)
+        o, out = np.flatnonzero(~stray), set()
+        for k in np.flatnonzero(stray).tolist():
+            may = o[(comp[o] != comp[k]) & (4 * np.minimum(n[o], n[k]) >= 3 * np.maximum(n[o], n[k]))]
+            if len(may):
+                may = may[(low[may] == low[k]).sum(axis=1) >= LEAST_AGREEING]
+                out.update((int(cid[k]), c) for c in np.unique(comp[may]).tolist())
+        if out:
+            a, b = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["stray", "comp"])
+
+
+def _stray_links(numerator: int, denominator: int):
+    """Per block of a component: a link of each stray to a member, if there is any. Exact, by counting shared shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, ["comp", "block"]):
+            stray, cid = t.column("is_stray").to_numpy(), t.column("cid").to_numpy()
+            sets = [s for _, _, part, at in pieces_of(*column_bytes(t.column("text")), PIECE_BYTES) for s in shingles(part, at)]
+            members, strays = np.flatnonzero(~stray).tolist(), np.flatnonzero(stray).tolist()
+            if not members or not strays:
+                continue
+            sizes = np.array([len(sets[m]) for m in members])
+            owner = np.repeat(np.arange(len(members)), sizes)
+            every = np.concatenate([sets[m] for m in members])
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            a, b = [], []
+            for k in strays:
+                lo, hi = np.searchsorted(every, sets[k], "left"), np.searchsorted(every, sets[k], "right")
+                span = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(span)[:-1])), span) + np.arange(span.sum())
+                shared = np.bincount(owner[at], minlength=len(members))
+                good = np.flatnonzero((shared > 0) & (denominator * shared >= numerator * (sizes + len(sets[k]) - shared)))
+                if len(good):
+                    a.append(int(cid[k]))
+                    b.append(int(cid[members[good[0]]]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    stray, other = frame[frame["is_stray"]], frame[~frame["is_stray"]]
-    out_a, out_b = [], []
-    if len(stray) and len(other):
-        theirs = np.frombuffer(b"".join(other["low"]), np.uint8).reshape(-1, COORDINATES)
-        ids, comps, sizes = other["cid"].to_numpy(), other["comp"].to_numpy(), other["n"].to_numpy()
-        for cid, comp, n, low in zip(stray["cid"], stray["comp"], stray["n"], stray["low"]):
-            may = np.flatnonzero((comps != comp) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n)))
-            may = may[(theirs[may] == np.frombuffer(low, np.uint8)).sum(axis=1) >= LEAST_AGREEING]
-            out_a.append(np.maximum(ids[may], cid))
-            out_b.append(np.minimum(ids[may], cid))
-    cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return pd.DataFrame({"a": cat(out_a), "b": cat(out_b)}).drop_duplicates()
+    return run
 
 
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), scratch: Scratch | None = None) -> DataFrame:
@@ -169,13 +226,22 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), sc
     open_ = seen.join(main, "bucket").select("bucket", "cid", "n", "comp", (F.col("comp") != F.col("top.comp")).alias("stray"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("stray_blocks"))
     lows = heads.groupBy(F.col("doc_id").alias("cid")).agg(F.min("low").alias("low"))
     open_ = open_.join(lows, "cid")
-    h = F.xxhash64("cid")
-    zero = F.lit(0)
-    as_stray = open_.filter("stray").select("bucket", F.pmod(h, F.col("stray_blocks")).alias("i"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("j"), "cid", "n", "comp", "low", F.lit(True).alias("is_stray"))
-    as_other = open_.select("bucket", F.explode(F.sequence(zero, F.col("stray_blocks") - 1)).alias("i"), F.pmod(h, F.col("blocks")).alias("j"), "cid", "n", "comp", "low", F.lit(False).alias("is_stray"))
-    cross = as_stray.select(*as_other.columns).withColumn("i", F.col("i").cast("int")).withColumn("j", F.col("j").cast("int")).unionAll(as_other.withColumn("i", F.col("i").cast("int")).withColumn("j", F.col("j").cast("int")))
-    more = cross.groupBy("bucket", "i", "j").applyInPandas(_stray_pairs, "a long, b long").distinct()
-    second = scratch.save(_verify(more, texts, similarity), "links")
+    h, zero, parts = F.xxhash64("cid"), F.lit(0), n_partitions(spark)
+    whole = lambda c: F.col(c).cast("int").alias(c)
+    as_stray = open_.filter("stray").select("bucket", F.pmod(h, F.col("stray_blocks")).cast("int").alias("i"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("j"), "cid", "n", "comp", "low", F.lit(True).alias("is_stray"))
+    as_other = open_.select("bucket", F.explode(F.sequence(zero, F.col("stray_blocks") - 1)).alias("i"), F.pmod(h, F.col("blocks")).cast("int").alias("j"), "cid", "n", "comp", "low", F.lit(False).alias("is_stray"))
+    key = ["bucket", "i", "j"]
+    cross = as_stray.unionAll(as_other).repartition(parts, *key).sortWithinPartitions(*key)
+    asked = scratch.save(cross.mapInArrow(_stray_components, "stray long, comp long").distinct(), "asked")
+    # Each stray against all members of the component, in blocks: members come once, strays once per block.
+    sizes = asked.select("comp").distinct().join(heads.select(F.col("doc_id").alias("cid")).distinct().join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("cid", F.coalesce("component_id", "cid").alias("comp")), "comp")
+    sizes = scratch.save(sizes, "asked_members")
+    blocks = sizes.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / MEMBER_BLOCK).cast("int").alias("blocks"))
+    ask = asked.join(blocks, "comp").select("comp", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.col("stray").alias("cid"), F.lit(True).alias("is_stray"))
+    held = sizes.join(blocks, "comp").select("comp", F.pmod(h, F.col("blocks")).cast("int").alias("block"), "cid", F.lit(False).alias("is_stray"))
+    met = ask.unionAll(held).join(texts.withColumnRenamed("doc_id", "cid"), "cid").select("comp", whole("block"), "cid", "is_stray", "text")
+    met = met.repartition(parts, "comp", "block").sortWithinPartitions("comp", "block")
+    second = scratch.save(met.mapInArrow(_stray_links(*similarity), "a long, b long"), "links")
     final = connected_components(second.unionAll(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b"))), scratch)
     comp = F.coalesce("component_id", "doc_id")
     return signed.join(final.withColumnRenamed("id", "vertex"), F.col("doc_id") == F.col("vertex"), "left").select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))

@@ -8,10 +8,12 @@ from stratacloud.llm.minhash_dedup import op9_minhash
 from stratacloud.llm.mixing import op2_mixing
 from stratacloud.llm.quality import op10_quality
 from stratacloud.llm.secret_scan import op7_secrets
+from stratacloud.llm.suffix_dedup import op3_suffix
 from stratacloud.llm.topk_search import OP6_SQL, op6_topk
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_suffix": op3_suffix,
     "op5_langid": op5_langid,
     "op6_topk": op6_topk,
     "op7_secrets": op7_secrets,
