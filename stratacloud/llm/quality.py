@@ -137,7 +137,7 @@ def _strength(frame: DataFrame, mean: Column) -> float:
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     """(host, path, good, n, host_rate, path_rate, path_strength) over scored rows (host, path, p), and the global rate."""
-    paths = scored.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n"))
+    paths = Scratch(scored.sparkSession, "quality").save(scored.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     total = hosts.agg(F.sum("good"), F.sum("n")).first()
     rate = (total[0] + 1) / (total[1] + 2) if total[1] else 0.5

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from stratacloud.llm.embedding_dedup import OP8_SQL, op8_embeddings
 from stratacloud.llm.langid import op5_langid
 from stratacloud.llm.lm_pitman_yor import op1_lm
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
