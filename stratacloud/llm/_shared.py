@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -52,10 +54,10 @@ class Scratch:
 
     def free_shuffles(self) -> None:
         """Let the context cleaner remove the shuffle files of finished steps now, not at some later collection."""
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def n_partitions(spark: SparkSession) -> int:

@@ -30,8 +30,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2**64."""
-    size = max(PIECE_BYTES * 2, 1 << max(n, 1).bit_length())
+    size = -(-max(n, 1) // PIECE_BYTES) * PIECE_BYTES
     if size not in _powers:
+        if any(have >= n for have in _powers):
+            return next(v for have, v in _powers.items() if have >= n)
         _powers.clear()
         up, down = np.full(size, _BASE), np.full(size, _BASE_INVERSE)
         up[0] = down[0] = 1

@@ -44,11 +44,11 @@ COVER_MODULUS = 73
 COVER = (1, 2, 4, 8, 16, 32, 37, 55, 64)
 PREFIX = LENGTH - COVER_MODULUS + 1
 BEFORE = COVER_MODULUS - 1
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Different surroundings of one prefix in a piece from which on it is salted.
 HOT = 64
 #: Bytes of text that a part of the cogroups should hold.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 BLOCKS = 2
 
 SAMPLE, SALTED, REPEAT, CONTESTED, STRING = range(5)
@@ -76,15 +76,37 @@ _ROW_NAMES = ["part", "what", "docs", "prefix", "rank", "doc", "pos"]
 _FOUND_NAMES = ["dest", "what", "doc", "pos"]
 
 
-def _dealt(parts: np.ndarray, what: int, ids: np.ndarray, columns: dict[str, np.ndarray]) -> list[tuple]:
-    """One packed row per part. Columns: prefix, rank, doc (index into ids), pos."""
+def _places(doc: np.ndarray, pos: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places on the line on which all texts follow each other; they rise where doc (an order of texts) and pos do."""
+    return np.concatenate(([0], np.cumsum(lengths)))[doc] + pos
+
+
+def _packed(places: np.ndarray) -> bytes:
+    """Rising places as differences of two bytes, or of four where one is large."""
+    steps = np.diff(places, prepend=0)
+    kind = np.uint16 if steps.max(initial=0) < 65536 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + steps.astype(kind).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.uint32, offset=1), dtype=np.int64)
+
+
+def _dealt(parts: np.ndarray, what: int, ids: np.ndarray, starts: np.ndarray, columns: dict[str, np.ndarray]) -> list[tuple]:
+    """One packed row per part. Columns: place (rising), and prefix and rank where there are any.
+
+    ids and starts are those of the texts in the order of their places; only those that a row needs go along.
+    """
     order = np.argsort(parts, kind="stable")
     parts = parts[order]
     out = []
     for a, b in zip(*runs(parts)):
         at = order[a:b]
-        used, doc = np.unique(columns["doc"][at], return_inverse=True)
-        out.append(_row(int(parts[a]), what, ids[used].tobytes(), columns["prefix"][at].astype(np.uint32).tobytes() if "prefix" in columns else b"", columns["rank"][at].tobytes() if "rank" in columns else b"", doc.astype(np.uint32).tobytes(), columns["pos"][at].astype(np.uint32).tobytes()))
+        place = columns["place"][at]
+        used, doc = np.unique(np.searchsorted(starts, place, side="right") - 1, return_inverse=True)
+        # Places shrink to the used texts: their starts go along, relative to the first.
+        shift = starts[used[0]]
+        out.append(_row(int(parts[a]), what, ids[used].tobytes(), columns["prefix"][at].astype(np.uint32).tobytes() if "prefix" in columns else b"", columns["rank"][at].tobytes() if "rank" in columns else b"", (starts[used] - shift).astype(np.uint32).tobytes(), _packed(place - shift)))
     return out
 
 
@@ -112,24 +134,27 @@ def _cover_rows(block: int, blocks: int, parts: int):
         _, first = np.unique(rank, return_index=True)
         later = np.ones(len(rank), bool)
         later[first] = False
-        # The same doc_id twice: equal places are one.
         rows = []
+        nth = np.empty(len(length), np.int64)
+        nth[order] = np.arange(len(order))
+        place = _places(nth[doc], pos, length[order])
+        texts = ids[order], np.concatenate(([0], np.cumsum(length[order])[:-1]))
         bucket = ((prefix >> np.uint64(32)) & np.uint64(0xFFFFFF)).astype(np.int64) % parts
         if later.any():
-            rows += _dealt(bucket[later], REPEAT, ids, {"doc": doc[later], "pos": pos[later]})
+            rows += _dealt(bucket[later], REPEAT, *texts, {"place": place[later]})
         first.sort()
-        prefix, rank, doc, pos, bucket = prefix[first], rank[first], doc[first], pos[first], bucket[first]
+        prefix, rank, place, bucket = prefix[first], rank[first], place[first], bucket[first]
         _, where, times = np.unique(prefix, return_inverse=True, return_counts=True)
         hot = times[where] > HOT
         plain = ~hot
         if hot.any():
             salted = (rank >> np.uint64(32)).astype(np.int64) % parts
-            rows += _dealt(salted[hot], SALTED, ids, {"prefix": prefix[hot], "rank": rank[hot], "doc": doc[hot], "pos": pos[hot]})
+            rows += _dealt(salted[hot], SALTED, *texts, {"prefix": prefix[hot], "rank": rank[hot], "place": place[hot]})
             by = np.flatnonzero(hot)[np.argsort(prefix[hot], kind="stable")]
             starts, _ = runs(prefix[by])
             plain[by[starts]] = plain[by[starts + 1]] = True
         if plain.any():
-            rows += _dealt(bucket[plain], SAMPLE, ids, {"prefix": prefix[plain], "rank": rank[plain], "doc": doc[plain], "pos": pos[plain]})
+            rows += _dealt(bucket[plain], SAMPLE, *texts, {"prefix": prefix[plain], "rank": rank[plain], "place": place[plain]})
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +173,9 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[np.ndarray]]:
     parts: dict[int, list[list[np.ndarray]]] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            ids = np.frombuffer(row["docs"], np.int64)
-            entry = [np.frombuffer(row["prefix"], np.uint32), np.frombuffer(row["rank"], np.uint64), ids[np.frombuffer(row["doc"], np.uint32)], np.frombuffer(row["pos"], np.uint32)]
+            ids, starts, place = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["doc"], np.uint32).astype(np.int64), _unpacked(row["pos"])
+            doc = np.searchsorted(starts, place, side="right") - 1
+            entry = [np.frombuffer(row["prefix"], np.uint32), np.frombuffer(row["rank"], np.uint64), ids[doc], (place - starts[doc]).astype(np.uint32)]
             parts.setdefault(row["what"], []).append(entry)
     return {what: [np.concatenate(x) for x in zip(*entries)] for what, entries in parts.items()}
 
@@ -162,7 +188,8 @@ def _sent_back(found: list[tuple[int, np.ndarray, np.ndarray]], dests: int) -> I
             continue
         names, where = np.unique(doc, return_inverse=True)
         dest = np.array([zlib.crc32(str(n).encode()) % dests for n in names.tolist()])[where]
-        order = np.argsort(dest, kind="stable")
+        # Sorted by document and place they take little room.
+        order = np.lexsort((pos, where, dest))
         dest, doc, pos = dest[order], doc[order], pos[order]
         rows += [(int(dest[a]), what, doc[a:b].tobytes(), pos[a:b].astype(np.uint32).tobytes()) for a, b in zip(*runs(dest))]
     if rows:
@@ -237,7 +264,7 @@ def _string_rows(parts: int):
         open_ = _verdicts(found, CONTESTED) if found.num_rows else {}
         ids = texts.column("doc_id").to_numpy()
         data, offs = column_bytes(texts.column("text"))
-        hashes, docs, starts, seen = [], [], [], set()
+        hashes, docs, starts, seen, chosen = [], [], [], set(), []
         for i in np.argsort(ids, kind="stable").tolist():
             doc, n = int(ids[i]), int(offs[i + 1] - offs[i])
             if doc not in open_ or doc in seen or n < LENGTH:
@@ -248,18 +275,23 @@ def _string_rows(parts: int):
             at = np.flatnonzero(np.cumsum(edge) > 0)
             rolling = Rolling(data[offs[i] : offs[i + 1]])
             hashes.append(rolling.of(at, at + LENGTH))
-            docs.append(np.full(len(at), i))
+            docs.append(np.full(len(at), len(chosen)))
+            chosen.append(i)
             starts.append(at)
         rows = []
         if hashes:
             h, doc, pos = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
+            length = np.diff(offs)[chosen]
+            place = _places(doc, pos, length)
+            texts_ = ids[chosen], np.concatenate(([0], np.cumsum(length)[:-1]))
             _, first = np.unique(h, return_index=True)
             later = np.ones(len(h), bool)
             later[first] = False
             bucket = (h >> np.uint64(40)).astype(np.int64) % parts
             if later.any():
-                rows += _dealt(bucket[later], REPEAT, ids, {"doc": doc[later], "pos": pos[later]})
-            rows += _dealt(bucket[first], STRING, ids, {"rank": h[first], "doc": doc[first], "pos": pos[first]})
+                rows += _dealt(bucket[later], REPEAT, *texts_, {"place": place[later]})
+            first.sort()
+            rows += _dealt(bucket[first], STRING, *texts_, {"rank": h[first], "place": place[first]})
         return pa.Table.from_batches([_batch(rows, _ROW_NAMES)]) if rows else pa.table({n: pa.array([], k) for n, k in zip(_ROW_NAMES, [pa.int32()] * 2 + [pa.binary()] * 5)})
 
     return run
