@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, column_bytes, n_partitions, pieces_of, read_table, runs
+from stratacloud.llm._shared import Scratch, column_bytes, n_partitions, packed, pieces_of, read_table, runs, unpacked
 from stratacloud.llm._text import PIECE_BYTES as HASH_BYTES
 from stratacloud.llm._text import Rolling, lower, mix, words
 
-PIECE_BYTES = 32 << 20
+PIECE_BYTES = 12 << 20
 #: Pairs that one part should hold.
-PART_TOKENS = 3_000_000
+PART_TOKENS = 1_500_000
 MODULUS, HELD_OUT = 7, 2
 DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
@@ -172,15 +172,15 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rank[order] = np.arange(len(order))
             local = rank[local]
             train = np.bincount(local[np.repeat(~held, lengths)], minlength=len(vocabulary))
-            columns = [ids[i:j].astype(np.int64), none[i:j], held, lengths.astype(np.int32), local, vocabulary[order], train.astype(np.int64)]
+            columns = [ids[i:j].astype(np.int64), none[i:j], held, lengths.astype(np.int32), local, vocabulary[order], train.astype(np.uint32)]
             piece = (TaskContext.get().partitionId() << 24) + serial
             serial += 1
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=_PIECE.replace(" long", "").replace(" binary", "").split(", "))
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), *(pa.array([packed(c)], pa.binary()) for c in columns)], names=_PIECE.replace(" long", "").replace(" binary", "").split(", "))
 
 
 class Piece:
     def __init__(self, table: pa.Table):
-        get = lambda name, kind: np.frombuffer(table.column(name)[0].as_py(), kind)
+        get = lambda name, kind: unpacked(table.column(name)[0].as_py(), kind)
         self.piece = table.column("piece")[0].as_py()
         self.doc_ids, self.no_id, self.held = get("doc_ids", np.int64), get("no_id", bool), get("held", bool)
         self.lengths, self.tokens = get("lengths", np.int32), get("tokens", np.uint32).astype(np.int64)
@@ -217,8 +217,8 @@ _KINDS = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5
 COUNT, TOTALS, PAIR, TABLES, WORD = range(5)
 
 
-def _row(part: int, what: int, piece: int, *columns: np.ndarray) -> pa.RecordBatch:
-    values = [c.tobytes() for c in columns] + [b""] * (5 - len(columns))
+def _row(part: int, what: int, piece: int, *columns: np.ndarray | bytes) -> pa.RecordBatch:
+    values = [c if isinstance(c, bytes) else packed(c) for c in columns] + [b""] * (5 - len(columns))
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, what, piece, *values], _KINDS)], names=_NAMES)
 
 
@@ -233,16 +233,16 @@ def _word_part(word: np.ndarray, parts: int) -> np.ndarray:
 
 def _table_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([float(np.frombuffer(b, np.float32).sum(dtype=np.float64)) for b in batch.column(0).to_pylist()], pa.float64())], names=["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([float(unpacked(b, np.float32).sum(dtype=np.float64)) for b in batch.column(0).to_pylist()], pa.float64())], names=["n"])
 
 
 def _word_requests(parts: int, what: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                vocabulary, counts = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["counts"], np.int64)
+                vocabulary, counts = unpacked(row["vocabulary"], np.uint64), unpacked(row["counts"], np.uint32)
                 for part, at in _cut(_word_part(vocabulary >> np.uint64(16), parts)):
-                    yield _row(part, what, row["piece"], vocabulary[at], counts[at].astype(np.int32), at.astype(np.uint32))
+                    yield _row(part, what, row["piece"], vocabulary[at], counts[at] if what == COUNT else b"", packed(at.astype(np.uint32), rising=True))
 
     return run
 
@@ -252,15 +252,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in b.to_pylist()]
     if not rows:
         return
-    words_ = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
-    counts = np.concatenate([np.frombuffer(r["b"], np.int32) for r in rows]).astype(np.int64)
+    asked = [unpacked(r["a"], np.uint64) for r in rows]
+    words_ = np.concatenate(asked)
+    counts = np.concatenate([unpacked(r["b"], np.uint32) for r in rows]).astype(np.int64)
     names, where = np.unique(words_, return_inverse=True)
     sums = np.bincount(where, counts, len(names)).astype(np.int64)
     yield _row(0, TOTALS, 0, np.array([sums.sum(), (sums > 0).sum(), sums[names == END].sum()], np.int64))
     answers, at = sums[where], 0
-    for r in rows:
-        n = len(r["a"]) // 8
-        yield _row(0, COUNT, r["piece"], answers[at : at + n], np.frombuffer(r["c"], np.uint32))
+    for r, own in zip(rows, asked):
+        n = len(own)
+        yield _row(0, COUNT, r["piece"], answers[at : at + n], r["c"])
         at += n
 
 
@@ -269,7 +270,7 @@ def _answers(table: pa.Table, what: int, size: int, kind) -> np.ndarray:
     out = np.zeros(size, kind)
     for w, a, b in zip(table.column("what").to_pylist(), table.column("a").to_pylist(), table.column("b").to_pylist()):
         if w == what:
-            out[np.frombuffer(b, np.uint32)] = np.frombuffer(a, kind)
+            out[unpacked(b, np.uint32, rising=True)] = unpacked(a, kind)
     return out
 
 
@@ -291,12 +292,9 @@ def _pair_requests(parts: int, tokens: int, vocabulary: int, end_count: int):
             starts, ends = runs(p.before[at])
             heads = p.before[at[starts]]
             w = word[p.after[at]]
-            packed = np.concatenate([(w >> np.uint64(32)).astype(np.uint16).view(np.uint8), w.astype(np.uint32).view(np.uint8)])
-            n = train[at]
-            small = np.minimum(n, 255).astype(np.uint8)
-            over = np.flatnonzero(n >= 255).astype(np.uint32)
-            context = np.concatenate([p.context[heads].view(np.uint8), (ends - starts).astype(np.uint32).view(np.uint8), customers[heads].astype(np.int64).view(np.uint8)])
-            out.append(_row(k, PAIR, p.piece, context, packed, np.concatenate([small, (code[p.after[at]] >> 8).astype(np.uint8)]), np.concatenate([over, n[over]]).astype(np.uint32)))
+            halves = np.concatenate([(w >> np.uint64(32)).astype(np.uint16).view(np.uint8), w.astype(np.uint32).view(np.uint8)])
+            context = np.stack([p.context[heads], (ends - starts).astype(np.uint64), customers[heads].astype(np.uint64)])
+            out.append(_row(k, PAIR, p.piece, context.reshape(-1), halves, train[at], (code[p.after[at]] >> 8).astype(np.uint8)))
         return _table(out)
 
     return run
@@ -311,19 +309,15 @@ def _seated(parts: int, seed: int):
             return
         contexts, lengths, customers, word, count, code = [], [], [], [], [], []
         for r in rows:
-            n_c, n = len(r["a"]) // 20, len(r["b"]) // 6
-            raw = np.frombuffer(r["a"], np.uint8)
-            contexts.append(raw[: 8 * n_c].view(np.uint64))
-            lengths.append(raw[8 * n_c : 12 * n_c].view(np.uint32))
-            customers.append(raw[12 * n_c :].view(np.int64))
-            raw = np.frombuffer(r["b"], np.uint8)
+            context = unpacked(r["a"], np.uint64).reshape(3, -1)
+            contexts.append(context[0])
+            lengths.append(context[1].astype(np.int64))
+            customers.append(context[2].astype(np.int64))
+            raw = unpacked(r["b"], np.uint8)
+            n = len(raw) // 6
             word.append((raw[: 2 * n].view(np.uint16).astype(np.uint64) << np.uint64(32)) | raw[2 * n :].view(np.uint32))
-            raw = np.frombuffer(r["c"], np.uint8)
-            c = raw[:n].astype(np.int64)
-            over = np.frombuffer(r["d"], np.uint32)
-            c[over[: len(over) // 2]] = over[len(over) // 2 :]
-            count.append(c)
-            code.append(raw[n:])
+            count.append(unpacked(r["c"], np.uint32))
+            code.append(unpacked(r["d"], np.uint8))
         sizes, heads = [len(w) for w in word], [len(c) for c in contexts]
         contexts, lengths, customers = np.concatenate(contexts), np.concatenate(lengths), np.concatenate(customers)
         word, count, code = np.concatenate(word), np.concatenate(count), np.concatenate(code)
@@ -362,8 +356,8 @@ def _parent(vocabulary: int, seed: int, tables_all: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         have = [r for r in rows if r["what"] == TABLES]
-        names = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in have] or [np.empty(0, np.uint64)])
-        sums = np.concatenate([np.frombuffer(r["b"], np.float32) for r in have] or [np.empty(0, np.float32)])
+        names = np.concatenate([unpacked(r["a"], np.uint64) for r in have] or [np.empty(0, np.uint64)])
+        sums = np.concatenate([unpacked(r["b"], np.float32) for r in have] or [np.empty(0, np.float32)])
         names, where = np.unique(names, return_inverse=True)
         c = np.maximum(np.round(np.bincount(where, sums, len(names))), 1).astype(np.int64)
         share = np.array([min(max(c.sum(), 1) / max(tables_all, 1), 1.0)])
@@ -376,11 +370,11 @@ def _parent(vocabulary: int, seed: int, tables_all: float):
         p = (c - PARENT_DISCOUNT * t) / (PARENT_STRENGTH + tables_all) + rest
         for r in rows:
             if r["what"] == WORD:
-                asked = np.frombuffer(r["a"], np.uint64) >> np.uint64(16)
+                asked = unpacked(r["a"], np.uint64) >> np.uint64(16)
                 at = np.searchsorted(names, asked)
                 found = np.minimum(at, max(len(names) - 1, 0))
                 hit = names[found] == asked if len(names) else np.zeros(len(asked), bool)
-                yield _row(0, WORD, r["piece"], np.where(hit, p[found] if len(p) else 0, rest), np.frombuffer(r["c"], np.uint32))
+                yield _row(0, WORD, r["piece"], np.where(hit, p[found] if len(p) else 0, rest).astype(np.float64), r["c"])
 
     return run
 
@@ -401,7 +395,7 @@ def _summed(parts: int, tokens: int, vocabulary: int, end_count: int):
         given = {k: (a, b) for w, k, a, b in zip(*(answers.column(n).to_pylist() for n in ("what", "part", "a", "b"))) if w == PAIR}
         probability = np.empty(len(p.pairs))
         for k, at in _cut(part):
-            known, below = (np.frombuffer(x, np.uint16) for x in given[k])
+            known, below = (unpacked(x, np.uint16) for x in given[k])
             starts, ends = runs(p.before[at])
             probability[at] = from_codes(known) + np.repeat(from_codes(below), ends - starts) * parent[p.after[at]]
         logs = np.log10(probability)[p.where]
@@ -429,7 +423,7 @@ def score_documents(docs: DataFrame, seed: int = 3) -> DataFrame:
     asked = pieces.select("piece", "vocabulary", "counts")
     counts = scratch.save(asked.mapInArrow(_word_requests(ways, COUNT), _ROWS).repartition(ways, "part").mapInArrow(_counted, _ROWS), "counts")
     scratch.free_shuffles()
-    totals = np.sum([np.frombuffer(r["a"], np.int64) for r in counts.filter(F.col("what") == TOTALS).select("a").collect()] or [np.zeros(3, np.int64)], axis=0)
+    totals = np.sum([unpacked(r["a"], np.int64) for r in counts.filter(F.col("what") == TOTALS).select("a").collect()] or [np.zeros(3, np.int64)], axis=0)
     tokens, vocabulary, end_count = (int(x) for x in totals)
     counts = counts.filter(F.col("what") == COUNT)
     parts = int(max(ways, tokens // PART_TOKENS + 1))
