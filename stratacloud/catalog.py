@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "select_nodes"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from stratacloud.queries import ORACLE_SQL, QUERIES, functions  # noqa: F401
+
+FLAGSHIP = "pln_1_visible_points"
