@@ -361,7 +361,7 @@ def repeated_passages(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     lowest = -(1 << 63)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").isNull().alias("no_id"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    dests = int(max(parts, size // PART_BYTES + 1))
+    dests = int(max(2 * spark.sparkContext.defaultParallelism, size // PART_BYTES + 1))
     found = []
     for block in range(blocks):
         rows = texts.select("doc_id", "text").mapInArrow(_cover_rows(block, blocks, parts), _ROWS)
