@@ -13,7 +13,7 @@ from stratacloud.functions.keys import ancestor_keys, parent_key
 
 def ancestors(keys: DataFrame, key: str = "key", proper: bool = False) -> DataFrame:
     """(key, ancestor): every key with its ancestors, itself among them unless ``proper``."""
-    out = keys.select(F.col(key).alias("key"), F.explode(ancestor_keys(F.col(key))).alias("ancestor"))
+    out = keys.select(F.col(key).alias("key")).select("key", F.explode(ancestor_keys(F.col("key"))).alias("ancestor"))
     return out.filter("ancestor <> key") if proper else out
 
 

@@ -393,7 +393,7 @@ def flt_6(spark, d):
 
 
 @query("flt_7_zoom_refinement", """WITH s AS (SELECT event_id, 10 * value AS h, lag(10 * value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-  SELECT event_id, coalesce(h < before * 0.9, false) OR coalesce((CASE WHEN h <= 350 THEN 1.5 WHEN h <= 700 THEN 2.25 WHEN h <= 1500 THEN 3.5 WHEN h <= 3000 THEN 4 ELSE 4 END) < (CASE WHEN before <= 350 THEN 1.5 WHEN before <= 700 THEN 2.25 WHEN before <= 1500 THEN 3.5 ELSE 4 END), false) AS refines FROM s""")
+  SELECT event_id, before IS NOT NULL AND (coalesce(h < before * 0.9, false) OR coalesce((CASE WHEN h <= 350 THEN 1.5 WHEN h <= 700 THEN 2.25 WHEN h <= 1500 THEN 3.5 WHEN h <= 3000 THEN 4 ELSE 4 END) < (CASE WHEN before <= 350 THEN 1.5 WHEN before <= 700 THEN 2.25 WHEN before <= 1500 THEN 3.5 ELSE 4 END), false)) AS refines FROM s""")
 def flt_7(spark, d):
     from pyspark.sql import Window
 
