@@ -42,6 +42,19 @@ class Scratch:
         frame.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def save_split(self, frame: DataFrame, name: str, kind: str, values: tuple) -> list[DataFrame]:
+        """One table per value of a column, in one pass; each can be dropped alone."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        frame.write.option("compression", "zstd").partitionBy(kind).parquet(path)
+        rest = frame.drop(kind).schema
+        folders = {f.getPath().getName(): f.getPath().toString() for f in self._files(path)}
+        found = [folders.get(f"{kind}={v}") for v in values]
+        return [self.spark.read.schema(rest).parquet(f) if f else self.spark.createDataFrame([], rest) for f in found]
+
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)
+
     def drop(self, frame: DataFrame) -> None:
         """Delete a saved table that no later frame reads."""
         files = frame.inputFiles()

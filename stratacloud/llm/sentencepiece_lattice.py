@@ -1,20 +1,25 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Distinct words of the corpus are exploded into substrings of bounded length, these are joined by equality to the piece
-table (a vocabulary file of fixed size, hence broadcast), the edges that match are grouped by word, and a higher-order
-``aggregate`` folds each word's lattice:
+Distinct words are exploded into substrings of bounded length, these are joined by equality to the piece table, the
+edges that match are grouped by word, and a fold goes over each word's lattice:
 
 * files of the unigram type: Viterbi, the path with the greatest sum of scores;
 * files of the byte-pair type: the sum of scores is not what such files are made for, and Viterbi gives other pieces
   than the format demands. There the fold merges, step by step, the two neighbours whose union is the edge with the
   best score, the leftmost first. Both folds run over the same lattice.
 
+Two forms of it are here. ``encode_words`` is made of DataFrame operators alone: explode, broadcast equi-join to the
+vocabulary file, groupBy, and higher-order ``aggregate``. It is right but took 2910 JVM CPU seconds and 4 times the
+input as disk for 1 GB. ``Lattice`` holds the same relation in columns (substring hashes joined to sorted hashes of the
+pieces, edges by start and length) and folds all words of a part step by step together; the texts go through this one.
+
 A word is a run of spaces with the text after it, as no piece of such files goes on after a space (this is checked).
-Characters that no piece covers become byte pieces, or the unknown piece in files without those. Words over LONG
-characters are merged by a heap instead (or by the same Viterbi in Python), as the fold is quadratic.
+Characters that no piece covers become byte pieces, or the unknown piece in files without those. Words over LONG bytes
+are merged by a heap instead, as the fold is quadratic in their length.
 
-A *piece of the corpus* is what a task reads: its texts become numbers of its own words, written once; each asks for a
-distinct word once. Words meet their encodings by cogroup over hash parts, and texts theirs by cogroup over pieces.
+What a task reads in one go, a *piece of the corpus*, becomes numbers of its own words, written once; it asks for each
+distinct word once. Words are dealt to parts by hash, each part encodes its distinct words and answers, and answers
+meet their texts by cogroup.
 """
 
 from __future__ import annotations
@@ -22,24 +27,24 @@ from __future__ import annotations
 import hashlib
 import heapq
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, column_bytes, n_partitions, pieces_of, read_table
+from stratacloud.llm._shared import Scratch, column_bytes, n_partitions, packed, pieces_of, read_table, runs, unpacked
 from stratacloud.llm._text import PIECE_BYTES as HASH_BYTES
 from stratacloud.llm._text import Rolling
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-PIECE_BYTES = 24 << 20
-LONG = 40
+PIECE_BYTES = 16 << 20
+LONG = 200
+#: Words that the fold takes at a time.
+FOLD_WORDS = 50_000
 SPACE = "▁"
 #: Fixed values of the format: kinds of pieces, and kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -206,7 +211,7 @@ def _viterbi_fold(n: Column, edges: Column, floor: float, longest: int) -> Colum
 
 
 def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Distinct words (word) of at most LONG characters to (word, ids). The grouping keeps the partitioning by word."""
+    """Distinct words (word), spaces escaped, of at most LONG characters to (word, ids). The grouping keeps the partitioning by word."""
     spark = words.sparkSession
     longest = vocabulary.longest
     table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in vocabulary.table().items()], "piece string, id int, score float")
@@ -231,21 +236,147 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return with_map.withColumn("borders", borders).select("word", ids.alias("ids"))
 
 
-def _long_words(vocabulary: Vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, byte_ids, longest = vocabulary.table(), vocabulary.byte_ids(), vocabulary.longest
-        one = (lambda w: merge_word(w, table, byte_ids)) if vocabulary.model_type == BPE else (lambda w: viterbi_word(w, table, byte_ids, longest))
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([one(w) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
+class Lattice:
+    """The same relation in columns, for many words at a time. Spaces are plain here, not escaped."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.plain = {p.replace(SPACE, " "): v for p, v in vocabulary.table().items()}
+        self.vocabulary, self.byte_ids = vocabulary, vocabulary.byte_ids()
+        raw = [p.encode() for p in self.plain]
+        ends = np.cumsum([len(r) for r in raw])
+        hashes = Rolling(np.frombuffer(b"".join(raw), np.uint8)).of(np.concatenate(([0], ends[:-1])), ends)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.ids = np.array([i for i, _ in self.plain.values()], np.int64)[order]
+        # Ranks of scores: the lower the better; NONE where there is no piece.
+        scores = np.array([s for _, s in self.plain.values()])[order]
+        self.ranks = np.empty(len(scores), np.int32)
+        self.ranks[np.argsort(-scores, kind="stable")] = np.arange(len(scores))
+        self.id_of_rank = np.empty(len(scores), np.int64)
+        self.id_of_rank[self.ranks] = self.ids
+        self.longest = max(len(r) for r in raw)
+        self.byte_table = np.array(self.byte_ids, np.int64)
+
+    NONE = np.iinfo(np.int32).max
+
+    def edges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rank of the piece per start and length: all substrings of the words, joined to the pieces by hash."""
+        rolling = Rolling(data)
+        size = int(min(self.longest, (ends - starts).max(initial=0)))
+        out = np.full((len(data) + 1, size + 1), self.NONE, np.int32)
+        stop = np.repeat(ends, ends - starts)
+        at = np.arange(len(data))
+        lead = (data & 0xC0) != 0x80
+        for length in range(1, size + 1):
+            p = at[lead & (at + length <= stop)]
+            h = rolling.of(p, p + length)
+            k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[k] == h
+            out[p[hit], length] = self.ranks[k[hit]]
+        return out
 
-    return run
+    def merged(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte-pair pieces of words that lie one after the other: ids, and how many each word has."""
+        edges = self.edges(data, starts, ends)
+        size = edges.shape[1] - 1
+        # Borders of the symbols, at first of the characters; the last of each word is its end.
+        border = np.flatnonzero((data & 0xC0) != 0x80)
+        word = np.repeat(np.arange(len(starts)), ends - starts)[border]
+        done_at, done_word, done_len = [], [], []
+        while len(border):
+            after = np.append(border[1:], len(data))
+            last = np.append(word[1:] != word[:-1], True)
+            end_of = ends[word]
+            stop = np.where(last, end_of, after)
+            # The union with the next symbol.
+            next_stop = np.append(stop[1:], 0)
+            span = np.where(last, 0, next_stop - border)
+            rank = np.where((span > 0) & (span <= size), edges[border, np.minimum(span, size)], self.NONE)
+            rank[span <= 0] = self.NONE
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            best = np.minimum.reduceat(rank, first)
+            count = np.diff(np.append(first, len(border)))
+            open_ = best < self.NONE
+            stays = np.repeat(open_, count)
+            shut = ~stays
+            done_at.append(border[shut])
+            done_word.append(word[shut])
+            done_len.append((stop - border)[shut])
+            if not open_.any():
+                break
+            hits = np.flatnonzero(stays & (rank == np.repeat(best, count)))
+            lead = hits[np.append(True, word[hits[1:]] != word[hits[:-1]])]  # the leftmost of equals
+            stays[lead + 1] = False
+            border, word = border[stays], word[stays]
+        at, of, length = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (done_at, done_word, done_len))
+        order = np.argsort(at, kind="stable")
+        at, of, length = at[order], of[order], length[order]
+        rank = np.where(length <= size, edges[at, np.minimum(length, size)], self.NONE)
+        known = rank < self.NONE
+        n = np.where(known, 1, length)
+        out_end = np.cumsum(n)
+        ids = np.empty(int(out_end[-1]) if len(out_end) else 0, np.int64)
+        ids[(out_end - n)[known]] = self.id_of_rank[rank[known]]
+        u = np.flatnonzero(~known)
+        if len(u):
+            inner = np.arange(int(n[u].sum())) - np.repeat(np.cumsum(n[u]) - n[u], n[u])
+            ids[np.repeat((out_end - n)[u], n[u]) + inner] = self.byte_table[data[np.repeat(at[u], n[u]) + inner]]
+        return ids, np.bincount(of, n, len(starts)).astype(np.int64)
+
+    def encode(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        ends = np.cumsum(lengths)
+        flats, counts = [], []
+        bpe = self.vocabulary.model_type == BPE
+        long = np.flatnonzero(lengths > LONG) if bpe else np.arange(len(lengths))
+        cuts = sorted({0, len(lengths), *long.tolist(), *(long + 1).tolist(), *range(0, len(lengths), FOLD_WORDS)})
+        alone = set(long.tolist())
+        for i, j in zip(cuts, cuts[1:]):
+            a, b = int(ends[i] - lengths[i]), int(ends[j - 1])
+            if i in alone:
+                text = data[a:b].tobytes().decode("utf-8", "surrogateescape")
+                ids = merge_word(text, self.plain, self.byte_ids) if bpe else viterbi_word(text, self.plain, self.byte_ids, self.longest)
+                flats.append(np.array(ids, np.int64))
+                counts.append(np.array([len(ids)]))
+            else:
+                flat, n = self.merged(data[a:b], ends[i:j] - lengths[i:j] - a, ends[i:j] - a)
+                flats.append(flat)
+                counts.append(n)
+        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+        return cat(flats), cat(counts)
 
 
 # --- texts ------------------------------------------------------------------------------------------------------------
 
-_PIECE = "piece long, doc_ids binary, no_id binary, lengths binary, tokens binary, n_words int, words binary, ends binary, digests binary"
+_PIECE = "piece long, kind int, doc_ids binary, no_id binary, lengths binary, tokens binary, n_words int, words binary, word_lengths binary, digests binary"
 _PIECE_NAMES = [f.split()[0] for f in _PIECE.split(", ")]
+_PIECE_KINDS = [pa.int64(), pa.int32()] + [pa.binary()] * 4 + [pa.int32()] + [pa.binary()] * 3
+TEXTS, WORDS = 0, 1
+
+
+def _packed_ranks(ranks: np.ndarray) -> bytes:
+    """Numbers by falling frequency: a byte for the 192 first, a byte of high bits and 12 low bits for others."""
+    head = np.where(ranks < 192, ranks, 192 + np.minimum(ranks >> 12, 63)).astype(np.uint8)
+    rest = ranks[ranks >= 192]
+    columns = [packed(head), packed((rest & 255).astype(np.uint8)), packed((rest >> 8 & 15).astype(np.uint8)), packed(rest[rest >> 12 >= 63].astype(np.uint32))]
+    return np.array([len(c) for c in columns], np.uint32).tobytes() + b"".join(columns)
+
+
+def _unpacked_ranks(raw: bytes) -> np.ndarray:
+    ends = np.cumsum(np.frombuffer(raw[:16], np.uint32)).tolist()
+    head, low, middle, full = (unpacked(raw[16 + a : 16 + b], k) for a, b, k in zip([0, *ends], ends, (np.uint8, np.uint8, np.uint8, np.uint32)))
+    out = head.astype(np.uint32)
+    far = head >= 192
+    rest = (head[far].astype(np.uint32) - 192 << 12) | (middle.astype(np.uint32) << 8) | low
+    rest[head[far] == 255] = full
+    out[far] = rest
+    return out
+
+
+def _slices(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of many slices one after the other."""
+    stop = np.cumsum(lengths)
+    return data[np.repeat(starts - (stop - lengths), lengths) + np.arange(int(stop[-1]) if len(stop) else 0)]
 
 
 def _spaced(data: np.ndarray, offs: np.ndarray, prefix: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -263,105 +394,92 @@ def _spaced(data: np.ndarray, offs: np.ndarray, prefix: bool) -> tuple[np.ndarra
 
 def _encoded(prefix: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial, packer = 0, zstandard.ZstdCompressor(level=3)
+        serial = 0
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             none = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             data, offs = column_bytes(batch.column(1))
             for i, j, part, at in pieces_of(data, offs, PIECE_BYTES):
                 digests = b"".join(hashlib.sha256(part[a:b].tobytes()).digest() for a, b in zip(at[:-1], at[1:]))
-                hashes, counts, firsts, raws, shift = [], [], [], [], 0
+                hashes, counts, starts, sizes, raws, shift = [], [], [], [], [], 0
                 for _, _, small, sat in pieces_of(part, at, HASH_BYTES):
                     small, sat = _spaced(small, sat, prefix)
                     space = small == 32
                     start = space.copy()
                     start[1:] &= ~space[:-1]
-                    begins = sat[:-1][np.diff(sat) > 0]
-                    start[begins] = True
-                    starts = np.flatnonzero(start)
-                    ends = np.append(starts[1:], len(small))[: len(starts)]
-                    hashes.append(Rolling(small).of(starts, ends))
-                    counts.append(np.diff(np.searchsorted(starts, sat)))
-                    firsts.append(np.stack([starts, ends], 1) + shift)
+                    start[sat[:-1][np.diff(sat) > 0]] = True
+                    first = np.flatnonzero(start)
+                    last = np.append(first[1:], len(small))[: len(first)]
+                    hashes.append(Rolling(small).of(first, last))
+                    counts.append(np.diff(np.searchsorted(first, sat)))
+                    starts.append(first + shift)
+                    sizes.append(last - first)
                     raws.append(small)
                     shift += len(small)
-                tokens, spans, raw = np.concatenate(hashes), np.concatenate(firsts), np.concatenate(raws).tobytes()
+                tokens, starts_, sizes_ = np.concatenate(hashes), np.concatenate(starts), np.concatenate(sizes)
                 _, first, local, times = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
                 order = np.argsort(-times, kind="stable")
                 rank = np.empty(len(order), np.uint32)
                 rank[order] = np.arange(len(order))
-                words = [raw[a:b] for a, b in spans[first[order]].tolist()]
-                packed = rank[local]
-                planes = np.ascontiguousarray(packed.view(np.uint8).reshape(-1, 4).T)
+                first = first[order]
+                words = _slices(np.concatenate(raws), starts_[first], sizes_[first])
+                row = [packed(ids[i:j].astype(np.int64)), packed(none[i:j]), packed(np.concatenate(counts).astype(np.int32)), _packed_ranks(rank[local])]
                 piece = (TaskContext.get().partitionId() << 24) + serial
                 serial += 1
-                lengths = np.concatenate(counts).astype(np.int32) if counts else np.empty(0, np.int32)
-                row = [ids[i:j].astype(np.int64).tobytes(), none[i:j].tobytes(), lengths.tobytes(), packer.compress(planes.tobytes())]
-                word_ends = np.cumsum([len(w) for w in words]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([piece], pa.int64()), *(pa.array([c], pa.binary()) for c in row), pa.array([len(words)], pa.int32()), pa.array([b"".join(words)], pa.binary()), pa.array([word_ends.tobytes()], pa.binary()), pa.array([digests], pa.binary())],
-                    names=_PIECE_NAMES,
-                )
+                # Texts and words go to folders of their own, as the words can go once they are answered.
+                rows = [(piece, TEXTS, *row, len(first), None, None, digests), (piece, WORDS, *[None] * 4, len(first), packed(words), packed(sizes_[first].astype(np.uint32)), None)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _PIECE_KINDS)], names=_PIECE_NAMES)
 
     return run
 
 
-def _words_of(row: dict) -> list[bytes]:
-    ends = np.frombuffer(row["ends"], np.int32).tolist()
-    return [row["words"][a:b].replace(b" ", SPACE.encode()) for a, b in zip([0, *ends[:-1]], ends)]
-
-
-def _word_column(words: list[bytes]) -> pa.Array:
-    offs = np.zeros(len(words) + 1, np.int32)
-    np.cumsum([len(w) for w in words], out=offs[1:])
-    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(offs), pa.py_buffer(b"".join(words))])
-
-
-def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            words = _words_of(row)
-            for k in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([_word_column(words[k : k + 50_000])], names=["word"])
+_ASK = "part int, piece long, at binary, words binary, word_lengths binary"
+_ANSWER = "piece long, at binary, ids binary, counts binary"
 
 
 def _requests(parts: int):
+    """The distinct words of each piece, packed by the part of their hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words = _words_of(row)
-                by: dict[int, list[int]] = {}
-                for k, w in enumerate(words):
-                    by.setdefault(zlib.crc32(w) % parts, []).append(k)
-                for part, at in by.items():
-                    mine = [words[k] for k in at]
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row["piece"]], pa.int64()), pa.array([np.array(at, np.uint32).tobytes()], pa.binary()), pa.array([b"".join(mine)], pa.binary()), pa.array([np.cumsum([len(w) for w in mine]).astype(np.int32).tobytes()], pa.binary())], names=["part", "piece", "at", "words", "ends"])
+                data, lengths = unpacked(row["words"], np.uint8), unpacked(row["word_lengths"], np.uint32).astype(np.int64)
+                ends = np.cumsum(lengths)
+                starts = ends - lengths
+                part = (Rolling(data).of(starts, ends) >> np.uint64(33)).astype(np.int64) % parts
+                order = np.argsort(part, kind="stable")
+                for a, b in zip(*runs(part[order])):
+                    at = order[a:b]
+                    columns = [packed(at.astype(np.uint32), rising=True), packed(_slices(data, starts[at], lengths[at])), packed(lengths[at].astype(np.uint32))]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(part[at[0]])], pa.int32()), pa.array([row["piece"]], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], names=[f.split()[0] for f in _ASK.split(", ")])
 
     return run
 
 
-_ANSWER = "piece long, at binary, ids binary, ends binary"
+def _answered(vocabulary: Vocabulary):
+    """Encode the distinct words of a part once; answer every piece."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        if not rows:
+            return
+        lattice = Lattice(vocabulary)
+        lengths = [unpacked(r["word_lengths"], np.uint32).astype(np.int64) for r in rows]
+        data = np.concatenate([unpacked(r["words"], np.uint8) for r in rows])
+        every = np.concatenate(lengths)
+        ends = np.cumsum(every)
+        starts = ends - every
+        _, first, where = np.unique(Rolling(data).of(starts, ends), return_index=True, return_inverse=True)
+        flat, size = lattice.encode(_slices(data, starts[first], every[first]), every[first])
+        begin = np.cumsum(size) - size
+        at = 0
+        for r, own in zip(rows, lengths):
+            k = where[at : at + len(own)]
+            at += len(own)
+            columns = [r["at"], packed(_slices(flat, begin[k], size[k]).astype(np.uint32)), packed(size[k].astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array([r["piece"]], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], names=["piece", "at", "ids", "counts"])
 
-def _answered(_key, asked: pa.Table, encoded: pa.Table) -> pa.Table:
-    names = encoded.column("word").combine_chunks() if encoded.num_rows else pa.array([], pa.string())
-    data, offs = column_bytes(names)
-    raw = data.tobytes()
-    where = {raw[a:b]: k for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist()))}
-    lists = encoded.column("ids").combine_chunks() if encoded.num_rows else pa.array([], pa.list_(pa.int32()))
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
-    begin = np.concatenate(([0], np.cumsum(sizes)))
-    out: list[list] = [[], [], [], []]
-    for row in asked.to_pylist():
-        ends = np.frombuffer(row["ends"], np.int32).tolist()
-        k = np.array([where[row["words"][a:b]] for a, b in zip([0, *ends[:-1]], ends)], np.int64)
-        n = sizes[k]
-        stop = np.cumsum(n)
-        at = np.repeat(begin[k] - (stop - n), n) + np.arange(n.sum())
-        for column, value in zip(out, (row["piece"], row["at"], flat[at].tobytes(), stop.astype(np.int64).tobytes())):
-            column.append(value)
-    return pa.table([pa.array(c, k) for c, k in zip(out, [pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["piece", "at", "ids", "ends"])
+    return run
 
 
 _RESULT = "doc_id long, n_pieces long, ids binary, decoded binary, text_sha256 binary"
@@ -378,30 +496,25 @@ def _assembled(vocabulary: Vocabulary, digest: bool):
         # Encodings of the piece's words side by side.
         size, begin, flats, shift = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64), [], 0
         for a in answers.to_pylist():
-            at, stop = np.frombuffer(a["at"], np.uint32), np.frombuffer(a["ends"], np.int64)
-            n = np.diff(np.concatenate(([0], stop)))
-            size[at], begin[at] = n, shift + stop - n
-            flats.append(np.frombuffer(a["ids"], np.uint32))
+            at, n = unpacked(a["at"], np.uint32, rising=True), unpacked(a["counts"], np.uint32).astype(np.int64)
+            size[at], begin[at] = n, shift + np.cumsum(n) - n
+            flats.append(unpacked(a["ids"], np.uint32))
             shift += len(flats[-1])
         flat = np.concatenate(flats) if flats else np.empty(0, np.uint32)
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.uint8)
-        tokens = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1)
-        lengths = np.frombuffer(row["lengths"], np.int32)
+        tokens, lengths = _unpacked_ranks(row["tokens"]), unpacked(row["lengths"], np.int32)
         surfaces = vocabulary.surfaces()
         out: list[list] = [[], [], [], []]
         last, digests = np.cumsum(lengths), []
         for k, (a, b) in enumerate(zip((last - lengths).tolist(), last.tolist())):
             t = tokens[a:b]
-            n = size[t]
-            stop = np.cumsum(n)
-            ids = flat[np.repeat(begin[t] - (stop - n), n) + np.arange(n.sum())]
+            ids = _slices(flat, begin[t], size[t])
             text = b"".join([surfaces[i] for i in ids.tolist()])
             text = text[1:] if vocabulary.add_prefix and text[:1] == b" " else text
             out[0].append(len(ids))
             out[1].append(hashlib.sha256(ids.tobytes()).digest() if digest else ids.tobytes())
             out[2].append(hashlib.sha256(text).digest() if digest else text)
             out[3].append(row["digests"][32 * k : 32 * k + 32])
-        ids = pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["no_id"], bool))
+        ids = pa.array(unpacked(row["doc_ids"], np.int64), mask=unpacked(row["no_id"], bool))
         return pa.table([ids, *(pa.array(c, k) for c, k in zip(out, kinds[1:]))], names=names)
 
     return run
@@ -420,18 +533,11 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, digest:
     scratch = Scratch(spark, "sentencepiece")
     parts = n_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = scratch.save(texts.mapInArrow(_encoded(vocabulary.add_prefix), _PIECE), "pieces")
-    asking = pieces.select("piece", "words", "ends")
-    words = asking.mapInArrow(_asked_words, "word string").distinct()
-    encoded = encode_words(words.filter(F.length("word") <= LONG), vocabulary).unionAll(words.filter(F.length("word") > LONG).mapInArrow(_long_words(vocabulary), "word string, ids array<int>"))
-    encoded = scratch.save(encoded, "encoded")
-    del words
-    scratch.free_shuffles()
-    by_part = encoded.withColumn("part", (F.crc32(F.col("word").cast("binary")) % parts).cast("int"))
-    asked = asking.mapInArrow(_requests(parts), "part int, piece long, at binary, words binary, ends binary")
-    answers = scratch.save(asked.groupBy("part").cogroup(by_part.groupBy("part")).applyInArrow(_answered, _ANSWER), "answers")
-    del asked, by_part
-    scratch.drop(encoded)
+    pieces, words = scratch.save_split(texts.mapInArrow(_encoded(vocabulary.add_prefix), _PIECE), "pieces", "kind", (TEXTS, WORDS))
+    asked = words.select("piece", "words", "word_lengths").mapInArrow(_requests(parts), _ASK)
+    answers = scratch.save(asked.repartition(parts, "part").mapInArrow(_answered(vocabulary), _ANSWER), "answers")
+    del asked
+    scratch.drop(words)
     scratch.free_shuffles()
     rest = pieces.select("piece", "doc_ids", "no_id", "lengths", "tokens", "n_words", "digests")
     return rest.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(_assembled(vocabulary, digest), _RESULT)
