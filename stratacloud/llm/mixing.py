@@ -1,7 +1,7 @@
 """Mix sources to target weights by systematic sampling.
 
 Within a source every document has the same expected number of copies, target / source size. Documents are laid on a
-line in the order of their sizes (then of a hash), the expected copies are summed up along it, one random offset per
+line in the order of their sizes (then of a digest of their ids), the expected copies are summed up along it, one random offset per
 source is added, and a document is taken once for each integer boundary that its stretch crosses. Order by size makes
 the sample stratified: a source's taken words differ from its target by about one long document at most.
 
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from stratacloud.llm._shared import read_table
 
-#: Cells that a single size of a source is dealt to.
-CELLS = 256
 MOST_COPIES = 3
 
 
@@ -43,15 +41,20 @@ def targets(sizes: DataFrame, weights: int = 3, most: int = MOST_COPIES) -> Data
     return x.select("source", "source_size", F.least("cap", F.coalesce(F.col("held") * F.col("w"), F.col("cap"))).alias("target"))
 
 
+def _digest(seed: int, value: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(value.cast("string"), F.lit("null"))).cast("binary"))
+
+
 def mix_sources(docs: DataFrame, seed: int = 17, weights: int = 3, most: int = MOST_COPIES) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, source) as (doc_id, source, size, source_size, target, copies, mix_row).
 
     ``copies`` says how often the mix takes the row. Null texts have size 0; null sources form one source, last in
     order. Rows that repeat count each for itself (``mix_row`` tells them apart only within equal rows). An empty table
-    gives no rows. Reruns agree: order and offset come from hashes of ids and ``seed``.
+    gives no rows. Reruns agree: order and offset come from digests of ids, sources and ``seed``.
     """
     x = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    x = x.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(CELLS)).cast("int"))
+    # The first digits of the digest are the cell, so that cells and ranks within them follow one order: 256 cells a size.
+    x = x.withColumn("digest", _digest(seed, F.col("doc_id"))).withColumn("cell", F.substring("digest", 1, 2))
     cells = x.groupBy("source", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
     sizes = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     per_source = targets(sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, most)
@@ -61,11 +64,11 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: int = 3, most: int = M
     s, c, t = sizes.select(F.col("source").alias("s_source"), F.col("size").alias("s_size"), before_size.alias("before_size")), cells.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("cell").alias("c_cell"), before_cell.alias("before_cell")), per_source.withColumnRenamed("source", "t_source")
     at = c.join(s, F.col("c_source").eqNullSafe(F.col("s_source")) & (F.col("c_size") == F.col("s_size"))).join(t, F.col("c_source").eqNullSafe(F.col("t_source")))
     at = at.select("c_source", "c_size", "c_cell", (F.col("before_size") + F.col("before_cell")).alias("before"), "source_size", "target")
-    in_cell = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")) - 1
+    in_cell = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("digest")) - 1
     x = x.withColumn("mix_row", in_cell).join(at, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("cell") == F.col("c_cell")))
     # 1 keeps the place on the line exact: rank and copies stay apart until one product of each.
     each = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("source"), F.lit("\u0000null"))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    offset = F.conv(F.substring(_digest(seed, F.col("source")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     rank = F.col("before") + F.col("mix_row")
     copies = F.least(F.floor(offset + (rank + 1) * each) - F.floor(offset + rank * each), F.lit(most))
     return x.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), "mix_row")
@@ -77,6 +80,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS DOUBLE) AS w FROM d GROUP BY source),
+c AS (SELECT *, CAST(source_size * 3 AS DOUBLE) AS cap, sum(CAST(source_size AS DOUBLE)) OVER () AS total, sum(w) OVER () AS weight FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER b, 0)) / (weight - coalesce(sum(w) OVER b, 0)) AS level FROM c WINDOW b AS (ORDER BY cap / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT min_by(level, cap / w) FROM l WHERE cap >= level * w) * w, cap)) AS target FROM l),
+r AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))) - 1 AS k,
+  CAST('0x' || substr(md5('17:' || coalesce(source, 'null')), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS o FROM d),
+e AS (SELECT r.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0) ELSE 0.0 END AS each FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(least(floor(o + (k + 1) * each) - floor(o + k * each), 3) AS BIGINT) * size AS taken, source, CAST(least(floor(o + (k + 1) * each) - floor(o + k * each), 3) AS BIGINT) AS copies FROM e
+"""
+
+
 def mixing_stage(docs: DataFrame) -> DataFrame:
     """The documents of the mix: each row as often as it is taken, columns as they were."""
     copies = mix_sources(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("__mix_total"), F.count(F.lit(1)).alias("__mix_rows"))

@@ -6,8 +6,8 @@ import corpus_pipeline
 from stratacloud.llm.embedding_dedup import OP8_SQL, op8_embeddings
 from stratacloud.llm.langid import op5_langid
 from stratacloud.llm.lm_pitman_yor import op1_lm
-from stratacloud.llm.minhash_dedup import op9_minhash
-from stratacloud.llm.mixing import op2_mixing
+from stratacloud.llm.minhash_dedup import OP9_SQL, op9_minhash
+from stratacloud.llm.mixing import OP2_SQL, op2_mixing
 from stratacloud.llm.quality import op10_quality
 from stratacloud.llm.secret_scan import op7_secrets
 from stratacloud.llm.sentencepiece_lattice import op4_sentencepiece
@@ -29,6 +29,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
     "op6_topk": OP6_SQL,
     "op8_embeddings": OP8_SQL,
+    "op9_minhash": OP9_SQL,
 }
