@@ -43,6 +43,8 @@ from stratacloud.llm._text import Rolling
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_BYTES = 16 << 20
 LONG = 200
+#: Blocks in which texts and answers meet where only digests are asked for.
+DIGEST_BLOCKS = 3
 #: Words that the fold takes at a time.
 FOLD_WORDS = 50_000
 SPACE = "▁"
@@ -540,7 +542,17 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, digest:
     scratch.drop(words)
     scratch.free_shuffles()
     rest = pieces.select("piece", "doc_ids", "no_id", "lengths", "tokens", "n_words", "digests")
-    return rest.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(_assembled(vocabulary, digest), _RESULT)
+    assemble = lambda t, a: t.groupBy("piece").cogroup(a.groupBy("piece")).applyInArrow(_assembled(vocabulary, digest), _RESULT)
+    if not digest:
+        return assemble(rest, answers)
+    # Digests are small: they are written block by block, and each block's shuffle goes before the next.
+    out = None
+    for block in range(DIGEST_BLOCKS):
+        mine = F.pmod(F.hash("piece"), F.lit(DIGEST_BLOCKS)) == block
+        done = scratch.save(assemble(rest.filter(mine), answers.filter(mine)), "digests")
+        scratch.free_shuffles()
+        out = done if out is None else out.unionAll(done)
+    return out
 
 
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:
