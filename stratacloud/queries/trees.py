@@ -153,7 +153,7 @@ def src_17(spark, d):
     n = nodes(spark, d)
     root = n.filter("depth <= 1").select("key", F.lit("root").alias("page"))
     pages = n.filter("depth >= 2").withColumn("page", F.get(ancestor_keys(F.col("key")), F.lit(2)))
-    loaded = n.filter("depth = 2 and x = 1").select(F.col("key").alias("page"))
+    loaded = pages.select("page").distinct().filter(F.split("page", "-")[1] == "1")
     return root.unionByName(pages.join(loaded, "page", "left_semi").select("key", "page"))
 
 
