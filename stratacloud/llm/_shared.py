@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
+import inspect
 import tempfile
 import time
 import uuid
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,15 +42,28 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
+    def save(self, frame: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """Write and read again. ``batch_rows`` is the size of Arrow batches while it is made, where it matters."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        frame.write.option("compression", "zstd").parquet(path)
+        with self._batches(batch_rows):
+            frame.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
-    def save_split(self, frame: DataFrame, name: str, kind: str, values: tuple) -> list[DataFrame]:
+    @contextlib.contextmanager
+    def _batches(self, rows: int | None):
+        before = self.spark.conf.get(BATCH_ROWS)
+        if rows:
+            self.spark.conf.set(BATCH_ROWS, str(rows))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(BATCH_ROWS, before)
+
+    def save_split(self, frame: DataFrame, name: str, kind: str, values: tuple, batch_rows: int | None = None) -> list[DataFrame]:
         """One table per value of a column, in one pass; each can be dropped alone."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        frame.write.option("compression", "zstd").partitionBy(kind).parquet(path)
+        with self._batches(batch_rows):
+            frame.write.option("compression", "zstd").partitionBy(kind).parquet(path)
         rest = frame.drop(kind).schema
         folders = {f.getPath().getName(): f.getPath().toString() for f in self._files(path)}
         found = [folders.get(f"{kind}={v}") for v in values]
@@ -74,6 +92,34 @@ class Scratch:
             time.sleep(0.5)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, as idle workers are kept."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def bounded(f):
+    """Wrap a batch function, or a cogroup function of a key and two tables, so that its worker gives memory back after it."""
+    if len(inspect.signature(f).parameters) == 1:
+
+        @functools.wraps(f)
+        def batches_(batches):
+            yield from f(batches)
+            _give_back()
+
+        return batches_
+
+    def group(key, left, right):
+        out = f(key, left, right)
+        _give_back()
+        return out
+
+    return group
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import crc_remainder, read_table
+from stratacloud.llm._shared import bounded, crc_remainder, read_table
 
 #: Rows per language that the machines are fitted on, taken in the order of a hash of their ids.
 TRAINING_ROWS = 500
@@ -114,6 +114,7 @@ class Model:
         return best, float(sure * (min(pair) if pair else 1.0))
 
 
+@bounded
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, values = [], []
@@ -159,7 +160,7 @@ def _predicted(model: Model | None):
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return run
+    return bounded(run)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

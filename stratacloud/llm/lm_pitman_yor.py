@@ -32,11 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, column_bytes, n_partitions, packed, pieces_of, read_table, runs, unpacked
+from stratacloud.llm._shared import Scratch, bounded, column_bytes, n_partitions, packed, pieces_of, read_table, runs, unpacked
 from stratacloud.llm._text import PIECE_BYTES as HASH_BYTES
 from stratacloud.llm._text import Rolling, lower, mix, words
 
 PIECE_BYTES = 12 << 20
+PIECE_ROWS = 5_000
 #: Pairs that one part should hold.
 PART_TOKENS = 1_500_000
 MODULUS, HELD_OUT = 7, 2
@@ -60,13 +61,20 @@ def from_codes(c: np.ndarray) -> np.ndarray:
     return np.where(c == 65535, 0.0, np.exp(-c.astype(np.float64) / _LOG_STEP))
 
 
-def expected_tables(c: np.ndarray, a: np.ndarray, d: float) -> np.ndarray:
-    """Mean number of tables of c customers at strength a and discount d."""
-    rise = np.zeros(len(c))
-    # Gamma ratios by Stirling's series after a shift; a may be tiny.
-    lg = lambda x: (x + 5.5) * np.log(x + 6) - (x + 6) + 1 / (12 * (x + 6)) - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
-    rise = lg(a + d + c) + lg(a) - lg(a + c) - lg(a + d)
-    return (a / d) * np.expm1(np.minimum(rise, 60))
+def expected_tables(c: np.ndarray, a: np.ndarray, d: float, steps: int = 48) -> np.ndarray:
+    """About how many tables c customers of one word open where a new table weighs a: dt/dn = a / (a + n - d t).
+
+    Integrated in logarithmic steps from the first customer, who sits at the first table.
+    """
+    t, n = np.ones(len(c)), np.ones(len(c))
+    ratio = np.power(c.astype(np.float64), 1 / steps)
+    rate = lambda n, t: a / (a + np.maximum(n - d * t, 1e-9))
+    for _ in range(steps):
+        width = n * (ratio - 1)
+        half = t + rate(n, t) * width / 2
+        t = t + rate(n + width / 2, half) * width
+        n = n * ratio
+    return t
 
 
 def seat(c: np.ndarray, room: np.ndarray, p: np.ndarray, share: np.ndarray, d: float, theta: float, rng: np.random.Generator, burn: int = BURN_IN, samples: int = SAMPLES, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +155,7 @@ def seat(c: np.ndarray, room: np.ndarray, p: np.ndarray, share: np.ndarray, d: f
 _PIECE = "piece long, doc_ids binary, no_id binary, held binary, lengths binary, tokens binary, vocabulary binary, counts binary"
 
 
+@bounded
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (doc_id, text) to pieces. Word numbers are by falling frequency; each text ends with the end token."""
     serial = 0
@@ -244,9 +253,10 @@ def _word_requests(parts: int, what: int):
                 for part, at in _cut(_word_part(vocabulary >> np.uint64(16), parts)):
                     yield _row(part, what, row["piece"], vocabulary[at], counts[at] if what == COUNT else b"", packed(at.astype(np.uint32), rising=True))
 
-    return run
+    return bounded(run)
 
 
+@bounded
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the words of a part over all pieces; each piece gets those of its words."""
     rows = [r for b in batches for r in b.to_pylist()]
@@ -297,7 +307,7 @@ def _pair_requests(parts: int, tokens: int, vocabulary: int, end_count: int):
             out.append(_row(k, PAIR, p.piece, context.reshape(-1), halves, train[at], (code[p.after[at]] >> 8).astype(np.uint8)))
         return _table(out)
 
-    return run
+    return bounded(run)
 
 
 def _seated(parts: int, seed: int):
@@ -347,7 +357,7 @@ def _seated(parts: int, seed: int):
         for part, at_ in _cut(_word_part(names_w, parts)):
             yield _row(part, TABLES, 0, names_w[at_], sums[at_])
 
-    return run
+    return bounded(run)
 
 
 def _parent(vocabulary: int, seed: int, tables_all: float):
@@ -376,7 +386,7 @@ def _parent(vocabulary: int, seed: int, tables_all: float):
                 hit = names[found] == asked if len(names) else np.zeros(len(asked), bool)
                 yield _row(0, WORD, r["piece"], np.where(hit, p[found] if len(p) else 0, rest).astype(np.float64), r["c"])
 
-    return run
+    return bounded(run)
 
 
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -405,7 +415,7 @@ def _summed(parts: int, tokens: int, vocabulary: int, end_count: int):
         columns = [pa.array(p.doc_ids, mask=p.no_id), p.held, p.lengths.astype(np.int64), add(counts[p.tokens] > 0).astype(np.int64), np.full(len(p.lengths), tokens), add(base), add(logs)]
         return pa.Table.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(columns, kinds)], names=names)
 
-    return run
+    return bounded(run)
 
 
 def score_documents(docs: DataFrame, seed: int = 3) -> DataFrame:
@@ -418,7 +428,7 @@ def score_documents(docs: DataFrame, seed: int = 3) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "pitman-yor")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = scratch.save(texts.mapInArrow(_encoded, _PIECE), "pieces")
+    pieces = scratch.save(texts.mapInArrow(_encoded, _PIECE), "pieces", batch_rows=PIECE_ROWS)
     ways = n_partitions(spark)
     asked = pieces.select("piece", "vocabulary", "counts")
     counts = scratch.save(asked.mapInArrow(_word_requests(ways, COUNT), _ROWS).repartition(ways, "part").mapInArrow(_counted, _ROWS), "counts")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, binary_array, column_bytes, n_partitions, pieces_of, read_table
+from stratacloud.llm._shared import Scratch, binary_array, bounded, column_bytes, n_partitions, pieces_of, read_table
 from stratacloud.llm._text import PIECE_BYTES, mix, shingles
 from stratacloud.llm.components import connected_components
 
@@ -64,6 +64,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+@bounded
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, (data, offs) = batch.column(0), column_bytes(batch.column(1))
@@ -82,6 +83,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@bounded
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = column_bytes(batch.column(2))[0].view(np.int64)
@@ -107,7 +109,7 @@ def _verified(numerator: int, denominator: int):
                         good[k] = denominator * shared >= numerator * (len(mine) + len(last) - shared)
             yield pa.RecordBatch.from_arrays([pa.array(a_id[good]), pa.array(b_id[good])], names=["a", "b"])
 
-    return run
+    return bounded(run)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -186,7 +188,7 @@ def _stray_links(numerator: int, denominator: int):
                     b.append(int(cid[members[good[0]]]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+    return bounded(run)
 
 
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), scratch: Scratch | None = None) -> DataFrame:

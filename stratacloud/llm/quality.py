@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, column_bytes, pieces_of, read_table
+from stratacloud.llm._shared import Scratch, bounded, column_bytes, pieces_of, read_table
 from stratacloud.llm._text import PIECE_BYTES, Rolling, lower, words
 
 #: Labelled rows that the document model is fitted on, taken in the order of a hash of their ids.
@@ -92,6 +92,7 @@ def log_odds(x: np.ndarray, model) -> np.ndarray:
     return np.clip(z @ w, -12, 12)
 
 
+@bounded
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = column_bytes(batch.column(0))
@@ -112,7 +113,7 @@ def _scored(model):
             rest = [c for c in range(batch.num_columns) if c != k]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(odds)], names=[*(batch.schema.names[c] for c in rest), "__odds"])
 
-    return run
+    return bounded(run)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS):
@@ -148,9 +149,11 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     return both.withColumn("path_strength", F.lit(k_path)).withColumn("path_rate", (F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)), rate
 
 
-def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep: list[str], rows: int = TRAINING_ROWS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep: list[str], rows: int = TRAINING_ROWS, prefix: str = "") -> DataFrame:
     """Columns ``keep`` of ``docs`` and doc_score, host_rate, path_rate, score (all 0..1) and accepted, per row.
 
+    ``prefix`` goes before the new names, where ``keep`` may hold them too.
+
     Text null or without words scores near 0 and is rejected. Null hosts and paths are sites of their own. Repeated
     rows count each. Without usable labels all evidence is even and everything with words is accepted. An empty table
     gives no rows.
@@ -174,7 +177,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep
     others = F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = F.col("__odds") + SITE_WEIGHT * (F.log(others / (1 - others)) - F.lit(float(np.log(rate / (1 - rate)))))
     score = 1 / (1 + F.exp(-odds))
-    return joined.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], own.alias("doc_score"), F.col("__s_host_rate").alias("host_rate"), F.col("__s_path_rate").alias("path_rate"), score.alias("score"), (score >= 0.5).alias("accepted"))
+    return joined.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], own.alias(f"{prefix}doc_score"), F.col("__s_host_rate").alias(f"{prefix}host_rate"), F.col("__s_path_rate").alias(f"{prefix}path_rate"), score.alias(f"{prefix}score"), (score >= 0.5).alias(f"{prefix}accepted"))
 
 
 def site_columns() -> tuple[Column, Column]:
@@ -192,4 +195,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The accepted documents, columns as they were."""
     names = docs.columns
-    return quality(docs, labels, *site_columns(), keep=names).filter("accepted").select(*names)
+    return quality(docs, labels, *site_columns(), keep=names, prefix="__q_").filter("__q_accepted").select(*names)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import read_table
+from stratacloud.llm._shared import bounded, read_table
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -137,6 +137,7 @@ def _mixed(run: str) -> bool:
     return (digits and letters) or (any(c.isupper() for c in inner) and any(c.islower() for c in inner)) or digits
 
 
+@bounded
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Histograms of a task's texts: plain words (null) and candidates, by class of lengths and evidence."""
     counts = np.zeros((2, len(LENGTHS), BINS), np.int64)
@@ -200,7 +201,7 @@ def _scanned(limits: list[int]):
                 texts.append(joined(base + more))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return run
+    return bounded(run)
 
 
 def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> DataFrame:
@@ -236,7 +237,7 @@ def _redacted(limits: list[int]):
                 columns[c] = pa.array([old if new is None else len(new) for old, new in zip(batch.column(c).to_pylist(), texts)], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return run
+    return bounded(run)
 
 
 def secrets_stage(docs: DataFrame) -> DataFrame:

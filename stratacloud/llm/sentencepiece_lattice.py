@@ -36,17 +36,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, column_bytes, n_partitions, packed, pieces_of, read_table, runs, unpacked
+from stratacloud.llm._shared import Scratch, bounded, column_bytes, n_partitions, packed, pieces_of, read_table, runs, unpacked
 from stratacloud.llm._text import PIECE_BYTES as HASH_BYTES
 from stratacloud.llm._text import Rolling
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_BYTES = 16 << 20
+PIECE_ROWS = 5_000
 LONG = 200
 #: Blocks in which texts and answers meet where only digests are asked for.
 DIGEST_BLOCKS = 3
 #: Words that the fold takes at a time.
-FOLD_WORDS = 50_000
+FOLD_WORDS = 20_000
 SPACE = "▁"
 #: Fixed values of the format: kinds of pieces, and kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -432,7 +433,7 @@ def _encoded(prefix: bool):
                 rows = [(piece, TEXTS, *row, len(first), None, None, digests), (piece, WORDS, *[None] * 4, len(first), packed(words), packed(sizes_[first].astype(np.uint32)), None)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _PIECE_KINDS)], names=_PIECE_NAMES)
 
-    return run
+    return bounded(run)
 
 
 _ASK = "part int, piece long, at binary, words binary, word_lengths binary"
@@ -455,7 +456,7 @@ def _requests(parts: int):
                     columns = [packed(at.astype(np.uint32), rising=True), packed(_slices(data, starts[at], lengths[at])), packed(lengths[at].astype(np.uint32))]
                     yield pa.RecordBatch.from_arrays([pa.array([int(part[at[0]])], pa.int32()), pa.array([row["piece"]], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], names=[f.split()[0] for f in _ASK.split(", ")])
 
-    return run
+    return bounded(run)
 
 
 def _answered(vocabulary: Vocabulary):
@@ -481,7 +482,7 @@ def _answered(vocabulary: Vocabulary):
             columns = [r["at"], packed(_slices(flat, begin[k], size[k]).astype(np.uint32)), packed(size[k].astype(np.uint32))]
             yield pa.RecordBatch.from_arrays([pa.array([r["piece"]], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], names=["piece", "at", "ids", "counts"])
 
-    return run
+    return bounded(run)
 
 
 _RESULT = "doc_id long, n_pieces long, ids binary, decoded binary, text_sha256 binary"
@@ -519,7 +520,7 @@ def _assembled(vocabulary: Vocabulary, digest: bool):
         ids = pa.array(unpacked(row["doc_ids"], np.int64), mask=unpacked(row["no_id"], bool))
         return pa.table([ids, *(pa.array(c, k) for c, k in zip(out, kinds[1:]))], names=names)
 
-    return run
+    return bounded(run)
 
 
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, digest: bool = False) -> DataFrame:
@@ -535,7 +536,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, digest:
     scratch = Scratch(spark, "sentencepiece")
     parts = n_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces, words = scratch.save_split(texts.mapInArrow(_encoded(vocabulary.add_prefix), _PIECE), "pieces", "kind", (TEXTS, WORDS))
+    pieces, words = scratch.save_split(texts.mapInArrow(_encoded(vocabulary.add_prefix), _PIECE), "pieces", "kind", (TEXTS, WORDS), batch_rows=PIECE_ROWS)
     asked = words.select("piece", "words", "word_lengths").mapInArrow(_requests(parts), _ASK)
     answers = scratch.save(asked.repartition(parts, "part").mapInArrow(_answered(vocabulary), _ANSWER), "answers")
     del asked

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, binary_array, column_bytes, n_partitions, pieces_of, read_table, runs
+from stratacloud.llm._shared import Scratch, binary_array, bounded, column_bytes, n_partitions, pieces_of, read_table, runs
 from stratacloud.llm._text import Rolling, mix
 
 LENGTH = 100
@@ -48,7 +48,7 @@ PIECE = 2 << 20
 #: Different surroundings of one prefix in a piece from which on it is salted.
 HOT = 64
 #: Bytes of text that a part of the cogroups should hold.
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 BLOCKS = 2
 
 SAMPLE, SALTED, REPEAT, CONTESTED, STRING = range(5)
@@ -165,7 +165,7 @@ def _cover_rows(block: int, blocks: int, parts: int):
                 if rows := piece(ids[i:j], part, at):
                     yield _batch(rows, _ROW_NAMES)
 
-    return run
+    return bounded(run)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[np.ndarray]]:
@@ -234,7 +234,7 @@ def _sorted_bucket(dests: int):
                 found.append((CONTESTED, doc[contested], pos[contested]))
         yield from _sent_back(found, dests)
 
-    return run
+    return bounded(run)
 
 
 def _verdicts(table: pa.Table, what: int) -> dict[int, np.ndarray]:
@@ -275,9 +275,9 @@ def _string_rows(parts: int):
             at = np.flatnonzero(np.cumsum(edge) > 0)
             rolling = Rolling(data[offs[i] : offs[i + 1]])
             hashes.append(rolling.of(at, at + LENGTH))
-            docs.append(np.full(len(at), len(chosen)))
+            docs.append(np.full(len(at), len(chosen), np.int32))
             chosen.append(i)
-            starts.append(at)
+            starts.append(at.astype(np.int32))
         rows = []
         if hashes:
             h, doc, pos = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
@@ -294,7 +294,7 @@ def _string_rows(parts: int):
             rows += _dealt(bucket[first], STRING, *texts_, {"rank": h[first], "place": place[first]})
         return pa.Table.from_batches([_batch(rows, _ROW_NAMES)]) if rows else pa.table({n: pa.array([], k) for n, k in zip(_ROW_NAMES, [pa.int32()] * 2 + [pa.binary()] * 5)})
 
-    return run
+    return bounded(run)
 
 
 def _sorted_strings(dests: int):
@@ -314,7 +314,7 @@ def _sorted_strings(dests: int):
                 found.append((STRING, doc[order][later], pos[order][later]))
         yield from _sent_back(found, dests)
 
-    return run
+    return bounded(run)
 
 
 def removed_spans(n: int, repeats: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -332,6 +332,7 @@ def removed_spans(n: int, repeats: np.ndarray, strings: np.ndarray) -> tuple[np.
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"
 
 
+@bounded
 def _judged(_key, texts: pa.Table, found: pa.Table) -> pa.Table:
     repeats, strings = (_verdicts(found, w) if found.num_rows else {} for w in (REPEAT, STRING))
     data, offs = column_bytes(texts.column("text"))
