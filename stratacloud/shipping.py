@@ -9,10 +9,17 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SENT = "_stratacloud_sent"
+#: Rows of an Arrow batch. Rows may hold long texts, and a batch is held by the executor and its Python worker at once.
+BATCH_ROWS = 2_000
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the package to the executors once per context; harmless where they can import it already."""
+    """Send the package to the executors once per context; harmless where they can import it already.
+
+    Arrow batches are made smaller than Spark's 10,000 rows unless the session has a size of its own.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, _SENT, False):
         return
