@@ -54,3 +54,17 @@ def to_rows(channels: DataFrame) -> DataFrame:
     fallback = {"red": 0, "green": 255, "blue": 255, "classification": 0, "intensity": 0}
     get = lambda c: F.get(F.col(c), F.col("i"))
     return out.select("node_key", F.col("id").alias("point_id"), *[(F.coalesce(get(c), F.lit(fallback[c])) if c in fallback else get(c)).alias(c) for c in CHANNELS])
+
+
+def pack_batches(points: DataFrame) -> DataFrame:
+    """(node_key, positions, colors): three floats and four bytes (alpha 255) per point, in the order of points."""
+    from stratacloud.functions.color import attribute_color, unpack_rgb
+
+    rgb = attribute_color(*[F.col(c) for c in ("red", "green", "blue", "classification", "intensity")])
+    row = points.withColumn("rgb", rgb).select("node_key", F.struct("point_id", "x", "y", "z", "rgb").alias("p"))
+    rows = F.array_sort(F.collect_list("p"))
+    return row.groupBy("node_key").agg(rows.alias("rows")).select(
+        "node_key",
+        F.flatten(F.transform("rows", lambda r: F.array(r["x"], r["y"], r["z"]))).alias("positions"),
+        F.flatten(F.transform("rows", lambda r: F.array(*unpack_rgb(r["rgb"]), F.lit(255)))).alias("colors"),
+    )

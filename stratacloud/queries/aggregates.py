@@ -156,6 +156,22 @@ def src_24(spark, d):
     return PointCloud.load(spark, d).node_sample("0-0-0-0").select("point_id")
 
 
+@query("snk_1_geometry_batches", P + " SELECT node_key, CAST(count(*) * 3 AS BIGINT) AS positions, CAST(count(*) * 4 AS BIGINT) AS colors FROM points GROUP BY node_key")
+def snk_1(spark, d):
+    """Nodes packed for a batch sink: flat positions and colours, in the order of points."""
+    from stratacloud.operators.sampling import pack_batches
+
+    b = pack_batches(points(spark, d))
+    return b.select("node_key", F.size("positions").cast("bigint").alias("positions"), F.size("colors").cast("bigint").alias("colors"))
+
+
+@query("snk_2_row_output", P + " SELECT point_id, node_key FROM points WHERE depth < 2")
+def snk_2(spark, d):
+    """Points as rows, one by one, for sinks that take objects: JSON lines and back."""
+    lines = points(spark, d).filter("depth < 2").select(F.to_json(F.struct("point_id", "node_key")).alias("line"))
+    return lines.select(F.from_json("line", "point_id bigint, node_key string").alias("p")).select("p.*")
+
+
 @query("snk_3_box_edges", N + " SELECT key, CAST(count(*) AS BIGINT) AS edges, round(sum(len), 6) AS total FROM (SELECT key, unnest([max_x - min_x, max_y - min_y, max_z - min_z, max_x - min_x, max_y - min_y, max_z - min_z, max_x - min_x, max_y - min_y, max_z - min_z, max_x - min_x, max_y - min_y, max_z - min_z]) AS len FROM nodes) GROUP BY key")
 def snk_3(spark, d):
     """The twelve edges of each box as pairs of corners."""

@@ -38,6 +38,24 @@ def src_1(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat(F.lit("url:"), "source").alias("source_key"))
 
 
+@query("src_2_byte_ranges", "SELECT * FROM (VALUES (0, 4, 'PAR1'), (1, 3, 'AR')) AS t(range_begin, range_end, part)")
+def src_2(spark, d):
+    """Half-open ranges of a file that Spark reads, each cut out with its exact length."""
+    file = spark.read.format("binaryFile").load(f"{d}/region.parquet").select("content", F.col("length"))
+    asked = file.withColumn("r", F.explode(F.array(F.struct(F.lit(0).alias("b"), F.lit(4).alias("e")), F.struct(F.lit(1).alias("b"), F.lit(3).alias("e")))))
+    return asked.select(F.col("r.b").alias("range_begin"), F.col("r.e").alias("range_end"), F.decode(ranges.inner_slice(F.col("content"), F.col("r.b"), F.col("r.e"), F.lit(0), F.col("length")), "UTF-8").alias("part"))
+
+
+@query("src_3_checked_range", "SELECT CAST(octet_length(encode('PAR1')) AS BIGINT) AS bytes, true AS whole")
+def src_3(spark, d):
+    """A range is good if it lies in the file, within the limit, and comes back at full length."""
+    from stratacloud.sources.files import MOST_BYTES
+
+    file = spark.read.format("binaryFile").load(f"{d}/region.parquet")
+    data = F.substring("content", 1, 4)
+    return file.select(F.octet_length(data).cast("bigint").alias("bytes"), (rq.valid_range(F.lit(0), F.lit(4)) & (F.col("length") >= 4) & (F.lit(4) <= MOST_BYTES) & (F.octet_length(data) == 4)).alias("whole"))
+
+
 @query("src_4_response_check", f"WITH {_LOG} SELECT request, {_ERROR} AS error FROM log")
 def src_4(spark, d):
     log = request_log(spark, d)
