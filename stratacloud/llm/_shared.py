@@ -175,6 +175,29 @@ def column_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``keys``, one table per key; a key may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() != c[0] for k, c in zip(keys, columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for x, y in zip(cuts, cuts[1:]):
+            if x:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def pieces_of(data: np.ndarray, offs: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a column into runs of rows of about ``limit`` bytes: first row, row after the last, bytes, offsets."""
     n, i = len(offs) - 1, 0

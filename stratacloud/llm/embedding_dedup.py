@@ -15,12 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, read_table
+from stratacloud.llm._shared import Scratch, bounded, grouped, n_partitions, read_table
 from stratacloud.llm._text import mix
 from stratacloud.llm.components import connected_components
 
@@ -68,54 +67,80 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rep(0), rep(1), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(at))), pa.array(keys.reshape(-1))], names=["label", "cid", "tab", "bucket"])
 
 
-def _linked(frame: pd.DataFrame) -> pd.DataFrame:
-    """One pair of blocks: per class its links that no earlier table has, and edges of a spanning forest."""
-    left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-    same = frame["i"].iat[0] == frame["j"].iat[0]
-    if same:
-        right = left
-    none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
-    if not len(left) or not len(right):
-        return none
-    dims = np.array([len(v) for v in left["vector"]]), np.array([len(v) for v in right["vector"]])
-    tab = int(frame["tab"].iat[0])
-    out = [none]
-    for dim in np.intersect1d(*dims):
-        l, r = left[dims[0] == dim], right[dims[1] == dim]
-        x, y = units(matrix(l["vector"])), units(matrix(r["vector"]))
-        kx, ky = buckets(x)[:, :tab], buckets(y)[:, :tab]
-        a, b = l["cid"].to_numpy(), r["cid"].to_numpy()
-        na, nb = l["n"].to_numpy(), r["n"].to_numpy()
-        links_a, links_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        root = {}
-
-        def find(i):
-            while root.get(i, i) != i:
-                i = root[i]
+def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a table as one flat array and their ends."""
+    column = table.column("vector").combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(np.diff(column.offsets.to_numpy()))
+
+
+def _block_links(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """One pair of blocks: (class, class, links) with the links that no earlier table has, and (a, b, 0) for edges of a spanning forest."""
+    side, cid, n = (t.column(c).to_numpy() for c in ("side", "cid", "n"))
+    tab, same = t.column("tab")[0].as_py(), t.column("i")[0].as_py() == t.column("j")[0].as_py()
+    flat, ends = _vectors(t)
+    dims = np.diff(np.concatenate(([0], ends)))
+    for dim in np.unique(dims):
+        left = np.flatnonzero((dims == dim) & (side == 0))
+        right = left if same else np.flatnonzero((dims == dim) & (side == 1))
+        if not len(left) or not len(right) or (same and len(left) < 2):
+            continue
+        rows = np.union1d(left, right)
+        x = units(flat[(ends[rows, None] - dim) + np.arange(dim)])
+        at = np.empty(len(dims), np.int64)
+        at[rows] = np.arange(len(rows))
+        links, root, edges = np.zeros(len(rows), np.int64), np.arange(len(rows)), []
+
+        def find(i: int) -> int:
+            while root[i] != i:  # noqa: B023
+                i = root[i]  # noqa: B023
             return i
 
-        edges = []
-        for s in range(0, len(a), 256):
-            cos = np.einsum("nd,md->nm", x[s : s + 256], y, optimize=True)
-            p, q = np.nonzero(cos >= LEAST_COSINE)
+        y, right_cid = x[at[right]], cid[right]
+        for s in range(0, len(left), 256):
+            p, q = np.nonzero(x[at[left[s : s + 256]]] @ y.T >= LEAST_COSINE - 1e-9)
             p += s
-            keep = a[p] < b[q] if same else a[p] != b[q]
-            p, q = p[keep], q[keep]
-            fresh = ~(kx[p] == ky[q]).any(axis=1)
-            np.add.at(links_a, p[fresh], nb[q[fresh]])
-            np.add.at(links_b, q[fresh], na[p[fresh]])
-            # One edge per new union; the first partner of each row settles nearly all of them.
-            for u, v in zip(a[p].tolist(), b[q].tolist()):
+            keep = cid[left[p]] < right_cid[q] if same else cid[left[p]] != right_cid[q]
+            p, q = at[left[p[keep]]], at[right[q[keep]]]
+            if not len(p):
+                continue
+            sure = np.einsum("nd,nd->n", x[p], x[q]) >= LEAST_COSINE
+            p, q = p[sure], q[sure]
+            fresh = np.ones(len(p), bool)
+            if tab and len(p):
+                # The tables before this one, of the linked vectors only.
+                used, where = np.unique(np.concatenate((p, q)), return_inverse=True)
+                keys = buckets(x[used])[:, :tab]
+                for k in range(0, len(p), 65_536):
+                    fresh[k : k + 65_536] = ~(keys[where[: len(p)][k : k + 65_536]] == keys[where[len(p) :][k : k + 65_536]]).any(axis=1)
+            np.add.at(links, p[fresh], n[rows[q[fresh]]])
+            np.add.at(links, q[fresh], n[rows[p[fresh]]])
+            for u, v in zip(p.tolist(), q.tolist()):
                 ru, rv = find(u), find(v)
                 if ru != rv:
-                    root[max(ru, rv)] = min(ru, rv)
-                    root[u] = root[v] = min(ru, rv)
+                    low = min(ru, rv)
+                    root[ru] = root[rv] = root[u] = root[v] = low
                     edges.append((u, v))
-        out.append(pd.DataFrame({"a": a[links_a > 0], "b": a[links_a > 0], "links": links_a[links_a > 0]}))
-        out.append(pd.DataFrame({"a": b[links_b > 0], "b": b[links_b > 0], "links": links_b[links_b > 0]}))
+        some = np.flatnonzero(links)
+        yield cid[rows[some]], cid[rows[some]], links[some]
         if edges:
-            out.append(pd.DataFrame(edges, columns=["a", "b"]).assign(links=0))
-    return pd.concat(out, ignore_index=True)
+            a, b = np.array(edges).T
+            yield cid[rows[a]], cid[rows[b]], np.zeros(len(a), np.int64)
+
+
+@bounded
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], names=["a", "b", "links"])
+
+    for t in grouped(batches, ["tab", "bucket", "label", "i", "j"]):
+        held += _block_links(t)
+        if len(held) > 2_000:
+            yield flush()
+            held = []
+    if held:
+        yield flush()
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
@@ -129,7 +154,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     spark = vectors.sparkSession
     scratch = Scratch(spark, "pstable")
     v = F.col("vector")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("long").alias("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("label"))
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     good = rows.filter(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     classes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("cid", F.xxhash64("label", "vector"))
@@ -142,7 +167,10 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     # A row of block x stands on the left of the pairs (x, j >= x) and on the right of (i < x, x).
     turns = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, block).alias("i"), F.greatest(o, block).alias("j"), F.when(o >= block, 0).otherwise(1).alias("side")))
     dealt = met.withColumn("turn", F.explode(turns)).select(*key, F.col("turn.i").alias("i"), F.col("turn.j").alias("j"), F.col("turn.side").alias("side"), "cid", "n", "vector")
-    found = scratch.save(dealt.groupBy(*key, "i", "j").applyInPandas(_linked, "a long, b long, links long"), "links")
+    # The groups lie sorted in their partitions and are read one after the other.
+    order = ["tab", "bucket", "label", "i", "j"]
+    dealt = dealt.repartition(n_partitions(spark), *order).sortWithinPartitions(*order)
+    found = scratch.save(dealt.mapInArrow(_linked, "a long, b long, links long"), "links")
     links = found.filter("links > 0").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     member = good.join(classes.select("label", "vector", "rep", "cid", "n"), ["label", "vector"]).select("vec_id", "rep", "cid", "n")
     member = scratch.save(member, "members")

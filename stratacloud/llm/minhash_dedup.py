@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, binary_array, bounded, column_bytes, n_partitions, pieces_of, read_table
+from stratacloud.llm._shared import Scratch, binary_array, bounded, column_bytes, grouped, n_partitions, pieces_of, read_table
 from stratacloud.llm._text import PIECE_BYTES, mix, shingles
 from stratacloud.llm.components import connected_components
 
@@ -119,32 +119,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: tuple[int, int]) ->
     return both.select("a", "b", "a_text", "b_text").mapInArrow(_verified(*similarity), "a long, b long")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows that come sorted by ``keys``, one table per key; a key may go over several batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows - 1, bool)
-        for c in columns:
-            change |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        if held and any(held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() != c[0] for k, c in zip(keys, columns)):
-            yield pa.Table.from_batches(held)
-            held = []
-        for x, y in zip(cuts, cuts[1:]):
-            if x:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(x, y - x))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _stray_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block of a bucket: each stray with the other components that hold a class whose signature agrees enough."""
-    for t in _grouped(batches, ["bucket", "i", "j"]):
+    for t in grouped(batches, ["bucket", "i", "j"]):
         stray = t.column("is_stray").to_numpy()
         if not stray.any() or stray.all():
             continue
@@ -165,7 +142,7 @@ def _stray_links(numerator: int, denominator: int):
     """Per block of a component: a link of each stray to a member, if there is any. Exact, by counting shared shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, ["comp", "block"]):
+        for t in grouped(batches, ["comp", "block"]):
             stray, cid = t.column("is_stray").to_numpy(), t.column("cid").to_numpy()
             sets = [s for _, _, part, at in pieces_of(*column_bytes(t.column("text")), PIECE_BYTES) for s in shingles(part, at)]
             members, strays = np.flatnonzero(~stray).tolist(), np.flatnonzero(stray).tolist()
