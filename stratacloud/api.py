@@ -34,6 +34,10 @@ def geographic(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]
     return x, y, z
 
 
+#: Depth at which subtrees become pages of the catalog.
+PAGE_DEPTH = 2
+
+
 class Sink:
     """Where frames go. Override ``write``; ``write_batches`` is used where a sink takes packed nodes."""
 
@@ -70,7 +74,8 @@ class PointCloud:
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str, **options) -> PointCloud:
-        return cls(fixtures.points(spark, sf_dir), fixtures.nodes(spark, sf_dir), **options)
+        """The catalog is kept, as every step asks it and it is small; points are read anew."""
+        return cls(fixtures.points(spark, sf_dir), fixtures.nodes(spark, sf_dir).persist(), **options)
 
     def inspect(self) -> DataFrame:
         """One row of metadata."""
@@ -110,6 +115,57 @@ class PointCloud:
             self.sink.write(frame, self.revision)
         return frame
 
+    # --- the catalog in pages: subtrees below a depth are loaded one by one -------------------------------------------
+
+    def page_of(self) -> DataFrame:
+        """Catalog rows with the page that each lies in: ``root`` down to PAGE_DEPTH - 1, then its subtree."""
+        from stratacloud.functions.keys import ancestor_keys
+
+        return self.nodes.withColumn("page", F.when(F.col("depth") < PAGE_DEPTH, "root").otherwise(F.get(ancestor_keys(F.col("key")), F.lit(PAGE_DEPTH))))
+
+    def pending_pages(self, loaded: DataFrame) -> DataFrame:
+        """(page) of subtrees that are not loaded yet; loaded: (page)."""
+        return self.page_of().select("page").distinct().filter("page <> 'root'").join(loaded, "page", "left_anti")
+
+    def load_page(self, loaded: DataFrame, page: str) -> DataFrame:
+        """The loaded pages with one more; a page that isn't in the catalog is an error."""
+        if self.pending_pages(loaded).filter(F.col("page") == page).isEmpty():
+            raise KeyError(page)
+        return loaded.unionByName(self.nodes.sparkSession.createDataFrame([(page,)], "page string"))
+
+    def load_next_page(self, loaded: DataFrame) -> DataFrame:
+        """The loaded pages with the first pending one in catalog order, if there is any."""
+        from stratacloud.functions.keys import parse_key
+
+        k = parse_key(F.col("page"))
+        first = self.pending_pages(loaded).orderBy(k["depth"], k["z"], k["y"], k["x"]).limit(1)
+        return loaded.unionByName(first)
+
+    def with_pages(self, loaded: DataFrame) -> PointCloud:
+        """The cloud as far as its catalog is loaded."""
+        known = self.page_of().join(loaded.unionByName(self.nodes.sparkSession.createDataFrame([("root",)], "page string")), "page", "left_semi").drop("page")
+        return PointCloud(self.points, known, self.transform, self.sink, self.revision)
+
+    def progressive(self, camera: Camera, total: int, per_node: int, batch: int, on_progress: Callable[[DataFrame, int], bool] | None = None) -> int:
+        """Draw the selection in batches of nodes, shallow ones first; stops when ``on_progress`` says so. Returns the batches."""
+        from pyspark.sql import Window
+
+        chosen = self.select(camera)
+        order = Window.orderBy("depth", "z", "y", "x")
+        turns = chosen.withColumn("turn", F.floor((F.row_number().over(order) - 1) / batch)).persist()
+        last = turns.agg(F.max("turn")).first()[0]
+        done = 0
+        for turn in range(0 if last is None else last + 1):
+            frame = self.project(self.sample(turns.filter(F.col("turn") <= turn).drop("turn"), total, per_node))
+            done += 1
+            if self.sink is not None:
+                self.revision += 1
+                self.sink.write(frame, self.revision)
+            if on_progress is not None and on_progress(frame, turn):
+                break
+        turns.unpersist()
+        return done
+
     def warm(self) -> PointCloud:
         """The ranked points kept: every later sample is a filter on them."""
         self.points = ranked(self.points).persist()

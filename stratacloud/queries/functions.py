@@ -316,11 +316,11 @@ def fn_29(spark, d):
     return points(spark, d).select("point_id", F.round(x, 3).alias("px"), F.round(y, 3).alias("py"))
 
 
-@query("fn_30_transform_descriptor", f"SELECT id, CASE WHEN id = 1 THEN 'epsg:2992' WHEN id = 5 THEN 'geographic' ELSE 'proj4' END AS kind FROM {_WKT_SQL}")
+@query("fn_30_transform_descriptor", f"SELECT id, CASE WHEN id = 1 THEN 'epsg:2992' WHEN id = 5 THEN 'geographic' ELSE 'projected' END AS kind FROM {_WKT_SQL}")
 def fn_30(spark, d):
     box = [F.lit(v) for v in (-121.0, 44.0, -120.0, 45.0)]
     status = crs.crs_status(F.col("wkt"), *box)
-    return _wkts(spark).select("id", F.when(status == "wkt", "proj4").otherwise(status).alias("kind"))
+    return _wkts(spark).select("id", F.when(status == "wkt", "projected").otherwise(status).alias("kind"))
 
 
 @query("fn_31_geometry_batch", P + f""", c AS (SELECT node_key, ({_N84} + z) * cos(radians({LAT})) * cos(radians({LON})) AS ex, CAST({_ATTR} AS BIGINT) AS rgb FROM points LEFT JOIN {_PALETTE} ON cls = classification)

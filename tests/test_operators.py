@@ -162,3 +162,51 @@ def test_mask_gaps_and_axes(spark):
     assert images.bounded_gaps(m, 1).count() == 0
     a, b = spark.range(1).select(*images.ellipse_axes(F.lit(4.0), F.lit(0.0), F.lit(1.0))).first()
     assert (a, b) == (2.0, 1.0)
+
+
+def test_pages_and_progress(spark, small):
+    from stratacloud.api import PointCloud
+    from stratacloud.queries.planners import CAMERA
+
+    cloud = PointCloud.load(spark, small)
+    none = spark.createDataFrame([], "page string")
+    assert cloud.with_pages(none).nodes.agg(F.max("depth")).first()[0] == 1
+    one = cloud.load_next_page(none)
+    assert [r["page"] for r in one.collect()] == ["2-0-0-0"]
+    two = cloud.load_page(one, "2-1-0-0")
+    assert cloud.with_pages(two).nodes.filter("depth >= 2").count() > 0 and cloud.pending_pages(two).filter("page = '2-1-0-0'").isEmpty()
+    with pytest.raises(KeyError):
+        cloud.load_page(two, "2-1-0-0")
+    seen = []
+    assert cloud.progressive(CAMERA, 500, 20, 8, lambda frame, turn: seen.append(frame.count()) or len(seen) == 2) == 2
+    assert 0 < seen[0] <= seen[1]
+
+
+def test_shared_tasks(spark):
+    from stratacloud.api import PointCloud
+    from stratacloud.streaming.tasks import Prefetch, SharedTask, runs_engine
+
+    task = SharedTask(spark, lambda: spark.range(10))
+    assert task.run() == 10 and task.consume().count() == 10
+    task.leave()
+    assert task.reusable
+    task.leave()
+    assert not task.reusable
+    with pytest.raises(RuntimeError):
+        task.consume()
+    p = Prefetch()
+    first = p.start(SharedTask(spark, lambda: spark.range(3)))
+    second = p.start(SharedTask.fulfilled(spark.range(4)))
+    assert first.aborted and not second.aborted and second.consume().count() == 4
+    assert runs_engine(PointCloud(spark.range(0), spark.range(0))) and not runs_engine(object())
+
+
+def test_camera_stream(spark, small, tmp_path):
+    from stratacloud.streaming import camera
+
+    got = []
+    stream = camera.CameraStream(camera.read_events(spark, small), lambda batch, epoch: got.append((epoch, batch.count())))
+    stream.start(str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
+    stream.stop()
+    users = spark.read.parquet(f"{small}/events.parquet").select("user_id").distinct().count()
+    assert got == [(0, users)]
