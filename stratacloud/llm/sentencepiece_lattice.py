@@ -41,9 +41,11 @@ from stratacloud.llm._text import PIECE_BYTES as HASH_BYTES
 from stratacloud.llm._text import Rolling
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-PIECE_BYTES = 16 << 20
-PIECE_ROWS = 5_000
+PIECE_BYTES = 8 << 20
+PIECE_ROWS = 2_500
 LONG = 200
+#: Blocks in which words are asked and answered.
+WORD_BLOCKS = 2
 #: Blocks in which texts and answers meet where only digests are asked for.
 DIGEST_BLOCKS = 3
 #: Words that the fold takes at a time.
@@ -415,17 +417,18 @@ def _encoded(prefix: bool):
                     last = np.append(first[1:], len(small))[: len(first)]
                     hashes.append(Rolling(small).of(first, last))
                     counts.append(np.diff(np.searchsorted(first, sat)))
-                    starts.append(first + shift)
-                    sizes.append(last - first)
+                    starts.append((first + shift).astype(np.int32))
+                    sizes.append((last - first).astype(np.int32))
                     raws.append(small)
                     shift += len(small)
-                tokens, starts_, sizes_ = np.concatenate(hashes), np.concatenate(starts), np.concatenate(sizes)
-                _, first, local, times = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+                _, first, local, times = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
+                starts_, sizes_ = np.concatenate(starts), np.concatenate(sizes).astype(np.int64)
+                del hashes, starts, sizes
                 order = np.argsort(-times, kind="stable")
                 rank = np.empty(len(order), np.uint32)
                 rank[order] = np.arange(len(order))
                 first = first[order]
-                words = _slices(np.concatenate(raws), starts_[first], sizes_[first])
+                words = _slices(np.concatenate(raws), starts_[first].astype(np.int64), sizes_[first])
                 row = [packed(ids[i:j].astype(np.int64)), packed(none[i:j]), packed(np.concatenate(counts).astype(np.int32)), _packed_ranks(rank[local])]
                 piece = (TaskContext.get().partitionId() << 24) + serial
                 serial += 1
@@ -440,8 +443,8 @@ _ASK = "part int, piece long, at binary, words binary, word_lengths binary"
 _ANSWER = "piece long, at binary, ids binary, counts binary"
 
 
-def _requests(parts: int):
-    """The distinct words of each piece, packed by the part of their hash."""
+def _requests(parts: int, block: int, blocks: int):
+    """The distinct words of each piece, packed by the part of their hash; parts of one block only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -453,6 +456,8 @@ def _requests(parts: int):
                 order = np.argsort(part, kind="stable")
                 for a, b in zip(*runs(part[order])):
                     at = order[a:b]
+                    if part[at[0]] % blocks != block:
+                        continue
                     columns = [packed(at.astype(np.uint32), rising=True), packed(_slices(data, starts[at], lengths[at])), packed(lengths[at].astype(np.uint32))]
                     yield pa.RecordBatch.from_arrays([pa.array([int(part[at[0]])], pa.int32()), pa.array([row["piece"]], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], names=[f.split()[0] for f in _ASK.split(", ")])
 
@@ -537,11 +542,14 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, digest:
     parts = n_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces, words = scratch.save_split(texts.mapInArrow(_encoded(vocabulary.add_prefix), _PIECE), "pieces", "kind", (TEXTS, WORDS), batch_rows=PIECE_ROWS)
-    asked = words.select("piece", "words", "word_lengths").mapInArrow(_requests(parts), _ASK)
-    answers = scratch.save(asked.repartition(parts, "part").mapInArrow(_answered(vocabulary), _ANSWER), "answers")
-    del asked
+    answers = None
+    for block in range(WORD_BLOCKS):
+        asked = words.select("piece", "words", "word_lengths").mapInArrow(_requests(parts, block, WORD_BLOCKS), _ASK)
+        done = scratch.save(asked.repartition(parts, "part").mapInArrow(_answered(vocabulary), _ANSWER), "answers")
+        answers = done if answers is None else answers.unionAll(done)
+        del asked, done
+        scratch.free_shuffles()
     scratch.drop(words)
-    scratch.free_shuffles()
     rest = pieces.select("piece", "doc_ids", "no_id", "lengths", "tokens", "n_words", "digests")
     assemble = lambda t, a: t.groupBy("piece").cogroup(a.groupBy("piece")).applyInArrow(_assembled(vocabulary, digest), _RESULT)
     if not digest:
