@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from stratacloud.queries import ORACLE_SQL, QUERIES, aggregates, functions, ordering, planners, sources, streams, trees  # noqa: F401
+from stratacloud.queries import ORACLE_SQL, QUERIES, aggregates, extensions, functions, ordering, planners, sources, streams, trees  # noqa: F401
 
 FLAGSHIP = "pln_1_visible_points"
