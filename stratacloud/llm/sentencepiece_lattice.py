@@ -43,6 +43,8 @@ from stratacloud.llm._text import Rolling
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_BYTES = 8 << 20
 PIECE_ROWS = 2_500
+#: The same where whole lists come back, which take more memory.
+LIST_ROWS = 800
 LONG = 200
 #: Blocks in which words are asked and answered.
 WORD_BLOCKS = 2
@@ -490,12 +492,15 @@ def _answered(vocabulary: Vocabulary):
     return bounded(run)
 
 
+#: What is made of a text: packed piece numbers and decoded bytes, digests of both, or lists and strings.
+PACKED, DIGEST, LISTS = range(3)
 _RESULT = "doc_id long, n_pieces long, ids binary, decoded binary, text_sha256 binary"
+_LISTS = "doc_id long, n_pieces long, ids array<int>, decoded string, text_sha256 binary"
 
 
-def _assembled(vocabulary: Vocabulary, digest: bool):
+def _assembled(vocabulary: Vocabulary, form: int):
     def run(_key, piece: pa.Table, answers: pa.Table) -> pa.Table:
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), *((pa.list_(pa.int32()), pa.string()) if form == LISTS else (pa.binary(), pa.binary())), pa.binary()]
         names = [f.split()[0] for f in _RESULT.split(", ")]
         if not piece.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
@@ -519,8 +524,8 @@ def _assembled(vocabulary: Vocabulary, digest: bool):
             text = b"".join([surfaces[i] for i in ids.tolist()])
             text = text[1:] if vocabulary.add_prefix and text[:1] == b" " else text
             out[0].append(len(ids))
-            out[1].append(hashlib.sha256(ids.tobytes()).digest() if digest else ids.tobytes())
-            out[2].append(hashlib.sha256(text).digest() if digest else text)
+            out[1].append(hashlib.sha256(ids.tobytes()).digest() if form == DIGEST else ids.astype(np.int32) if form == LISTS else ids.tobytes())
+            out[2].append(hashlib.sha256(text).digest() if form == DIGEST else text.decode("utf-8", "replace") if form == LISTS else text)
             out[3].append(row["digests"][32 * k : 32 * k + 32])
         ids = pa.array(unpacked(row["doc_ids"], np.int64), mask=unpacked(row["no_id"], bool))
         return pa.table([ids, *(pa.array(c, k) for c, k in zip(out, kinds[1:]))], names=names)
@@ -528,11 +533,11 @@ def _assembled(vocabulary: Vocabulary, digest: bool):
     return bounded(run)
 
 
-def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, digest: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, form: int = PACKED, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(doc_id, n_pieces, ids, decoded, text_sha256) per row of ``docs`` (doc_id, text).
 
-    ``ids`` packs the piece numbers as 32-bit integers, ``decoded`` is the text that they decode to; with ``digest``
-    both are SHA-256 digests instead. Null and empty texts have no pieces. Repeated rows are encoded each; a null
+    ``ids`` packs the piece numbers as 32-bit integers, ``decoded`` is the text that they decode to. In the form DIGEST
+    both are SHA-256 digests, in the form LISTS an array and a string. Null and empty texts have no pieces. Repeated rows are encoded each; a null
     doc_id stays null. The escape sign U+2581 in a text counts as a space and so comes back as one; all else comes back
     as it was if the file has byte pieces. An empty table gives no rows.
     """
@@ -541,7 +546,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, digest:
     scratch = Scratch(spark, "sentencepiece")
     parts = n_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces, words = scratch.save_split(texts.mapInArrow(_encoded(vocabulary.add_prefix), _PIECE), "pieces", "kind", (TEXTS, WORDS), batch_rows=PIECE_ROWS)
+    pieces, words = scratch.save_split(texts.mapInArrow(_encoded(vocabulary.add_prefix), _PIECE), "pieces", "kind", (TEXTS, WORDS), batch_rows=piece_rows)
     answers = None
     for block in range(WORD_BLOCKS):
         asked = words.select("piece", "words", "word_lengths").mapInArrow(_requests(parts, block, WORD_BLOCKS), _ASK)
@@ -551,8 +556,8 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, digest:
         scratch.free_shuffles()
     scratch.drop(words)
     rest = pieces.select("piece", "doc_ids", "no_id", "lengths", "tokens", "n_words", "digests")
-    assemble = lambda t, a: t.groupBy("piece").cogroup(a.groupBy("piece")).applyInArrow(_assembled(vocabulary, digest), _RESULT)
-    if not digest:
+    assemble = lambda t, a: t.groupBy("piece").cogroup(a.groupBy("piece")).applyInArrow(_assembled(vocabulary, form), _LISTS if form == LISTS else _RESULT)
+    if form != DIGEST:
         return assemble(rest, answers)
     # Digests are small: they are written block by block, and each block's shuffle goes before the next.
     out = None
@@ -571,18 +576,12 @@ def decode(ids: list[int], vocabulary: Vocabulary) -> str:
     return (text[1:] if vocabulary.add_prefix and text[:1] == b" " else text).decode("utf-8", "replace")
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = [np.frombuffer(x, np.uint32).astype(np.int32) for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32())), pa.array([d.decode("utf-8", "replace") for d in batch.column(3).to_pylist()], pa.string())], names=["doc_id", "n_pieces", "ids", "decoded"])
-
-
 def sentencepiece_stage(docs: DataFrame) -> DataFrame:
     """(doc_id, n_pieces, ids, decoded) of every row: piece numbers, and the text that they decode to."""
-    return encode_texts(docs).drop("text_sha256").mapInArrow(_unpacked, "doc_id long, n_pieces long, ids array<int>, decoded string")
+    return encode_texts(docs, form=LISTS, piece_rows=LIST_ROWS).drop("text_sha256")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its number of pieces, digests of piece numbers and decoded text, and whether it came back whole."""
-    out = encode_texts(read_table(spark, sf_dir, "documents"), digest=True)
+    out = encode_texts(read_table(spark, sf_dir, "documents"), form=DIGEST)
     return out.select("doc_id", "n_pieces", F.lower(F.hex("ids")).alias("ids_sha256"), F.lower(F.hex("decoded")).alias("decoded_sha256"), (F.col("decoded") == F.col("text_sha256")).alias("round_trip"))
