@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def places_in_time(rows: DataFrame, time: str, *ties: str) -> DataFrame:
+    """The rows with pos, their place (from 1) in order of time and ties: counts per hour give each hour its first place."""
+    rows = rows.withColumn("__hour", F.date_trunc("hour", time))
+    earlier = Window.orderBy(F.col("__h").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(F.col("__hour").alias("__h")).agg(F.count(F.lit(1)).alias("__n")).select("__h", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__hour").orderBy(F.col(time).asc_nulls_last(), *ties)
+    placed = rows.withColumn("__place", F.row_number().over(within)).join(starts, F.col("__hour").eqNullSafe(F.col("__h")))
+    return placed.withColumn("pos", F.col("__start") + F.col("__place")).drop("__hour", "__h", "__place", "__start")
+
+
 def first_occurrences(rows: DataFrame) -> DataFrame:
     """(pos, key): each key once, at its first place; null and empty keys go."""
     return rows.filter("key is not null and key <> ''").groupBy("key").agg(F.min("pos").alias("pos"))

@@ -73,11 +73,12 @@ def visible_children(nodes: DataFrame, views: DataFrame) -> DataFrame:
 
 
 def ancestor_overlaps(keys: DataFrame) -> DataFrame:
-    """(overlaps): unordered pairs of places (pos, key) of which one is the other's ancestor, or equal."""
-    up = keys.select("pos", F.explode(ancestor_keys(F.col("key"))).alias("ancestor"))
-    other = keys.select(F.col("pos").alias("pos_2"), F.col("key").alias("ancestor"))
-    pairs = up.join(other, "ancestor").filter("pos <> pos_2").select(F.least("pos", "pos_2").alias("i"), F.greatest("pos", "pos_2").alias("j")).distinct()
-    return pairs.agg(F.count(F.lit(1)).alias("overlaps"))
+    """(overlaps): unordered pairs of places (pos, key) of which one is the other's ancestor, or equal; from counts per key."""
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    up = counts.select("key", "n", F.explode(ancestor_keys(F.col("key"))).alias("ancestor"))
+    other = counts.select(F.col("key").alias("ancestor"), F.col("n").alias("above"))
+    pairs = F.when(F.col("key") == F.col("ancestor"), F.expr("n * (n - 1) div 2")).otherwise(F.col("n") * F.col("above"))
+    return up.join(other, "ancestor").agg(F.coalesce(F.sum(pairs), F.lit(0)).cast("bigint").alias("overlaps"))
 
 
 def exact_overlap(before: DataFrame, after: DataFrame) -> DataFrame:

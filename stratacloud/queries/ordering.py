@@ -14,7 +14,7 @@ from stratacloud.queries import query
 from stratacloud.queries.aggregates import RANKED_SQL
 from stratacloud.queries.functions import _D3
 from stratacloud.queries.planners import visible_points, visible_points_sql
-from stratacloud.queries.trees import _KEYS, stream_keys
+from stratacloud.queries.trees import _ALL_KEYS, _KEYS, all_stream_keys, stream_keys
 
 N = "WITH " + NODES_SQL
 query("pln_1_visible_points", visible_points_sql())(visible_points)
@@ -136,7 +136,16 @@ def top_10(spark, d):
     return table(spark, d, "events").select("event_id", F.row_number().over(w).cast("bigint").alias("place"))
 
 
+def _timed(keys):
+    hit = F.col("pos") % 3 == 0
+    return keys.select("pos", "key", F.when(hit, F.lit(0.0)).otherwise(F.col("value")).alias("ms"), hit.alias("cache_hit"))
+
+
 @query("top_11_cache_hit_timing", f"WITH {_KEYS} SELECT pos, key, CAST(CASE WHEN pos % 3 = 0 THEN 0 ELSE value END AS DOUBLE) AS ms, pos % 3 = 0 AS cache_hit FROM keys")
 def top_11(spark, d):
-    hit = F.col("pos") % 3 == 0
-    return stream_keys(spark, d).select("pos", "key", F.when(hit, F.lit(0.0)).otherwise(F.col("value")).alias("ms"), hit.alias("cache_hit"))
+    return _timed(stream_keys(spark, d))
+
+
+@query("top_11_cache_hit_timing_all", f"WITH {_ALL_KEYS} SELECT pos, key, CAST(CASE WHEN pos % 3 = 0 THEN 0 ELSE value END AS DOUBLE) AS ms, pos % 3 = 0 AS cache_hit FROM keys")
+def top_11_all(spark, d):
+    return _timed(all_stream_keys(spark, d))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratacloud.fixtures import NODES_SQL, nodes, table
 from stratacloud.plans import render_plan
 from stratacloud.queries import query
-from stratacloud.queries.trees import _KEYS, stream_keys
+from stratacloud.queries.trees import _ALL_KEYS, _KEYS, all_stream_keys, stream_keys
 from stratacloud.streaming import budget, camera, quality
 
 N = "WITH " + NODES_SQL
@@ -109,14 +109,23 @@ def str_8_stream(spark, d):
     return camera.run_to_end(budget.stream(runs(camera.read_events(spark, d))), "update")
 
 
-@query("str_9_fresh_samples", f"WITH {_KEYS}, l AS (SELECT key, max(value) AS sampled, max(pos) AS used FROM keys GROUP BY key), r AS (SELECT *, row_number() OVER (ORDER BY used DESC) AS k FROM l) SELECT key, sampled >= least(250, 200) AS fresh FROM r WHERE k <= 64")
-def str_9(spark, d):
+def _fresh(keys):
     """The samples of the nodes used last; fresh if as dense as they would be drawn."""
-    s = stream_keys(spark, d).groupBy("key").agg(F.max("value").alias("sampled"), F.max("pos").alias("used"))
-    kept = s.withColumn("k", F.row_number().over(Window.orderBy(F.col("used").desc()))).filter("k <= 64")
+    s = keys.groupBy("key").agg(F.max("value").alias("sampled"), F.max("pos").alias("used"))
+    kept = s.orderBy(F.col("used").desc()).limit(64)
     return kept.select("key", (F.col("sampled") >= F.least(F.lit(250), F.lit(200))).alias("fresh"))
 
 
+@query("str_9_fresh_samples", f"WITH {_KEYS}, l AS (SELECT key, max(value) AS sampled, max(pos) AS used FROM keys GROUP BY key), r AS (SELECT *, row_number() OVER (ORDER BY used DESC) AS k FROM l) SELECT key, sampled >= least(250, 200) AS fresh FROM r WHERE k <= 64")
+def str_9(spark, d):
+    return _fresh(stream_keys(spark, d))
+
+
+@query("str_9_fresh_samples_all", f"WITH {_ALL_KEYS}, l AS (SELECT key, max(value) AS sampled, max(pos) AS used FROM keys GROUP BY key), r AS (SELECT *, row_number() OVER (ORDER BY used DESC) AS k FROM l) SELECT key, sampled >= least(250, 200) AS fresh FROM r WHERE k <= 64")
+def str_9_all(spark, d):
+    return _fresh(all_stream_keys(spark, d))
+
+
 @query("str_10_reuse", """WITH k AS (SELECT event_id, user_id, ts, event_id % 3 AS depth, CASE event_id % 3 WHEN 0 THEN 0 ELSE (event_id // 3) % 2 END AS x FROM events), b AS (SELECT *, lag(depth) OVER w AS bd, lag(x) OVER w AS bx FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
  SELECT event_id, coalesce(CASE WHEN bd <= depth THEN x >> (depth - bd) = bx ELSE bx >> (bd - depth) = x END, false) AS reuses FROM b""")
 def str_10(spark, d):

@@ -210,3 +210,18 @@ def test_camera_stream(spark, small, tmp_path):
     stream.stop()
     users = spark.read.parquet(f"{small}/events.parquet").select("user_id").distinct().count()
     assert got == [(0, users)]
+
+
+def test_keys_of_all_events(spark, small):
+    """Places over the whole table, hour by hour, and overlaps counted without pairs."""
+    from stratacloud.operators import tree
+    from stratacloud.queries.trees import all_stream_keys
+
+    events = spark.read.parquet(f"{small}/events.parquet").orderBy("ts", "event_id").select("event_id", "value").collect()
+    got = all_stream_keys(spark, small).orderBy("pos").collect()
+    assert len(events) > 300 and [r["pos"] for r in got] == list(range(1, len(events) + 1))
+    assert [r["value"] for r in got] == [r["value"] for r in events]
+    up = [[int(i) for i in r["key"].split("-")] for r in got]
+    under = lambda a, b: a[0] <= b[0] and all(y >> (b[0] - a[0]) == x for x, y in zip(a[1:], b[1:]))
+    want = sum(under(a, b) or under(b, a) for i, a in enumerate(up) for b in up[:i])
+    assert tree.ancestor_overlaps(all_stream_keys(spark, small)).first()["overlaps"] == want
