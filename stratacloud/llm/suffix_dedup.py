@@ -131,9 +131,11 @@ def _cover_rows(block: int, blocks: int, parts: int):
         low, high = np.maximum(at - BEFORE, offs[doc]), np.minimum(at + LENGTH, offs[doc + 1])
         rank = mix(rolling.of(low, high) + (at - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - at).astype(np.uint64))
         # Only the first of a rank goes on; the others are repeats already. Order here is by doc_id, then position.
-        _, first = np.unique(rank, return_index=True)
-        later = np.ones(len(rank), bool)
-        later[first] = False
+        # Equal rows are one: the same place of the same doc_id is neither.
+        _, first, where = np.unique(rank, return_index=True, return_inverse=True)
+        head = first[where]
+        later = (pos != pos[head]) | (ids[doc] != ids[doc[head]])
+        del where, head
         rows = []
         nth = np.empty(len(length), np.int64)
         nth[order] = np.arange(len(order))

@@ -79,6 +79,15 @@ def test_suffix_edges(make, odd_rows):
     assert got[3][0]["n_removed"] == 0
 
 
+def test_suffix_repeated_row_without_another_copy(make):
+    """Two rows of one doc_id and text are one document, which has no earlier start."""
+    twice, inner = prose(40, 71), prose(30, 72)
+    rows = [doc(1, twice), doc(1, twice), doc(2, inner + " | " + inner), doc(2, inner + " | " + inner), doc(3, prose(40, 73))]
+    got = by_id(suffix_dedup.repeated_passages(make(rows).coalesce(1)))
+    assert [r["n_removed"] for r in got[1]] == [0, 0] and got[3][0]["n_removed"] == 0
+    assert [r["n_removed"] for r in got[2]] == [len(inner)] * 2
+
+
 def test_suffix_salted_prefixes(make):
     """One line in very many surroundings, some of them twice."""
     line = "this very common line is in every single document of the corpus, always the same words. "
