@@ -8,16 +8,19 @@ allow is inferred (decimal, hex, alphanumeric, base 64), and three tests compare
 * lag-1 serial correlation of the characters' places in the alphabet.
 
 Their p-values are combined (Fisher). Natural runs fail the battery, so what has to be controlled is the number of
-natural runs that pass by chance. Per class of lengths, the corpus' own plain words (runs of lower-case letters) give
-the null distribution of the combined statistic; a candidate's p-value is the share of them that look as random or
-more, and Benjamini-Hochberg within the class of lengths sets the threshold over all candidates of the corpus. Both
-distributions are histograms of fixed size, summed over the corpus.
+natural runs that pass by chance. The null is the battery's own distribution over plain words (letters by their
+frequency in English, in lower case or with a capital first), drawn with a fixed seed at the least length of each class,
+where they look most random; a candidate's p-value is the normal lower tail of the nearer form. It depends on no count
+of the corpus. Benjamini-Hochberg within the class of lengths sets the threshold over all candidates of the corpus, which
+are a histogram of fixed size. What is itself unlikely as a uniform draw (the battery's own 1e-4 level) is not reported.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -39,6 +42,10 @@ LEAST_BITS = 64
 LENGTHS = (20, 24, 32, 48, 1 << 30)
 BINS = 256
 FALSE_DISCOVERIES = 0.01
+#: Fisher's statistic of three tests at the level 1e-4.
+RANDOM_ENOUGH = 27.9
+#: Letters by frequency in English, in hundredths of a percent.
+_LETTERS = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (1270, 906, 817, 751, 697, 675, 633, 609, 599, 425, 403, 278, 276, 241, 236, 223, 202, 197, 193, 149, 98, 77, 15, 15, 10, 7)))
 
 _HEX_PLACE = {c: i for i, c in enumerate("0123456789abcdef")}
 _ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -139,29 +146,41 @@ def _mixed(run: str) -> bool:
 
 @bounded
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Histograms of a task's texts: plain words (null) and candidates, by class of lengths and evidence."""
-    counts = np.zeros((2, len(LENGTHS), BINS), np.int64)
+    """Histogram of a task's candidates by class of lengths and evidence."""
+    counts = np.zeros((len(LENGTHS), BINS), np.int64)
     for batch in batches:
         for text in batch.column(0).to_pylist():
             for m in _RUN.finditer(text or ""):
                 run = m[0]
-                if run.isascii() and run.isalpha() and run[1:].islower():
-                    counts[0, length_class(len(run)), evidence_bin(battery(run))] += 1
-                elif _mixed(run):
-                    counts[1, length_class(len(run)), evidence_bin(battery(run))] += 1
-    what, length, bin_ = np.nonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (what, length, bin_, counts[what, length, bin_])], names=["what", "length", "bin", "n"])
+                if not (run.isascii() and run.isalpha() and run[1:].islower()) and _mixed(run):
+                    counts[length_class(len(run)), evidence_bin(battery(run))] += 1
+    length, bin_ = np.nonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (length, bin_, counts[length, bin_])], names=["length", "bin", "n"])
 
 
-def thresholds(null: np.ndarray, found: np.ndarray, rate: float = FALSE_DISCOVERIES) -> list[int]:
-    """Per class of lengths the highest bin of evidence that is accepted, or -1: Benjamini-Hochberg on binned p-values."""
+@functools.cache
+def null_tails(draws: int = 2000) -> np.ndarray:
+    """Per class of lengths and bin of evidence, the p-value of a run: how likely a plain word looks as random or more."""
+    rng = random.Random(7)
+    edges = (np.arange(BINS) + 1) / 2
     out = []
-    for h0, h1 in zip(null, found):
-        p = (np.cumsum(h0) + 1) / (h0.sum() + 1)
+    for n in (16, *(top + 1 for top in LENGTHS[:-1])):
+        tails = []
+        for form in (str.lower, str.capitalize):
+            x = [battery(form("".join(rng.choices(list(_LETTERS), _LETTERS.values(), k=n)))) for _ in range(draws)]
+            mean, sd = float(np.mean(x)), float(np.std(x))
+            tails.append([0.5 * math.erfc((mean - e) / sd / math.sqrt(2)) for e in edges.tolist()])
+        out.append(np.max(tails, axis=0))
+    return np.array(out)
+
+
+def thresholds(found: np.ndarray, rate: float = FALSE_DISCOVERIES) -> list[int]:
+    """Per class of lengths the highest bin of evidence that is accepted: Benjamini-Hochberg on binned p-values; -1 where nothing is rejected."""
+    out = []
+    for p, h1 in zip(null_tails(), found):
         passed = np.cumsum(h1)
         good = np.flatnonzero((h1 > 0) & (p * max(h1.sum(), 1) <= rate * passed))
-        # Without a null in this class, the battery's own 1e-4 level for three tests applies.
-        out.append(int(good.max()) if len(good) else (evidence_bin(27.9) if h0.sum() < 100 else -1))
+        out.append(min(int(good.max()), evidence_bin(RANDOM_ENOUGH)) if len(good) else -1)
     return out
 
 
@@ -182,11 +201,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def fit(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> list[int]:
     """The thresholds that all texts of ``docs`` give together."""
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "what long, length long, bin long, n long").groupBy("what", "length", "bin").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros((2, len(LENGTHS), BINS), np.int64)
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "length long, bin long, n long").groupBy("length", "bin").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros((len(LENGTHS), BINS), np.int64)
     for r in rows:
-        counts[r["what"], r["length"], r["bin"]] = r["n"]
-    return thresholds(counts[0], counts[1], rate)
+        counts[r["length"], r["bin"]] = r["n"]
+    return thresholds(counts, rate)
 
 
 def _scanned(limits: list[int]):

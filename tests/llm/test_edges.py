@@ -244,6 +244,16 @@ def test_battery_tells_random_from_prose():
     assert np.median(drawn) < 8 < np.median(plain)
 
 
+def test_secrets_do_not_hang_on_long_plain_words(make):
+    """One random secret of 18 characters among few and among many long plain words: the same spans."""
+    rng = random.Random(9)
+    plain = ["".join(rng.choices("etaoinshrdlu", k=18)) for _ in range(400)]
+    rows = [doc(1, "key Zq7Xw2Lp9RtK4mVb1Y here"), doc(2, "a" * 17 + "1 " + "b" * 17 + "2 " + "c" * 17 + "3")]
+    for words_ in (plain[:99], plain[:150], plain):
+        got = {r["doc_id"]: r["spans"] for r in secret_scan.find_secrets(make(rows + [doc(10 + i, w) for i, w in enumerate(words_)])).collect()}
+        assert got.pop(1) == "random:4:22" and not any(got.values())
+
+
 def test_quality_edges(make, odd_rows, spark):
     rows = odd_rows + [doc(200 + i, prose(60, i)) for i in range(40)] + [doc(300 + i, ("JUNK!! " * 60).strip()) for i in range(40)]
     labels = spark.createDataFrame([(200 + i, 1, 0) for i in range(20)] + [(300 + i, 0, 0) for i in range(20)] + [(None, 1, 0), (1, None, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
