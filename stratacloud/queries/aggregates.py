@@ -165,11 +165,20 @@ def snk_1(spark, d):
     return b.select("node_key", F.size("positions").cast("bigint").alias("positions"), F.size("colors").cast("bigint").alias("colors"))
 
 
+def _row_output(p):
+    lines = p.select(F.to_json(F.struct("point_id", "node_key")).alias("line"))
+    return lines.select(F.from_json("line", "point_id bigint, node_key string").alias("p")).select("p.*")
+
+
 @query("snk_2_row_output", P + " SELECT point_id, node_key FROM points WHERE depth < 2")
 def snk_2(spark, d):
     """Points as rows, one by one, for sinks that take objects: JSON lines and back."""
-    lines = points(spark, d).filter("depth < 2").select(F.to_json(F.struct("point_id", "node_key")).alias("line"))
-    return lines.select(F.from_json("line", "point_id bigint, node_key string").alias("p")).select("p.*")
+    return _row_output(points(spark, d).filter("depth < 2"))
+
+
+@query("snk_2_row_output_all", P + " SELECT point_id, node_key FROM points")
+def snk_2_all(spark, d):
+    return _row_output(points(spark, d))
 
 
 @query("snk_3_box_edges", N + " SELECT key, CAST(count(*) AS BIGINT) AS edges, round(sum(len), 6) AS total FROM (SELECT key, unnest([max_x - min_x, max_y - min_y, max_z - min_z, max_x - min_x, max_y - min_y, max_z - min_z, max_x - min_x, max_y - min_y, max_z - min_z, max_x - min_x, max_y - min_y, max_z - min_z]) AS len FROM nodes) GROUP BY key")
@@ -209,8 +218,12 @@ _PIX = """, img AS (SELECT CAST(floor(x / 1000 * 63.999) AS BIGINT) AS px, CAST(
  ma AS (SELECT g.px, g.py, bool_or(coalesce(i.point_id % 3 <> 0, false)) AS a, bool_or(coalesce(i.point_id % 5 <> 0, false)) AS b FROM grid g LEFT JOIN img i USING (px, py) GROUP BY ALL)"""
 
 
-def _masks(spark, d):
-    return images.masks(points(spark, d).filter("depth <= 2"), 64, 36, {"a": F.col("point_id") % 3 != 0, "b": F.col("point_id") % 5 != 0})
+#: The same images of all points.
+_ALL_PIX = _PIX.replace(" WHERE depth <= 2)", ")")
+
+
+def _masks(spark, d, only="depth <= 2"):
+    return images.masks(points(spark, d).filter(only), 64, 36, {"a": F.col("point_id") % 3 != 0, "b": F.col("point_id") % 5 != 0})
 
 
 @query("img_1_difference_mask", P + ", pix AS (SELECT point_id, CAST(red AS BIGINT) AS r, green AS g, blue AS b FROM points WHERE red IS NOT NULL) SELECT point_id, greatest(abs(r - 20), abs(g - 30), abs(b - 40)) >= 12 AS differs FROM pix")
@@ -219,25 +232,61 @@ def img_1(spark, d):
     return p.select("point_id", images.differs([F.col("red"), F.col("green"), F.col("blue")], [F.lit(20), F.lit(30), F.lit(40)], 12).alias("differs"))
 
 
-@query("img_2_mask_stats", P + _PIX + """, f AS (SELECT * FROM ma WHERE a), nb AS (SELECT f.px, f.py, count(g.px) FILTER (WHERE abs(g.px - f.px) + abs(g.py - f.py) = 1) AS sides, count(g.px) AS around FROM f LEFT JOIN f g ON abs(g.px - f.px) <= 1 AND abs(g.py - f.py) <= 1 AND (g.px <> f.px OR g.py <> f.py) GROUP BY ALL)
- SELECT CAST(count(*) AS BIGINT) AS pixels, round(count(*) / CAST(64 * 36 AS DOUBLE), 6) AS coverage, round(count(DISTINCT (px // 2) * 100 + py // 2) / CAST(32 * 18 AS DOUBLE), 6) AS occupied, CAST(count(*) FILTER (WHERE around = 0) AS BIGINT) AS isolated, CAST(sum(4 - sides) AS BIGINT) AS perimeter FROM nb""")
-def img_2(spark, d):
-    s = images.mask_stats(_masks(spark, d), "a", 64, 36)
+def _img_2_mask_stats(mask):
+    s = images.mask_stats(mask, "a", 64, 36)
     return s.select("pixels", r6(F.col("coverage")).alias("coverage"), r6(F.col("occupied")).alias("occupied"), "isolated", "perimeter")
 
 
-@query("img_3_closed_mask", P + _PIX + """, dl AS (SELECT m.px, m.py, (SELECT bool_or(n.a) FROM ma n WHERE abs(n.px - m.px) <= 1 AND abs(n.py - m.py) <= 1) AS v FROM ma m),
- er AS (SELECT m.px, m.py, (SELECT bool_and(n.v) FROM dl n WHERE abs(n.px - m.px) <= 1 AND abs(n.py - m.py) <= 1) AS v FROM dl m) SELECT px, py FROM er WHERE v""")
+_IMG_2 = """, f AS (SELECT * FROM ma WHERE a), nb AS (SELECT f.px, f.py, count(g.px) FILTER (WHERE abs(g.px - f.px) + abs(g.py - f.py) = 1) AS sides, count(g.px) AS around FROM f LEFT JOIN f g ON abs(g.px - f.px) <= 1 AND abs(g.py - f.py) <= 1 AND (g.px <> f.px OR g.py <> f.py) GROUP BY ALL)
+ SELECT CAST(count(*) AS BIGINT) AS pixels, round(count(*) / CAST(64 * 36 AS DOUBLE), 6) AS coverage, round(count(DISTINCT (px // 2) * 100 + py // 2) / CAST(32 * 18 AS DOUBLE), 6) AS occupied, CAST(count(*) FILTER (WHERE around = 0) AS BIGINT) AS isolated, CAST(sum(4 - sides) AS BIGINT) AS perimeter FROM nb"""
+
+
+@query("img_2_mask_stats", P + _PIX + _IMG_2)
+def img_2(spark, d):
+    return _img_2_mask_stats(_masks(spark, d))
+
+
+@query("img_2_mask_stats_all", P + _ALL_PIX + _IMG_2)
+def img_2_all(spark, d):
+    return _img_2_mask_stats(_masks(spark, d, "true"))
+
+
+def _img_3_closed_mask(mask):
+    return images.close_square(mask.select("px", "py", F.col("a").alias("v")), 1).filter("v").select("px", "py")
+
+
+_IMG_3 = """, dl AS (SELECT m.px, m.py, (SELECT bool_or(n.a) FROM ma n WHERE abs(n.px - m.px) <= 1 AND abs(n.py - m.py) <= 1) AS v FROM ma m),
+ er AS (SELECT m.px, m.py, (SELECT bool_and(n.v) FROM dl n WHERE abs(n.px - m.px) <= 1 AND abs(n.py - m.py) <= 1) AS v FROM dl m) SELECT px, py FROM er WHERE v"""
+
+
+@query("img_3_closed_mask", P + _PIX + _IMG_3)
 def img_3(spark, d):
-    return images.close_square(_masks(spark, d).select("px", "py", F.col("a").alias("v")), 1).filter("v").select("px", "py")
+    return _img_3_closed_mask(_masks(spark, d))
 
 
-@query("img_4_mask_support", P + _PIX + " SELECT round(CAST(count(*) FILTER (WHERE a AND b) AS DOUBLE) / count(*) FILTER (WHERE a), 6) AS retained, round(CAST(count(*) FILTER (WHERE b AND NOT a) AS DOUBLE) / count(*) FILTER (WHERE b), 6) AS unsupported FROM ma")
-def img_4(spark, d):
-    s = images.support(_masks(spark, d), "a", "b")
+@query("img_3_closed_mask_all", P + _ALL_PIX + _IMG_3)
+def img_3_all(spark, d):
+    return _img_3_closed_mask(_masks(spark, d, "true"))
+
+
+def _img_4_mask_support(mask):
+    s = images.support(mask, "a", "b")
     return s.select(r6(F.col("retained")).alias("retained"), r6(F.col("unsupported")).alias("unsupported"))
 
 
+_IMG_4 = " SELECT round(CAST(count(*) FILTER (WHERE a AND b) AS DOUBLE) / count(*) FILTER (WHERE a), 6) AS retained, round(CAST(count(*) FILTER (WHERE b AND NOT a) AS DOUBLE) / count(*) FILTER (WHERE b), 6) AS unsupported FROM ma"
+
+
+@query("img_4_mask_support", P + _PIX + _IMG_4)
+def img_4(spark, d):
+    return _img_4_mask_support(_masks(spark, d))
+
+
+@query("img_4_mask_support_all", P + _ALL_PIX + _IMG_4)
+def img_4_all(spark, d):
+    return _img_4_mask_support(_masks(spark, d, "true"))
+
+
 @query("img_5_frame_digest", N + " SELECT sha256(string_agg(key || ':' || point_count, '|' ORDER BY depth, z, y, x)) AS digest FROM nodes")
 def img_5(spark, d):
     part = F.struct("depth", "z", "y", "x", F.concat_ws(":", "key", F.col("point_count").cast("string")).alias("k"))

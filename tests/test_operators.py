@@ -225,3 +225,12 @@ def test_keys_of_all_events(spark, small):
     under = lambda a, b: a[0] <= b[0] and all(y >> (b[0] - a[0]) == x for x, y in zip(a[1:], b[1:]))
     want = sum(under(a, b) or under(b, a) for i, a in enumerate(up) for b in up[:i])
     assert tree.ancestor_overlaps(all_stream_keys(spark, small)).first()["overlaps"] == want
+
+
+def test_rows_and_masks_of_all_points(spark, small):
+    from stratacloud.catalog import QUERIES
+
+    points = spark.read.parquet(f"{small}/orders.parquet").count()
+    assert QUERIES["snk_2_row_output_all"](spark, small).count() == points
+    part, whole = (QUERIES[n](spark, small).first()["pixels"] for n in ("img_2_mask_stats", "img_2_mask_stats_all"))
+    assert whole > part
