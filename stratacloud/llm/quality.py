@@ -181,10 +181,18 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep
 
 
 def site_columns() -> tuple[Column, Column]:
-    """Host and path of ``documents``: its source up to the first slash; and that with the next segment, or else the language."""
+    """Host and path of ``documents``: its source up to the first slash, and all of it; without a slash the language stands for the path.
+
+    Of a URL the host is the authority, in lower case, and the path ends before the query or fragment.
+    """
     source = F.col("source").cast("string")
-    parts = F.split(source, "/")
-    return parts[0], F.concat_ws("/", parts[0], F.when(F.size(parts) > 1, parts[1]).otherwise(F.col("lang").cast("string")))
+    rest = F.regexp_replace(source, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    url = rest != source
+    site = F.when(url, F.regexp_extract(rest, r"^[^?#]*", 0)).otherwise(source)
+    first = F.substring_index(site, "/", 1)
+    host = F.when(url, F.lower(first)).otherwise(first)
+    path = F.when(F.instr(site, "/") > 0, F.regexp_replace(site, r"^[^/]*/", "")).otherwise(F.col("lang").cast("string"))
+    return host, F.concat_ws("/", host, path)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

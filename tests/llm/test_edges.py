@@ -266,6 +266,14 @@ def test_quality_edges(make, odd_rows, spark):
     assert by_id(none)[1][0]["accepted"] and not by_id(none)[5][0]["accepted"]
 
 
+def test_quality_sites_of_urls_and_deep_paths(make):
+    sources = ["https://A.org/x/y?q=1", "http://b.org", "s/one/two/three", "s/one/four", "s/one", "s", None]
+    host, path = quality.site_columns()
+    got = {r["doc_id"]: (r["host"], r["path"]) for r in make([doc(i, "t", source=s) for i, s in enumerate(sources)]).select("doc_id", host.alias("host"), path.alias("path")).collect()}
+    assert [got[i] for i in range(6)] == [("a.org", "a.org/x/y"), ("b.org", "b.org/en"), ("s", "s/one/two/three"), ("s", "s/one/four"), ("s", "s/one"), ("s", "s/en")]
+    assert got[6] == (None, "en")
+
+
 def test_mixing_edges(make, odd_rows):
     frame = make(odd_rows)
     rows = mixing.mix_sources(frame).collect()
