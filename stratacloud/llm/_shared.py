@@ -5,10 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import gc
 import inspect
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -20,16 +18,21 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made and set.
+    Only where a local session names none (tests, a laptop) a temporary folder is made and set. On a cluster that would
+    be another folder on every machine, so it is an error there.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        master = spark.sparkContext.master
+        if not current.isDefined() and not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         folder = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='stratacloud-')}"
         spark.conf.set(CHECKPOINT_DIR, folder)
     return folder.rstrip("/")
@@ -43,7 +46,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, frame: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-        """Write and read again. ``batch_rows`` is the size of Arrow batches while it is made, where it matters."""
+        """Write and read again. ``batch_rows`` is the size of Arrow batches while it is made, where it matters.
+
+        The shuffle files of the write are removed at its end.
+        """
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         with self._batches(batch_rows):
             frame.write.option("compression", "zstd").parquet(path)
@@ -51,13 +57,15 @@ class Scratch:
 
     @contextlib.contextmanager
     def _batches(self, rows: int | None):
-        before = self.spark.conf.get(BATCH_ROWS)
-        if rows:
-            self.spark.conf.set(BATCH_ROWS, str(rows))
+        wanted = {SHUFFLE_CLEANUP: "true"} | ({BATCH_ROWS: str(rows)} if rows else {})
+        before = {k: self.spark.conf.get(k) for k in wanted}
+        for k, v in wanted.items():
+            self.spark.conf.set(k, v)
         try:
             yield
         finally:
-            self.spark.conf.set(BATCH_ROWS, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
 
     def save_split(self, frame: DataFrame, name: str, kind: str, values: tuple, batch_rows: int | None = None) -> list[DataFrame]:
         """One table per value of a column, in one pass; each can be dropped alone."""
@@ -84,13 +92,6 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def free_shuffles(self) -> None:
-        """Let the context cleaner remove the shuffle files of finished steps now, not at some later collection."""
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
-
 
 def _give_back() -> None:
     """Return freed memory to the system, as idle workers are kept."""
@@ -139,6 +140,25 @@ def binary_array(pieces: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(pieces))])
 
 
+def bundle(*arrays: np.ndarray) -> bytes:
+    """Several columns as one compressed value: their types and lengths, and byte planes of each."""
+    head = b"".join(np.dtype(a.dtype).str[1:].encode().ljust(4) + len(a).to_bytes(8, "little") for a in arrays)
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays if len(a)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([bytes([len(arrays)]), head, *planes]))
+
+
+def unbundle(raw: bytes) -> list[np.ndarray]:
+    data = memoryview(zstandard.ZstdDecompressor().decompress(raw))
+    out, at = [], 1 + 12 * data[0]
+    for k in range(data[0]):
+        kind = np.dtype(bytes(data[1 + 12 * k : 5 + 12 * k]).decode().strip())
+        n = int.from_bytes(data[5 + 12 * k : 13 + 12 * k], "little")
+        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += n * kind.itemsize
+    return out
+
+
 def packed(a: np.ndarray, rising: bool = False) -> bytes:
     """A compressed column: byte planes of the values, or of their differences where they rise."""
     a = np.diff(a, prepend=a.dtype.type(0)) if rising else a

@@ -2,157 +2,71 @@
 
 The model has a restaurant per context (the word before, or the start of a text). All context restaurants share one
 parent, the restaurant of single words, whose base is uniform over the vocabulary and one unknown word. A restaurant
-seats the occurrences of its words at tables; every table of a context restaurant is a customer of the parent. Seats
-are sampled by Gibbs: a random customer leaves and sits down again, at a table of its word with a weight of its size
-less the discount, or at a new one with a weight of (strength + discount * tables) times the parent's probability.
-Predictive probabilities are averaged over samples; they are linear in the numbers of tables, so their means are kept.
+seats the occurrences of its words at tables; every table of a context restaurant is a customer of the parent.
 
-How it runs. A *piece* is what one task reads of the documents (PIECE_BYTES at most), encoded to word numbers of its
-own and written once. All that a piece asks of the corpus it asks once per distinct word or pair of words:
+**Sampler.** A sweep draws, each given the rest and all exactly:
+
+1. the parent's tables per word, given its customers (the tables of all contexts) and a gamma variable that stands for
+   its total of tables, so that words are independent;
+2. the parent's distribution given its seating: per word a gamma variable for its seated customers and a tilted stable
+   one for what the parent would draw anew from the base;
+3. per context the gamma variable of its total of tables, and per cell (a word in a context) the number of tables at
+   which all its customers sit, given that variable and the parent's distribution. This is done INNER times.
+
+Contexts and parent are thus seated against each other's present state in every sweep. The predictive probability of a
+state is the usual one of the seating, and it is averaged over SAMPLES states after BURN_IN sweeps.
 
-1. words: counts over the training documents, by hash of the word;
-2. pairs: the distinct pairs of each piece with their training counts go to the part of their context. There the
-   restaurants of the part are seated, given the parent that the plain counts imply (the state in which every customer
-   has a table of its own). A part answers each pair and passes on its numbers of tables per word;
-3. parent: tables per word are summed by hash of the word, the parent is seated and answers each piece's words;
-4. the piece adds up the logarithms of its documents' tokens.
+**How it runs.** A *piece* is what one task reads of the documents (PIECE_BYTES at most), encoded to word numbers of its
+own and written once. All that a piece asks of the corpus it asks once per distinct word or pair of words:
 
-A context that holds more than a quarter of a part is dealt by pairs; its number of tables is then carried over from
-its share of customers. Nothing is broadcast; the driver sees the totals of tokens, words and tables only.
+1. words: *owners* count the words over the training documents and number them, the frequent ones first;
+2. pairs: each piece sends its distinct pairs with their training counts to the *part* of their context, which answers
+   the counts over the corpus. Cells of one customer have one table for ever; only the others (a tenth) are kept;
+3. sweeps: parts send tables per word to the owners, owners seat the parent and send its distribution back;
+4. the parts answer the tables of the cells that a piece has asked for, the owners those of words; the piece adds up the
+   logarithms of its documents' tokens.
+
+A context that holds more than a quarter of a part is dealt by pairs; its tables are added up by an owner in every sweep.
+Parts and owners are numbered by the size of the corpus, one task takes one of them, and random numbers hang on words:
+scores depend on neither partitions nor executors. Messages hold what goes from one piece to one part, so there are never
+more of them than pairs. Nothing is broadcast; the driver sees totals only. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, bounded, column_bytes, n_partitions, packed, pieces_of, read_table, runs, unpacked
+from stratacloud.llm._seating import draw_tables, gammas, salted, stable_sum, tilted_stables, uniform
+from stratacloud.llm._shared import Scratch, bounded, bundle, column_bytes, packed, pieces_of, read_table, runs, unbundle, unpacked
 from stratacloud.llm._text import PIECE_BYTES as HASH_BYTES
 from stratacloud.llm._text import Rolling, lower, mix, words
 
 PIECE_BYTES = 12 << 20
 PIECE_ROWS = 5_000
-#: Pairs that one part should hold.
-PART_TOKENS = 1_500_000
+#: Tokens of the corpus for each part of the pairs, and for each owner of words.
+PART_TOKENS, OWNER_TOKENS = 1_200_000, 3_000_000
 MODULUS, HELD_OUT = 7, 2
 DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
-BURN_IN, SAMPLES = 3, 3
-#: Customers of one word in one restaurant that a sweep seats anew, drawn at random.
-MOVES = 8
-END, START = np.uint64(0x1F3D5B79A2C4E680), np.uint64(0x0E2C4A6881A3C5E7)
-
-_LOG_STEP = 2000.0
-
+BURN_IN, SAMPLES, INNER = 4, 4, 3
+END, START = np.uint64(0x1F3D5B79A2C4E680), 1 << 60
+#: The parent's distribution is kept in whole multiples of 1 / UNIT, whose sums do not hang on their order.
+UNIT = 1 << 16
 
-def to_codes(x: np.ndarray) -> np.ndarray:
-    """Numbers of 0 to 1 as 16-bit logarithms, to 0.025%; 65535 is 0."""
-    with np.errstate(divide="ignore"):
-        return np.minimum(np.round(-np.log(np.minimum(x, 1)) * _LOG_STEP), 65535).astype(np.uint16)
-
-
-def from_codes(c: np.ndarray) -> np.ndarray:
-    return np.where(c == 65535, 0.0, np.exp(-c.astype(np.float64) / _LOG_STEP))
-
-
-def expected_tables(c: np.ndarray, a: np.ndarray, d: float, steps: int = 48) -> np.ndarray:
-    """About how many tables c customers of one word open where a new table weighs a: dt/dn = a / (a + n - d t).
-
-    Integrated in logarithmic steps from the first customer, who sits at the first table.
-    """
-    t, n = np.ones(len(c)), np.ones(len(c))
-    ratio = np.power(c.astype(np.float64), 1 / steps)
-    rate = lambda n, t: a / (a + np.maximum(n - d * t, 1e-9))
-    for _ in range(steps):
-        width = n * (ratio - 1)
-        half = t + rate(n, t) * width / 2
-        t = t + rate(n + width / 2, half) * width
-        n = n * ratio
-    return t
-
-
-def seat(c: np.ndarray, room: np.ndarray, p: np.ndarray, share: np.ndarray, d: float, theta: float, rng: np.random.Generator, burn: int = BURN_IN, samples: int = SAMPLES, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
-    """Gibbs over the seatings of restaurants: mean tables per cell and per restaurant.
-
-    A cell is a word in a restaurant: c customers, restaurant ``room``, the parent's probability p. ``share`` is the
-    part of a restaurant's customers that is here; tables elsewhere are taken to be in proportion.
-    """
-    rooms = len(share)
-    tables = np.ones(len(c))
-    total = np.bincount(room, tables, rooms) / share
-    for _ in range(2):  # a start near the mode
-        strength = np.maximum((theta + d * total[room]) * p, 1e-12)
-        tables = np.clip(np.round(expected_tables(c, strength, d)), 1, c)
-        total = np.bincount(room, tables, rooms) / share
-    big = np.flatnonzero(c > 1)
-    cc, cr, cp, t = c[big].astype(np.int64), room[big], p[big], tables[big].astype(np.int64)
-    off = np.concatenate(([0], np.cumsum(cc)))
-    # The first t customers open the tables, each later one joins the table of a random earlier one.
-    local = np.arange(off[-1]) - np.repeat(off[:-1], cc)
-    opened = np.repeat(t, cc)
-    seats = np.where(local < opened, local, (rng.random(off[-1]) * local).astype(np.int64))
-    base = np.repeat(off[:-1], cc)
-    open_ = np.flatnonzero(seats >= opened)
-    while len(open_):
-        seats[open_] = seats[base[open_] + seats[open_]]
-        open_ = open_[seats[open_] >= opened[open_]]
-    sizes = np.bincount(base + seats, minlength=off[-1])
-    del local, opened, base
-    fixed = total - np.bincount(cr, t, rooms) / share
-    mean_t, mean_total = np.zeros(len(big)), np.zeros(rooms)
-    off = off[:-1]
-    for sweep in range(burn + samples):
-        for step in range(moves):
-            on = np.flatnonzero(cc > step)
-            if not len(on):
-                break
-            o, n = off[on], cc[on]
-            k = (rng.random(len(on)) * n).astype(np.int64)
-            at = o + seats[o + k]
-            sizes[at] -= 1
-            left = sizes[at] == 0
-            t[on] -= left
-            # Moves of one step see the tables of the step before, as restaurants are seated side by side.
-            new_weight = (theta + d * np.maximum(total[cr[on]] - left, 0)) * cp[on]
-            new = rng.random(len(on)) * (new_weight + (n - 1) - d * t[on]) < new_weight
-            place = np.full(len(on), -1)
-            want = np.flatnonzero(~new)
-            while len(want):
-                j = (rng.random(len(want)) * (n[want] - 1)).astype(np.int64)
-                j += j >= k[want]
-                slot = seats[o[want] + j]
-                size = sizes[o[want] + slot]
-                good = rng.random(len(want)) * size < size - d
-                place[want[good]] = slot[good]
-                want = want[~good]
-            reuse = new & left
-            place[reuse] = (at - o)[reuse]
-            want = np.flatnonzero(new & ~left)
-            while len(want):
-                slot = (rng.random(len(want)) * n[want]).astype(np.int64)
-                good = sizes[o[want] + slot] == 0
-                place[want[good]] = slot[good]
-                want = want[~good]
-            seats[o + k] = place
-            sizes[o + place] += 1
-            t[on] += new
-            total = fixed + np.bincount(cr, t, rooms) / share
-        if sweep >= burn:
-            mean_t += t / samples
-            mean_total += total / samples
-    tables[big] = mean_t
-    return tables, mean_total
+_CELL, _CONTEXT, _WORD_TABLES, _WORD_MASS, _WORD_NEW, _DRIVER = range(6)
 
 
 # --- pieces -----------------------------------------------------------------------------------------------------------
 
-_PIECE = "piece long, doc_ids binary, no_id binary, held binary, lengths binary, tokens binary, vocabulary binary, counts binary"
+_PIECE = "piece long, n_tokens long, doc_ids binary, no_id binary, held binary, lengths binary, tokens binary, vocabulary binary, counts binary"
 
 
 @bounded
@@ -184,271 +98,538 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [ids[i:j].astype(np.int64), none[i:j], held, lengths.astype(np.int32), local, vocabulary[order], train.astype(np.uint32)]
             piece = (TaskContext.get().partitionId() << 24) + serial
             serial += 1
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), *(pa.array([packed(c)], pa.binary()) for c in columns)], names=_PIECE.replace(" long", "").replace(" binary", "").split(", "))
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([len(tokens)], pa.int64()), *(pa.array([packed(c)], pa.binary()) for c in columns)], names=_PIECE.replace(" long", "").replace(" binary", "").split(", "))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Sizes of the corpus, and into how many parts and owners it is dealt. ``samples``: customers and tables of the parent."""
+
+    parts: int
+    owners: int
+    part_tokens: int
+    tokens: int = 0
+    vocabulary: int = 0
+    once: int = 0
+    ends: int = 0
+    samples: tuple[tuple[int, int], ...] = ()
 
 
 class Piece:
-    def __init__(self, table: pa.Table):
+    """A piece whose words have got their numbers and counts; its distinct pairs in order of (context, word)."""
+
+    def __init__(self, table: pa.Table, answers: dict[int, list[np.ndarray]], plan: Plan):
         get = lambda name, kind: unpacked(table.column(name)[0].as_py(), kind)
         self.piece = table.column("piece")[0].as_py()
         self.doc_ids, self.no_id, self.held = get("doc_ids", np.int64), get("no_id", bool), get("held", bool)
-        self.lengths, self.tokens = get("lengths", np.int32), get("tokens", np.uint32).astype(np.int64)
+        self.lengths = get("lengths", np.int32)
         self.vocabulary = get("vocabulary", np.uint64)
         v = len(self.vocabulary)
+        names, counts = np.zeros(v, np.int64), np.zeros(v, np.int64)
+        for owner, at in _cut(_owner_of(self.vocabulary, plan.owners)):
+            names[at], counts[at] = answers[owner]
+        order = np.argsort(names)
+        self.rank = np.empty(v, np.int64)
+        self.rank[order] = np.arange(v)
+        self.names, self.counts = names[order], counts[order]
+        self.tokens = self.rank[get("tokens", np.uint32)]
         before = np.empty(len(self.tokens), np.int64)
         before[1:] = self.tokens[:-1]
-        self.ends = np.cumsum(self.lengths)
-        before[self.ends - self.lengths] = v  # v stands for the start of a text
+        before[np.cumsum(self.lengths) - self.lengths] = v  # v stands for the start of a text
         self.pairs, self.where = np.unique(before * v + self.tokens, return_inverse=True)
+        del before
         self.before, self.after = self.pairs // v, self.pairs % v
-        self.context = np.append(self.vocabulary, START)
-
-    def parts(self, counts: np.ndarray, end_count: int, parts: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
-        """The part of each pair, and the customers of each context: its count, or the number of texts for the start."""
-        customers = np.append(counts, end_count)
-        part = (self.context >> np.uint64(33)).astype(np.int64) % parts
-        hot = customers > max(tokens // (4 * parts), 1000)
-        own = part[self.before]
-        spread = mix(self.vocabulary[self.after] ^ self.context[self.before])
-        return np.where(hot[self.before], (spread >> np.uint64(33)).astype(np.int64) % parts, own), customers
+        self.context, self.customers = np.append(self.names, START), np.append(self.counts, plan.ends)
 
+    def parts(self, plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per part its pairs, the first of each run of a context, the contexts (doubled, odd if dealt by pairs)."""
+        hot = self.customers > plan.part_tokens // 4
+        own = mix(self.context.astype(np.uint64))
+        spread = np.where(hot[self.before], mix(own[self.before] ^ self.names.astype(np.uint64)[self.after]), own[self.before])
+        for part, at in _cut((spread >> np.uint64(33)).astype(np.int64) % plan.parts):
+            starts, _ = runs(self.before[at])
+            heads = self.before[at[starts]]
+            yield part, at, starts, self.context[heads] * 2 + hot[heads]
 
-def _cut(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each part with the places of its members, in order."""
-    order = np.argsort(parts, kind="stable")
-    for a, b in zip(*runs(parts[order])):
-        yield int(parts[order[a]]), order[a:b]
 
+# --- messages ---------------------------------------------------------------------------------------------------------
 
-_NAMES = ["part", "what", "piece", "a", "b", "c", "d", "e"]
-_ROWS = "part int, what int, piece long, a binary, b binary, c binary, d binary, e binary"
-_KINDS = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5
-COUNT, TOTALS, PAIR, TABLES, WORD = range(5)
+_NAMES = ["part", "what", "sender", "body"]
+_ROWS = "part int, what int, sender long, body binary"
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+#: What a message is: counts and totals, words by number, cells, sweeps, answers.
+COUNT, LISTED, ASKED_WORDS, PAIR, PAIR_COUNT, ASKED_CELLS, STATE, SINGLE, SUM, HOT_SUM, BASE, MASS, HOT, SEATED, CELL_TABLES, WORD_TABLES = range(16)
+TOTAL = 100
+(TOKENS, VOCABULARY, ONCE, ENDS, PARENT_TABLES, PARENT_CUSTOMERS, PARENT_MASS) = range(TOTAL, TOTAL + 7)
 
 
-def _row(part: int, what: int, piece: int, *columns: np.ndarray | bytes) -> pa.RecordBatch:
-    values = [c if isinstance(c, bytes) else packed(c) for c in columns] + [b""] * (5 - len(columns))
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, what, piece, *values], _KINDS)], names=_NAMES)
+def _row(part: int, what: int, sender: int, body: bytes = b"") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, what, sender, body], _KINDS)], names=_NAMES)
 
 
 def _table(batches: list[pa.RecordBatch]) -> pa.Table:
     return pa.Table.from_batches(batches, schema=pa.schema(list(zip(_NAMES, _KINDS))))
 
 
-def _word_part(word: np.ndarray, parts: int) -> np.ndarray:
-    """The part of a word, from the 48 bits of its hash that the parent knows it by."""
-    return (word >> np.uint64(4)).astype(np.int64) % parts
+def _received(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[dict]]]:
+    """All messages by part and by what they are, in the order of their senders."""
+    out: dict[int, dict[int, list[dict]]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            out.setdefault(row["part"], {}).setdefault(row["what"], []).append(row)
+    for kinds in out.values():
+        for rows in kinds.values():
+            rows.sort(key=lambda r: r["sender"])
+    return out
 
 
-def _table_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([float(unpacked(b, np.float32).sum(dtype=np.float64)) for b in batch.column(0).to_pylist()], pa.float64())], names=["n"])
+def _cut(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part with the places of its members, in order."""
+    order = np.argsort(parts, kind="stable")
+    for a, b in zip(*runs(parts[order])):
+        yield int(parts[order[a]]), order[a:b]
+
 
+def _owner_of(vocabulary: np.ndarray, owners: int) -> np.ndarray:
+    return (vocabulary >> np.uint64(33)).astype(np.int64) % owners
 
-def _word_requests(parts: int, what: int):
+
+# --- counts of words --------------------------------------------------------------------------------------------------
+
+
+def _word_requests(owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 vocabulary, counts = unpacked(row["vocabulary"], np.uint64), unpacked(row["counts"], np.uint32)
-                for part, at in _cut(_word_part(vocabulary >> np.uint64(16), parts)):
-                    yield _row(part, what, row["piece"], vocabulary[at], counts[at] if what == COUNT else b"", packed(at.astype(np.uint32), rising=True))
+                for owner, at in _cut(_owner_of(vocabulary, owners)):
+                    yield _row(owner, COUNT, row["piece"], bundle(vocabulary[at], counts[at]))
 
     return bounded(run)
 
 
-@bounded
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words of a part over all pieces; each piece gets those of its words."""
-    rows = [r for b in batches for r in b.to_pylist()]
-    if not rows:
-        return
-    asked = [unpacked(r["a"], np.uint64) for r in rows]
-    words_ = np.concatenate(asked)
-    counts = np.concatenate([unpacked(r["b"], np.uint32) for r in rows]).astype(np.int64)
-    names, where = np.unique(words_, return_inverse=True)
-    sums = np.bincount(where, counts, len(names)).astype(np.int64)
-    yield _row(0, TOTALS, 0, np.array([sums.sum(), (sums > 0).sum(), sums[names == END].sum()], np.int64))
-    answers, at = sums[where], 0
-    for r, own in zip(rows, asked):
-        n = len(own)
-        yield _row(0, COUNT, r["piece"], answers[at : at + n], r["c"])
-        at += n
-
-
-def _answers(table: pa.Table, what: int, size: int, kind) -> np.ndarray:
-    """What the parts have answered for each word of a piece."""
-    out = np.zeros(size, kind)
-    for w, a, b in zip(table.column("what").to_pylist(), table.column("a").to_pylist(), table.column("b").to_pylist()):
-        if w == what:
-            out[unpacked(b, np.uint32, rising=True)] = unpacked(a, kind)
-    return out
+def _counted(owners: int):
+    """Counts and numbers of the words of an owner; each piece gets those of its words.
+
+    A word's number is 2 * (place by falling count * owners + owner), and one more if it occurs less than twice. The
+    owner keeps which of its more frequent words a piece asks for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owner, kinds in _received(batches).items():
+            asked = [unbundle(r["body"]) for r in kinds[COUNT]]
+            words_, where = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+            sums = np.bincount(where, np.concatenate([a[1] for a in asked]), len(words_)).astype(np.int64)
+            order = np.argsort(-sums, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            names = 2 * (place * owners + owner) + (sums < 2)
+            listed = int((sums > 1).sum())
+            yield _row(owner, LISTED, listed)
+            for what, n in ((TOKENS, sums.sum()), (VOCABULARY, (sums > 0).sum()), (ONCE, (sums == 1).sum()), (ENDS, sums[words_ == END].sum())):
+                yield _row(owner, what, int(n))
+            at = 0
+            for r, (own, _) in zip(kinds[COUNT], asked):
+                w = where[at : at + len(own)]
+                at += len(own)
+                yield _row(owner, COUNT, r["sender"], bundle(names[w], sums[w]))
+                if len(mine := place[w][sums[w] > 1]):
+                    yield _row(owner, ASKED_WORDS, r["sender"], bundle(mine.astype(np.uint32)))
+
+    return bounded(run)
+
+
+# --- counts of pairs --------------------------------------------------------------------------------------------------
 
 
-def _pair_requests(parts: int, tokens: int, vocabulary: int, end_count: int):
-    """Per part: distinct contexts with run lengths and customers; words, training counts and parent guesses of the pairs."""
+def _answers(table: pa.Table) -> dict[int, dict[int, list[np.ndarray]]]:
+    """What a piece has been told, by what it is and by who has told it."""
+    out: dict[int, dict[int, list[np.ndarray]]] = {}
+    for what, part, body in zip(*(table.column(n) for n in ("what", "part", "body"))):
+        out.setdefault(what.as_py(), {})[part.as_py()] = unbundle(body.as_buffer())
+    return out
+
 
+def _pair_requests(plan: Plan):
     def run(_key, piece: pa.Table, answers: pa.Table) -> pa.Table:
         if not piece.num_rows:
             return _table([])
-        p = Piece(piece)
-        counts = _answers(answers, COUNT, len(p.vocabulary), np.int64)
-        part, customers = p.parts(counts, end_count, parts, tokens)
+        p = Piece(piece, _answers(answers)[COUNT], plan)
         train = np.bincount(p.where[np.repeat(~p.held, p.lengths)], minlength=len(p.pairs)).astype(np.uint32)
-        guess = (np.maximum(counts - PARENT_DISCOUNT, 0) + PARENT_DISCOUNT * vocabulary / (vocabulary + 1)) / (tokens + PARENT_STRENGTH)
-        code = to_codes(guess)
-        word = p.vocabulary >> np.uint64(16)
         out = []
-        for k, at in _cut(part):
-            starts, ends = runs(p.before[at])
-            heads = p.before[at[starts]]
-            w = word[p.after[at]]
-            halves = np.concatenate([(w >> np.uint64(32)).astype(np.uint16).view(np.uint8), w.astype(np.uint32).view(np.uint8)])
-            context = np.stack([p.context[heads], (ends - starts).astype(np.uint64), customers[heads].astype(np.uint64)])
-            out.append(_row(k, PAIR, p.piece, context.reshape(-1), halves, train[at], (code[p.after[at]] >> 8).astype(np.uint8)))
+        for part, at, starts, contexts in p.parts(plan):
+            lengths = np.diff(starts, append=len(at)).astype(np.uint32)
+            out.append(_row(part, PAIR, p.piece, bundle(np.diff(contexts, prepend=0), lengths, p.names[p.after[at]], train[at])))
         return _table(out)
 
     return bounded(run)
 
 
-def _seated(parts: int, seed: int):
-    """Restaurants of a part: answers to every piece's pairs, and tables per word for the parent."""
+def _shares(names: np.ndarray, owners: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The owners of words by number."""
+    return _cut((names >> 1) % owners)
+
+
+def _paired(owners: int):
+    """Cells of a part: the counts that each piece has asked for, and the cells of two or more customers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["piece"], r["part"]))
-        if not rows:
-            return
-        contexts, lengths, customers, word, count, code = [], [], [], [], [], []
-        for r in rows:
-            context = unpacked(r["a"], np.uint64).reshape(3, -1)
-            contexts.append(context[0])
-            lengths.append(context[1].astype(np.int64))
-            customers.append(context[2].astype(np.int64))
-            raw = unpacked(r["b"], np.uint8)
-            n = len(raw) // 6
-            word.append((raw[: 2 * n].view(np.uint16).astype(np.uint64) << np.uint64(32)) | raw[2 * n :].view(np.uint32))
-            count.append(unpacked(r["c"], np.uint32))
-            code.append(unpacked(r["d"], np.uint8))
-        sizes, heads = [len(w) for w in word], [len(c) for c in contexts]
-        contexts, lengths, customers = np.concatenate(contexts), np.concatenate(lengths), np.concatenate(customers)
-        word, count, code = np.concatenate(word), np.concatenate(count), np.concatenate(code)
-        names, first, room_of_head = np.unique(contexts, return_index=True, return_inverse=True)
-        c_u = np.maximum(customers[first], 0).astype(np.float64)
-        room = np.repeat(room_of_head, lengths)
-        # A cell is a pair; one word of 64 bits orders the cells, as collisions need equal context and word.
-        key = mix(word ^ mix(names)[room])
-        cells, one, cell = np.unique(key, return_index=True, return_inverse=True)
-        c = np.bincount(cell, count, len(cells)).astype(np.int64)
-        seen = np.flatnonzero(c > 0)
-        here = np.bincount(room[one[seen]], c[seen], len(names))
-        share = np.where(c_u > 0, np.minimum(np.maximum(here, 1) / np.maximum(c_u, 1), 1), 1.0)
-        guess = from_codes(code[one[seen]].astype(np.uint16) << 8)
-        tables, total = seat(c[seen], room[one[seen]], guess, share, DISCOUNT, STRENGTH, np.random.default_rng([seed, int(cells[0] % (1 << 32)), len(cells)]))
-        known = np.zeros(len(cells))
-        known[seen] = (c[seen] - DISCOUNT * tables) / (STRENGTH + c_u[room[one[seen]]])
-        below = np.minimum((STRENGTH + DISCOUNT * np.where(here > 0, total, 0)) / (STRENGTH + c_u), 1)
-        known_codes, below_codes = to_codes(known), to_codes(below)
-        at = head = 0
-        for r, n, h in zip(rows, sizes, heads):
-            yield _row(r["part"], PAIR, r["piece"], known_codes[cell[at : at + n]], below_codes[room_of_head[head : head + h]])
-            at, head = at + n, head + h
-        w = word[one[seen]]
-        names_w, where = np.unique(w, return_inverse=True)
-        sums = np.bincount(where, tables, len(names_w)).astype(np.float32)
-        for part, at_ in _cut(_word_part(names_w, parts)):
-            yield _row(part, TABLES, 0, names_w[at_], sums[at_])
+        for part, kinds in _received(batches).items():
+            asked = [unbundle(r["body"]) for r in kinds[PAIR]]
+            kinds[PAIR] = [r["sender"] for r in kinds[PAIR]]
+            contexts, room = np.unique(np.concatenate([np.cumsum(a[0]) for a in asked]), return_inverse=True)
+            room_of = np.repeat(room, np.concatenate([a[1] for a in asked]).astype(np.int64))
+            listed, word = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
+            cells, cell = np.unique(room_of * len(listed) + word, return_inverse=True)
+            del room_of, word
+            c = np.bincount(cell, np.concatenate([a[3] for a in asked]), len(cells)).astype(np.int64)
+            sizes = [(len(a[0]), len(a[2])) for a in asked]
+            del asked
+            cell_room, cell_word = cells // len(listed), cells % len(listed)
+            del cells
+            followers = np.bincount(cell_room[c > 0], minlength=len(contexts))
+            many = c > 1
+            active = (contexts & 1).astype(bool)
+            active[cell_room[many]] = True
+            number, of_cell = np.cumsum(active) - 1, np.cumsum(many) - 1
+            at = head = 0
+            for sender, (heads, n) in zip(kinds[PAIR], sizes):
+                rooms, mine = room[head : head + heads], cell[at : at + n]
+                head, at = head + heads, at + n
+                yield _row(part, PAIR_COUNT, sender, bundle(c[mine], followers[rooms].astype(np.uint32), active[rooms]))
+                kept, open_ = of_cell[mine[many[mine]]], number[rooms[active[rooms]]]
+                if len(kept) + len(open_):
+                    yield _row(part, ASKED_CELLS, sender, bundle(kept.astype(np.uint32), open_.astype(np.uint32)))
+            # Words that occur once at all are known to their owner; the others' cells of one customer are reported.
+            one = (c == 1) & ((listed[cell_word] & 1) == 0)
+            ones = np.bincount(cell_word[one], minlength=len(listed))
+            some = np.flatnonzero(ones)
+            for owner, own in _shares(listed[some], owners):
+                names = listed[some[own]]
+                yield _row(owner, SINGLE, part, bundle((names >> 1) // owners, ones[some[own]]))
+            singles = np.bincount(cell_room[c == 1], minlength=len(contexts))
+            used, word = np.unique(cell_word[many], return_inverse=True)
+            state = State(contexts[active], singles[active], number[cell_room[many]], listed[used], word, c[many], np.ones(int(many.sum()), np.int64))
+            yield from state.rows(part, owners)
 
     return bounded(run)
 
 
-def _parent(vocabulary: int, seed: int, tables_all: float):
-    """The parent restaurant's words of a part; each piece gets the probabilities of its words."""
+# --- sweeps -----------------------------------------------------------------------------------------------------------
+
+
+class State:
+    """The seating of a part: its contexts, and its cells of two or more customers with their numbers of tables."""
+
+    def __init__(self, contexts: np.ndarray, singles: np.ndarray, room: np.ndarray, names: np.ndarray, word: np.ndarray, c: np.ndarray, t: np.ndarray, sums: np.ndarray | None = None, totals: list[np.ndarray] | None = None):
+        self.contexts, self.singles, self.room, self.names, self.word, self.c, self.t = contexts, singles, room, names, word, c, t
+        self.sums = np.zeros(len(t), np.int64) if sums is None else sums
+        self.totals = totals or []
+        self.hot = np.flatnonzero(contexts & 1)
+
+    def tables(self) -> np.ndarray:
+        """Tables of each context in this part."""
+        return self.singles + np.bincount(self.room, self.t, len(self.contexts)).astype(np.int64)
+
+    def rows(self, part: int, owners: int) -> Iterator[pa.RecordBatch]:
+        """What goes on to the next sweep, and to the owners: tables per word, tables of contexts that lie in several parts."""
+        yield _row(part, STATE, part, bundle(self.contexts, self.names, self.singles, np.diff(self.room, prepend=0), self.word, self.c, self.t, self.sums, *self.totals))
+        tables = np.bincount(self.word, self.t, len(self.names)).astype(np.int64)
+        for owner, at in _shares(self.names, owners):
+            yield _row(owner, SUM, part, bundle((self.names[at] >> 1) // owners, tables[at]))
+        if len(self.hot):
+            names, local = self.contexts[self.hot], self.tables()[self.hot]
+            for owner, at in _cut((mix(names.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % owners):
+                yield _row(owner, HOT_SUM, part, bundle(names[at], local[at]))
+
+    @classmethod
+    def of(cls, raw: bytes) -> State:
+        contexts, names, singles, room, word, c, t, sums, *totals = unbundle(raw)
+        return cls(contexts, singles, np.cumsum(room), names, word, c, t, sums, totals)
+
+    def hear(self, kinds: dict[int, list[dict]], owners: int) -> tuple[np.ndarray, np.ndarray]:
+        """The owners' answers: the parent's mass per word, and the tables of each context over all parts."""
+        mass, tables = np.ones(len(self.names)), self.tables()
+        given = {r["sender"]: r["body"] for r in kinds.get(MASS, [])}
+        if given:
+            for owner, at in _shares(self.names, owners):
+                mass[at] = unbundle(given[owner])[0] / UNIT
+        given = {r["sender"]: r["body"] for r in kinds.get(HOT, [])}
+        names = self.contexts[self.hot]
+        for owner, at in _cut((mix(names.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % owners):
+            tables[self.hot[at]] = unbundle(given[owner])[0]
+        return mass, tables
+
+
+def seat(state: State, mass: np.ndarray, tables: np.ndarray, seed: int, sweep: int, inner: int = INNER, d: float = DISCOUNT, theta: float = STRENGTH) -> None:
+    """Draw the tables of all cells ``inner`` times; ``mass`` is the parent's share of each word.
+
+    Contexts that lie in several parts are drawn once, as their total is known between sweeps only.
+    """
+    context_key = mix(state.contexts.astype(np.uint64))
+    cell_key = mix(context_key[state.room] + state.names.astype(np.uint64)[state.word])
+    weight = d * mass[state.word]
+    split = (state.contexts & 1).astype(bool)
+    now = np.arange(len(state.c))
+    for k in range(inner):
+        g = gammas(theta / d + tables, salted(context_key, seed, sweep, k, _CONTEXT))
+        room = state.room[now]
+        state.t[now] = draw_tables(state.c[now], g[room] * weight[now], uniform(salted(cell_key[now], seed, sweep, k, _CELL), 0), d)
+        tables = np.where(split, tables, state.tables())
+        if not k and split.any():
+            now = np.flatnonzero(~split[state.room])
+
+
+def _swept(owners: int, seed: int, sweep: int, total_mass: float, note: bool, keep: bool):
+    """A part's next seating. ``note``: the one before was a sample, so note the tables of contexts in several parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        have = [r for r in rows if r["what"] == TABLES]
-        names = np.concatenate([unpacked(r["a"], np.uint64) for r in have] or [np.empty(0, np.uint64)])
-        sums = np.concatenate([unpacked(r["b"], np.float32) for r in have] or [np.empty(0, np.float32)])
-        names, where = np.unique(names, return_inverse=True)
-        c = np.maximum(np.round(np.bincount(where, sums, len(names))), 1).astype(np.int64)
-        share = np.array([min(max(c.sum(), 1) / max(tables_all, 1), 1.0)])
-        uniform = 1 / (vocabulary + 1)
-        if len(c):
-            t, total = seat(c, np.zeros(len(c), np.int64), np.full(len(c), uniform), share, PARENT_DISCOUNT, PARENT_STRENGTH, np.random.default_rng([seed, len(c)]))
-        else:
-            t, total = np.empty(0), np.zeros(1)
-        rest = min((PARENT_STRENGTH + PARENT_DISCOUNT * total[0]) / (PARENT_STRENGTH + tables_all), 1) * uniform
-        p = (c - PARENT_DISCOUNT * t) / (PARENT_STRENGTH + tables_all) + rest
-        for r in rows:
-            if r["what"] == WORD:
-                asked = unpacked(r["a"], np.uint64) >> np.uint64(16)
-                at = np.searchsorted(names, asked)
-                found = np.minimum(at, max(len(names) - 1, 0))
-                hit = names[found] == asked if len(names) else np.zeros(len(asked), bool)
-                yield _row(0, WORD, r["piece"], np.where(hit, p[found] if len(p) else 0, rest).astype(np.float64), r["c"])
+        for part, kinds in _received(batches).items():
+            if STATE not in kinds:
+                continue
+            state = State.of(kinds[STATE][0]["body"])
+            mass, tables = state.hear(kinds, owners)
+            if note and len(state.hot):
+                state.totals[-1] = tables
+            seat(state, mass / total_mass, tables, seed, sweep)
+            if keep:
+                state.sums += state.t
+                state.totals.append(state.tables())
+            yield from state.rows(part, owners)
 
     return bounded(run)
 
 
-_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def parent_mass(c: np.ndarray, t: np.ndarray, key: np.ndarray, new: float, seed: int, sweep: int) -> np.ndarray:
+    """The parent's distribution, not scaled: customers less discounts, and what comes anew from the base."""
+    own = np.maximum(c - PARENT_DISCOUNT * t, 1e-9)
+    y = gammas(own, salted(key, seed, sweep, _WORD_MASS)) + tilted_stables(new, PARENT_DISCOUNT, salted(key, seed, sweep, _WORD_NEW))
+    return np.maximum(np.round(y * UNIT), 1).astype(np.int64)
+
+
+def _owned(owners: int, seed: int, sweep: int, gamma: float, vocabulary: int, keep: bool):
+    """The parent's seating and distribution for the words of an owner, and the tables of contexts in several parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owner, kinds in _received(batches).items():
+            for r in kinds.get(STATE, []):
+                yield _row(r["sender"], STATE, r["sender"], r["body"])
+            if BASE in kinds:
+                ones = unbundle(kinds[BASE][0]["body"])[0]
+            else:
+                ones = np.zeros(sum(r["sender"] for r in kinds.get(LISTED, [])), np.int64)
+                for r in kinds.get(SINGLE, []):
+                    at, n = unbundle(r["body"])
+                    ones[at] += n
+                yield _row(owner, BASE, 0, bundle(ones))
+            customers = ones.copy()
+            sums = [(r["sender"], *unbundle(r["body"])) for r in kinds.get(SUM, [])]
+            for _, at, tables in sums:
+                customers[at] += tables
+            key = mix((2 * (np.arange(len(ones)) * owners + owner)).astype(np.uint64))
+            t = draw_tables(customers, np.full(len(ones), PARENT_DISCOUNT * gamma / (vocabulary + 1)), uniform(salted(key, seed, sweep, _WORD_TABLES), 0), PARENT_DISCOUNT)
+            mass = parent_mass(customers, t, key, gamma / (vocabulary + 1), seed, sweep)
+            for part, at, _ in sums:
+                yield _row(part, MASS, owner, bundle(mass[at]))
+            for what, n in ((PARENT_TABLES, t.sum()), (PARENT_CUSTOMERS, customers.sum()), (PARENT_MASS, mass.sum())):
+                yield _row(owner, what, int(n))
+            if keep and len(ones):
+                yield _row(owner, SEATED, sweep, bundle(customers, t))
+            hot = [(r["sender"], *unbundle(r["body"])) for r in kinds.get(HOT_SUM, [])]
+            if hot:
+                names, where = np.unique(np.concatenate([h[1] for h in hot]), return_inverse=True)
+                totals = np.bincount(where, np.concatenate([h[2] for h in hot])).astype(np.int64)
+                for part, own, _ in hot:
+                    yield _row(part, HOT, owner, bundle(totals[np.searchsorted(names, own)]))
+
+    return bounded(run)
+
+
+def _cell_answers(owners: int):
+    """What pieces have asked of a part's cells: sums of tables over the samples, and tables of contexts per sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, kinds in _received(batches).items():
+            if STATE not in kinds:
+                continue
+            state = State.of(kinds[STATE][0]["body"])
+            if len(state.hot):
+                state.totals[-1] = state.hear(kinds, owners)[1]
+            for r in kinds.get(ASKED_CELLS, []):
+                cells, rooms = unbundle(r["body"])
+                yield _row(part, CELL_TABLES, r["sender"], bundle(state.sums[cells], *(t[rooms] for t in state.totals)))
+
+    return bounded(run)
 
 
-def _summed(parts: int, tokens: int, vocabulary: int, end_count: int):
+@bounded
+def _seated_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What pieces have asked of an owner's words: customers and tables of the parent per sample."""
+    for owner, kinds in _received(batches).items():
+        columns = [x for r in kinds.get(SEATED, []) for x in unbundle(r["body"])]
+        for r in kinds.get(ASKED_WORDS, []):
+            (at,) = unbundle(r["body"])
+            yield _row(owner, WORD_TABLES, r["sender"], bundle(*(x[at] for x in columns)))
+
+
+# --- scores -----------------------------------------------------------------------------------------------------------
+
+_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+
+def parent_probability(c: np.ndarray, t: np.ndarray, customers: int, tables: int, vocabulary: int) -> np.ndarray:
+    """The predictive probability of words with c customers at t tables in the parent."""
+    return (c - PARENT_DISCOUNT * t + (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (vocabulary + 1)) / (PARENT_STRENGTH + customers)
+
+
+def pair_probability(p: Piece, plan: Plan, counts: dict[int, list], cells: dict[int, list], seated: dict[int, list]) -> np.ndarray:
+    """The probability of each pair of a piece, averaged over the samples."""
+    samples = plan.samples
+    many = (p.names & 1) == 0
+    # A word that occurs once has one customer at one table; an unknown one has none.
+    customers = np.repeat((p.counts == 1).astype(np.int64)[None], len(samples), 0)
+    tables = customers.copy()
+    for k, at in _cut(_owner_of(p.vocabulary, plan.owners)):
+        at = p.rank[at]
+        at = at[many[at]]
+        if len(at):
+            for s in range(len(samples)):
+                customers[s, at], tables[s, at] = seated[k][2 * s], seated[k][2 * s + 1]
+    probability = np.empty(len(p.pairs))
+    parent = [parent_probability(c, t, *sample, plan.vocabulary) for c, t, sample in zip(customers, tables, samples)]
+    for part, at, starts, contexts in p.parts(plan):
+        c, followers, active = counts[part]
+        lengths = np.diff(starts, append=len(at))
+        given = cells.get(part)
+        mean = np.minimum(c, 1).astype(np.float64)
+        if given is not None:
+            mean[c > 1] = given[0] / len(samples)
+        below = np.zeros(len(at))
+        for s in range(len(samples)):
+            total = followers.astype(np.float64)
+            if given is not None:
+                total[active] = given[1 + s]
+            below += np.repeat(STRENGTH + DISCOUNT * total, lengths) * parent[s][p.after[at]] / len(samples)
+        probability[at] = (c - DISCOUNT * mean + below) / (STRENGTH + p.customers[p.before[at]])
+    return probability
+
+
+def _read_piece(piece: pa.Table, answers: pa.Table, plan: Plan) -> tuple[Piece, np.ndarray]:
+    told = _answers(answers)
+    p = Piece(piece, told[COUNT], plan)
+    return p, pair_probability(p, plan, told[PAIR_COUNT], told.get(CELL_TABLES, {}), told.get(WORD_TABLES, {}))
+
+
+def _summed(plan: Plan):
     def run(_key, piece: pa.Table, answers: pa.Table) -> pa.Table:
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         names = [f.split()[0] for f in _RESULT.split(", ")]
         if not piece.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-        p = Piece(piece)
-        counts = _answers(answers, COUNT, len(p.vocabulary), np.int64)
-        parent = _answers(answers, WORD, len(p.vocabulary), np.float64)
-        part, _ = p.parts(counts, end_count, parts, tokens)
-        given = {k: (a, b) for w, k, a, b in zip(*(answers.column(n).to_pylist() for n in ("what", "part", "a", "b"))) if w == PAIR}
-        probability = np.empty(len(p.pairs))
-        for k, at in _cut(part):
-            known, below = (unpacked(x, np.uint16) for x in given[k])
-            starts, ends = runs(p.before[at])
-            probability[at] = from_codes(known) + np.repeat(from_codes(below), ends - starts) * parent[p.after[at]]
+        p, probability = _read_piece(piece, answers, plan)
         logs = np.log10(probability)[p.where]
-        base = np.log10((counts + 1) / (tokens + vocabulary + 1))[p.tokens]
+        base = np.log10((p.counts + 1) / (plan.tokens + plan.vocabulary + 1))[p.tokens]
         doc = np.repeat(np.arange(len(p.lengths)), p.lengths)
         add = lambda x: np.bincount(doc, x, len(p.lengths))
-        columns = [pa.array(p.doc_ids, mask=p.no_id), p.held, p.lengths.astype(np.int64), add(counts[p.tokens] > 0).astype(np.int64), np.full(len(p.lengths), tokens), add(base), add(logs)]
+        score = add(logs)
+        columns = [pa.array(p.doc_ids, mask=p.no_id), p.held, p.lengths.astype(np.int64), add(p.counts[p.tokens] > 0).astype(np.int64), np.full(len(p.lengths), plan.tokens), add(base), score, 10 ** (-score / p.lengths)]
         return pa.Table.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(columns, kinds)], names=names)
 
     return bounded(run)
 
 
-def score_documents(docs: DataFrame, seed: int = 3) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs`` (doc_id, text).
+def _listed_pairs(plan: Plan):
+    def run(_key, piece: pa.Table, answers: pa.Table) -> pa.Table:
+        p, probability = _read_piece(piece, answers, plan) if piece.num_rows else (None, np.empty(0))
+        columns = [p.context[p.before], p.names[p.after], p.counts[p.after]] if p else [np.empty(0, np.int64)] * 3
+        return pa.table(dict(zip(("context", "word", "n"), columns)) | {"probability": probability})
 
-    Documents with crc32(doc_id as text) mod 7 = 2 are held out of training; a null doc_id is the empty text there. A
-    null text is empty and has one token, its end. Repeated rows count each. An empty table gives no rows. The base
-    score is log10 of an add-one model of single words, ``score`` that of the Pitman-Yor model.
-    """
+    return bounded(run)
+
+
+def _totals(table: DataFrame) -> dict[int, int]:
+    return {r["what"]: r["n"] for r in table.filter(F.col("what") >= TOTAL).groupBy("what").agg(F.sum("sender").alias("n")).collect()}
+
+
+def _of(table: DataFrame, *what: int) -> DataFrame:
+    return table.filter(F.col("what").isin(*what))
+
+
+def _trained(docs: DataFrame, seed: int, burn_in: int, samples: int, part_tokens: int) -> tuple[GroupedData, GroupedData, Plan]:
+    """Pieces of the documents beside all that the trained model answers them."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pitman-yor")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = scratch.save(texts.mapInArrow(_encoded, _PIECE), "pieces", batch_rows=PIECE_ROWS)
-    ways = n_partitions(spark)
-    asked = pieces.select("piece", "vocabulary", "counts")
-    counts = scratch.save(asked.mapInArrow(_word_requests(ways, COUNT), _ROWS).repartition(ways, "part").mapInArrow(_counted, _ROWS), "counts")
-    scratch.free_shuffles()
-    totals = np.sum([unpacked(r["a"], np.int64) for r in counts.filter(F.col("what") == TOTALS).select("a").collect()] or [np.zeros(3, np.int64)], axis=0)
-    tokens, vocabulary, end_count = (int(x) for x in totals)
-    counts = counts.filter(F.col("what") == COUNT)
-    parts = int(max(ways, tokens // PART_TOKENS + 1))
-    pairs = pieces.groupBy("piece").cogroup(counts.groupBy("piece")).applyInArrow(_pair_requests(parts, tokens, vocabulary, end_count), _ROWS)
-    seated = scratch.save(pairs.repartition(parts, "part").mapInArrow(_seated(ways, seed), _ROWS), "seated")
-    del pairs
-    scratch.free_shuffles()
-    tables = seated.filter(F.col("what") == TABLES)
-    sums = tables.select("b").mapInArrow(_table_sums, "n double").agg(F.sum("n")).first()[0] or 0.0
-    words_asked = asked.mapInArrow(_word_requests(ways, WORD), _ROWS)
-    parent = scratch.save(tables.unionAll(words_asked).repartition(ways, "part").mapInArrow(_parent(vocabulary, seed, float(sums)), _ROWS), "parent")
-    del words_asked
-    scratch.free_shuffles()
-    answers = counts.unionAll(seated.filter(F.col("what") == PAIR)).unionAll(parent)
-    return pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(_summed(parts, tokens, vocabulary, end_count), _RESULT)
+    size = pieces.agg(F.sum("n_tokens")).first()[0] or 0
+    parts, owners = (size // n + 1 + min(7, size // 50_000) for n in (part_tokens, OWNER_TOKENS))
+    at = lambda frame, n: frame.repartitionById(n, F.col("part"))
+    by_piece = lambda frame: frame.withColumnRenamed("sender", "piece").groupBy("piece")
+
+    counted = scratch.save(at(pieces.select("piece", "vocabulary", "counts").mapInArrow(_word_requests(owners), _ROWS), owners).mapInArrow(_counted(owners), _ROWS), "counts")
+    known = _totals(counted)
+    plan = Plan(parts, owners, part_tokens, *(known.get(k, 0) for k in (TOKENS, VOCABULARY, ONCE, ENDS)))
+    counts = _of(counted, COUNT)
+    asked = pieces.groupBy("piece").cogroup(by_piece(counts)).applyInArrow(_pair_requests(plan), _ROWS)
+    paired = scratch.save(at(asked, parts).mapInArrow(_paired(owners), _ROWS), "pairs")
+
+    before, base, read = paired, _of(counted, LISTED).unionAll(_of(paired, SINGLE)), [paired]
+    tables = plan.vocabulary  # the parent starts with one table per word, as do all cells
+    total_mass, totals = 1.0, []
+    for sweep in range(burn_in + samples + 1):
+        keep = sweep > burn_in
+        gamma = float(gammas(np.array([PARENT_STRENGTH / PARENT_DISCOUNT + tables]), salted(np.zeros(1, np.uint64), seed, sweep, _DRIVER))[0])
+        if sweep:
+            moved = at(_of(before, STATE, MASS, HOT), parts).mapInArrow(_swept(owners, seed, sweep, total_mass, sweep > burn_in + 1, keep), _ROWS)
+        else:
+            moved = _of(before, STATE, SUM, HOT_SUM)
+        # Seatings go past the owners unchanged, so that one job does both sides of a sweep.
+        routed = moved.withColumn("part", F.when(F.col("what") == STATE, F.col("part") % owners).otherwise(F.col("part")).cast("int")).unionAll(base)
+        after = scratch.save(at(routed, owners).mapInArrow(_owned(owners, seed, sweep, gamma, plan.vocabulary, keep), _ROWS), f"sweep-{sweep}")
+        got = _totals(after)
+        # Words that occur once, all alike, and the unknown word.
+        alike = float(gammas(np.array([plan.once * (1 - PARENT_DISCOUNT)]), salted(np.ones(1, np.uint64), seed, sweep))[0]) if plan.once else 0.0
+        alike += stable_sum(gamma / (plan.vocabulary + 1) * (plan.once + 1), PARENT_DISCOUNT, seed * 1000 + sweep)
+        total_mass = got.get(PARENT_MASS, 0) / UNIT + alike
+        tables = got.get(PARENT_TABLES, 0) + plan.once
+        if keep:
+            totals.append((got.get(PARENT_CUSTOMERS, 0) + plan.once, tables))
+        if not sweep:
+            base = _of(after, BASE)
+        if not sweep or keep:
+            read.append(after)
+        if not any(before is x for x in read):
+            scratch.drop(before)
+        before = after
+
+    cells = at(_of(before, STATE, HOT).unionAll(_of(paired, ASKED_CELLS)), parts).mapInArrow(_cell_answers(owners), _ROWS)
+    seated = _of(counted, ASKED_WORDS)
+    for table in read[2:]:
+        seated = seated.unionAll(_of(table, SEATED))
+    answers = counts.unionAll(_of(paired, PAIR_COUNT)).unionAll(cells).unionAll(at(seated, owners).mapInArrow(_seated_words, _ROWS))
+    return pieces.groupBy("piece"), by_piece(answers), replace(plan, samples=tuple(totals))
+
+
+def score_documents(docs: DataFrame, seed: int = 3, burn_in: int = BURN_IN, samples: int = SAMPLES, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) per row of ``docs`` (doc_id, text).
+
+    Documents with crc32(doc_id as text) mod 7 = 2 are held out of training; a null doc_id is the empty text there. A
+    null text is empty and has one token, its end. Repeated rows count each. An empty table gives no rows. The base
+    score is log10 of an add-one model of single words, ``score`` that of the Pitman-Yor model, ``perplexity`` its
+    inverse geometric mean per token.
+    """
+    pieces, answers, plan = _trained(docs, seed, burn_in, samples, part_tokens)
+    return pieces.cogroup(answers).applyInArrow(_summed(plan), _RESULT)
+
+
+def pair_probabilities(docs: DataFrame, seed: int = 3, burn_in: int = BURN_IN, samples: int = SAMPLES, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """(context, word, n, probability) of the pairs of words of ``docs``, once per piece.
+
+    Words are numbers; the context START stands before the first word of a text, and n is the training count of the
+    word. Null texts are empty, an empty table gives no rows.
+    """
+    pieces, answers, plan = _trained(docs, seed, burn_in, samples, part_tokens)
+    return pieces.cogroup(answers).applyInArrow(_listed_pairs(plan), "context long, word long, n long, probability double")
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

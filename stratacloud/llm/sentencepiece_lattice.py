@@ -553,7 +553,6 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, form: in
         done = scratch.save(asked.repartition(parts, "part").mapInArrow(_answered(vocabulary), _ANSWER), "answers")
         answers = done if answers is None else answers.unionAll(done)
         del asked, done
-        scratch.free_shuffles()
     scratch.drop(words)
     rest = pieces.select("piece", "doc_ids", "no_id", "lengths", "tokens", "n_words", "digests")
     assemble = lambda t, a: t.groupBy("piece").cogroup(a.groupBy("piece")).applyInArrow(_assembled(vocabulary, form), _LISTS if form == LISTS else _RESULT)
@@ -564,7 +563,6 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, form: in
     for block in range(DIGEST_BLOCKS):
         mine = F.pmod(F.hash("piece"), F.lit(DIGEST_BLOCKS)) == block
         done = scratch.save(assemble(rest.filter(mine), answers.filter(mine)), "digests")
-        scratch.free_shuffles()
         out = done if out is None else out.unionAll(done)
     return out
 

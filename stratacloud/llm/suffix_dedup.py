@@ -370,7 +370,6 @@ def repeated_passages(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
         rows = texts.select("doc_id", "text").mapInArrow(_cover_rows(block, blocks, parts), _ROWS)
         found.append(scratch.save(rows.repartition(parts, "part").mapInArrow(_sorted_bucket(dests), _FOUND), "cover"))
         del rows
-        scratch.free_shuffles()
     verdicts = found[0]
     for more in found[1:]:
         verdicts = verdicts.unionAll(more)
@@ -378,7 +377,6 @@ def repeated_passages(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     strings = placed.groupBy("dest").cogroup(verdicts.filter(F.col("what") == CONTESTED).groupBy("dest")).applyInArrow(_string_rows(parts), _ROWS)
     settled = scratch.save(strings.repartition(parts, "part").mapInArrow(_sorted_strings(dests), _FOUND), "strings")
     del strings
-    scratch.free_shuffles()
     last = verdicts.filter(F.col("what") == REPEAT).unionAll(settled)
     return placed.groupBy("dest").cogroup(last.groupBy("dest")).applyInArrow(_judged, _RESULT)
 

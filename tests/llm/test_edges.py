@@ -2,13 +2,14 @@
 
 import collections
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 
-from stratacloud.llm import embedding_dedup, langid, lm_pitman_yor, minhash_dedup, mixing, quality, secret_scan, sentencepiece_lattice, suffix_dedup, topk_search
+from stratacloud.llm import _seating, embedding_dedup, langid, lm_pitman_yor, minhash_dedup, mixing, quality, secret_scan, sentencepiece_lattice, suffix_dedup, topk_search
 from stratacloud.llm._shared import Scratch, packed, unpacked
 from stratacloud.llm._text import shingles, words
 from stratacloud.llm.components import connected_components
@@ -124,28 +125,86 @@ def test_lm_edges(make, odd_rows):
     assert got[None][0]["held_out"] is False
 
 
-def test_lm_is_a_distribution():
-    """Seats of one restaurant: tables lie between one and the customers, and the predictive sums to one."""
-    rng = np.random.default_rng(1)
-    c = np.array([1, 1, 2, 5, 40, 400])
-    p = np.full(6, 1 / 6)
-    t, total = lm_pitman_yor.seat(c, np.zeros(6, np.int64), p, np.ones(1), 0.8, 1.0, rng)
-    assert (t >= 1 - 1e-9).all() and (t <= c).all() and np.isclose(total[0], t.sum(), rtol=0.2)
-    known, rest = (c - 0.8 * t) / (1 + c.sum()), (1 + 0.8 * t.sum()) / (1 + c.sum())
-    assert np.isclose(known.sum() + rest * p.sum(), 1)
-    # Seating of 40 customers at a low parent probability: few tables, near the exact mean.
-    many = np.full(4000, 40)
-    t, _ = lm_pitman_yor.seat(many, np.arange(4000), np.full(4000, 0.05), np.ones(4000), 0.8, 1.0, rng, burn=30, samples=10, moves=40)
-    # Exact posterior over tables: p^t (theta | d)_t S_d(c, t).
-    s = np.zeros(42)
-    s[1] = 1
-    for n in range(1, 40):
-        s = np.concatenate(([0], s[:-1])) + (n - 0.8 * np.arange(42)) * s
-        s /= s.max()
-    k = np.arange(1, 41)
-    weight = 0.05**k * np.cumprod(1 + 0.8 * np.arange(40)) * s[1:41]
-    exact = (k * weight).sum() / weight.sum()
-    assert abs(t.mean() - exact) < 0.05 * exact
+def log_stirling(c, d):
+    """log S(c, t) of t = 0 to c by the recursion over customers."""
+    row, t = np.full(c + 1, -np.inf), np.arange(c + 1)
+    row[1] = 0.0
+    with np.errstate(divide="ignore"):
+        for n in range(1, c):
+            row = np.logaddexp(np.concatenate(([-np.inf], row[:-1])), np.log(np.maximum(n - d * t, 0)) + row)
+    return row
+
+
+def test_ratios_of_stirling_numbers():
+    for d in (0.7, 0.8):
+        for c in (2, 3, 40, 512, 513, 3000):
+            s, t = log_stirling(c, d), np.arange(1, c)
+            t = t[t < max(200, c // 2)]
+            got = _seating.log_ratio(np.full(len(t), c), t, d)
+            assert np.allclose(got, s[t + 1] - s[t], atol=1e-9 if c <= 512 else 4e-3)
+            exact = t + 1 <= c**d if c > 512 else t > 0
+            assert np.allclose(got[exact], (s[t + 1] - s[t])[exact], atol=1e-9)
+
+
+def test_gamma_and_stable_draws():
+    key = np.arange(200_000, dtype=np.uint64)
+    for shape in (0.3, 1.0, 7.5):
+        x = _seating.gammas(np.full(len(key), shape), key)
+        assert abs(x.mean() - shape) < 0.02 * shape + 0.005 and abs(x.var() - shape) < 0.04 * shape
+    for mass in (0.4, 2.5):
+        x = _seating.tilted_stables(mass, 0.7, key)
+        assert abs(x.mean() - mass * 0.7) < 0.01 * mass and abs(np.exp(-x).mean() - np.exp(-mass * (2**0.7 - 1))) < 0.005
+    assert abs(_seating.stable_sum(1e6, 0.7, 1) - 7e5) < 3000
+
+
+@pytest.mark.parametrize("c, p", [(40, 0.05), (400, 0.05), (400, 0.5), (5000, 0.05), (5000, 0.5)])
+def test_lm_seats_by_the_posterior(c, p):
+    """Restaurants of one word, with the settings that ship, against p**t * (theta | d)_t * S(c, t)."""
+    d, theta, n = lm_pitman_yor.DISCOUNT, lm_pitman_yor.STRENGTH, 3000
+    none = np.zeros(n, np.int64)
+    state = lm_pitman_yor.State(2 * np.arange(n), none, np.arange(n), np.array([4]), none, np.full(n, c), none + 1)
+    seen = []
+    for sweep in range(1, lm_pitman_yor.BURN_IN + lm_pitman_yor.SAMPLES + 1):
+        lm_pitman_yor.seat(state, np.array([p]), state.tables(), 3, sweep)
+        if sweep > lm_pitman_yor.BURN_IN:
+            seen.append(state.t.copy())
+    t = np.arange(1, c + 1)
+    weight = t * np.log(p) + np.concatenate(([0.0], np.cumsum(np.log(theta + d * t[:-1])))) + log_stirling(c, d)[1:]
+    weight = np.exp(weight - weight.max())
+    mean = (t * weight).sum() / weight.sum()
+    sd = np.sqrt(((t - mean) ** 2 * weight).sum() / weight.sum())
+    assert abs(np.mean(seen) - mean) < 0.1 * sd and abs(np.std(seen[-1]) - sd) < 0.1 * sd
+
+
+def test_lm_probabilities_sum_to_one(make, spark):
+    """Over the vocabulary and the unknown word, for a rare context, a frequent one dealt by pairs, and the start."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = " ".join(f"hot {rng.choice(vocabulary[: 2 + rng.randrange(59)])}" for _ in range(3000))
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    words_ = [*vocabulary, "hot", "never"]
+    rows = [doc(train[0], text), *(doc(i, rng.choice(vocabulary)) for i in train[1:800]), doc(train[801], "w1 w2 w3 w2 w1 w1 w1 w1 w2")]
+    rows += [doc(i, f"{w} {w} hot {w} w1 {w} hot") for i, w in zip(held, words_)] + [doc(held[70], "w1"), doc(held[71], "hot"), doc(held[72], "")]
+    got = lm_pitman_yor.pair_probabilities(make(rows), part_tokens=2000).distinct().toPandas()
+    by = {c: g.drop_duplicates("word") for c, g in got.groupby("context")}
+    start = by[lm_pitman_yor.START]
+    whole = [g for g in by.values() if len(g) == len(words_) + 1]
+    assert len(whole) == 3 and any(g is start for g in whole)
+    for g in whole:
+        assert abs(g.probability.sum() - 1) < 1e-9 and (g.n == 0).sum() == 1
+
+
+def test_lm_scores_do_not_hang_on_partitions(make, spark, odd_rows):
+    rows = odd_rows + [doc(500 + i, prose(200, i)) for i in range(60)]
+    one = by_id(lm_pitman_yor.score_documents(make(rows).coalesce(1)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        many = by_id(lm_pitman_yor.score_documents(make(rows[::-1]).repartition(7)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {k: sorted(r["score"] for r in v) for k, v in one.items()} == {k: sorted(r["score"] for r in v) for k, v in many.items()}
 
 
 def test_sentencepiece_edges(make, odd_rows):
