@@ -20,6 +20,8 @@ import numpy as np
 from stratacloud.llm._text import mix
 
 SMALL = 512
+#: Customers up to which cells are drawn side by side.
+FEW = 24
 _TERMS = 40
 _GOLD = 0x9E3779B97F4A7C15
 #: Weights that one step of a draw holds at once.
@@ -170,25 +172,53 @@ def _mode(c: np.ndarray, a: np.ndarray, d: float) -> np.ndarray:
     return np.clip(a / d * -np.expm1(d * (low + high) / 2), 1, c)
 
 
+def _few(c: np.ndarray, a: np.ndarray, u: np.ndarray, d: float) -> np.ndarray:
+    """``draw_tables`` of up to FEW customers; c falls. One step per number of tables, over the cells that have more customers."""
+    ratio = np.exp(_ratios(d)[: FEW + 1, : FEW + 1])
+    falling, weights = -c, [np.ones(len(c))]
+    total = np.ones(len(c))
+    # Beyond this number of tables the weights of all cells together are below 1e-12 of their first.
+    rate = float(a.max(initial=0.0)) / d
+    for t in range(1, min(FEW, int(6 + 9 * rate**0.5 + 2 * rate) + 1)):
+        n = int(np.searchsorted(falling, -t))  # cells with c > t
+        if not n:
+            break
+        w = weights[-1][:n] * a[:n] * ratio[c[:n], t]
+        weights.append(w)
+        total[:n] += w
+    want, done, out = u * total, np.zeros(len(c)), np.ones(len(c), np.int64)
+    for t, w in enumerate(weights[:-1]):
+        done[: len(w)] += w
+        n = len(weights[t + 1])
+        out[:n] += done[:n] <= want[:n]
+    return np.minimum(out, c)
+
+
 def draw_tables(c: np.ndarray, a: np.ndarray, u: np.ndarray, d: float) -> np.ndarray:
     """Numbers of tables t of c customers each, drawn by u from the weights a**t S(c, t).
 
-    Weights are summed within ten standard deviations of the mode and more; a Poisson law bounds the deviation.
+    Weights are summed to where a Poisson law, which bounds them, has 1e-12 left, or within ten standard deviations of
+    the mode and more.
     """
     out = np.ones(len(c), np.int64)
     todo = np.flatnonzero((c > 1) & (a > 0))
-    two = todo[c[todo] == 2]
-    out[two] += u[two] * ((1 - d) + a[two]) < a[two]
-    todo = todo[c[todo] > 2]
+    low = todo[c[todo] <= FEW]
+    low = low[np.argsort(-c[low].astype(np.int8), kind="stable")]
+    # Cells of alike rates go together, as the greatest says how far to go.
+    rate = a[low] / d
+    for lower, upper in ((0, 0.02), (0.02, 0.5), (0.5, np.inf)):
+        at = low[(rate >= lower) & (rate < upper)]
+        if len(at):
+            out[at] = _few(c[at], a[at], u[at], d)
+    todo = todo[c[todo] > FEW]
     if not len(todo):
         return out
     cc, aa = c[todo].astype(np.int64), a[todo]
-    mode = np.where(cc <= 24, 1.0, 0.0)
-    large = np.flatnonzero(cc > 24)
-    mode[large] = _mode(cc[large].astype(np.float64), aa[large], d)
+    mode = _mode(cc.astype(np.float64), aa, d)
+    small = aa / d < 4
     width = 10 * np.sqrt(mode) + 12
-    first = np.where(cc <= 24, 1, np.maximum(1, np.floor(mode - width))).astype(np.int64)
-    last = np.where(cc <= 24, cc, np.minimum(cc, np.ceil(mode + width))).astype(np.int64)
+    first = np.where(small, 1, np.maximum(1, np.floor(mode - width))).astype(np.int64)
+    last = np.minimum(cc, np.where(small, np.ceil(6 + 9 * np.sqrt(aa / d) + 2 * aa / d), np.ceil(mode + width))).astype(np.int64)
     ends = np.cumsum(last - first + 1)
     i = 0
     while i < len(todo):
@@ -201,7 +231,7 @@ def draw_tables(c: np.ndarray, a: np.ndarray, u: np.ndarray, d: float) -> np.nda
         inner = np.ones(len(cell), bool)
         inner[start] = False
         inner = np.flatnonzero(inner)
-        steps[inner] = np.log(aa[cell[inner]]) + log_ratio(cc[cell[inner]], t[inner] - 1, d)
+        steps[inner] = np.log(aa)[cell[inner]] + log_ratio(cc[cell[inner]], t[inner] - 1, d)
         # Sums run over each cell alone: the total before a cell is taken off at its first row.
         log_w = np.cumsum(steps)
         log_w -= np.repeat(log_w[start], n)

@@ -140,22 +140,32 @@ def binary_array(pieces: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(pieces))])
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers of 64 bits in the fewest bytes that hold them."""
+    if a.dtype == np.int64 and len(a) and a.min() >= 0:
+        top = int(a.max())
+        return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+    return a
+
+
 def bundle(*arrays: np.ndarray) -> bytes:
     """Several columns as one compressed value: their types and lengths, and byte planes of each."""
-    head = b"".join(np.dtype(a.dtype).str[1:].encode().ljust(4) + len(a).to_bytes(8, "little") for a in arrays)
-    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays if len(a)]
+    code = lambda kind: np.dtype(kind).str[1:].encode().ljust(4)
+    kept = [_narrow(np.ascontiguousarray(a)) for a in arrays]
+    head = b"".join(code(a.dtype) + code(k.dtype) + len(a).to_bytes(8, "little") for a, k in zip(arrays, kept))
+    planes = [np.ascontiguousarray(k.view(np.uint8).reshape(len(k), -1).T).tobytes() for k in kept if len(k)]
     return zstandard.ZstdCompressor(level=1).compress(b"".join([bytes([len(arrays)]), head, *planes]))
 
 
 def unbundle(raw: bytes) -> list[np.ndarray]:
     data = memoryview(zstandard.ZstdDecompressor().decompress(raw))
-    out, at = [], 1 + 12 * data[0]
-    for k in range(data[0]):
-        kind = np.dtype(bytes(data[1 + 12 * k : 5 + 12 * k]).decode().strip())
-        n = int.from_bytes(data[5 + 12 * k : 13 + 12 * k], "little")
-        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
-        at += n * kind.itemsize
+    kind = lambda at: np.dtype(bytes(data[at : at + 4]).decode().strip())
+    out, at = [], 1 + 16 * data[0]
+    for k in range(1, 1 + 16 * data[0], 16):
+        wide, small, n = kind(k), kind(k + 4), int.from_bytes(data[k + 8 : k + 16], "little")
+        planes = np.frombuffer(data, np.uint8, n * small.itemsize, at).reshape(small.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(small).reshape(-1).astype(wide, copy=False))
+        at += n * small.itemsize
     return out
 
 

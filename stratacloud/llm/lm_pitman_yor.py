@@ -35,7 +35,7 @@ more of them than pairs. Nothing is broadcast; the driver sees totals only. Word
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -160,15 +160,40 @@ _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 #: What a message is: counts and totals, words by number, cells, sweeps, answers.
 COUNT, LISTED, ASKED_WORDS, PAIR, PAIR_COUNT, ASKED_CELLS, STATE, SINGLE, SUM, HOT_SUM, BASE, MASS, HOT, SEATED, CELL_TABLES, WORD_TABLES = range(16)
 TOTAL = 100
-(TOKENS, VOCABULARY, ONCE, ENDS, PARENT_TABLES, PARENT_CUSTOMERS, PARENT_MASS) = range(TOTAL, TOTAL + 7)
+(TOKENS, VOCABULARY, ONCE, ENDS, PARENT_TABLES, PARENT_CUSTOMERS, PARENT_MASS, QUIET, QUIET_TABLES, QUIET_CUSTOMERS) = range(TOTAL, TOTAL + 10)
 
 
-def _row(part: int, what: int, sender: int, body: bytes = b"") -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, what, sender, body], _KINDS)], names=_NAMES)
+_BATCH_ROWS, _BATCH_BYTES = 256, 4 << 20
+Message = tuple[int, int, int, bytes]
 
 
-def _table(batches: list[pa.RecordBatch]) -> pa.Table:
-    return pa.Table.from_batches(batches, schema=pa.schema(list(zip(_NAMES, _KINDS))))
+def _row(part: int, what: int, sender: int, body: bytes = b"") -> Message:
+    return part, what, sender, body
+
+
+def _batch(rows: list[Message]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
+
+
+def _table(rows: list[Message]) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows)] if rows else [], schema=pa.schema(list(zip(_NAMES, _KINDS))))
+
+
+def messages(f: Callable[[Iterator[pa.RecordBatch]], Iterator[Message]]):
+    """A function that yields messages, as one of batches of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in f(batches):
+            held.append(row)
+            size += len(row[3])
+            if len(held) >= _BATCH_ROWS or size > _BATCH_BYTES:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
+
+    return bounded(run)
 
 
 def _received(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[dict]]]:
@@ -198,14 +223,14 @@ def _owner_of(vocabulary: np.ndarray, owners: int) -> np.ndarray:
 
 
 def _word_requests(owners: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Message]:
         for batch in batches:
             for row in batch.to_pylist():
                 vocabulary, counts = unpacked(row["vocabulary"], np.uint64), unpacked(row["counts"], np.uint32)
                 for owner, at in _cut(_owner_of(vocabulary, owners)):
                     yield _row(owner, COUNT, row["piece"], bundle(vocabulary[at], counts[at]))
 
-    return bounded(run)
+    return messages(run)
 
 
 def _counted(owners: int):
@@ -215,7 +240,7 @@ def _counted(owners: int):
     owner keeps which of its more frequent words a piece asks for.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Message]:
         for owner, kinds in _received(batches).items():
             asked = [unbundle(r["body"]) for r in kinds[COUNT]]
             words_, where = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
@@ -236,7 +261,7 @@ def _counted(owners: int):
                 if len(mine := place[w][sums[w] > 1]):
                     yield _row(owner, ASKED_WORDS, r["sender"], bundle(mine.astype(np.uint32)))
 
-    return bounded(run)
+    return messages(run)
 
 
 # --- counts of pairs --------------------------------------------------------------------------------------------------
@@ -273,7 +298,7 @@ def _shares(names: np.ndarray, owners: int) -> Iterator[tuple[int, np.ndarray]]:
 def _paired(owners: int):
     """Cells of a part: the counts that each piece has asked for, and the cells of two or more customers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Message]:
         for part, kinds in _received(batches).items():
             asked = [unbundle(r["body"]) for r in kinds[PAIR]]
             kinds[PAIR] = [r["sender"] for r in kinds[PAIR]]
@@ -312,7 +337,7 @@ def _paired(owners: int):
             state = State(contexts[active], singles[active], number[cell_room[many]], listed[used], word, c[many], np.ones(int(many.sum()), np.int64))
             yield from state.rows(part, owners)
 
-    return bounded(run)
+    return messages(run)
 
 
 # --- sweeps -----------------------------------------------------------------------------------------------------------
@@ -331,7 +356,7 @@ class State:
         """Tables of each context in this part."""
         return self.singles + np.bincount(self.room, self.t, len(self.contexts)).astype(np.int64)
 
-    def rows(self, part: int, owners: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, part: int, owners: int) -> Iterator[Message]:
         """What goes on to the next sweep, and to the owners: tables per word, tables of contexts that lie in several parts."""
         yield _row(part, STATE, part, bundle(self.contexts, self.names, self.singles, np.diff(self.room, prepend=0), self.word, self.c, self.t, self.sums, *self.totals))
         tables = np.bincount(self.word, self.t, len(self.names)).astype(np.int64)
@@ -383,7 +408,7 @@ def seat(state: State, mass: np.ndarray, tables: np.ndarray, seed: int, sweep: i
 def _swept(owners: int, seed: int, sweep: int, total_mass: float, note: bool, keep: bool):
     """A part's next seating. ``note``: the one before was a sample, so note the tables of contexts in several parts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Message]:
         for part, kinds in _received(batches).items():
             if STATE not in kinds:
                 continue
@@ -397,7 +422,7 @@ def _swept(owners: int, seed: int, sweep: int, total_mass: float, note: bool, ke
                 state.totals.append(state.tables())
             yield from state.rows(part, owners)
 
-    return bounded(run)
+    return messages(run)
 
 
 def parent_mass(c: np.ndarray, t: np.ndarray, key: np.ndarray, new: float, seed: int, sweep: int) -> np.ndarray:
@@ -410,7 +435,7 @@ def parent_mass(c: np.ndarray, t: np.ndarray, key: np.ndarray, new: float, seed:
 def _owned(owners: int, seed: int, sweep: int, gamma: float, vocabulary: int, keep: bool):
     """The parent's seating and distribution for the words of an owner, and the tables of contexts in several parts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Message]:
         for owner, kinds in _received(batches).items():
             for r in kinds.get(STATE, []):
                 yield _row(r["sender"], STATE, r["sender"], r["body"])
@@ -428,10 +453,15 @@ def _owned(owners: int, seed: int, sweep: int, gamma: float, vocabulary: int, ke
                 customers[at] += tables
             key = mix((2 * (np.arange(len(ones)) * owners + owner)).astype(np.uint64))
             t = draw_tables(customers, np.full(len(ones), PARENT_DISCOUNT * gamma / (vocabulary + 1)), uniform(salted(key, seed, sweep, _WORD_TABLES), 0), PARENT_DISCOUNT)
-            mass = parent_mass(customers, t, key, gamma / (vocabulary + 1), seed, sweep)
+            # The mass of words that no part asks for is needed in all only; the driver draws it.
+            asked = np.zeros(len(ones), bool)
+            for _, at, _ in sums:
+                asked[at] = True
+            mass = np.zeros(len(ones), np.int64)
+            mass[asked] = parent_mass(customers[asked], t[asked], key[asked], gamma / (vocabulary + 1), seed, sweep)
             for part, at, _ in sums:
                 yield _row(part, MASS, owner, bundle(mass[at]))
-            for what, n in ((PARENT_TABLES, t.sum()), (PARENT_CUSTOMERS, customers.sum()), (PARENT_MASS, mass.sum())):
+            for what, n in ((PARENT_TABLES, t.sum()), (PARENT_CUSTOMERS, customers.sum()), (PARENT_MASS, mass.sum()), (QUIET, (~asked).sum()), (QUIET_TABLES, t[~asked].sum()), (QUIET_CUSTOMERS, customers[~asked].sum())):
                 yield _row(owner, what, int(n))
             if keep and len(ones):
                 yield _row(owner, SEATED, sweep, bundle(customers, t))
@@ -442,13 +472,13 @@ def _owned(owners: int, seed: int, sweep: int, gamma: float, vocabulary: int, ke
                 for part, own, _ in hot:
                     yield _row(part, HOT, owner, bundle(totals[np.searchsorted(names, own)]))
 
-    return bounded(run)
+    return messages(run)
 
 
 def _cell_answers(owners: int):
     """What pieces have asked of a part's cells: sums of tables over the samples, and tables of contexts per sample."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Message]:
         for part, kinds in _received(batches).items():
             if STATE not in kinds:
                 continue
@@ -459,11 +489,11 @@ def _cell_answers(owners: int):
                 cells, rooms = unbundle(r["body"])
                 yield _row(part, CELL_TABLES, r["sender"], bundle(state.sums[cells], *(t[rooms] for t in state.totals)))
 
-    return bounded(run)
+    return messages(run)
 
 
-@bounded
-def _seated_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@messages
+def _seated_words(batches: Iterator[pa.RecordBatch]) -> Iterator[Message]:
     """What pieces have asked of an owner's words: customers and tables of the parent per sample."""
     for owner, kinds in _received(batches).items():
         columns = [x for r in kinds.get(SEATED, []) for x in unbundle(r["body"])]
@@ -587,9 +617,10 @@ def _trained(docs: DataFrame, seed: int, burn_in: int, samples: int, part_tokens
         routed = moved.withColumn("part", F.when(F.col("what") == STATE, F.col("part") % owners).otherwise(F.col("part")).cast("int")).unionAll(base)
         after = scratch.save(at(routed, owners).mapInArrow(_owned(owners, seed, sweep, gamma, plan.vocabulary, keep), _ROWS), f"sweep-{sweep}")
         got = _totals(after)
-        # Words that occur once, all alike, and the unknown word.
-        alike = float(gammas(np.array([plan.once * (1 - PARENT_DISCOUNT)]), salted(np.ones(1, np.uint64), seed, sweep))[0]) if plan.once else 0.0
-        alike += stable_sum(gamma / (plan.vocabulary + 1) * (plan.once + 1), PARENT_DISCOUNT, seed * 1000 + sweep)
+        # In one draw what no part asks for: words that occur once, others without a cell of two, and the unknown word.
+        own = got.get(QUIET_CUSTOMERS, 0) + plan.once - PARENT_DISCOUNT * (got.get(QUIET_TABLES, 0) + plan.once)
+        alike = float(gammas(np.array([own]), salted(np.ones(1, np.uint64), seed, sweep))[0]) if own > 0 else 0.0
+        alike += stable_sum(gamma / (plan.vocabulary + 1) * (got.get(QUIET, 0) + plan.once + 1), PARENT_DISCOUNT, seed * 1000 + sweep)
         total_mass = got.get(PARENT_MASS, 0) / UNIT + alike
         tables = got.get(PARENT_TABLES, 0) + plan.once
         if keep:
