@@ -8,7 +8,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 PIECE_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20_240_611))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE, _BYTE_AGAIN = (_rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -42,12 +42,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any slices of one byte buffer from prefix sums; equal slices hash equally wherever they lie."""
+    """Hashes of any slices of one byte buffer from prefix sums; equal slices hash equally wherever they lie.
 
-    def __init__(self, data: np.ndarray):
+    ``again`` gives hashes that are independent of the others.
+    """
+
+    def __init__(self, data: np.ndarray, again: bool = False):
         up, self.down = powers(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum((_BYTE_AGAIN if again else _BYTE)[data] * up[: len(data)], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])

@@ -21,13 +21,13 @@ A very frequent prefix with many different surroundings is salted: such suffixes
 witnesses stay in the prefix's own bucket so that the others there know that they are contested.
 
 Repeats inside one task's texts are settled there and never sent twice. Documents and verdicts meet by cogroup over
-parts of bounded size.
+parts of bounded size, by doc_id and a hash of the text. Strings count as equal by 96 bits of two independent
+fingerprints: among the 1.2e13 cover suffixes of 100 TB the expected number of false pairs is 1e-3.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, binary_array, bounded, column_bytes, n_partitions, pieces_of, read_table, runs
+from stratacloud.llm._shared import Scratch, bounded, bundle, column_bytes, pieces_of, read_table, runs, unbundle
 from stratacloud.llm._text import Rolling, mix
 
 LENGTH = 100
@@ -45,15 +45,18 @@ COVER = (1, 2, 4, 8, 16, 32, 37, 55, 64)
 PREFIX = LENGTH - COVER_MODULUS + 1
 BEFORE = COVER_MODULUS - 1
 PIECE = 2 << 20
-#: Different surroundings of one prefix in a piece from which on it is salted.
+#: Cover suffixes that one bucket should hold.
+BUCKET_SUFFIXES = 800_000
+#: Different surroundings of one prefix in a piece from which on it is salted, at most.
 HOT = 64
 #: Bytes of text that a part of the cogroups should hold.
 PART_BYTES = 6 << 20
-BLOCKS = 2
+BLOCKS = 3
 
 SAMPLE, SALTED, REPEAT, CONTESTED, STRING = range(5)
-_ROWS = "part int, what int, docs binary, prefix binary, rank binary, doc binary, pos binary"
-_FOUND = "dest int, what int, doc binary, pos binary"
+_ROWS = "part int, what int, body binary"
+_NAMES = ["part", "what", "body"]
+_KINDS = [pa.int32(), pa.int32(), pa.binary()]
 
 
 def cover_positions(n: int) -> np.ndarray:
@@ -63,195 +66,181 @@ def cover_positions(n: int) -> np.ndarray:
     return flat[: np.searchsorted(flat, n)]
 
 
-def _row(part: int, what: int, docs=b"", prefix=b"", rank=b"", doc=b"", pos=b"") -> tuple:
-    return part, what, docs, prefix, rank, doc, pos
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * (len(names) - 2)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows)] if rows else [], schema=pa.schema(list(zip(_NAMES, _KINDS))))
 
 
-_ROW_NAMES = ["part", "what", "docs", "prefix", "rank", "doc", "pos"]
-_FOUND_NAMES = ["dest", "what", "doc", "pos"]
+class Texts:
+    """Texts in the order of (doc_id, identity); a place is a position on the line on which they follow each other."""
 
+    def __init__(self, doc: np.ndarray, ident: np.ndarray, length: np.ndarray):
+        self.doc, self.ident = doc, ident
+        self.starts = np.cumsum(length) - length
 
-def _places(doc: np.ndarray, pos: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Places on the line on which all texts follow each other; they rise where doc (an order of texts) and pos do."""
-    return np.concatenate(([0], np.cumsum(lengths)))[doc] + pos
+    def dealt(self, parts: np.ndarray, what: int, place: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """One message per part: rising places, the texts they need, and columns."""
+        order = np.argsort(parts, kind="stable")
+        parts, out = parts[order], []
+        for a, b in zip(*runs(parts)):
+            at = order[a:b]
+            used, text = np.unique(np.searchsorted(self.starts, place[at], side="right") - 1, return_inverse=True)
+            pos = place[at] - self.starts[used][text]
+            out.append((int(parts[a]), what, bundle(self.doc[used], self.ident[used], np.bincount(text).astype(np.uint32), pos.astype(np.uint32), *(c[at] for c in columns))))
+        return out
 
 
-def _packed(places: np.ndarray) -> bytes:
-    """Rising places as differences of two bytes, or of four where one is large."""
-    steps = np.diff(places, prepend=0)
-    kind = np.uint16 if steps.max(initial=0) < 65536 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + steps.astype(kind).tobytes()
+def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[np.ndarray]]]:
+    """All messages by part and by what they are: doc_id, identity, position and the columns of every entry."""
+    found: dict[int, dict[int, list[list[np.ndarray]]]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            doc, ident, times, pos, *columns = unbundle(row["body"])
+            found.setdefault(row["part"], {}).setdefault(row["what"], []).append([np.repeat(doc, times), np.repeat(ident, times), pos, *columns])
+    return {part: {what: [np.concatenate(x) for x in zip(*entries)] for what, entries in kinds.items()} for part, kinds in found.items()}
+
 
+class Groups:
+    """Entries with equal keys, in the order of key, doc_id, identity and position.
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.uint32, offset=1), dtype=np.int64)
+    ``later`` are those for which an earlier start exists: in a smaller doc_id, or in the same text. The others of a
+    group are its first texts, which have one doc_id; they differ in text if there are several.
+    """
 
+    def __init__(self, keys: tuple[np.ndarray, ...], doc: np.ndarray, ident: np.ndarray, pos: np.ndarray):
+        self.order = np.lexsort((pos, ident, doc, *reversed(keys)))
+        doc, ident, pos = doc[self.order], ident[self.order], pos[self.order]
+        self.new = np.ones(len(doc), bool)
+        self.new[1:] = np.logical_or.reduce([k[self.order][1:] != k[self.order][:-1] for k in keys])
+        group = np.cumsum(self.new) - 1
+        text = self.new.copy()
+        text[1:] |= (doc[1:] != doc[:-1]) | (ident[1:] != ident[:-1])
+        heads, own = np.flatnonzero(self.new), np.flatnonzero(text)[np.cumsum(text) - 1]
+        self.later = (doc != doc[heads][group]) | (pos != pos[own])
+        self.again = ~self.later & (np.arange(len(doc)) != own)  # the same place of a repeated row
 
-def _dealt(parts: np.ndarray, what: int, ids: np.ndarray, starts: np.ndarray, columns: dict[str, np.ndarray]) -> list[tuple]:
-    """One packed row per part. Columns: place (rising), and prefix and rank where there are any.
 
-    ids and starts are those of the texts in the order of their places; only those that a row needs go along.
-    """
-    order = np.argsort(parts, kind="stable")
-    parts = parts[order]
-    out = []
-    for a, b in zip(*runs(parts)):
-        at = order[a:b]
-        place = columns["place"][at]
-        used, doc = np.unique(np.searchsorted(starts, place, side="right") - 1, return_inverse=True)
-        # Places shrink to the used texts: their starts go along, relative to the first.
-        shift = starts[used[0]]
-        out.append(_row(int(parts[a]), what, ids[used].tobytes(), columns["prefix"][at].astype(np.uint32).tobytes() if "prefix" in columns else b"", columns["rank"][at].tobytes() if "rank" in columns else b"", (starts[used] - shift).astype(np.uint32).tobytes(), _packed(place - shift)))
-    return out
-
-
-def _cover_rows(block: int, blocks: int, parts: int):
+def _cover_rows(block: int, blocks: int, parts: int, hot_from: int):
     """Texts to the cover suffixes of a block, packed per bucket."""
 
-    def piece(ids: np.ndarray, data: np.ndarray, offs: np.ndarray) -> list[tuple]:
+    def piece(ids: np.ndarray, idents: np.ndarray, data: np.ndarray, offs: np.ndarray) -> list[tuple]:
         length = np.diff(offs)
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((idents, ids))
         order = order[length[order] >= LENGTH]
         if not len(order):
             return []
         rolling = Rolling(data)
         template = cover_positions(int(length.max()))
         counts = np.searchsorted(template, length[order] - PREFIX + 1)
-        doc = np.repeat(order, counts)
+        nth = np.repeat(np.arange(len(order)), counts)
+        doc = order[nth]
         pos = np.concatenate([template[:c] for c in counts])
         at = offs[doc] + pos
         prefix = rolling.of(at, at + PREFIX)
         mine = (prefix >> np.uint64(56)).astype(np.int64) % blocks == block
-        doc, pos, at, prefix = doc[mine], pos[mine], at[mine], prefix[mine]
+        nth, doc, pos, at, prefix = nth[mine], doc[mine], pos[mine], at[mine], prefix[mine]
         low, high = np.maximum(at - BEFORE, offs[doc]), np.minimum(at + LENGTH, offs[doc + 1])
-        rank = mix(rolling.of(low, high) + (at - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - at).astype(np.uint64))
-        # Only the first of a rank goes on; the others are repeats already. Order here is by doc_id, then position.
-        # Equal rows are one: the same place of the same doc_id is neither.
-        _, first, where = np.unique(rank, return_index=True, return_inverse=True)
-        head = first[where]
-        later = (pos != pos[head]) | (ids[doc] != ids[doc[head]])
-        del where, head
-        rows = []
-        nth = np.empty(len(length), np.int64)
-        nth[order] = np.arange(len(order))
-        place = _places(nth[doc], pos, length[order])
-        texts = ids[order], np.concatenate(([0], np.cumsum(length[order])[:-1]))
+        edges = (at - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - at).astype(np.uint64)
+        rank = mix(rolling.of(low, high) + edges)
+        del rolling
+        check = (Rolling(data, again=True).of(low, high) >> np.uint64(32)).astype(np.uint32)
+        groups = Groups((rank, check), ids[doc], idents[doc], pos)
+        texts = Texts(ids[order], idents[order], length[order])
+        place = texts.starts[nth] + pos
         bucket = ((prefix >> np.uint64(32)) & np.uint64(0xFFFFFF)).astype(np.int64) % parts
-        if later.any():
-            rows += _dealt(bucket[later], REPEAT, *texts, {"place": place[later]})
-        first.sort()
-        prefix, rank, place, bucket = prefix[first], rank[first], place[first], bucket[first]
+        rows = []
+        # What is later here is a repeat whatever the other pieces hold, and is sent no further.
+        if (later := np.sort(groups.order[groups.later])).size:
+            rows += texts.dealt(bucket[later], REPEAT, place[later])
+        first = np.sort(groups.order[~groups.later & ~groups.again])
+        prefix, rank, check, place, bucket = prefix[first], rank[first], check[first], place[first], bucket[first]
         _, where, times = np.unique(prefix, return_inverse=True, return_counts=True)
-        hot = times[where] > HOT
+        hot = times[where] > hot_from
         plain = ~hot
+        short = prefix.astype(np.uint32)
         if hot.any():
             salted = (rank >> np.uint64(32)).astype(np.int64) % parts
-            rows += _dealt(salted[hot], SALTED, *texts, {"prefix": prefix[hot], "rank": rank[hot], "place": place[hot]})
-            by = np.flatnonzero(hot)[np.argsort(prefix[hot], kind="stable")]
-            starts, _ = runs(prefix[by])
-            plain[by[starts]] = plain[by[starts + 1]] = True
+            rows += texts.dealt(salted[hot], SALTED, place[hot], rank[hot], check[hot])
+            by = np.flatnonzero(hot)[np.lexsort((rank[hot], prefix[hot]))]
+            starts, ends = runs(prefix[by])
+            plain[by[starts]] = plain[by[ends - 1]] = True
         if plain.any():
-            rows += _dealt(bucket[plain], SAMPLE, *texts, {"prefix": prefix[plain], "rank": rank[plain], "place": place[plain]})
+            rows += texts.dealt(bucket[plain], SAMPLE, place[plain], short[plain], rank[plain], check[plain])
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offs = column_bytes(batch.column(1))
+            ids, idents = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, offs = column_bytes(batch.column(2))
             for i, j, part, at in pieces_of(data, offs, PIECE):
-                if rows := piece(ids[i:j], part, at):
-                    yield _batch(rows, _ROW_NAMES)
+                if rows := piece(ids[i:j], idents[i:j], part, at):
+                    yield _batch(rows)
 
     return bounded(run)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[np.ndarray]]:
-    """All packed rows of a bucket by what they are: prefix, rank, doc_id, pos."""
-    parts: dict[int, list[list[np.ndarray]]] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids, starts, place = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["doc"], np.uint32).astype(np.int64), _unpacked(row["pos"])
-            doc = np.searchsorted(starts, place, side="right") - 1
-            entry = [np.frombuffer(row["prefix"], np.uint32), np.frombuffer(row["rank"], np.uint64), ids[doc], (place - starts[doc]).astype(np.uint32)]
-            parts.setdefault(row["what"], []).append(entry)
-    return {what: [np.concatenate(x) for x in zip(*entries)] for what, entries in parts.items()}
-
-
-def _sent_back(found: list[tuple[int, np.ndarray, np.ndarray]], dests: int) -> Iterator[pa.RecordBatch]:
-    """Verdicts (what, doc_id, pos) packed by the part that the document belongs to."""
+def _sent_back(found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], dests: int) -> Iterator[pa.RecordBatch]:
+    """Verdicts (what, doc_id, identity, position) packed by the part that the text belongs to."""
     rows = []
-    for what, doc, pos in found:
-        if not len(doc):
-            continue
-        names, where = np.unique(doc, return_inverse=True)
-        dest = np.array([zlib.crc32(str(n).encode()) % dests for n in names.tolist()])[where]
-        # Sorted by document and place they take little room.
-        order = np.lexsort((pos, where, dest))
-        dest, doc, pos = dest[order], doc[order], pos[order]
-        rows += [(int(dest[a]), what, doc[a:b].tobytes(), pos[a:b].astype(np.uint32).tobytes()) for a, b in zip(*runs(dest))]
+    for what, doc, ident, pos in found:
+        order = np.lexsort((pos, doc, ident, ident % dests))
+        doc, ident, pos = doc[order], ident[order], pos[order]
+        dest = ident % dests
+        for a, b in zip(*runs(dest)):
+            text = np.ones(b - a, bool)
+            text[1:] = (ident[a + 1 : b] != ident[a : b - 1]) | (doc[a + 1 : b] != doc[a : b - 1])
+            heads = np.flatnonzero(text)
+            rows.append((int(dest[a]), what, bundle(doc[a:b][heads], ident[a:b][heads], np.diff(heads, append=b - a).astype(np.uint32), pos[a:b].astype(np.uint32))))
     if rows:
-        yield _batch(rows, _FOUND_NAMES)
+        yield _batch(rows)
 
 
-def _first_of(rank: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by rank and place; in that order, which entries are the first of their rank, and which are later places."""
-    order = np.lexsort((pos, doc, rank))
-    rank, doc, pos = rank[order], doc[order], pos[order]
-    new = np.ones(len(rank), bool)
-    new[1:] = rank[1:] != rank[:-1]
-    group = np.cumsum(new) - 1
-    heads = np.flatnonzero(new)
-    later = (doc != doc[heads][group]) | (pos != pos[heads][group])
-    return order, new, later
+def _tied(key: np.ndarray) -> np.ndarray:
+    """Entries whose key another one has, by key."""
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    return order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(key) else order
 
 
 def _sorted_bucket(dests: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = _gathered(batches)
-        found = []
-        if REPEAT in have:
-            found.append((REPEAT, have[REPEAT][2], have[REPEAT][3]))
-        if SALTED in have:
-            _, rank, doc, pos = have[SALTED]
-            order, new, later = _first_of(rank, doc, pos)
-            found += [(REPEAT, doc[order][later], pos[order][later]), (CONTESTED, doc[order][new], pos[order][new])]
-        if SAMPLE in have:
-            prefix, rank, doc, pos = have[SAMPLE]
-            order = np.argsort(prefix, kind="stable")
-            same = prefix[order][1:] == prefix[order][:-1]
-            tied = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-            prefix, rank, doc, pos = prefix[tied], rank[tied], doc[tied], pos[tied]
-            if len(tied):
-                # Ranks hold the prefix, so equal ranks have equal prefixes.
-                order, new, later = _first_of(rank, doc, pos)
-                found.append((REPEAT, doc[order][later], pos[order][later]))
-                prefix, doc, pos = prefix[order][new], doc[order][new], pos[order][new]
-                _, where, times = np.unique(prefix, return_inverse=True, return_counts=True)
-                contested = times[where] > 1
-                found.append((CONTESTED, doc[contested], pos[contested]))
-        yield from _sent_back(found, dests)
+        for have in _gathered(batches).values():
+            found = [(REPEAT, *have[REPEAT])] if REPEAT in have else []
+            if SALTED in have:
+                doc, ident, pos, rank, check = have.pop(SALTED)
+                g = Groups((rank, check), doc, ident, pos)
+                later, first = g.order[g.later], g.order[~g.later & ~g.again]
+                found += [(REPEAT, doc[later], ident[later], pos[later]), (CONTESTED, doc[first], ident[first], pos[first])]
+            if SAMPLE in have:
+                entries = have.pop(SAMPLE)
+                tied = _tied(entries[3])
+                doc, ident, pos, prefix, rank, check = (x[tied] for x in entries)
+                del entries
+                if len(tied):
+                    g = Groups((prefix, rank, check), doc, ident, pos)
+                    later, first = g.order[g.later], g.order[~g.later & ~g.again]
+                    # A prefix with several ranks is contested.
+                    _, where = np.unique(prefix, return_inverse=True)
+                    ranks = np.bincount(where[g.order[g.new]])
+                    first = first[ranks[where[first]] > 1]
+                    found += [(REPEAT, doc[later], ident[later], pos[later]), (CONTESTED, doc[first], ident[first], pos[first])]
+            yield from _sent_back(found, dests)
 
     return bounded(run)
 
 
-def _verdicts(table: pa.Table, what: int) -> dict[int, np.ndarray]:
-    """Positions per doc_id."""
-    docs, poss = [], []
-    for w, d, p in zip(table.column("what").to_pylist(), table.column("doc").to_pylist(), table.column("pos").to_pylist()):
-        if w == what:
-            docs.append(np.frombuffer(d, np.int64))
-            poss.append(np.frombuffer(p, np.uint32))
-    if not docs:
-        return {}
-    doc, pos = np.concatenate(docs), np.concatenate(poss).astype(np.int64)
-    order = np.argsort(doc, kind="stable")
-    doc, pos = doc[order], pos[order]
-    return {int(doc[a]): pos[a:b] for a, b in zip(*runs(doc))}
+def _verdicts(table: pa.Table, what: int) -> dict[tuple[int, int], np.ndarray]:
+    """Positions per text, by doc_id and identity."""
+    out: dict[tuple[int, int], list[np.ndarray]] = {}
+    for w, body in zip(table.column("what"), table.column("body")):
+        if w.as_py() == what:
+            doc, ident, times, pos = unbundle(body.as_buffer())
+            for d, i, p in zip(doc.tolist(), ident.tolist(), np.split(pos.astype(np.int64), np.cumsum(times)[:-1])):
+                out.setdefault((d, i), []).append(p)
+    return {k: np.concatenate(v) for k, v in out.items()}
 
 
 def _spans(places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,57 +253,51 @@ def _string_rows(parts: int):
 
     def run(_key, texts: pa.Table, found: pa.Table) -> pa.Table:
         open_ = _verdicts(found, CONTESTED) if found.num_rows else {}
-        ids = texts.column("doc_id").to_numpy()
+        ids, idents = texts.column("doc_id").to_numpy(), texts.column("ident").to_numpy()
         data, offs = column_bytes(texts.column("text"))
-        hashes, docs, starts, seen, chosen = [], [], [], set(), []
-        for i in np.argsort(ids, kind="stable").tolist():
-            doc, n = int(ids[i]), int(offs[i + 1] - offs[i])
-            if doc not in open_ or doc in seen or n < LENGTH:
+        hashes, checks, nth, starts, seen, chosen = [], [], [], [], set(), []
+        for i in np.lexsort((idents, ids)).tolist():
+            key, n = (int(ids[i]), int(idents[i])), int(offs[i + 1] - offs[i])
+            if key not in open_ or key in seen or n < LENGTH:
                 continue
-            seen.add(doc)
-            low, high = _spans(open_[doc][open_[doc] + PREFIX <= n], n)
+            seen.add(key)
+            low, high = _spans(open_[key], n)
             edge = np.bincount(low, minlength=n + 1) - np.bincount(high + 1, minlength=n + 1)
             at = np.flatnonzero(np.cumsum(edge) > 0)
-            rolling = Rolling(data[offs[i] : offs[i + 1]])
-            hashes.append(rolling.of(at, at + LENGTH))
-            docs.append(np.full(len(at), len(chosen), np.int32))
+            own = data[offs[i] : offs[i + 1]]
+            hashes.append(Rolling(own).of(at, at + LENGTH))
+            checks.append((Rolling(own, again=True).of(at, at + LENGTH) >> np.uint64(32)).astype(np.uint32))
+            nth.append(np.full(len(at), len(chosen)))
             chosen.append(i)
-            starts.append(at.astype(np.int32))
+            starts.append(at)
         rows = []
         if hashes:
-            h, doc, pos = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
-            length = np.diff(offs)[chosen]
-            place = _places(doc, pos, length)
-            texts_ = ids[chosen], np.concatenate(([0], np.cumsum(length)[:-1]))
-            _, first = np.unique(h, return_index=True)
-            later = np.ones(len(h), bool)
-            later[first] = False
-            bucket = (h >> np.uint64(40)).astype(np.int64) % parts
-            if later.any():
-                rows += _dealt(bucket[later], REPEAT, *texts_, {"place": place[later]})
-            first.sort()
-            rows += _dealt(bucket[first], STRING, *texts_, {"rank": h[first], "place": place[first]})
-        return pa.Table.from_batches([_batch(rows, _ROW_NAMES)]) if rows else pa.table({n: pa.array([], k) for n, k in zip(_ROW_NAMES, [pa.int32()] * 2 + [pa.binary()] * 5)})
+            h, check, text, pos = (np.concatenate(x) for x in (hashes, checks, nth, starts))
+            order = Texts(ids[chosen], idents[chosen], np.diff(offs)[chosen])
+            place, bucket = order.starts[text] + pos, (h >> np.uint64(40)).astype(np.int64) % parts
+            g = Groups((h, check), order.doc[text], order.ident[text], pos)
+            if (later := np.sort(g.order[g.later])).size:
+                rows += order.dealt(bucket[later], REPEAT, place[later])
+            first = np.sort(g.order[~g.later & ~g.again])
+            rows += order.dealt(bucket[first], STRING, place[first], h[first], check[first])
+        return _table(rows)
 
     return bounded(run)
 
 
 def _sorted_strings(dests: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = _gathered(batches)
-        found = []
-        if REPEAT in have:
-            found.append((STRING, have[REPEAT][2], have[REPEAT][3]))
-        if STRING in have:
-            _, rank, doc, pos = have[STRING]
-            order = np.argsort(rank, kind="stable")
-            same = rank[order][1:] == rank[order][:-1]
-            tied = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-            if len(tied):
-                rank, doc, pos = rank[tied], doc[tied], pos[tied]
-                order, _, later = _first_of(rank, doc, pos)
-                found.append((STRING, doc[order][later], pos[order][later]))
-        yield from _sent_back(found, dests)
+        for have in _gathered(batches).values():
+            found = [(STRING, *have[REPEAT])] if REPEAT in have else []
+            if STRING in have:
+                entries = have.pop(STRING)
+                tied = _tied(entries[3])
+                doc, ident, pos, rank, check = (x[tied] for x in entries)
+                if len(tied):
+                    g = Groups((rank, check), doc, ident, pos)
+                    later = g.order[g.later]
+                    found.append((STRING, doc[later], ident[later], pos[later]))
+            yield from _sent_back(found, dests)
 
     return bounded(run)
 
@@ -323,8 +306,7 @@ def removed_spans(n: int, repeats: np.ndarray, strings: np.ndarray) -> tuple[np.
     """Starts and ends of the maximal removed runs of a text of n bytes."""
     if n < LENGTH or not (len(repeats) or len(strings)):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    low, high = _spans(repeats[repeats + PREFIX <= n], n)
-    strings = strings[strings + LENGTH <= n]
+    low, high = _spans(repeats, n)
     edge = np.bincount(np.concatenate((low, strings)), minlength=n + 1) - np.bincount(np.concatenate((high + LENGTH, strings + LENGTH)), minlength=n + 1)
     gone = np.concatenate(([False], np.cumsum(edge)[:n] > 0, [False]))
     flips = np.flatnonzero(gone[1:] != gone[:-1])
@@ -340,9 +322,9 @@ def _judged(_key, texts: pa.Table, found: pa.Table) -> pa.Table:
     data, offs = column_bytes(texts.column("text"))
     none = np.empty(0, np.int64)
     rows = []
-    for i, (doc, null) in enumerate(zip(texts.column("doc_id").to_pylist(), texts.column("no_id").to_pylist())):
+    for i, (doc, ident, null) in enumerate(zip(*(texts.column(c).to_pylist() for c in ("doc_id", "ident", "no_id")))):
         raw = data[offs[i] : offs[i + 1]]
-        starts, ends = removed_spans(len(raw), repeats.get(doc, none), strings.get(doc, none))
+        starts, ends = removed_spans(len(raw), repeats.get((doc, ident), none), strings.get((doc, ident), none))
         keep = np.ones(len(raw), bool)
         for a, b in zip(starts.tolist(), ends.tolist()):
             keep[a:b] = False
@@ -351,34 +333,42 @@ def _judged(_key, texts: pa.Table, found: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def repeated_passages(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def repeated_passages(docs: DataFrame, blocks: int = BLOCKS, bucket_suffixes: int = BUCKET_SUFFIXES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) per row of ``docs`` (doc_id, text).
 
     ``spans`` packs starts and ends (int64) of the removed byte runs. Null texts are empty. Rows that repeat a doc_id
-    and its text are one document and get the same verdict; a row without doc_id comes before all others. An empty
-    table gives no rows. ``blocks`` bounds disk: the cover suffixes of one block are shuffled at a time.
+    and its text are one document and get the same verdict; different texts of one doc_id are different documents,
+    neither of which is before the other. Rows without doc_id come before all others and are told apart alike. An empty
+    table gives no rows. ``blocks`` bounds disk: the cover suffixes of one block are shuffled at a time;
+    ``bucket_suffixes`` bounds what one task sorts.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    parts = n_partitions(spark)
     lowest = -(1 << 63)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").isNull().alias("no_id"))
+    # The identity of a document among those of its doc_id; never negative, so that it deals them to parts.
+    texts = texts.withColumn("ident", F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    dests = int(max(2 * spark.sparkContext.defaultParallelism, size // PART_BYTES + 1))
+    few = 2 * spark.sparkContext.defaultParallelism
+    dests = int(max(few, size // PART_BYTES + 1))
+    suffixes = size * len(COVER) // COVER_MODULUS
+    parts = max(min(few, suffixes // 20_000 + 1), suffixes // blocks // bucket_suffixes + 1)
+    # Two witnesses of a salted prefix stay; a prefix that is not salted holds a part of a bucket at most.
+    hot = max(2, min(HOT, bucket_suffixes // 4 // (size // PIECE + 1)))
+    at = lambda frame: frame.repartitionById(parts, F.col("part"))
     found = []
     for block in range(blocks):
-        rows = texts.select("doc_id", "text").mapInArrow(_cover_rows(block, blocks, parts), _ROWS)
-        found.append(scratch.save(rows.repartition(parts, "part").mapInArrow(_sorted_bucket(dests), _FOUND), "cover"))
-        del rows
+        rows = texts.select("doc_id", "ident", "text").mapInArrow(_cover_rows(block, blocks, parts, hot), _ROWS)
+        found.append(scratch.save(at(rows).mapInArrow(_sorted_bucket(dests), _ROWS), "cover"))
     verdicts = found[0]
     for more in found[1:]:
         verdicts = verdicts.unionAll(more)
-    placed = texts.withColumn("dest", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % dests).cast("int"))
-    strings = placed.groupBy("dest").cogroup(verdicts.filter(F.col("what") == CONTESTED).groupBy("dest")).applyInArrow(_string_rows(parts), _ROWS)
-    settled = scratch.save(strings.repartition(parts, "part").mapInArrow(_sorted_strings(dests), _FOUND), "strings")
-    del strings
+    placed = texts.withColumn("dest", (F.col("ident") % dests).cast("int"))
+    by = lambda frame: frame.withColumnRenamed("part", "dest").groupBy("dest")
+    strings = placed.groupBy("dest").cogroup(by(verdicts.filter(F.col("what") == CONTESTED))).applyInArrow(_string_rows(parts), _ROWS)
+    settled = scratch.save(at(strings).mapInArrow(_sorted_strings(dests), _ROWS), "strings")
     last = verdicts.filter(F.col("what") == REPEAT).unionAll(settled)
-    return placed.groupBy("dest").cogroup(last.groupBy("dest")).applyInArrow(_judged, _RESULT)
+    return placed.groupBy("dest").cogroup(by(last)).applyInArrow(_judged, _RESULT)
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
