@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 LCC_2992 = {"lat_0": 41.75, "lon_0": -120.5, "lat_1": 43.0, "lat_2": 45.5, "x_0": 400000.0, "y_0": 0.0, "to_meter": 0.3048}
 GRS80_A, GRS80_F = 6378137.0, 1 / 298.257222101
 US_SURVEY_FOOT = 0.304800609601219
+#: Keywords of horizontal systems in WKT 1 and 2, projected ones first.
+HORIZONTAL = ("PROJCS", "PROJCRS", "GEOGCS", "GEOGCRS", "GEODCRS")
+_TOKEN = re.compile(r'"[^"]*"|(?P<word>\w*)\s*\[|\]')
 
 
 @dataclass(frozen=True)
@@ -69,39 +74,61 @@ def is_epsg_2992(wkt: Column) -> Column:
     return F.coalesce(wkt.contains('AUTHORITY["EPSG","2992"]'), F.lit(False))
 
 
+def _tight(wkt: Column) -> Column:
+    """The definition without blanks around its brackets and commas."""
+    return F.regexp_replace(wkt, r"\s*([\[\],])\s*", "$1")
+
+
 def epsg_code(wkt: Column) -> Column:
-    """The last code named, as EPSG:n."""
-    codes = F.regexp_extract_all(wkt, F.lit(r'(?i)(?:AUTHORITY|ID)\s*\[\s*"EPSG"\s*,\s*"?(\d+)"?'), F.lit(1))
+    """The last code named, as EPSG:n: WKT 1 names it by AUTHORITY, WKT 2 by ID."""
+    codes = F.regexp_extract_all(_tight(wkt), F.lit(r'(?i)\b(AUTHORITY|ID)\["EPSG","?([0-9]+)'), F.lit(2))
     return F.when(F.size(codes) > 0, F.concat(F.lit("EPSG:"), F.element_at(codes, -1)))
 
 
 def height_scale(wkt: Column) -> Column:
-    """Metres per vertical unit: the named unit, or survey feet where a known datum says so, or 1."""
-    number = F.regexp_extract(wkt, r'(?is)VERT_(?:CS|CRS).*?(?:LENGTH)?UNIT\s*\[\s*"[^"]+"\s*,\s*([\d.eE+-]+)', 1).try_cast("double")
+    """Metres per vertical unit: the unit that the vertical part names, or survey feet where a known datum says so, or 1."""
+    vertical = F.regexp_extract(_tight(wkt), r"(?is)VERT(_CS|_CRS|CRS|ICALCRS)\[(.*)", 2)
+    number = F.regexp_extract(vertical, r'(?i)UNIT\["[^"]+",([^,\]]+)', 1).try_cast("double")
     feet = F.coalesce(wkt.contains('VERT_CS["NAVD88 height (ftUS)"'), F.lit(False))
     return F.when((number > 0) & (number < float("inf")), number).when(feet, US_SURVEY_FOOT).otherwise(1.0)
 
 
-def horizontal_wkt(wkt: str) -> str:
-    """The first projected or geographic block of a compound definition: brackets outside quotes must balance."""
+def blocks(wkt: str) -> tuple[dict[str, list[tuple[int, int]]], list[str]]:
+    """Start and end of every closed block by its keyword, and the keywords of blocks that never close."""
+    closed: dict[str, list[tuple[int, int]]] = {}
+    stack: list[tuple[str, int]] = []
+    for token in _TOKEN.finditer(wkt):
+        if token[0].endswith("["):
+            stack.append((token["word"].upper(), token.start()))
+        elif token[0] == "]" and stack:
+            word, start = stack.pop()
+            closed.setdefault(word, []).append((start, token.end()))
+    return closed, [word for word, _ in stack]
+
+
+def horizontal_block(wkt: str) -> str:
+    """The horizontal part of a definition, or all of it where it names none. One that never closes is an error."""
     text = wkt.strip()
-    upper = text.upper()
-    for root in ("PROJCS", "PROJCRS", "GEOGCS", "GEOGCRS", "GEODCRS"):
-        start = upper.find(root + "[")
-        if start < 0:
-            continue
-        level, quoted = 0, False
-        for i, ch in enumerate(text[start:], start):
-            if ch == '"':
-                quoted = not quoted
-            elif not quoted and ch in "[]":
-                level += 1 if ch == "[" else -1
-                if level == 0:
-                    return text[start : i + 1]
-        raise ValueError(f"the {root} block is not balanced")
+    closed, unclosed = blocks(text)
+    for word in HORIZONTAL:
+        if word in unclosed:
+            raise ValueError(f"{word} is not closed")
+        if word in closed:
+            start, end = min(closed[word])
+            return text[start:end]
     return text
 
 
+def horizontal_wkt(wkt: Column) -> Column:
+    """``horizontal_block`` of a column, in batches; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(horizontal_block, na_action="ignore")
+
+    return run(wkt)
+
+
 def crs_status(wkt: Column, min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Column:
     """epsg:2992, wkt, geographic, or null where nothing is known."""
     return F.when(is_epsg_2992(wkt), "epsg:2992").when(wkt.isNotNull() & (wkt != ""), "wkt").when(is_geographic(min_x, min_y, max_x, max_y), "geographic")

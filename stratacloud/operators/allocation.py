@@ -1,73 +1,61 @@
-"""Dividing a global point budget among nodes: fair and weighted water-filling, largest remainders.
+"""Dividing a global point budget among nodes, in closed form: sorted limits and prefix sums.
 
-The passes depend on each other, so a request's entries are handled together (``applyInPandas`` per request). A request
-holds one view's nodes, which the selection bounds.
+Fair shares fill all entries to one level. Sorted by limit, the entries before row i are full if the level that the rest
+of the budget then gives to the others lies below the limit of row i; the first such row sets the level, and what is left
+over goes one by one to the first entries above it. Weighted shares are the same with a level per unit of weight, and
+give the rest by largest fraction. Everything is a window over one request's entries.
 """
 
 from __future__ import annotations
 
-from math import floor
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def fair_shares(limits: list[int], budget: int | None, priority: list[bool] | None = None) -> list[int]:
-    """Equal floor shares in passes until budget or limits run out; entries with priority are served first."""
-    if budget is None:
-        return list(limits)
-    out = [0] * len(limits)
-    first = priority or [False] * len(limits)
-    for turn in (True, False):
-        active = [i for i in range(len(limits)) if first[i] is turn and limits[i] > 0]
-        while budget > 0 and active:
-            share = max(1, budget // len(active))
-            for i in active:
-                give = min(share, budget, limits[i] - out[i])
-                out[i] += give
-                budget -= give
-            active = [i for i in active if out[i] < limits[i]]
-    return out
-
-
-def weighted_shares(limits: list[int], budget: int, weights: list[float]) -> list[int]:
-    """Shares by weight: entries that their quota would fill are filled first, the rest by floors and largest remainders."""
-    if any(not w > 0 for w in weights) or len(weights) != len(limits):
-        raise ValueError("every entry needs a positive weight")
-    out = [0] * len(limits)
-    open_ = [i for i in range(len(limits)) if limits[i] > 0]
-    top = max(weights, default=1.0)
-    while open_ and budget > 0:
-        total = sum(weights[i] / top for i in open_)
-        quota = {i: budget * (weights[i] / top) / total for i in open_}
-        full = [i for i in open_ if limits[i] <= quota[i]]
-        if full:
-            for i in full:
-                out[i] = min(limits[i], budget)
-                budget -= out[i]
-            open_ = [i for i in open_ if i not in full]
-            continue
-        for i in open_:
-            out[i] = min(floor(quota[i]), limits[i])
-        budget -= sum(out[i] for i in open_)
-        for i in sorted(open_, key=lambda i: (-(quota[i] - floor(quota[i])), i)):
-            if budget > 0 and out[i] < limits[i]:
-                out[i] += 1
-                budget -= 1
-        break
-    return out
-
-
-def allocate(entries: DataFrame, budget: int, per_node: int, weighted: bool) -> DataFrame:
-    """(request, pos, points, weight, priority) to (request, pos, allocated); null weights count as 1."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
-        limits = [min(int(p), per_node) for p in frame["points"]]
-        if weighted:
-            got = weighted_shares(limits, budget, [1.0 if w is None or w != w else float(w) for w in frame["weight"]])
-        else:
-            got = fair_shares(limits, budget, [bool(p) for p in frame["priority"]])
-        return pd.DataFrame({"request": frame["request"], "pos": frame["pos"], "allocated": got})
-
-    return entries.groupBy("request").applyInPandas(run, "request long, pos long, allocated long")
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+_UP = (Window.unboundedPreceding, -1)
+
+
+def _levels(entries: DataFrame, group: list[str], limit: Column, weight: Column, budget: Column) -> DataFrame:
+    """Adds ``level`` and ``wide``: budget and weights that the first entry not filled, and all after it, share; null if all are full."""
+    order = Window.partitionBy(*group).orderBy(limit / weight, "pos")
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(*_UP)), F.lit(0))
+    left = F.greatest(budget - before(limit), F.lit(0))
+    wide = F.sum(weight).over(Window.partitionBy(*group)) - before(weight)
+    x = entries.withColumn("left", left).withColumn("wide", wide).withColumn("turn", F.row_number().over(order))
+    unfilled = F.when(limit > F.col("left") * weight / F.col("wide"), F.struct("turn", "left", "wide"))
+    first = F.min(unfilled).over(Window.partitionBy(*group))
+    return x.withColumn("first", first)
+
+
+def fair_shares(entries: DataFrame) -> DataFrame:
+    """(request, pos, cap, priority, budget) and ``allocated``: entries with priority share first. A null budget is no limit."""
+    everyone, group = Window.partitionBy("request"), ["request", "priority"]
+    urgent = F.coalesce(F.sum(F.when(F.col("priority"), F.col("cap"))).over(everyone), F.lit(0))
+    own = F.when(F.col("priority"), F.col("budget")).otherwise(F.greatest(F.col("budget") - urgent, F.lit(0)))
+    x = _levels(entries.withColumn("own", own), group, F.col("cap"), F.lit(1), F.col("own"))
+    x = x.withColumn("filled", F.when(F.col("first").isNull(), F.col("cap")).otherwise(F.least("cap", F.floor(F.col("first.left") / F.col("first.wide")))))
+    rest = F.col("own") - F.sum("filled").over(Window.partitionBy(*group))
+    open_ = F.col("cap") > F.col("filled")
+    nth = F.sum(open_.cast("bigint")).over(Window.partitionBy(*group).orderBy("pos"))
+    x = x.withColumn("more", F.when(open_ & (nth <= rest), 1).otherwise(0))
+    allocated = F.when(F.col("budget").isNull(), F.col("cap")).otherwise(F.col("filled") + F.col("more"))
+    return x.withColumn("allocated", allocated.cast("bigint")).drop("own", "left", "wide", "turn", "first", "filled", "more")
+
+
+def weighted_shares(entries: DataFrame) -> DataFrame:
+    """(request, pos, cap, weight, budget) and ``allocated``; a weight that is not above 0 is an error."""
+    weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.raise_error(F.lit("every entry needs a positive weight")).cast("double"))
+    x = _levels(entries.withColumn("weight", weight), ["request"], F.col("cap"), F.col("weight"), F.col("budget"))
+    quota = F.col("first.left") * F.col("weight") / F.col("first.wide")
+    full = F.col("first").isNull() | (F.col("turn") < F.col("first.turn"))
+    x = x.withColumn("full", full).withColumn("quota", quota)
+    x = x.withColumn("filled", F.when(F.col("full"), F.col("cap")).otherwise(F.floor("quota"))).withColumn("part", F.when(~F.col("full"), F.col("quota") - F.floor("quota")))
+    rest = F.col("budget") - F.sum("filled").over(Window.partitionBy("request"))
+    nth = F.row_number().over(Window.partitionBy("request").orderBy(F.col("part").desc_nulls_last(), "pos"))
+    x = x.withColumn("more", F.when(~F.col("full") & (nth <= rest), 1).otherwise(0))
+    return x.withColumn("allocated", (F.col("filled") + F.col("more")).cast("bigint")).drop("left", "wide", "turn", "first", "full", "quota", "filled", "part", "more")
+
+
+def allocate(entries: DataFrame, budget: int | None, per_node: int, weighted: bool) -> DataFrame:
+    """(request, pos, points, weight, priority) to (request, pos, allocated); null weights count as 1, null priorities as none."""
+    x = entries.select("request", "pos", F.least(F.greatest("points", F.lit(0)), F.lit(per_node)).cast("bigint").alias("cap"), F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("priority", F.lit(False)).alias("priority"), F.lit(budget).cast("bigint").alias("budget"))
+    return (weighted_shares(x) if weighted else fair_shares(x)).select("request", "pos", "allocated")

@@ -130,8 +130,7 @@ def fn_9(spark, d):
 
 @query("fn_10_horizontal_wkt", "SELECT * FROM (VALUES (1, 'PROJCS[', ']]'), (2, 'PROJCS[', ']]'), (3, 'GEOGCRS', ']]'), (4, 'PROJCS[', '\"]')) AS t(id, head, tail)")
 def fn_10(spark, d):
-    block = F.udf(crs.horizontal_wkt, "string")
-    got = _wkts(spark).filter("wkt is not null").select("id", block("wkt").alias("w"))
+    got = _wkts(spark).filter("wkt is not null").select("id", crs.horizontal_wkt(F.col("wkt")).alias("w"))
     return got.select("id", F.substring("w", 1, 7).alias("head"), F.expr("right(w, 2)").alias("tail"))
 
 

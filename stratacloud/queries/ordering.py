@@ -46,13 +46,33 @@ def win_5(spark, d):
     return render_plan.distributed_picks(positions(spark, d).select("pos", "key"), 25).select(big("pick"), "key")
 
 
-@query("win_6_fair_shares")
+def _fair_sql(entries: str, per_node: int, budget: int) -> str:
+    """Fair shares by trying every level: the greatest that the budget holds, and one more for the first entries above it."""
+    return f"""{entries}, u AS (SELECT *, CASE WHEN priority THEN {budget} ELSE greatest({budget} - coalesce(sum(cap) FILTER (WHERE priority) OVER (PARTITION BY request), 0), 0) END AS own FROM e),
+ v AS (SELECT request, priority, own, h, sum(least(cap, h)) AS used FROM u, range({per_node} + 1) AS t(h) GROUP BY ALL), l AS (SELECT request, priority, max(h) AS h FROM v WHERE used <= own GROUP BY ALL),
+ f AS (SELECT u.*, least(cap, h) AS filled, CASE WHEN cap > h THEN 1 ELSE 0 END AS o, own - sum(least(cap, h)) OVER (PARTITION BY request, priority) AS rest FROM u JOIN l USING (request, priority)),
+ g AS (SELECT *, CAST(filled + CASE WHEN o = 1 AND sum(o) OVER (PARTITION BY request, priority ORDER BY pos) <= rest THEN 1 ELSE 0 END AS BIGINT) AS allocated FROM f)"""
+
+
+@query("win_6_fair_shares", _fair_sql(N + _POS + ", e AS (SELECT CAST(depth % 2 AS BIGINT) AS request, pos, least(point_count, 150) AS cap, x = 0 AS priority FROM k)", 150, 4_000) + " SELECT request, pos, allocated FROM g")
 def win_6(spark, d):
     n = positions(spark, d).select((F.col("depth") % 2).cast("bigint").alias("request"), big("pos"), F.col("point_count").alias("points"), F.lit(None).cast("double").alias("weight"), (F.col("x") == 0).alias("priority"))
     return allocate(n, 4_000, 150, weighted=False)
 
 
-@query("win_7_weighted_shares")
+_WEIGHTED_SQL = (
+    "WITH RECURSIVE " + NODES_SQL + _POS + """, e AS (SELECT CAST(depth % 2 AS BIGINT) AS request, pos, least(point_count, 150) AS cap, CAST(x + 1 AS DOUBLE) AS w FROM k),
+ r(request, turn, spare, wide) AS (SELECT request, 0, CAST(4000 AS HUGEINT), sum(w) FROM e GROUP BY request
+  UNION ALL SELECT r.request, r.turn + 1, 4000 - coalesce(sum(cap) FILTER (WHERE cap <= spare * w / wide), 0), sum(w) FILTER (WHERE cap > spare * w / wide) FROM r JOIN e ON e.request = r.request WHERE turn < 40 GROUP BY r.request, r.turn, spare, wide HAVING sum(w) FILTER (WHERE cap > spare * w / wide) < wide),
+ l AS (SELECT request, max_by(spare, turn) AS spare, max_by(wide, turn) AS wide FROM r GROUP BY request),
+ q AS (SELECT e.*, spare * w / wide AS quota FROM e JOIN l USING (request)),
+ f AS (SELECT *, cap <= quota AS full_, CASE WHEN cap <= quota THEN cap ELSE floor(quota) END AS filled FROM q),
+ g AS (SELECT *, 4000 - sum(filled) OVER (PARTITION BY request) AS rest, row_number() OVER (PARTITION BY request ORDER BY full_, CASE WHEN full_ THEN 0 ELSE quota - floor(quota) END DESC, pos) AS nth FROM f)
+ SELECT request, pos, CAST(filled + CASE WHEN NOT full_ AND nth <= rest THEN 1 ELSE 0 END AS BIGINT) AS allocated FROM g"""
+)
+
+
+@query("win_7_weighted_shares", _WEIGHTED_SQL)
 def win_7(spark, d):
     n = positions(spark, d).select((F.col("depth") % 2).cast("bigint").alias("request"), big("pos"), F.col("point_count").alias("points"), (F.col("x") + 1).cast("double").alias("weight"), F.lit(False).alias("priority"))
     return allocate(n, 4_000, 150, weighted=True)
@@ -119,7 +139,7 @@ def top_8(spark, d):
     return r.groupBy("node_key").agg(F.count_if(F.col("prog_rank") < 12).alias("kept"), F.round(F.least(F.lit(1.0), F.lit(12.0) / F.count(F.lit(1))), 6).alias("density_scale"))
 
 
-@query("top_9_allocated_points")
+@query("top_9_allocated_points", _fair_sql(N + _POS + ", e AS (SELECT 0 AS request, pos, key, least(point_count, 40) AS cap, false AS priority FROM k)", 40, 3_000) + " SELECT key AS node_key, allocated AS n FROM g WHERE allocated > 0")
 def top_9(spark, d):
     """Fair shares applied to the ranked points; nodes without a share give none."""
     from stratacloud.fixtures import points
