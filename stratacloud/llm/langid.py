@@ -6,19 +6,20 @@ linear without bias, so a text's verdict is the sign of a sum of weights over it
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratacloud.llm._shared import bounded, crc_remainder, read_table
 
-#: Rows per language that the machines are fitted on, taken in the order of a hash of their ids.
+#: Rows per language that the machines are fitted on: those whose hash lies in a share of all that gives about this many.
 TRAINING_ROWS = 500
+#: Rows that the machines are fitted on in all; many languages share them.
+TRAINING_TOTAL = 20_000
 SLOTS = 1 << 13
 #: ISO 639-1 codes by family. A code that is not here is a family of its own.
 FAMILIES = {
@@ -26,7 +27,6 @@ FAMILIES = {
     "romance": ["fr", "es", "it", "pt", "ro", "ca"],
     "slavic": ["ru", "pl", "cs", "uk", "bg", "sk"],
 }
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family_of(lang: str) -> str:
@@ -45,36 +45,54 @@ def prepared(text: str | None) -> bytes:
     return b" " + " ".join((text or "").lower().split()).encode("utf-8", "replace") + b" "
 
 
-def vector(text: str | None) -> np.ndarray:
+def has_letters(text: str | None) -> bool:
+    """Letters by Unicode category; digits, fractions and enclosed numbers are none."""
+    return any(c.isalpha() for c in text or "")
+
+
+def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and their counts."""
     two, three = slots(np.frombuffer(prepared(text), np.uint8))
-    return np.bincount(two, minlength=SLOTS) + np.bincount(three, minlength=SLOTS)
+    counts = np.bincount(two, minlength=SLOTS) + np.bincount(three, minlength=SLOTS)
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
 
+Row = tuple[np.ndarray, np.ndarray]
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Linear SVM without bias (y is -1 or 1) by dual coordinate descent in a fixed order; classes weigh the same."""
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(y))
-    square = np.einsum("ij,ij->i", x, x) + 1e-12
+
+def svm(x: list[Row], y: np.ndarray, cost: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Linear SVM without bias (y is -1 or 1) over sparse rows, by dual coordinate descent in a fixed order; classes weigh the same."""
+    w, alpha = np.zeros(SLOTS), np.zeros(len(y))
+    square = np.array([v @ v for _, v in x]) + 1e-12
     top = cost * len(y) / 2 / np.where(y > 0, max((y > 0).sum(), 1), max((y < 0).sum(), 1))
     rng = np.random.default_rng(5)
     for _ in range(rounds):
+        moved = 0.0
         for i in rng.permutation(len(y)):
-            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / square[i], 0), top[i])
+            at, v = x[i]
+            new = min(max(alpha[i] - (y[i] * (w[at] @ v) - 1) / square[i], 0), top[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[at] += (new - alpha[i]) * y[i] * v
+                moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
+        if moved < 1e-4:
+            break
     return w
 
 
 class Model:
     """Weights of all machines side by side: one per family against the rest (none if there is one), one per pair."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: list[Row], langs: list[str]):
         self.langs = sorted(set(langs))
         self.families = sorted({family_of(x) for x in self.langs})
-        x = np.sqrt(x)
-        weight = 1 / np.sqrt((x > 0).mean(0) + 1e-3)
-        x = x * weight
-        x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
+        seen = np.zeros(SLOTS)
+        for at, _ in x:
+            seen[at] += 1
+        weight = 1 / np.sqrt(seen / len(x) + 1e-3)
+        x = [(at, np.sqrt(n) * weight[at]) for at, n in x]
+        x = [(at, v / (np.linalg.norm(v) + 1e-12)) for at, v in x]
         names = np.array(langs)
         family = np.array([family_of(n) for n in langs])
         columns, self.family_columns = [], []
@@ -84,9 +102,9 @@ class Model:
         self.pairs = []
         for f in self.families:
             for a, b in combinations([n for n in self.langs if family_of(n) == f], 2):
-                own = (names == a) | (names == b)
+                own = np.flatnonzero((names == a) | (names == b))
                 self.pairs.append((a, b, len(columns)))
-                columns.append(svm(x[own], np.where(names[own] == a, 1.0, -1.0)))
+                columns.append(svm([x[i] for i in own], np.where(names[own] == a, 1.0, -1.0)))
         self.norm = weight
         self.weights = (np.stack(columns, 1) * weight[:, None]) if columns else np.zeros((SLOTS, 0))
 
@@ -117,28 +135,29 @@ class Model:
 @bounded
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, values = [], []
-        for text in batch.column(0).to_pylist():
-            v = vector(text)
-            nz = np.flatnonzero(v)
-            at.append(nz.astype(np.int32))
-            values.append(v[nz].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], names=["lang", "at", "n"])
-
-
-def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model | None:
-    """Fit on at most ``rows`` rows of each language; rows without language or letters take no part."""
-    usable = docs.filter("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang"), "doc_id")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows).select(F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang")).distinct()
-    sample = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("c_id")) & (F.col("lang") == F.col("c_lang"))).select("text", "lang").mapInArrow(_vectors, "lang string, at array<int>, n array<int>").collect()
-    sample = [r for r in sample if len(r["at"])]
+        rows = [vector(text) for text in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (0, 1))], names=["lang", "at", "n"])
+
+
+def train(docs: DataFrame, rows: int = TRAINING_ROWS, total: int = TRAINING_TOTAL) -> Model | None:
+    """Fit on about ``rows`` rows of each language, ``total`` of all; rows without language or text take no part.
+
+    Rows are chosen by a hash of their text and id, so that no order or window over all of them is needed; equal rows
+    count once.
+    """
+    usable = docs.filter("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), "doc_id")
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return None
+    each = min(rows, max(total // len(counts), 1))
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))])
+    place = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
+    chosen = usable.filter(place < F.element_at(share, F.col("lang"))).dropDuplicates()
+    sample = chosen.select("text", "lang").mapInArrow(_vectors, "lang string, at array<int>, n array<int>").collect()
+    sample = sorted(((r["lang"], r["at"], r["n"]) for r in sample if len(r["at"])))
     if not sample:
         return None
-    x = np.zeros((len(sample), SLOTS), np.float32)
-    for i, r in enumerate(sample):
-        x[i, r["at"]] = r["n"]
-    return Model(x.astype(np.float64), [r["lang"] for r in sample])
+    return Model([(np.array(at), np.array(n, float)) for _, at, n in sample], [lang for lang, _, _ in sample])
 
 
 def _predicted(model: Model | None):
@@ -147,15 +166,14 @@ def _predicted(model: Model | None):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             langs, scores = [], []
             for text in texts:
-                if not text or model is None or not _LETTER.search(text):
+                if not text or model is None or not has_letters(text):
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                counts = vector(text)
-                nz = np.flatnonzero(counts)
-                roots = np.sqrt(counts[nz])
-                scaled = roots @ model.weights[nz]
-                lang, score = model.predict(scaled / (np.linalg.norm(roots * model.norm[nz]) + 1e-12))
+                at, counts = vector(text)
+                roots = np.sqrt(counts)
+                scaled = roots @ model.weights[at]
+                lang, score = model.predict(scaled / (np.linalg.norm(roots * model.norm[at]) + 1e-12))
                 langs.append(lang)
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])

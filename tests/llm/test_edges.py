@@ -254,6 +254,36 @@ def test_langid_edges(make, odd_rows, spark):
     assert by_id(langid.predict(frame.select("doc_id", "text"), None))[1][0]["lang_pred"] == "und"
 
 
+def test_langid_letters():
+    assert not any(langid.has_letters(t) for t in ("½ 123", "² ①", "_ - 4", "", None)) and all(langid.has_letters(t) for t in ("½ a", "漢", "ñ"))
+
+
+def test_topk_repeated_ids_and_large_components(spark):
+    rows = [(100, [1.0, 0.0]), (100, [None, 0.0]), (100, None), (1, [3.0, 4.0]), (2, [1e12, 1.0]), (3, [-2.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.top_k(v.filter("vec_id = 100"), v).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, int(1e12) << 20), (1, 3 << 20), (3, -2 << 20)]
+    huge = spark.createDataFrame([(100, [1e30]), (1, [1e-5]), (2, [-1e30]), (3, [1e30])], "vec_id long, embedding array<double>")
+    best = topk_search.top_k(huge.filter("vec_id = 100"), huge.filter("vec_id in (1, 100)")).collect()
+    assert [(r["vec_id"], r["score"]) for r in best] == [(1, 0)]
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.top_k(huge.filter("vec_id = 100"), huge).collect()
+
+
+def test_topk_blocks_and_grid_agree(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), (rng.integers(-3, 4, 12) / 4).tolist()) for i in range(400)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.floor(1024 * np.array([r[1] for r in rows])).astype(int)
+    for q, c in ((512, 4096), (7, 13)):
+        got = collections.defaultdict(list)
+        for r in topk_search.top_k(v.filter("vec_id % 10 = 0"), v, query_block=q, candidate_block=c).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        for i in range(0, 400, 10):
+            want = sorted(((int(j), int(x[i] @ x[j])) for j in range(400) if j != i), key=lambda p: (-p[1], p[0]))[:10]
+            assert got[i] == want
+
+
 def test_topk_edges(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.5, 0.5]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, []), (None, [9.0, 9.0]), (200, [1.0, 1.0, 1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
