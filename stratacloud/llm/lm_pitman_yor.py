@@ -591,16 +591,17 @@ def _trained(docs: DataFrame, seed: int, burn_in: int, samples: int, part_tokens
     scratch = Scratch(spark, "pitman-yor")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = scratch.save(texts.mapInArrow(_encoded, _PIECE), "pieces", batch_rows=PIECE_ROWS)
-    size = pieces.agg(F.sum("n_tokens")).first()[0] or 0
+    n_pieces, size = pieces.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     parts, owners = (size // n + 1 + min(7, size // 50_000) for n in (part_tokens, OWNER_TOKENS))
     at = lambda frame, n: frame.repartitionById(n, F.col("part"))
-    by_piece = lambda frame: frame.withColumnRenamed("sender", "piece").groupBy("piece")
+    # About a piece for each task, whatever the session's number of partitions is.
+    by_piece = lambda frame: frame.withColumnRenamed("sender", "piece").repartition(max(n_pieces, 1), "piece").groupBy("piece")
 
     counted = scratch.save(at(pieces.select("piece", "vocabulary", "counts").mapInArrow(_word_requests(owners), _ROWS), owners).mapInArrow(_counted(owners), _ROWS), "counts")
     known = _totals(counted)
     plan = Plan(parts, owners, part_tokens, *(known.get(k, 0) for k in (TOKENS, VOCABULARY, ONCE, ENDS)))
     counts = _of(counted, COUNT)
-    asked = pieces.groupBy("piece").cogroup(by_piece(counts)).applyInArrow(_pair_requests(plan), _ROWS)
+    asked = by_piece(pieces).cogroup(by_piece(counts)).applyInArrow(_pair_requests(plan), _ROWS)
     paired = scratch.save(at(asked, parts).mapInArrow(_paired(owners), _ROWS), "pairs")
 
     before, base, read = paired, _of(counted, LISTED).unionAll(_of(paired, SINGLE)), [paired]
@@ -638,7 +639,7 @@ def _trained(docs: DataFrame, seed: int, burn_in: int, samples: int, part_tokens
     for table in read[2:]:
         seated = seated.unionAll(_of(table, SEATED))
     answers = counts.unionAll(_of(paired, PAIR_COUNT)).unionAll(cells).unionAll(at(seated, owners).mapInArrow(_seated_words, _ROWS))
-    return pieces.groupBy("piece"), by_piece(answers), replace(plan, samples=tuple(totals))
+    return by_piece(pieces), by_piece(answers), replace(plan, samples=tuple(totals))
 
 
 def score_documents(docs: DataFrame, seed: int = 3, burn_in: int = BURN_IN, samples: int = SAMPLES, part_tokens: int = PART_TOKENS) -> DataFrame:

@@ -364,11 +364,11 @@ def repeated_passages(docs: DataFrame, blocks: int = BLOCKS, bucket_suffixes: in
     for more in found[1:]:
         verdicts = verdicts.unionAll(more)
     placed = texts.withColumn("dest", (F.col("ident") % dests).cast("int"))
-    by = lambda frame: frame.withColumnRenamed("part", "dest").groupBy("dest")
-    strings = placed.groupBy("dest").cogroup(by(verdicts.filter(F.col("what") == CONTESTED))).applyInArrow(_string_rows(parts), _ROWS)
+    by = lambda frame: frame.withColumnRenamed("part", "dest").repartitionById(dests, F.col("dest")).groupBy("dest")
+    strings = by(placed).cogroup(by(verdicts.filter(F.col("what") == CONTESTED))).applyInArrow(_string_rows(parts), _ROWS)
     settled = scratch.save(at(strings).mapInArrow(_sorted_strings(dests), _ROWS), "strings")
     last = verdicts.filter(F.col("what") == REPEAT).unionAll(settled)
-    return placed.groupBy("dest").cogroup(by(last)).applyInArrow(_judged, _RESULT)
+    return by(placed).cogroup(by(last)).applyInArrow(_judged, _RESULT)
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
