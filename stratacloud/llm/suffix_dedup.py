@@ -3,26 +3,26 @@
 A byte goes if a string of LENGTH bytes that covers it also starts earlier (in a smaller doc_id, or earlier in the same
 document). Suffixes are compared to that depth only, matches never cross documents.
 
-**Cover.** D is a difference cover modulo V = 73 with nine members: for any two positions some shift below V brings both
+**Cover.** D is a difference cover modulo V = 57 with eight members: for any two positions some shift below V brings both
 to cover positions, at the cost of V - 1 bytes. So if two strings of 100 bytes are equal, two cover suffixes inside them,
-at the same distance from their starts, share at least 28 bytes. Cover suffixes are 12% of all.
+at the same distance from their starts, share at least 44 bytes. Cover suffixes are 14% of all.
 
-**Blocks.** Cover suffixes are dealt into buckets by a fingerprint of those 28 bytes (any order that keeps equal prefixes
+**Blocks.** Cover suffixes are dealt into buckets by a fingerprint of those 44 bytes (any order that keeps equal prefixes
 together serves, as only equality decides) and sorted one block of buckets after the other: a pass reads the texts,
-sends the cover suffixes of its block only, and its shuffle files can go before the next pass. Memory is bounded by the
+sends the cover suffixes of its block only, and its shuffle files go before the next pass. Memory is bounded by the
 size of a bucket, disk by that of a block.
 
-**Long ties.** Where cover suffixes tie in 28 bytes, the rank of their whole surroundings (72 bytes before to 100 after)
-decides. Equal surroundings mean that all 73 strings that hold the suffix at that place are equal, so all but the first
-of a rank are repeats at once, however many copies there are. Only buckets with several ranks are contested; there the
+**Long ties.** Where cover suffixes tie in 44 bytes, the rank of their whole surroundings (56 bytes before to 100 after)
+decides. Equal surroundings mean that all 57 strings that hold the suffix at that place are equal, so all but the first
+of a rank are repeats at once, however many copies there are. Prefixes with several ranks are contested; there the
 strings around the first suffix of each rank are sorted themselves, by their own fingerprints, bucket by bucket.
 
 A very frequent prefix with many different surroundings is salted: such suffixes are dealt by surroundings, and two
-witnesses stay in the prefix's own bucket so that the others there know that they are contested.
+witnesses of every piece stay in the prefix's own bucket so that the others there know that they are contested.
 
 Repeats inside one task's texts are settled there and never sent twice. Documents and verdicts meet by cogroup over
 parts of bounded size, by doc_id and a hash of the text. Strings count as equal by 96 bits of two independent
-fingerprints: among the 1.2e13 cover suffixes of 100 TB the expected number of false pairs is 1e-3.
+fingerprints: among the 1.4e13 cover suffixes of 100 TB the expected number of false pairs is 1e-3.
 """
 
 from __future__ import annotations
@@ -39,9 +39,9 @@ from stratacloud.llm._shared import Scratch, bounded, bundle, column_bytes, piec
 from stratacloud.llm._text import Rolling, mix
 
 LENGTH = 100
-#: A perfect difference set modulo 73.
-COVER_MODULUS = 73
-COVER = (1, 2, 4, 8, 16, 32, 37, 55, 64)
+#: A perfect difference set modulo 57.
+COVER_MODULUS = 57
+COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 PREFIX = LENGTH - COVER_MODULUS + 1
 BEFORE = COVER_MODULUS - 1
 PIECE = 2 << 20
@@ -51,7 +51,7 @@ BUCKET_SUFFIXES = 800_000
 HOT = 64
 #: Bytes of text that a part of the cogroups should hold.
 PART_BYTES = 6 << 20
-BLOCKS = 3
+BLOCKS = 2
 
 SAMPLE, SALTED, REPEAT, CONTESTED, STRING = range(5)
 _ROWS = "part int, what int, body binary"
@@ -74,6 +74,21 @@ def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_batches([_batch(rows)] if rows else [], schema=pa.schema(list(zip(_NAMES, _KINDS))))
 
 
+def steps(pos: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Rising positions of each text as differences; ``times`` are the numbers of positions of the texts."""
+    out = np.diff(pos, prepend=0)
+    starts = np.cumsum(times) - times
+    out[starts] = pos[starts]
+    return out
+
+
+def positions(steps_: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The inverse of ``steps``."""
+    up = np.cumsum(steps_)
+    starts = np.cumsum(times) - times
+    return up - np.repeat(up[starts] - steps_[starts], times)
+
+
 class Texts:
     """Texts in the order of (doc_id, identity); a place is a position on the line on which they follow each other."""
 
@@ -89,7 +104,7 @@ class Texts:
             at = order[a:b]
             used, text = np.unique(np.searchsorted(self.starts, place[at], side="right") - 1, return_inverse=True)
             pos = place[at] - self.starts[used][text]
-            out.append((int(parts[a]), what, bundle(self.doc[used], self.ident[used], np.bincount(text).astype(np.uint32), pos.astype(np.uint32), *(c[at] for c in columns))))
+            out.append((int(parts[a]), what, bundle(self.doc[used], self.ident[used], np.bincount(text), steps(pos, np.bincount(text)), *(c[at] for c in columns))))
         return out
 
 
@@ -99,7 +114,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[np.
     for batch in batches:
         for row in batch.to_pylist():
             doc, ident, times, pos, *columns = unbundle(row["body"])
-            found.setdefault(row["part"], {}).setdefault(row["what"], []).append([np.repeat(doc, times), np.repeat(ident, times), pos, *columns])
+            found.setdefault(row["part"], {}).setdefault(row["what"], []).append([np.repeat(doc, times), np.repeat(ident, times), positions(pos, times), *columns])
     return {part: {what: [np.concatenate(x) for x in zip(*entries)] for what, entries in kinds.items()} for part, kinds in found.items()}
 
 
@@ -193,7 +208,7 @@ def _sent_back(found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], dest
             text = np.ones(b - a, bool)
             text[1:] = (ident[a + 1 : b] != ident[a : b - 1]) | (doc[a + 1 : b] != doc[a : b - 1])
             heads = np.flatnonzero(text)
-            rows.append((int(dest[a]), what, bundle(doc[a:b][heads], ident[a:b][heads], np.diff(heads, append=b - a).astype(np.uint32), pos[a:b].astype(np.uint32))))
+            rows.append((int(dest[a]), what, bundle(doc[a:b][heads], ident[a:b][heads], times := np.diff(heads, append=b - a), steps(pos[a:b], times))))
     if rows:
         yield _batch(rows)
 
@@ -238,7 +253,7 @@ def _verdicts(table: pa.Table, what: int) -> dict[tuple[int, int], np.ndarray]:
     for w, body in zip(table.column("what"), table.column("body")):
         if w.as_py() == what:
             doc, ident, times, pos = unbundle(body.as_buffer())
-            for d, i, p in zip(doc.tolist(), ident.tolist(), np.split(pos.astype(np.int64), np.cumsum(times)[:-1])):
+            for d, i, p in zip(doc.tolist(), ident.tolist(), np.split(positions(pos, times), np.cumsum(times)[:-1])):
                 out.setdefault((d, i), []).append(p)
     return {k: np.concatenate(v) for k, v in out.items()}
 

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing names; and parts against plain versions."""
 
 import collections
+import hashlib
 import random
 import zlib
 
@@ -89,6 +90,44 @@ def test_suffix_repeated_row_without_another_copy(make):
     assert [r["n_removed"] for r in got[2]] == [len(inner)] * 2
 
 
+def brute_repeats(rows):
+    """(doc_id, text) rows to removed bytes per row: strings that also start in a smaller doc_id, or earlier in the same text."""
+    n, first, gone = 100, {}, []
+    texts = {(-(1 << 63) if i is None else i, (t or "").encode()) for i, t in rows}
+    for i, raw in sorted(texts):
+        for s in range(len(raw) - n + 1):
+            first.setdefault(raw[s : s + n], i)
+    for i, t in rows:
+        raw, seen = (t or "").encode(), set()
+        mark = np.zeros(len(raw), bool)
+        for s in range(len(raw) - n + 1):
+            w = raw[s : s + n]
+            if first[w] < (-(1 << 63) if i is None else i) or w in seen:
+                mark[s : s + n] = True
+            seen.add(w)
+        gone.append(bytes(b for b, g in zip(raw, mark) if not g))
+    return gone
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_suffix_texts_of_one_id(make, parts):
+    """Ids with two texts, rows without id, repeated rows: texts are told apart, and equal ones are one document."""
+    a, b, c = prose(60, 81), prose(60, 82), prose(45, 83)
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, c), (None, c + " " + prose(30, 84)), (3, b + " " + c), (4, a[:200] + b[-200:]), (4, b[:150]), (5, None), (2, c + c), (None, None)]
+    got = suffix_dedup.repeated_passages(make([doc(i, t) for i, t in rows]).repartition(parts)).collect()
+    want = collections.Counter((i, len((t or "").encode()), hashlib.sha256(k).hexdigest()) for (i, t), k in zip(rows, brute_repeats(rows)))
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["kept_sha256"]) for r in got) == want
+
+
+def test_suffix_small_buckets(make):
+    """Many buckets, blocks and pieces give what one gives."""
+    line = prose(30, 90)
+    rows = [(i, prose(20, i % 40) + " " + (line if i % 3 else line[: 60 + i]) + " " + prose(25, i % 31)) for i in range(150)]
+    got = suffix_dedup.repeated_passages(make([doc(i, t) for i, t in rows]).repartition(6), blocks=3, bucket_suffixes=200).collect()
+    want = {i: hashlib.sha256(k).hexdigest() for (i, _), k in zip(rows, brute_repeats(rows))}
+    assert {r["doc_id"]: r["kept_sha256"] for r in got} == want
+
+
 def test_suffix_salted_prefixes(make):
     """One line in very many surroundings, some of them twice."""
     line = "this very common line is in every single document of the corpus, always the same words. "
