@@ -73,8 +73,19 @@ def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(np.diff(column.offsets.to_numpy()))
 
 
+def united(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Bring the least member of each component to all of its members, in place: p and q are linked pairs."""
+    while len(p):
+        a, b = root[p], root[q]
+        apart = a != b
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+
+
 def _block_links(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """One pair of blocks: (class, class, links) with the links that no earlier table has, and (a, b, 0) for edges of a spanning forest."""
+    """One pair of blocks: (class, class, links) with the links that no earlier table has, and (a, b, 0) for each class and the least one of its component here."""
     side, cid, n = (t.column(c).to_numpy() for c in ("side", "cid", "n"))
     tab, same = t.column("tab")[0].as_py(), t.column("i")[0].as_py() == t.column("j")[0].as_py()
     flat, ends = _vectors(t)
@@ -88,13 +99,7 @@ def _block_links(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         x = units(flat[(ends[rows, None] - dim) + np.arange(dim)])
         at = np.empty(len(dims), np.int64)
         at[rows] = np.arange(len(rows))
-        links, root, edges = np.zeros(len(rows), np.int64), np.arange(len(rows)), []
-
-        def find(i: int) -> int:
-            while root[i] != i:  # noqa: B023
-                i = root[i]  # noqa: B023
-            return i
-
+        links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
         y, right_cid = x[at[right]], cid[right]
         for s in range(0, len(left), 256):
             p, q = np.nonzero(x[at[left[s : s + 256]]] @ y.T >= LEAST_COSINE - 1e-9)
@@ -114,17 +119,12 @@ def _block_links(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
                     fresh[k : k + 65_536] = ~(keys[where[: len(p)][k : k + 65_536]] == keys[where[len(p) :][k : k + 65_536]]).any(axis=1)
             np.add.at(links, p[fresh], n[rows[q[fresh]]])
             np.add.at(links, q[fresh], n[rows[p[fresh]]])
-            for u, v in zip(p.tolist(), q.tolist()):
-                ru, rv = find(u), find(v)
-                if ru != rv:
-                    low = min(ru, rv)
-                    root[ru] = root[rv] = root[u] = root[v] = low
-                    edges.append((u, v))
+            united(root, p, q)
         some = np.flatnonzero(links)
         yield cid[rows[some]], cid[rows[some]], links[some]
-        if edges:
-            a, b = np.array(edges).T
-            yield cid[rows[a]], cid[rows[b]], np.zeros(len(a), np.int64)
+        a = np.flatnonzero(root != np.arange(len(root)))
+        if len(a):
+            yield cid[rows[a]], cid[rows[root[a]]], np.zeros(len(a), np.int64)
 
 
 @bounded
