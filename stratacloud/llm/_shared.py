@@ -125,6 +125,24 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Keys that a join may treat as hot: a key with more than 1 / HOT_KEYS of all rows; there cannot be more than that many.
+HOT_KEYS, LEAST_HOT = 20_000, 1_000
+
+
+def join_counted(left: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``left`` joined with a saved table of one row per key, whose ``key_rows`` says how many rows of ``left`` have it.
+
+    Hot keys are broadcast, at most HOT_KEYS rows by their definition, so that their rows stay where they are; the rows of
+    all others meet by shuffle.
+    """
+    least = max(total // HOT_KEYS, LEAST_HOT)
+    hot = counted.filter(F.col("key_rows") > least)
+    if hot.isEmpty():
+        return left.join(counted, keys)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counted.filter(F.col("key_rows") <= least), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,9 +13,12 @@ from stratacloud.llm._shared import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v) with u > v. Large: link u's larger neighbours to its least; small: its smaller ones and itself."""
+    """edges: (u, v) with u > v. Large: link u's larger neighbours to its least; small: its smaller ones and itself.
+
+    The least neighbours are shuffled once more, so that the join reads two plain shuffles and a hot centre can be split.
+    """
     around = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    least = around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")).repartition("k")
     linked = around.join(least, F.col("u") == F.col("k"))
     if large:
         out = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, binary_array, bounded, column_bytes, grouped, n_partitions, pieces_of, read_table
+from stratacloud.llm._shared import Scratch, binary_array, bounded, column_bytes, grouped, join_counted, n_partitions, pieces_of, read_table
 from stratacloud.llm._text import PIECE_BYTES, mix, shingles
 from stratacloud.llm.components import connected_components
 
@@ -113,10 +113,14 @@ def _verified(numerator: int, denominator: int):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets are similar enough. The hot side, b, comes sorted and is parsed once."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(_verified(*similarity), "a long, b long")
+    """Of the pairs (a, b, blocks) those whose full sets are similar enough.
+
+    The hot side, b, is dealt over its blocks, each with one copy of its text; it comes sorted and is parsed once.
+    """
+    salted = pairs.groupBy("a", "b").agg(F.max("blocks").alias("blocks")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("salt"))
+    right = salted.select("b", "salt").distinct().join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+    left = salted.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+    return left.join(right, ["b", "salt"]).select("a", "b", "a_text", "b_text").mapInArrow(_verified(*similarity), "a long, b long").distinct()
 
 
 def _stray_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,17 +188,20 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), sc
     signed = scratch.save(signed, "signed")
     sets = signed.filter("n_shingles > 0 and doc_id is not null")
     # Classes of equal sets; the least id stands for each.
-    classes = sets.groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("cid"))
-    member = sets.select("doc_id", "set_1", "set_2", "n_shingles").join(classes, ["set_1", "set_2", "n_shingles"]).filter("doc_id <> cid").select(F.col("doc_id").alias("a"), F.col("cid").alias("b")).distinct()
+    equal = ["set_1", "set_2", "n_shingles"]
+    classes = scratch.save(sets.groupBy(*equal).agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("key_rows")), "classes")
+    n_sets, n_classes = classes.agg(F.coalesce(F.sum("key_rows"), F.lit(0)), F.count(F.lit(1))).first()
+    member = join_counted(sets.select("doc_id", *equal), classes, equal, n_sets).filter("doc_id <> cid").select(F.col("doc_id").alias("a"), F.col("cid").alias("b")).distinct()
     member = scratch.save(member, "members")
     # An id that stands for its own class carries that class's bands; others of its rows follow by identity.
     heads = sets.select("doc_id", "n_shingles", "low", "bands").join(member.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti").unionAll(
         sets.select("doc_id", "n_shingles", "low", "bands").join(classes.groupBy("cid").count().filter("count > 1").select(F.col("cid").alias("doc_id")), "doc_id", "left_semi")
     )
     banded = heads.select(F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"), "bands").mapInArrow(_banded, "bucket long, cid long, n long")
-    lead = banded.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("lead"), F.max("cid").alias("last")).filter("last > lead.cid").select("bucket", F.col("lead.cid").alias("lead"), F.col("lead.n").alias("lead_n"))
-    shared = scratch.save(banded.join(lead, "bucket"), "buckets")
-    pairs = shared.filter("cid <> lead and 4 * least(n, lead_n) >= 3 * greatest(n, lead_n)").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
+    lead = banded.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("lead"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("key_rows")).filter("last > lead.cid")
+    lead = scratch.save(lead.select("bucket", F.col("lead.cid").alias("lead"), F.col("lead.n").alias("lead_n"), "key_rows"), "leads")
+    shared = scratch.save(join_counted(banded, lead, ["bucket"], BANDS * n_classes), "buckets")
+    pairs = shared.filter("cid <> lead and 4 * least(n, lead_n) >= 3 * greatest(n, lead_n)").select(F.col("cid").alias("a"), F.col("lead").alias("b"), F.ceil(F.col("key_rows") / MEMBER_BLOCK).alias("blocks"))
     first = scratch.save(_verify(pairs, texts, similarity), "links")
     comps = connected_components(first.unionAll(member), scratch)
     comps = scratch.save(comps, "first")
@@ -246,8 +253,16 @@ FROM documents d JOIN (SELECT id, min(c) AS component_id FROM r GROUP BY id) c O
 
 
 def minhash_stage(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, with its columns; of repeated rows of one doc_id the first by text."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return joined.withColumn("__once", F.when(F.col("doc_id").isNull(), 1).otherwise(once)).filter("__once = 1").select(*docs.columns)
+    """One document of each group stays, with its columns; of different rows of one doc_id that with the least hash.
+
+    Rows without doc_id stay.
+    """
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count(F.lit(1)).alias("__kept_rows"))
+    joined = docs.join(kept, docs["doc_id"].cast("long") == F.col("__kept_id"))
+    names = docs.columns
+    once = joined.filter("__kept_rows = 1").select(*names)
+    # Ids with several rows: the least hash by id, then one of the rows that have it, which are alike.
+    many = joined.filter("__kept_rows > 1").withColumn("__row_hash", F.xxhash64(*[F.col(c) for c in names]))
+    least = many.groupBy(F.col("__kept_id").alias("__least_id")).agg(F.min("__row_hash").alias("__least_hash"))
+    picked = many.join(least, (F.col("__kept_id") == F.col("__least_id")) & (F.col("__row_hash") == F.col("__least_hash"))).dropDuplicates(["__kept_id"])
+    return once.unionByName(picked.select(*names)).unionByName(docs.filter(F.col("doc_id").isNull()))
