@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import read_table
+from stratacloud.llm._shared import Scratch, read_table
 
 MOST_COPIES = 3
 
@@ -53,6 +53,8 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: int = 3, most: int = M
     gives no rows. Reruns agree: order and offset come from digests of ids, sources and ``seed``.
     """
     x = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    # Texts are read once; everything after is about ids and sizes.
+    x = Scratch(docs.sparkSession, "mixing").save(x, "sizes")
     # The first digits of the digest are the cell, so that cells and ranks within them follow one order: 256 cells a size.
     x = x.withColumn("digest", _digest(seed, F.col("doc_id"))).withColumn("cell", F.substring("digest", 1, 2))
     cells = x.groupBy("source", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
@@ -94,12 +96,32 @@ SELECT doc_id, size, source_size, target, CAST(least(floor(o + (k + 1) * each) -
 
 
 def mixing_stage(docs: DataFrame) -> DataFrame:
-    """The documents of the mix: each row as often as it is taken, columns as they were."""
-    copies = mix_sources(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("__mix_total"), F.count(F.lit(1)).alias("__mix_rows"))
-    # Rows that share doc_id and source share their copies out by turns, so that the mix keeps its total.
-    turn = Window.partitionBy("doc_id", "source").orderBy("__mix_rows")
-    kept = copies.filter("__mix_total > 0").withColumnRenamed("doc_id", "__mix_id").withColumnRenamed("source", "__mix_source")
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__mix_id")) & docs["source"].eqNullSafe(F.col("__mix_source")))
-    joined = joined.withColumn("__mix_turn", F.when(F.col("__mix_rows") > 1, F.row_number().over(turn)).otherwise(1))
-    times = F.floor(F.col("__mix_total") * F.col("__mix_turn") / F.col("__mix_rows")) - F.floor(F.col("__mix_total") * (F.col("__mix_turn") - 1) / F.col("__mix_rows"))
-    return joined.filter(times > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*docs.columns)
+    """The documents of the mix: each row as often as it is taken, columns as they were.
+
+    Rows that share doc_id, source and size share their copies out in the order of a hash of the whole row, so that the
+    mix keeps its total and reruns agree. Their ranks come from counts per hash cell and ranks within a cell, so that no
+    window holds all rows of an id (or without one).
+    """
+    key = ["__mix_id", "__mix_source", "__mix_size"]
+    names = docs.columns
+    light = mix_sources(docs.select(F.col("doc_id").alias("doc_id"), "source", "text"))
+    shared = light.groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size")).agg(F.sum("copies").alias("__mix_total"), F.count(F.lit(1)).alias("__mix_rows"))
+    # Rows whose key gives none go before texts are moved; a row knows its key, so equality with nulls is by value.
+    sized = docs.withColumn("__mix_n", n_words(F.col("text")))
+    on = docs["doc_id"].eqNullSafe(F.col("__mix_id")) & docs["source"].eqNullSafe(F.col("__mix_source")) & (F.col("__mix_n") == F.col("__mix_size"))
+    joined = sized.join(shared.filter("__mix_total > 0"), on)
+    alone = joined.filter("__mix_rows = 1").withColumn("__mix_times", F.col("__mix_total"))
+    hashed = joined.filter("__mix_rows > 1").withColumn("__mix_hash", F.xxhash64(*[F.col(c) for c in names]))
+    hashed = hashed.withColumn("__mix_cell", F.shiftrightunsigned("__mix_hash", 54))
+    # The counts need the rows that share a key only, without their texts.
+    up = Window.partitionBy(*key).orderBy("__mix_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = hashed.groupBy(*key, "__mix_cell").agg(F.count(F.lit(1)).alias("n")).select(*[F.col(c).alias(f"c{c}") for c in (*key, "__mix_cell")], F.coalesce(F.sum("n").over(up), F.lit(0)).alias("__mix_before"))
+    same = F.lit(True)
+    for c in (*key, "__mix_cell"):
+        same = same & F.col(c).eqNullSafe(F.col(f"c{c}"))
+    nth = F.row_number().over(Window.partitionBy(*key, "__mix_cell").orderBy("__mix_hash")) + F.col("__mix_before")
+    ranked = hashed.join(cells, same).withColumn("__mix_turn", nth)
+    share = lambda turn: F.floor(F.col("__mix_total") * turn / F.col("__mix_rows"))
+    many = ranked.withColumn("__mix_times", share(F.col("__mix_turn")) - share(F.col("__mix_turn") - 1))
+    times = lambda frame: frame.filter("__mix_times > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times").cast("int")))).select(*names)
+    return times(alone).unionByName(times(many))

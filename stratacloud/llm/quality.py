@@ -1,30 +1,29 @@
 """Document quality by hierarchical empirical Bayes.
 
 A logistic model over text statistics, fitted on a bounded sample of labelled rows, gives each document's own evidence.
-Sites are counted over all documents in two levels, host and path. The prior's strength of each level comes from the
-data (method of moments: how much more sites differ than sampling explains), so that sparse sites shrink towards their
-host, and sparse hosts towards the whole corpus. A document's posterior adds the log odds of its path (without the
-document's own share) to its own.
+Sites are counted over all documents in two levels, host and path: the documents' own scores, and the labels there are.
+The prior's strength of each level comes from the data (method of moments: how much more sites differ than sampling
+explains), so that sparse sites shrink towards their host, and sparse hosts towards the whole corpus. A document's
+posterior adds the log odds of its path (without the document's own share, against the whole corpus) to its own, with the
+weight that explains the labels of the sample best; there own evidence comes from a model that has not seen the row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, bounded, column_bytes, pieces_of, read_table
+from stratacloud.llm._shared import Scratch, bounded, column_bytes, join_counted, pieces_of, read_table
 from stratacloud.llm._text import PIECE_BYTES, Rolling, lower, words
 
 #: Labelled rows that the document model is fitted on, taken in the order of a hash of their ids.
 TRAINING_ROWS = 4000
-#: A site table up to this number of rows is broadcast (about 100 bytes a row), else joined by shuffle.
-BROADCAST_SITES = 50_000
-#: Weight of the site's log odds beside the document's own.
-SITE_WEIGHT = 0.5
+FOLDS = 4
 
 _UPPER, _LOWERCASE, _DIGIT, _MARK, _ODD, _HIGH, _LINE = range(7)
 _KIND = np.full(256, 7, np.uint8)
@@ -98,7 +97,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offs = column_bytes(batch.column(0))
         for i, j, part, at in pieces_of(data, offs, PIECE_BYTES):
             x, _ = features(part, at)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).slice(i, j - i)], names=["x", "quality"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *(batch.column(k).slice(i, j - i) for k in (1, 2, 3))], names=["x", "quality", "host", "path"])
 
 
 def _scored(model):
@@ -116,13 +115,56 @@ def _scored(model):
     return bounded(run)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS):
-    """Fit the document model on at most ``rows`` labelled documents. None where the labels hold fewer than two classes."""
-    chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select(F.col("doc_id").alias("l_id"), "quality")), F.col("doc_id") == F.col("l_id"))
-    sample = found.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(_featured, "x array<double>, quality int").collect()
-    y = np.array([r["quality"] for r in sample], float)
-    return fit(np.array([r["x"] for r in sample]), (y > 0).astype(float)) if len(set(y > 0)) == 2 else None
+@dataclass
+class Sample:
+    """The labelled rows that are fitted on: statistics, labels and sites."""
+
+    x: np.ndarray
+    good: np.ndarray
+    sites: list[tuple[str, str]]
+
+    @property
+    def usable(self) -> bool:
+        return len(set(self.good.tolist())) == 2
+
+    def model(self):
+        """The document model; None where the labels hold fewer than two classes."""
+        return fit(self.x, self.good) if self.usable else None
+
+    def unseen_odds(self) -> np.ndarray:
+        """Log odds of each row by a model that was fitted on the other folds."""
+        fold = np.arange(len(self.good)) % FOLDS
+        out = np.zeros(len(self.good))
+        for k in range(FOLDS):
+            rest = fold != k
+            if len(set(self.good[rest].tolist())) == 2:
+                out[~rest] = log_odds(self.x[~rest], fit(self.x[rest], self.good[rest]))
+        return out
+
+
+def site_weight(odds: np.ndarray, site: np.ndarray, good: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> float:
+    """The weight of ``site`` beside ``odds`` in a logistic model of the labels, within 0 and 2; a normal prior at 0 of variance 1 / ridge."""
+    w = 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(odds + w * site, -30, 30)))
+        step = (site @ (good - p) - ridge * w) / ((site * site) @ (p * (1 - p)) + ridge)
+        w += float(np.clip(step, -1, 1))
+        if abs(step) < 1e-9:
+            break
+    return float(np.clip(w, 0, 2))
+
+
+def one_label(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("good"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, host: Column, path: Column, rows: int = TRAINING_ROWS) -> Sample:
+    """At most ``rows`` labelled documents, by a hash of their ids."""
+    chosen = one_label(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text"), host.alias("host"), path.alias("path")).join(F.broadcast(chosen.select(F.col("doc_id").alias("l_id"), "good")), F.col("doc_id") == F.col("l_id"))
+    got = found.select("text", "good", "host", "path").mapInArrow(_featured, "x array<double>, quality int, host string, path string").collect()
+    got.sort(key=lambda r: (r["quality"], r["host"], r["path"], r["x"]))
+    return Sample(np.array([r["x"] for r in got]), np.array([float(r["quality"]) for r in got]), [(r["host"], r["path"]) for r in got])
 
 
 def _strength(frame: DataFrame, mean: Column) -> float:
@@ -136,17 +178,21 @@ def _strength(frame: DataFrame, mean: Column) -> float:
     return float(np.clip(r["spread"] / r["n"] / excess - 1, 2, 1e6)) if excess > 0 else 1e6
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, good, n, host_rate, path_rate, path_strength) over scored rows (host, path, p), and the global rate."""
-    paths = Scratch(scored.sparkSession, "quality").save(scored.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n")), "paths")
+def site_posteriors(scored: DataFrame, labelled: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
+    """(host, path, good, n, key_rows, host_rate, path_rate, strength) per path, and the global rate.
+
+    Over scored rows (host, path, p) and labelled ones (host, path, good); ``key_rows`` counts the scored ones.
+    """
+    rows = scored.select("host", "path", F.col("p").alias("good"), F.lit(1).alias("own")).unionAll(labelled.select("host", "path", F.col("good").cast("double"), F.lit(0)))
+    paths = scratch.save(rows.groupBy("host", "path").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n"), F.sum("own").alias("key_rows")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     total = hosts.agg(F.sum("good"), F.sum("n")).first()
     rate = (total[0] + 1) / (total[1] + 2) if total[1] else 0.5
     k_host = _strength(hosts, F.lit(rate))
-    hosts = hosts.select(F.col("host").alias("h_host"), ((F.col("good") + k_host * rate) / (F.col("n") + k_host)).alias("host_rate"))
-    both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h_host"))).drop("h_host")
+    hosts = hosts.select("host", ((F.col("good") + k_host * rate) / (F.col("n") + k_host)).alias("host_rate"))
+    both = paths.join(hosts, "host")
     k_path = _strength(both, F.col("host_rate"))
-    return both.withColumn("path_strength", F.lit(k_path)).withColumn("path_rate", (F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)), rate
+    return both.withColumn("strength", F.lit(k_path)).withColumn("path_rate", (F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)), rate
 
 
 def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep: list[str], rows: int = TRAINING_ROWS, prefix: str = "") -> DataFrame:
@@ -155,29 +201,46 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep
     ``prefix`` goes before the new names, where ``keep`` may hold them too.
 
     Text null or without words scores near 0 and is rejected. Null hosts and paths are sites of their own. Repeated
-    rows count each. Without usable labels all evidence is even and everything with words is accepted. An empty table
-    gives no rows.
+    rows count each; of several labels of a doc_id the least counts. Without usable labels all evidence is even and
+    everything with words is accepted. An empty table gives no rows. Texts are parsed once.
     """
-    model = train(docs, labels, rows)
+    scratch = Scratch(docs.sparkSession, "quality")
+    none = F.lit("\0")  # what stands for null in a key
+    host, path = F.coalesce(host, none), F.coalesce(path, none)
+    seen = sample(docs, labels, host, path, rows)
+    model = seen.model()
     kept = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]
-    base = docs.select(*kept, host.alias("__host"), path.alias("__path"), F.col("text").cast("string").alias("__text"))
-    small = base.select("__host", "__path", "__text")
-    scored = small.mapInArrow(_scored(model), "__host string, __path string, __odds double")
-    sites, rate = site_posteriors(scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (1 / (1 + F.exp(-F.col("__odds")))).alias("p")))
-    sites = Scratch(docs.sparkSession, "quality").save(sites, "sites")
-    sites = sites.select(*[F.col(c).alias(f"__s_{c}") for c in sites.columns])
-    if sites.count() <= BROADCAST_SITES:
-        sites = F.broadcast(sites)
-    # The text goes with its row: __text is a copy that the model reads.
+    base = docs.select(*kept, F.col("doc_id").cast("long").alias("__id"), host.alias("host"), path.alias("path"), F.col("text").cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.drop("__text").schema.fields)
-    every = base.mapInArrow(_scored(model), fields + ", __odds double")
-    joined = every.join(sites, F.col("__host").eqNullSafe(F.col("__s_host")) & F.col("__path").eqNullSafe(F.col("__s_path")))
+    every = scratch.save(base.mapInArrow(_scored(model), fields + ", __odds double"), "scored")
     own = 1 / (1 + F.exp(-F.col("__odds")))
-    others = (F.col("__s_good") - own + F.col("__s_path_strength") * F.col("__s_host_rate")) / (F.col("__s_n") - 1 + F.col("__s_path_strength"))
+    labelled = every.filter("__id is not null").select("__id", "host", "path").join(one_label(labels).withColumnRenamed("doc_id", "__id"), "__id")
+    sites, rate = site_posteriors(every.select("host", "path", own.alias("p")), labelled, scratch)
+    sites = scratch.save(sites, "sites")
+    weight = site_weight(*_site_evidence(seen, sites, rate)) if seen.usable else 0.0
+    n = sites.agg(F.coalesce(F.sum("key_rows"), F.lit(0))).first()[0]
+    joined = join_counted(every, sites, ["host", "path"], n)
+    others = (F.col("good") - own + F.col("strength") * F.col("host_rate")) / (F.col("n") - 1 + F.col("strength"))
     others = F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6))
-    odds = F.col("__odds") + SITE_WEIGHT * (F.log(others / (1 - others)) - F.lit(float(np.log(rate / (1 - rate)))))
+    odds = F.col("__odds") + weight * (F.log(others / (1 - others)) - F.lit(float(np.log(rate / (1 - rate)))))
     score = 1 / (1 + F.exp(-odds))
-    return joined.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], own.alias(f"{prefix}doc_score"), F.col("__s_host_rate").alias(f"{prefix}host_rate"), F.col("__s_path_rate").alias(f"{prefix}path_rate"), score.alias(f"{prefix}score"), (score >= 0.5).alias(f"{prefix}accepted"))
+    return joined.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], own.alias(f"{prefix}doc_score"), F.col("host_rate").alias(f"{prefix}host_rate"), F.col("path_rate").alias(f"{prefix}path_rate"), score.alias(f"{prefix}score"), (score >= 0.5).alias(f"{prefix}accepted"))
+
+
+def _site_evidence(seen: Sample, sites: DataFrame, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sample's rows: own log odds unseen, log odds of the path without the row's score and label, and labels."""
+    spark = sites.sparkSession
+    wanted = spark.createDataFrame(sorted(set(seen.sites)), "host string, path string")
+    found = {(r["host"], r["path"]): r for r in sites.join(F.broadcast(wanted), ["host", "path"]).collect()}
+    odds = seen.unseen_odds()
+    p = 1 / (1 + np.exp(-log_odds(seen.x, seen.model())))
+    out = []
+    for site, own, label in zip(seen.sites, p, seen.good):
+        r = found[site]
+        others = (r["good"] - own - label + r["strength"] * r["host_rate"]) / max(r["n"] - 2 + r["strength"], 1e-9)
+        others = min(max(others, 1e-6), 1 - 1e-6)
+        out.append(np.log(others / (1 - others)) - np.log(rate / (1 - rate)))
+    return odds, np.array(out), seen.good
 
 
 def site_columns() -> tuple[Column, Column]:

@@ -10,7 +10,9 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from stratacloud.llm import _seating, embedding_dedup, langid, lm_pitman_yor, minhash_dedup, mixing, quality, secret_scan, sentencepiece_lattice, suffix_dedup, topk_search
+from pyspark.sql import functions as F
+
+from stratacloud.llm import _seating, _shared, embedding_dedup, langid, lm_pitman_yor, minhash_dedup, mixing, quality, secret_scan, sentencepiece_lattice, suffix_dedup, topk_search
 from stratacloud.llm._shared import Scratch, packed, unpacked
 from stratacloud.llm._text import shingles, words
 from stratacloud.llm.components import connected_components
@@ -447,6 +449,77 @@ def test_quality_edges(make, odd_rows, spark):
     assert by_id(none)[1][0]["accepted"] and not by_id(none)[5][0]["accepted"]
 
 
+def test_quality_equals_plain_empirical_bayes(make, spark):
+    """Scores against loops over sites; one host is hot and good, one is bad, some have a row or two, some none named."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(420):
+        good = rng.random() < (0.9 if i % 3 == 0 else 0.3 if i % 3 == 1 else 0.6)
+        host = "big/a" if i % 3 == 0 else f"bad/{i % 5}" if i % 3 == 1 else rng.choice(["x", "y/1", None, f"rare{i}/z"])
+        text = prose(rng.randrange(20, 80), i) if good else " ".join(rng.choice(("WIN!!", "$$$", "go", "##", prose(2, i))) for _ in range(rng.randrange(20, 60)))
+        rows.append(doc(i, text if i % 50 else "", rng.choice(["en", "de"]), host))
+        if i % 2:
+            labels.append((i, int(good), 0))
+    frame, table = make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.quality(frame, table, *quality.site_columns(), keep=["doc_id"]).collect()}
+    site = {r["doc_id"]: (r["h"], r["p"]) for r in frame.select("doc_id", *[F.coalesce(c, F.lit("\0")).alias(n) for c, n in zip(quality.site_columns(), "hp")]).collect()}
+    seen = quality.sample(frame, table, *[F.coalesce(c, F.lit("\0")) for c in quality.site_columns()])
+    model = seen.model()
+
+    def own(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        x, count = quality.features(data, np.array([0, len(data)]))
+        return float(quality.log_odds(x, model)[0]) if count[0] else -12.0
+
+    odds = {r[0]: own(r[1]) for r in rows}
+    p = {i: 1 / (1 + np.exp(-o)) for i, o in odds.items()}
+    shares = [(site[i], v) for i, v in p.items()] + [(site[i], float(y)) for i, y, _ in labels]
+    rate = (sum(v for _, v in shares) + 1) / (len(shares) + 2)
+
+    def per(key):
+        out = collections.defaultdict(list)
+        for s_, v in shares:
+            out[key(s_)].append(v)
+        return out
+
+    def strength(groups, mean):
+        total = sum(map(len, groups.values()))
+        between = sum(len(v) * (np.mean(v) - mean(k)) ** 2 for k, v in groups.items())
+        noise = sum(mean(k) * (1 - mean(k)) for k in groups)
+        spread = sum(len(v) * mean(k) * (1 - mean(k)) for k, v in groups.items())
+        excess = (between - noise) / total
+        return float(np.clip(spread / total / excess - 1, 2, 1e6)) if excess > 0 else 1e6
+
+    hosts, paths = per(lambda s_: s_[0]), per(lambda s_: s_)
+    k_host = strength(hosts, lambda k: rate)
+    host_rate = {k: (sum(v) + k_host * rate) / (len(v) + k_host) for k, v in hosts.items()}
+    k_path = strength(paths, lambda k: host_rate[k[0]])
+    logit = lambda v: np.log(v / (1 - v))
+    evidence = lambda k, less, n: logit(np.clip((sum(paths[k]) - less + k_path * host_rate[k[0]]) / (len(paths[k]) - n + k_path), 1e-6, 1 - 1e-6)) - logit(rate)
+    unseen = seen.unseen_odds()
+    seen_p = 1 / (1 + np.exp(-quality.log_odds(seen.x, model)))
+    about = np.array([evidence(k, a + b, 2) for k, a, b in zip(seen.sites, seen_p, seen.good)])
+    likelihood = lambda w: -sum(np.log1p(np.exp(-(2 * seen.good - 1) * (unseen + w * about)))) - w * w / 2
+    grid = np.linspace(0, 2, 2001)
+    weight = quality.site_weight(unseen, about, seen.good)
+    assert abs(grid[np.argmax([likelihood(w) for w in grid])] - weight) < 2e-3 and 0 < weight < 2
+    for i in odds:
+        want = 1 / (1 + np.exp(-(odds[i] + weight * evidence(site[i], p[i], 1))))
+        r = got[i]
+        assert np.allclose([r["doc_score"], r["host_rate"], r["score"]], [p[i], host_rate[site[i][0]], want], atol=1e-9) and r["accepted"] == (want >= 0.5)
+    # Little data of its own: near the host or the corpus; much: near its own mean.
+    assert abs(host_rate["big"] - np.mean(hosts["big"])) < 0.02
+
+
+def test_quality_hot_sites_are_joined_alike(make, spark, monkeypatch):
+    rows = [doc(i, prose(30, i), "en", "hot/a" if i % 2 else f"s{i}/b") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    run = lambda: sorted((r["doc_id"], r["score"]) for r in quality.quality(make(rows), labels, *quality.site_columns(), keep=["doc_id"]).collect())
+    plain = run()
+    monkeypatch.setattr(_shared, "LEAST_HOT", 5)
+    assert np.allclose(run(), plain) and len(plain) == 60
+
+
 def test_quality_sites_of_urls_and_deep_paths(make):
     sources = ["https://A.org/x/y?q=1", "http://b.org", "s/one/two/three", "s/one/four", "s/one", "s", None]
     host, path = quality.site_columns()
@@ -470,6 +543,18 @@ def test_mixing_edges(make, odd_rows):
     assert again == {(r["doc_id"], r["mix_row"]): r["copies"] for r in rows}
 
 
+def test_mixing_stage_of_one_id(make):
+    """Different texts of one id, and many rows without one: reruns in another order take the same rows."""
+    rows = [doc(1, prose(20, 1)), doc(1, prose(20, 2)), doc(1, prose(35, 3))] + [(None, prose(10 + i % 3, i), "en", "s2", 1, *["x"] * 11) for i in range(300)] + [doc(10 + i, prose(40, i), source="s3") for i in range(40)]
+    seen = []
+    for order in (rows, rows[::-1]):
+        frame = make(order).repartition(3)
+        seen.append(collections.Counter((r["doc_id"], r["text"]) for r in mixing.mixing_stage(frame).collect()))
+        total = sum(r["copies"] for r in mixing.mix_sources(frame).collect())
+        assert sum(seen[-1].values()) == total
+    assert seen[0] == seen[1] and max(seen[0].values()) <= 3
+
+
 def test_mixing_meets_targets(make):
     rng = random.Random(7)
     rows = [doc(i, "w " * rng.randrange(1, 60), source=rng.choice(["a", "b", "c", "d", None])) for i in range(3000)]
