@@ -118,24 +118,41 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[np.
     return {part: {what: [np.concatenate(x) for x in zip(*entries)] for what, entries in kinds.items()} for part, kinds in found.items()}
 
 
+def _ties(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, and which entries in it share theirs with another one."""
+    order = np.argsort(key)
+    tie = np.zeros(len(key), bool)
+    same = key[order][1:] == key[order][:-1]
+    tie[1:] |= same
+    tie[:-1] |= same
+    return order, tie
+
+
 class Groups:
-    """Entries with equal keys, in the order of key, doc_id, identity and position.
+    """Entries with equal keys: those alone first, the others in the order of key, doc_id, identity and position.
 
     ``later`` are those for which an earlier start exists: in a smaller doc_id, or in the same text. The others of a
     group are its first texts, which have one doc_id; they differ in text if there are several.
     """
 
     def __init__(self, keys: tuple[np.ndarray, ...], doc: np.ndarray, ident: np.ndarray, pos: np.ndarray):
-        self.order = np.lexsort((pos, ident, doc, *reversed(keys)))
-        doc, ident, pos = doc[self.order], ident[self.order], pos[self.order]
-        self.new = np.ones(len(doc), bool)
-        self.new[1:] = np.logical_or.reduce([k[self.order][1:] != k[self.order][:-1] for k in keys])
-        group = np.cumsum(self.new) - 1
-        text = self.new.copy()
+        # Most keys are alone: only those that tie in the first are sorted by all.
+        order, tie = _ties(keys[0])
+        tied = order[tie]
+        tied = tied[np.lexsort((pos[tied], ident[tied], doc[tied], *(k[tied] for k in reversed(keys))))]
+        self.order = np.concatenate((order[~tie], tied))
+        alone = len(order) - len(tied)
+        doc, ident, pos = doc[tied], ident[tied], pos[tied]
+        new = np.ones(len(tied), bool)
+        new[1:] = np.logical_or.reduce([k[tied][1:] != k[tied][:-1] for k in keys])
+        group = np.cumsum(new) - 1
+        text = new.copy()
         text[1:] |= (doc[1:] != doc[:-1]) | (ident[1:] != ident[:-1])
-        heads, own = np.flatnonzero(self.new), np.flatnonzero(text)[np.cumsum(text) - 1]
-        self.later = (doc != doc[heads][group]) | (pos != pos[own])
-        self.again = ~self.later & (np.arange(len(doc)) != own)  # the same place of a repeated row
+        heads, own = np.flatnonzero(new), np.flatnonzero(text)[np.cumsum(text) - 1]
+        later = (doc != doc[heads][group]) | (pos != pos[own])
+        again = ~later & (np.arange(len(doc)) != own)  # the same place of a repeated row
+        self.new = np.concatenate((np.ones(alone, bool), new))
+        self.later, self.again = (np.concatenate((np.zeros(alone, bool), x)) for x in (later, again))
 
 
 def _cover_rows(block: int, blocks: int, parts: int, hot_from: int):
@@ -213,13 +230,6 @@ def _sent_back(found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], dest
         yield _batch(rows)
 
 
-def _tied(key: np.ndarray) -> np.ndarray:
-    """Entries whose key another one has, by key."""
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    return order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(key) else order
-
-
 def _sorted_bucket(dests: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for have in _gathered(batches).values():
@@ -231,11 +241,12 @@ def _sorted_bucket(dests: int):
                 found += [(REPEAT, doc[later], ident[later], pos[later]), (CONTESTED, doc[first], ident[first], pos[first])]
             if SAMPLE in have:
                 entries = have.pop(SAMPLE)
-                tied = _tied(entries[3])
+                order, tie = _ties(entries[3])
+                tied = order[tie]
                 doc, ident, pos, prefix, rank, check = (x[tied] for x in entries)
                 del entries
                 if len(tied):
-                    g = Groups((prefix, rank, check), doc, ident, pos)
+                    g = Groups((rank, check, prefix), doc, ident, pos)
                     later, first = g.order[g.later], g.order[~g.later & ~g.again]
                     # A prefix with several ranks is contested.
                     _, where = np.unique(prefix, return_inverse=True)
@@ -306,7 +317,8 @@ def _sorted_strings(dests: int):
             found = [(STRING, *have[REPEAT])] if REPEAT in have else []
             if STRING in have:
                 entries = have.pop(STRING)
-                tied = _tied(entries[3])
+                order, tie = _ties(entries[3])
+                tied = order[tie]
                 doc, ident, pos, rank, check = (x[tied] for x in entries)
                 if len(tied):
                     g = Groups((rank, check), doc, ident, pos)
