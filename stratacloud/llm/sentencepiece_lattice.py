@@ -15,7 +15,10 @@ pieces, edges by start and length) and folds all words of a part step by step to
 
 A word is a run of spaces with the text after it, as no piece of such files goes on after a space (this is checked).
 Characters that no piece covers become byte pieces, or the unknown piece in files without those. Words over LONG bytes
-are merged by a heap instead, as the fold is quadratic in their length.
+are cut where no piece holds both neighbours, as no merge goes over such a border, and merged by a heap instead, as the
+fold is quadratic in their length; memory then grows with the longest stretch that pieces could cover.
+
+Words are told apart by hash and compared byte by byte; where two of one hash differ, another hash decides.
 
 What a task reads in one go, a *piece of the corpus*, becomes numbers of its own words, written once; it asks for each
 distinct word once. Words are dealt to parts by hash, each part encodes its distinct words and answers, and answers
@@ -36,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, bounded, column_bytes, n_partitions, packed, pieces_of, read_table, runs, unpacked
+from stratacloud.llm._shared import Scratch, bounded, column_bytes, packed, pieces_of, read_table, runs, unpacked
 from stratacloud.llm._text import PIECE_BYTES as HASH_BYTES
 from stratacloud.llm._text import Rolling
 
@@ -46,8 +49,8 @@ PIECE_ROWS = 2_500
 #: The same where whole lists come back, which take more memory.
 LIST_ROWS = 800
 LONG = 200
-#: Blocks in which words are asked and answered.
-WORD_BLOCKS = 2
+#: Blocks in which words are asked and answered, and words that one part of a block should hold.
+WORD_BLOCKS, PART_WORDS = 2, 300_000
 #: Blocks in which texts and answers meet where only digests are asked for.
 DIGEST_BLOCKS = 3
 #: Words that the fold takes at a time.
@@ -243,17 +246,48 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return with_map.withColumn("borders", borders).select("word", ids.alias("ids"))
 
 
+def neighbours(table: dict[str, tuple[int, float]]) -> set[str]:
+    """All pairs of characters that stand side by side in a piece."""
+    return {p[i : i + 2] for p in table for i in range(len(p) - 1)}
+
+
+def merge_long(word: str, table: dict[str, tuple[int, float]], byte_ids: list[int], pairs: set[str]) -> list[int]:
+    """``merge_word`` of the stretches between borders that no piece goes over."""
+    out, start = [], 0
+    for i in range(1, len(word) + 1):
+        if i == len(word) or word[i - 1 : i + 1] not in pairs:
+            out += merge_word(word[start:i], table, byte_ids) if i - start > 1 else [table[word[start]][0]] if word[start] in table else [byte_ids[b] for b in word[start].encode("utf-8", "surrogateescape")]
+            start = i
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of slices of a buffer the first of each, which one every slice equals, and how often each occurs. By hash, then by bytes."""
+    keys = Rolling(data).of(starts, starts + lengths)
+    for again in (True, False):
+        _, first, where, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        like = first[where]
+        if (lengths == lengths[like]).all() and np.array_equal(_slices(data, starts, lengths), _slices(data, starts[like], lengths)):
+            return first, where, times
+        keys = keys ^ (Rolling(data, again=again).of(starts, starts + lengths) << np.uint64(1))
+    names: dict[bytes, int] = {}
+    where = np.array([names.setdefault(data[a : a + n].tobytes(), len(names)) for a, n in zip(starts.tolist(), lengths.tolist())], np.int64)
+    _, first, times = np.unique(where, return_index=True, return_counts=True)
+    return first, where, times
+
+
 class Lattice:
     """The same relation in columns, for many words at a time. Spaces are plain here, not escaped."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.plain = {p.replace(SPACE, " "): v for p, v in vocabulary.table().items()}
-        self.vocabulary, self.byte_ids = vocabulary, vocabulary.byte_ids()
+        self.vocabulary, self.byte_ids, self.pairs = vocabulary, vocabulary.byte_ids(), neighbours(self.plain)
         raw = [p.encode() for p in self.plain]
         ends = np.cumsum([len(r) for r in raw])
         hashes = Rolling(np.frombuffer(b"".join(raw), np.uint8)).of(np.concatenate(([0], ends[:-1])), ends)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
+        self.checks = Rolling(np.frombuffer(b"".join(raw), np.uint8), again=True).of(np.concatenate(([0], ends[:-1])), ends)[order]
         self.ids = np.array([i for i, _ in self.plain.values()], np.int64)[order]
         # Ranks of scores: the lower the better; NONE where there is no piece.
         scores = np.array([s for _, s in self.plain.values()])[order]
@@ -267,8 +301,8 @@ class Lattice:
     NONE = np.iinfo(np.int32).max
 
     def edges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Rank of the piece per start and length: all substrings of the words, joined to the pieces by hash."""
-        rolling = Rolling(data)
+        """Rank of the piece per start and length: all substrings of the words, joined to the pieces by two hashes."""
+        rolling, again = Rolling(data), Rolling(data, again=True)
         size = int(min(self.longest, (ends - starts).max(initial=0)))
         out = np.full((len(data) + 1, size + 1), self.NONE, np.int32)
         stop = np.repeat(ends, ends - starts)
@@ -278,7 +312,8 @@ class Lattice:
             p = at[lead & (at + length <= stop)]
             h = rolling.of(p, p + length)
             k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[k] == h
+            hit = np.flatnonzero(self.hashes[k] == h)
+            hit = hit[again.of(p[hit], p[hit] + length) == self.checks[k[hit]]]
             out[p[hit], length] = self.ranks[k[hit]]
         return out
 
@@ -342,7 +377,7 @@ class Lattice:
             a, b = int(ends[i] - lengths[i]), int(ends[j - 1])
             if i in alone:
                 text = data[a:b].tobytes().decode("utf-8", "surrogateescape")
-                ids = merge_word(text, self.plain, self.byte_ids) if bpe else viterbi_word(text, self.plain, self.byte_ids, self.longest)
+                ids = merge_long(text, self.plain, self.byte_ids, self.pairs) if bpe else viterbi_word(text, self.plain, self.byte_ids, self.longest)
                 flats.append(np.array(ids, np.int64))
                 counts.append(np.array([len(ids)]))
             else:
@@ -408,7 +443,7 @@ def _encoded(prefix: bool):
             data, offs = column_bytes(batch.column(1))
             for i, j, part, at in pieces_of(data, offs, PIECE_BYTES):
                 digests = b"".join(hashlib.sha256(part[a:b].tobytes()).digest() for a, b in zip(at[:-1], at[1:]))
-                hashes, counts, starts, sizes, raws, shift = [], [], [], [], [], 0
+                counts, starts, sizes, raws, shift = [], [], [], [], 0
                 for _, _, small, sat in pieces_of(part, at, HASH_BYTES):
                     small, sat = _spaced(small, sat, prefix)
                     space = small == 32
@@ -417,20 +452,20 @@ def _encoded(prefix: bool):
                     start[sat[:-1][np.diff(sat) > 0]] = True
                     first = np.flatnonzero(start)
                     last = np.append(first[1:], len(small))[: len(first)]
-                    hashes.append(Rolling(small).of(first, last))
                     counts.append(np.diff(np.searchsorted(first, sat)))
-                    starts.append((first + shift).astype(np.int32))
-                    sizes.append((last - first).astype(np.int32))
+                    starts.append(first + shift)
+                    sizes.append(last - first)
                     raws.append(small)
                     shift += len(small)
-                _, first, local, times = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
-                starts_, sizes_ = np.concatenate(starts), np.concatenate(sizes).astype(np.int64)
-                del hashes, starts, sizes
+                starts_, sizes_, raw = np.concatenate(starts), np.concatenate(sizes), np.concatenate(raws)
+                del starts, sizes, raws
+                first, local, times = distinct(raw, starts_, sizes_)
                 order = np.argsort(-times, kind="stable")
                 rank = np.empty(len(order), np.uint32)
                 rank[order] = np.arange(len(order))
                 first = first[order]
-                words = _slices(np.concatenate(raws), starts_[first].astype(np.int64), sizes_[first])
+                words = _slices(raw, starts_[first], sizes_[first])
+                del raw
                 row = [packed(ids[i:j].astype(np.int64)), packed(none[i:j]), packed(np.concatenate(counts).astype(np.int32)), _packed_ranks(rank[local])]
                 piece = (TaskContext.get().partitionId() << 24) + serial
                 serial += 1
@@ -454,12 +489,12 @@ def _requests(parts: int, block: int, blocks: int):
                 data, lengths = unpacked(row["words"], np.uint8), unpacked(row["word_lengths"], np.uint32).astype(np.int64)
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
-                part = (Rolling(data).of(starts, ends) >> np.uint64(33)).astype(np.int64) % parts
-                order = np.argsort(part, kind="stable")
+                part = (Rolling(data).of(starts, ends) >> np.uint64(33)).astype(np.int64) % (parts * blocks)
+                mine = np.flatnonzero(part % blocks == block)
+                part //= blocks
+                order = mine[np.argsort(part[mine], kind="stable")]
                 for a, b in zip(*runs(part[order])):
                     at = order[a:b]
-                    if part[at[0]] % blocks != block:
-                        continue
                     columns = [packed(at.astype(np.uint32), rising=True), packed(_slices(data, starts[at], lengths[at])), packed(lengths[at].astype(np.uint32))]
                     yield pa.RecordBatch.from_arrays([pa.array([int(part[at[0]])], pa.int32()), pa.array([row["piece"]], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], names=[f.split()[0] for f in _ASK.split(", ")])
 
@@ -479,7 +514,7 @@ def _answered(vocabulary: Vocabulary):
         every = np.concatenate(lengths)
         ends = np.cumsum(every)
         starts = ends - every
-        _, first, where = np.unique(Rolling(data).of(starts, ends), return_index=True, return_inverse=True)
+        first, where, _ = distinct(data, starts, every)
         flat, size = lattice.encode(_slices(data, starts[first], every[first]), every[first])
         begin = np.cumsum(size) - size
         at = 0
@@ -544,18 +579,21 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, form: in
     spark = docs.sparkSession
     vocabulary = vocabulary or Vocabulary.read()
     scratch = Scratch(spark, "sentencepiece")
-    parts = n_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces, words = scratch.save_split(texts.mapInArrow(_encoded(vocabulary.add_prefix), _PIECE), "pieces", "kind", (TEXTS, WORDS), batch_rows=piece_rows)
+    n_pieces, n_words = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    parts = max(n_words // (WORD_BLOCKS * PART_WORDS) + 1, min(8, n_words // 5_000 + 1))
     answers = None
     for block in range(WORD_BLOCKS):
         asked = words.select("piece", "words", "word_lengths").mapInArrow(_requests(parts, block, WORD_BLOCKS), _ASK)
-        done = scratch.save(asked.repartition(parts, "part").mapInArrow(_answered(vocabulary), _ANSWER), "answers")
+        done = scratch.save(asked.repartitionById(parts, F.col("part")).mapInArrow(_answered(vocabulary), _ANSWER), "answers")
         answers = done if answers is None else answers.unionAll(done)
         del asked, done
     scratch.drop(words)
     rest = pieces.select("piece", "doc_ids", "no_id", "lengths", "tokens", "n_words", "digests")
-    assemble = lambda t, a: t.groupBy("piece").cogroup(a.groupBy("piece")).applyInArrow(_assembled(vocabulary, form), _LISTS if form == LISTS else _RESULT)
+    # About a piece for each task, whatever the session's number of partitions is.
+    by_piece = lambda frame: frame.repartition(max(n_pieces, 1), "piece").groupBy("piece")
+    assemble = lambda t, a: by_piece(t).cogroup(by_piece(a)).applyInArrow(_assembled(vocabulary, form), _LISTS if form == LISTS else _RESULT)
     if form != DIGEST:
         return assemble(rest, answers)
     # Digests are small: they are written block by block, and each block's shuffle goes before the next.
@@ -580,6 +618,7 @@ def sentencepiece_stage(docs: DataFrame) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its number of pieces, digests of piece numbers and decoded text, and whether it came back whole."""
-    out = encode_texts(read_table(spark, sf_dir, "documents"), form=DIGEST)
-    return out.select("doc_id", "n_pieces", F.lower(F.hex("ids")).alias("ids_sha256"), F.lower(F.hex("decoded")).alias("decoded_sha256"), (F.col("decoded") == F.col("text_sha256")).alias("round_trip"))
+    """Every document with its piece numbers, a digest of them and of the decoded text, and whether it came back whole."""
+    out = encode_texts(read_table(spark, sf_dir, "documents"), form=LISTS, piece_rows=LIST_ROWS)
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
+    return out.select("doc_id", "n_pieces", "ids", decoded.alias("decoded_sha256"), (decoded == F.lower(F.hex("text_sha256"))).alias("round_trip"))

@@ -68,8 +68,9 @@ def test_op4_equals_the_library(spark, small, documents):
     got = QUERIES["op4_sentencepiece"](spark, small).toPandas().set_index("doc_id")
     assert got.round_trip.all()
     for i, text in zip(documents.doc_id, documents.text):
-        ids = np.array(sp.encode(text or ""), np.uint32)
-        assert got.loc[i].n_pieces == len(ids) and got.loc[i].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
+        ids = sp.encode(text or "")
+        assert got.loc[i].n_pieces == len(ids) and list(got.loc[i].ids) == ids
+        assert got.loc[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
 def test_op5_held_out_accuracy(spark, small, documents):

@@ -265,6 +265,37 @@ def test_sentencepiece_edges(make, odd_rows):
     assert all(r["ids"] == np.frombuffer(s["ids"], np.int32).tolist() and r["decoded"] == bytes(s["decoded"]).decode() for i in got for r, s in zip(lists[i], got[i]))
 
 
+def test_long_words_are_cut_where_no_piece_goes(make):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL)
+    rng = random.Random(17)
+    texts = ["x" * 3000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé漢\U0001f600_/=") for _ in range(4000)), "the" * 500, "\u200b" * 400]
+    for t in texts:
+        assert len(t.encode()) > sentencepiece_lattice.LONG
+    got = by_id(sentencepiece_lattice.sentencepiece_stage(make([doc(i, t) for i, t in enumerate(texts)])))
+    for i, t in enumerate(texts):
+        assert got[i][0]["ids"] == sp.encode(t) and got[i][0]["decoded"] == t
+
+
+def test_distinct_slices_where_hashes_collide(monkeypatch):
+    data = np.frombuffer(b"aabbabab", np.uint8)
+    starts, lengths = np.array([0, 2, 4, 6, 0]), np.array([2, 2, 2, 2, 1])
+    plain = sentencepiece_lattice.distinct(data, starts, lengths)
+    assert [bytes(data[starts[f] : starts[f] + lengths[f]]) for f in plain[0][plain[1]]] == [b"aa", b"bb", b"ab", b"ab", b"a"] and sorted(plain[2]) == [1, 1, 1, 2]
+
+    class Weak:
+        def __init__(self, data, again=False):
+            pass
+
+        def of(self, starts, ends):
+            return np.zeros(len(starts), np.uint64)
+
+    monkeypatch.setattr(sentencepiece_lattice, "Rolling", Weak)
+    first, where, times = sentencepiece_lattice.distinct(data, starts, lengths)
+    assert [bytes(data[starts[f] : starts[f] + lengths[f]]) for f in first[where]] == [b"aa", b"bb", b"ab", b"ab", b"a"] and sorted(times) == [1, 1, 1, 2]
+
+
 def test_lattice_of_dataframe_operators(spark):
     v = sentencepiece_lattice.Vocabulary.read()
     words = ["▁hello", "▁the", "▁" * 5 + "x", "naïve漢", "▁aaaaaaaaab", "z"]
