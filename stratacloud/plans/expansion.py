@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacloud.functions.geometry import box_distance
@@ -16,6 +16,13 @@ def nearest_pages(pages: DataFrame, target: tuple[float, float], count: int) ->
     return pages.withColumn("away", box_distance(F.lit(target[0]), F.lit(target[1]))).orderBy("away", "depth", "key").limit(count)
 
 
+def page_batches(pages: DataFrame, budget: int, at_once: int = 2) -> DataFrame:
+    """The first ``budget`` pages in catalog order with ``batch``, the turn in which each is loaded: ``at_once`` per turn."""
+    order = ["depth", "z", "y", "x"]
+    first = pages.orderBy(*order).limit(budget)
+    return first.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / at_once))
+
+
 def expand(nodes: DataFrame, target: tuple[float, float], first_depth: int, rounds: tuple[int, ...]) -> DataFrame:
     """(key) of the pages that are loaded, with a page budget per round. Pages of the next depth show once their parent is in."""
     loaded: list[DataFrame] = []

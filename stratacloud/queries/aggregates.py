@@ -69,9 +69,10 @@ def agg_6(spark, d):
 
 @query("agg_7_timings", "SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, max(value) AS slowest, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS cache_hits, array_to_string(list_transform(list_sort(list(value), 'DESC')[1:5], lambda v: CAST(CAST(round(v * 100) AS BIGINT) AS VARCHAR)), ',') AS top_5 FROM events GROUP BY user_id")
 def agg_7(spark, d):
-    top = F.slice(F.sort_array(F.collect_list("value"), asc=False), 1, 5)
-    text = F.array_join(F.transform(top, lambda v: F.round(v * 100).cast("bigint").cast("string")), ",")
-    return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("slowest"), F.count_if(F.col("event_type") == "view").alias("cache_hits"), text.alias("top_5"))
+    e = table(spark, d, "events").withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("value").desc())))
+    few = F.collect_list(F.when(F.col("place") <= 5, F.struct("place", "value")))
+    text = F.array_join(F.transform(F.array_sort(few), lambda v: F.round(v["value"] * 100).cast("bigint").cast("string")), ",")
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("slowest"), F.count_if(F.col("event_type") == "view").alias("cache_hits"), text.alias("top_5"))
 
 
 @query("agg_8_multi_node_totals", N + " SELECT CAST(count(*) AS BIGINT) AS nodes, CAST(sum(point_count) AS BIGINT) AS source_points, CAST(sum(least(point_count, 20)) AS BIGINT) AS sampled FROM nodes")
@@ -170,14 +171,9 @@ def _row_output(p):
     return lines.select(F.from_json("line", "point_id bigint, node_key string").alias("p")).select("p.*")
 
 
-@query("snk_2_row_output", P + " SELECT point_id, node_key FROM points WHERE depth < 2")
+@query("snk_2_row_output", P + " SELECT point_id, node_key FROM points")
 def snk_2(spark, d):
     """Points as rows, one by one, for sinks that take objects: JSON lines and back."""
-    return _row_output(points(spark, d).filter("depth < 2"))
-
-
-@query("snk_2_row_output_all", P + " SELECT point_id, node_key FROM points")
-def snk_2_all(spark, d):
     return _row_output(points(spark, d))
 
 
@@ -213,17 +209,13 @@ def snk_7(spark, d):
 
 
 #: Two images of 64 x 36 pixels out of points: what the cloud covers, and the same with other points.
-_PIX = """, img AS (SELECT CAST(floor(x / 1000 * 63.999) AS BIGINT) AS px, CAST(floor(y / 1000 * 35.999) AS BIGINT) AS py, point_id FROM points WHERE depth <= 2),
+_PIX = """, img AS (SELECT CAST(floor(x / 1000 * 63.999) AS BIGINT) AS px, CAST(floor(y / 1000 * 35.999) AS BIGINT) AS py, point_id FROM points),
  grid AS (SELECT gx AS px, gy AS py FROM range(64) a(gx), range(36) b(gy)),
  ma AS (SELECT g.px, g.py, bool_or(coalesce(i.point_id % 3 <> 0, false)) AS a, bool_or(coalesce(i.point_id % 5 <> 0, false)) AS b FROM grid g LEFT JOIN img i USING (px, py) GROUP BY ALL)"""
 
 
-#: The same images of all points.
-_ALL_PIX = _PIX.replace(" WHERE depth <= 2)", ")")
-
-
-def _masks(spark, d, only="depth <= 2"):
-    return images.masks(points(spark, d).filter(only), 64, 36, {"a": F.col("point_id") % 3 != 0, "b": F.col("point_id") % 5 != 0})
+def _masks(spark, d):
+    return images.masks(points(spark, d), 64, 36, {"a": F.col("point_id") % 3 != 0, "b": F.col("point_id") % 5 != 0})
 
 
 @query("img_1_difference_mask", P + ", pix AS (SELECT point_id, CAST(red AS BIGINT) AS r, green AS g, blue AS b FROM points WHERE red IS NOT NULL) SELECT point_id, greatest(abs(r - 20), abs(g - 30), abs(b - 40)) >= 12 AS differs FROM pix")
@@ -246,11 +238,6 @@ def img_2(spark, d):
     return _img_2_mask_stats(_masks(spark, d))
 
 
-@query("img_2_mask_stats_all", P + _ALL_PIX + _IMG_2)
-def img_2_all(spark, d):
-    return _img_2_mask_stats(_masks(spark, d, "true"))
-
-
 def _img_3_closed_mask(mask):
     return images.close_square(mask.select("px", "py", F.col("a").alias("v")), 1).filter("v").select("px", "py")
 
@@ -264,11 +251,6 @@ def img_3(spark, d):
     return _img_3_closed_mask(_masks(spark, d))
 
 
-@query("img_3_closed_mask_all", P + _ALL_PIX + _IMG_3)
-def img_3_all(spark, d):
-    return _img_3_closed_mask(_masks(spark, d, "true"))
-
-
 def _img_4_mask_support(mask):
     s = images.support(mask, "a", "b")
     return s.select(r6(F.col("retained")).alias("retained"), r6(F.col("unsupported")).alias("unsupported"))
@@ -282,11 +264,6 @@ def img_4(spark, d):
     return _img_4_mask_support(_masks(spark, d))
 
 
-@query("img_4_mask_support_all", P + _ALL_PIX + _IMG_4)
-def img_4_all(spark, d):
-    return _img_4_mask_support(_masks(spark, d, "true"))
-
-
 @query("img_5_frame_digest", N + " SELECT sha256(string_agg(key || ':' || point_count, '|' ORDER BY depth, z, y, x)) AS digest FROM nodes")
 def img_5(spark, d):
     part = F.struct("depth", "z", "y", "x", F.concat_ws(":", "key", F.col("point_count").cast("string")).alias("k"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from stratacloud.fixtures import NODES_SQL, nodes, table
+from stratacloud.fixtures import NODES_SQL, nodes, points, table
 from stratacloud.functions import requests as rq
+from stratacloud.operators.sampling import ranked
+from stratacloud.plans.expansion import page_batches
 from stratacloud.queries import query
+from stratacloud.queries.aggregates import RANKED_SQL
 from stratacloud.sources import ranges
+from stratacloud.sources.cache import CachedRanges, FolderRangeCache
+from stratacloud.sources.files import MOST_BYTES, file_length, read_ranges
+from stratacloud.storage import shared_dir
 
 N = "WITH " + NODES_SQL
 #: A request log out of events.
@@ -40,20 +48,23 @@ def src_1(spark, d):
 
 @query("src_2_byte_ranges", "SELECT * FROM (VALUES (0, 4, 'PAR1'), (1, 3, 'AR')) AS t(range_begin, range_end, part)")
 def src_2(spark, d):
-    """Half-open ranges of a file that Spark reads, each cut out with its exact length."""
-    file = spark.read.format("binaryFile").load(f"{d}/region.parquet").select("content", F.col("length"))
-    asked = file.withColumn("r", F.explode(F.array(F.struct(F.lit(0).alias("b"), F.lit(4).alias("e")), F.struct(F.lit(1).alias("b"), F.lit(3).alias("e")))))
-    return asked.select(F.col("r.b").alias("range_begin"), F.col("r.e").alias("range_end"), F.decode(ranges.inner_slice(F.col("content"), F.col("r.b"), F.col("r.e"), F.lit(0), F.col("length")), "UTF-8").alias("part"))
+    """Half-open ranges of a file, a task each, with exact lengths."""
+    found = read_ranges(spark, f"{d}/region.parquet", [(0, 4), (1, 3)])
+    return found.select(F.col("begin").cast("int").alias("range_begin"), F.col("end").cast("int").alias("range_end"), F.decode("data", "UTF-8").alias("part"))
 
 
-@query("src_3_checked_range", "SELECT CAST(octet_length(encode('PAR1')) AS BIGINT) AS bytes, true AS whole")
+@query("src_3_checked_range", "SELECT * FROM (VALUES (0, true, true, 'PAR1'), (1, true, true, 'PAR1'), (2, false, NULL, NULL), (3, false, NULL, NULL), (4, true, false, NULL)) AS t(id, valid, inside, part)")
 def src_3(spark, d):
-    """A range is good if it lies in the file, within the limit, and comes back at full length."""
-    from stratacloud.sources.files import MOST_BYTES
-
-    file = spark.read.format("binaryFile").load(f"{d}/region.parquet")
-    data = F.substring("content", 1, 4)
-    return file.select(F.octet_length(data).cast("bigint").alias("bytes"), (rq.valid_range(F.lit(0), F.lit(4)) & (F.col("length") >= 4) & (F.lit(4) <= MOST_BYTES) & (F.octet_length(data) == 4)).alias("whole"))
+    """A range is good if its ends are in order, it is no longer than the limit and lies in the file; only such are read."""
+    path = f"{d}/region.parquet"
+    size = file_length(spark, path)
+    asked = [(0, 0, 4), (1, size - 4, size), (2, 4, 4), (3, 0, MOST_BYTES + 1), (4, size - 2, size + 2)]
+    a = spark.createDataFrame(asked, "id int, begin bigint, end bigint")
+    valid = rq.valid_range(F.col("begin"), F.col("end")) & (F.col("end") - F.col("begin") <= MOST_BYTES)
+    a = a.withColumn("valid", valid).withColumn("inside", F.when(valid, F.col("end") <= size))
+    good = [(b, e) for _, b, e in asked if b < e <= size and e - b <= MOST_BYTES]
+    found = read_ranges(spark, path, good).select("begin", "end", F.decode("data", "UTF-8").alias("part"))
+    return a.join(found, ["begin", "end"], "left").select("id", "valid", "inside", "part")
 
 
 @query("src_4_response_check", f"WITH {_LOG} SELECT request, {_ERROR} AS error FROM log")
@@ -146,21 +157,58 @@ def src_14_islands(spark, d):
     return ranges.islands(n).drop("source")
 
 
-@query("src_18_next_page", N + " SELECT key FROM nodes WHERE depth = 2 ORDER BY depth, z, y, x LIMIT 2")
+@query("src_18_next_page", N + " SELECT key FROM nodes WHERE depth = 2 ORDER BY depth, z, y, x LIMIT 1")
 def src_18(spark, d):
-    return nodes(spark, d).filter("depth = 2").orderBy("depth", "z", "y", "x").limit(2).select("key")
+    return page_batches(nodes(spark, d).filter("depth = 2"), 1).select("key")
+
+
+@query("src_18_page_batches", N + ", p AS (SELECT key, row_number() OVER (ORDER BY depth, z, y, x) - 1 AS i FROM nodes WHERE depth BETWEEN 1 AND 2) SELECT key, CAST(i // 2 AS BIGINT) AS batch FROM p WHERE i < 31")
+def src_18_batches(spark, d):
+    """Pages in catalog order within a budget, two at a time."""
+    return page_batches(nodes(spark, d).filter("depth between 1 and 2"), 31, at_once=2).select("key", "batch")
 
 
-@query("src_26_cache_statistics", f"WITH {_LOG} SELECT CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (WHERE request % 2 = 0) AS BIGINT) AS hits, CAST(sum(length) AS BIGINT) AS bytes, CAST(max(length) AS BIGINT) AS most FROM log")
+@query("src_26_cache_statistics", _HIT.replace("SELECT request, entry FROM h WHERE k = 1", ", s AS (SELECT l.request, l.length, h.entry IS NOT NULL AS hit FROM log l LEFT JOIN (SELECT * FROM h WHERE k = 1) h USING (request)) SELECT CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE NOT hit) AS BIGINT) AS misses, CAST(sum(CASE WHEN hit THEN 0 ELSE length END) AS BIGINT) AS fetched_bytes, CAST(max(length) AS BIGINT) AS most FROM s"))
 def src_26(spark, d):
+    """Counters of a cache over a log of requests: hits are requests that a cached range holds."""
     log = request_log(spark, d)
-    return log.agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("request") % 2 == 0).alias("hits"), F.sum("length").alias("bytes"), F.max("length").alias("most"))
+    hits = ranges.cache_hits(log, cached_ranges(spark, d), 4096).select("request", F.lit(True).alias("hit"))
+    seen = log.join(hits, "request", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return seen.agg(F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.sum(F.when(F.col("hit"), 0).otherwise(F.col("length"))).alias("fetched_bytes"), F.max("length").alias("most"))
 
 
-@query("src_28_index_checks", N + " SELECT key, point_count BETWEEN 0 AND 9007199254740991 AS counted, point_count % 7 < point_count AS in_range FROM nodes")
+@query("src_28_index_checks", "WITH " + RANKED_SQL + " SELECT node_key AS key, count(*) BETWEEN 0 AND 9007199254740991 AS counted, count(DISTINCT prog_rank) = count(*) AND min(prog_rank) = 0 AND max(prog_rank) = count(*) - 1 AS ordered, CAST(min(point_id) FILTER (WHERE prog_rank = 0) AS BIGINT) AS first_point FROM placed GROUP BY node_key")
 def src_28(spark, d):
-    c = F.col("point_count")
-    return nodes(spark, d).select("key", c.between(0, rq.SAFE_INTEGER).alias("counted"), (c % 7 < c).alias("in_range"))
+    """A node's spatial order holds every index of its points once; then its first index names a point."""
+    n = F.count(F.lit(1))
+    ordered = (F.count_distinct("prog_rank") == n) & (F.min("prog_rank") == 0) & (F.max("prog_rank") == n - 1)
+    return ranked(points(spark, d)).groupBy(F.col("node_key").alias("key")).agg(n.between(0, rq.SAFE_INTEGER).alias("counted"), ordered.alias("ordered"), F.min(F.when(F.col("prog_rank") == 0, F.col("point_id"))).alias("first_point"))
+
+
+@query("udf_3_range_store", "SELECT * FROM (VALUES (0, 3, 'PAR1'), (1, 0, 'PAR1')) AS t(turn, fetched_blocks, head)")
+def udf_3(spark, d):
+    """A user's store of ranges: the second reader of the same ranges fetches nothing."""
+    store = FolderRangeCache(spark, f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}")
+    path = f"{d}/orders.parquet"
+    size = file_length(spark, path)
+    block = -(-size // 3)
+    asked = spark.createDataFrame([(1, 0, 4), (2, block - 2, block + 2), (3, size - 4, size)], "request bigint, begin bigint, end bigint")
+    out = None
+    for turn in range(2):
+        getter = CachedRanges(spark, path, store, block)
+        found = getter.read(asked).filter("request = 1")
+        row = found.select(F.lit(turn).alias("turn"), F.lit(getter.fetched_blocks).cast("int").alias("fetched_blocks"), F.decode("data", "UTF-8").alias("head"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("rt_4_kept_views", """WITH a AS (SELECT user_id AS cache, event_type AS entry, max(ts) AS used, CAST(max(event_id % 900) AS BIGINT) AS bytes FROM events GROUP BY ALL), f AS (SELECT * FROM a WHERE bytes <= 850), w AS (SELECT *, sum(bytes) OVER o AS held, count(*) OVER o AS nth FROM f WINDOW o AS (PARTITION BY cache ORDER BY used DESC, entry DESC ROWS UNBOUNDED PRECEDING)) SELECT a.cache, a.entry, w.entry IS NOT NULL AND w.held <= 1700 AND w.nth <= 3 AS kept FROM a LEFT JOIN w USING (cache, entry)""")
+def rt_4(spark, d):
+    """Decoded views under a bound of number and bytes: the latest used stay; one that is too large alone is used but not kept."""
+    a = table(spark, d, "events").groupBy(F.col("user_id").alias("source"), F.col("event_type").alias("entry")).agg(F.max("ts").alias("used"), F.max(F.col("event_id") % 900).alias("bytes"))
+    fits = a.filter("bytes <= 850")
+    gone = a.filter("bytes > 850").select("source", "entry").unionByName(ranges.evicted(fits, 1_700, 3).select("source", "entry")).withColumn("gone", F.lit(True))
+    return a.join(gone, ["source", "entry"], "left").select(F.col("source").alias("cache"), "entry", F.col("gone").isNull().alias("kept"))
 
 
 @query("rt_5_lru_survivors", """WITH a AS (SELECT user_id AS cache, event_type AS entry, max(ts) AS used, CAST(sum(event_id % 100) AS BIGINT) AS bytes FROM events GROUP BY ALL), w AS (SELECT *, sum(bytes) OVER (PARTITION BY cache ORDER BY used DESC, entry DESC ROWS UNBOUNDED PRECEDING) AS held FROM a) SELECT cache, entry FROM w WHERE held <= 2000""")

@@ -13,9 +13,7 @@ N = "WITH " + NODES_SQL
 _UNDER = "c.depth >= n.depth AND c.x >> (c.depth - n.depth) = n.x AND c.y >> (c.depth - n.depth) = n.y AND c.z >> (c.depth - n.depth) = n.z"
 _VIEWS = ", views AS (SELECT key, (x + y + z) % 4 <> 0 AS visible, CASE WHEN y % 7 = 3 THEN NULL ELSE (x + z) % 5 <> 0 OR depth = 0 END AS ready FROM nodes WHERE (x * 31 + y * 17 + z) % 6 <> 0)"
 #: Keys by camera events: places in order of time, keys from the value.
-_KEYS = "keys AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS pos, (event_id % 4) || '-' || (event_id % (1 << (event_id % 4))) || '-' || ((event_id * 7) % (1 << (event_id % 4))) || '-' || ((event_id * 3) % (1 << (event_id % 4))) AS key, value FROM events WHERE event_id < 300)"
-#: The same over all events.
-_ALL_KEYS = _KEYS.removesuffix(" WHERE event_id < 300)") + ")"
+_KEYS = "keys AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS pos, (event_id % 4) || '-' || (event_id % (1 << (event_id % 4))) || '-' || ((event_id * 7) % (1 << (event_id % 4))) || '-' || ((event_id * 3) % (1 << (event_id % 4))) AS key, value FROM events)"
 
 
 def views(n):
@@ -24,18 +22,14 @@ def views(n):
     return n.filter((x * 31 + y * 17 + z) % 6 != 0).select("key", ((x + y + z) % 4 != 0).alias("visible"), ready.alias("ready"))
 
 
-def stream_keys(spark, d, only="event_id < 300"):
-    e = sets.places_in_time(table(spark, d, "events").filter(only), "ts", "event_id")
+def stream_keys(spark, d):
+    e = sets.places_in_time(table(spark, d, "events"), "ts", "event_id")
     i = F.col("event_id")
     size = F.pow(F.lit(2), i % 4).cast("bigint")
     key = F.concat_ws("-", *[c.cast("string") for c in (i % 4, i % size, (i * 7) % size, (i * 3) % size)])
     return e.select("pos", key.alias("key"), "value")
 
 
-def all_stream_keys(spark, d):
-    return stream_keys(spark, d, "true")
-
-
 @query("jn_1_view_index", N + _VIEWS + " SELECT n.key, v.visible, v.ready FROM nodes n LEFT JOIN views v USING (key)")
 def jn_1(spark, d):
     n = nodes(spark, d)
@@ -87,11 +81,6 @@ def jn_7(spark, d):
     return tree.ancestor_overlaps(stream_keys(spark, d))
 
 
-@query("jn_7_ancestor_overlaps_all", f"WITH {_ALL_KEYS} {_PAIRED}")
-def jn_7_all(spark, d):
-    return tree.ancestor_overlaps(all_stream_keys(spark, d))
-
-
 @query("jn_8_required_nodes", N + " SELECT key, point_count FROM nodes WHERE key IN ('0-0-0-0', '1-0-0-0', '1-1-1-1')")
 def jn_8(spark, d):
     """A key without a node is an error, not a missing row."""
@@ -112,21 +101,11 @@ def set_1(spark, d):
     return sets.first_occurrences(stream_keys(spark, d))
 
 
-@query("set_1_first_occurrence_all", f"WITH {_ALL_KEYS} SELECT key, CAST(min(pos) AS BIGINT) AS pos FROM keys GROUP BY key")
-def set_1_all(spark, d):
-    return sets.first_occurrences(all_stream_keys(spark, d))
-
-
 @query("set_2_last_occurrence", f"WITH {_KEYS} SELECT key, CAST(max(pos) AS BIGINT) AS pos FROM keys GROUP BY key")
 def set_2(spark, d):
     return sets.last_occurrences(stream_keys(spark, d))
 
 
-@query("set_2_last_occurrence_all", f"WITH {_ALL_KEYS} SELECT key, CAST(max(pos) AS BIGINT) AS pos FROM keys GROUP BY key")
-def set_2_all(spark, d):
-    return sets.last_occurrences(all_stream_keys(spark, d))
-
-
 @query("set_3_union_once", N + " SELECT key, CASE WHEN depth <= 2 THEN 'coverage' ELSE 'detail' END AS part FROM nodes WHERE depth <= 2 OR (depth >= 2 AND x % 2 = 0)")
 def set_3(spark, d):
     n = nodes(spark, d)
@@ -145,11 +124,6 @@ def set_4(spark, d):
     return _densest(stream_keys(spark, d))
 
 
-@query("set_4_densest_sample_all", f"WITH {_ALL_KEYS} SELECT key, sampled FROM (SELECT key, CAST(floor(value) AS BIGINT) AS sampled, row_number() OVER (PARTITION BY key ORDER BY floor(value) DESC, pos) AS k FROM keys) WHERE k = 1")
-def set_4_all(spark, d):
-    return _densest(all_stream_keys(spark, d))
-
-
 @query("set_5_frame_errors", N + " SELECT key, CASE WHEN depth = 3 AND x % 3 = 0 THEN 'unexpected' ELSE 'missing' END AS problem FROM nodes WHERE (depth <= 2 AND x % 5 = 1) OR (depth = 3 AND x % 3 = 0)")
 def set_5(spark, d):
     n = nodes(spark, d)
@@ -161,11 +135,6 @@ def set_6(spark, d):
     return sets.first_place_last_value(stream_keys(spark, d))
 
 
-@query("set_6_first_place_last_value_all", f"WITH {_ALL_KEYS} SELECT key, CAST(min(pos) AS BIGINT) AS pos, max_by(value, pos) AS value FROM keys GROUP BY key")
-def set_6_all(spark, d):
-    return sets.first_place_last_value(all_stream_keys(spark, d))
-
-
 @query("agg_10_exact_overlap", N + " SELECT round(CAST(count(*) FILTER (WHERE depth <= 2) AS DOUBLE) / count(*), 6) AS ratio FROM nodes WHERE x % 2 = 0")
 def agg_10(spark, d):
     n = nodes(spark, d)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MOST_BYTES = 256 * 1024 * 1024
@@ -51,6 +53,23 @@ class ByteRangeSource(DataSource):
         return ByteRangeReader(os.path.expanduser(self.options["path"]), ranges)
 
 
+def file_length(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+
+
+def read_ranges(spark: SparkSession, path: str, ranges: list[tuple[int, int]]) -> DataFrame:
+    """(begin, end, data) of half-open ranges: a task per range where executors can open the path, else cut from the whole file."""
+    local = path.removeprefix("file://") if path.startswith("file:///") else path
+    if "://" not in local:
+        spark.dataSource.register(ByteRangeSource)
+        return spark.read.format("byteranges").option("path", local).option("ranges", ",".join(f"{a}-{b}" for a, b in ranges)).load()
+    whole = spark.read.format("binaryFile").load(path).withColumn("r", F.explode(F.array(*[F.struct(F.lit(a).cast("bigint").alias("begin"), F.lit(b).cast("bigint").alias("end")) for a, b in ranges])))
+    data = F.substring("content", (F.col("r.begin") + 1).cast("int"), (F.col("r.end") - F.col("r.begin")).cast("int"))
+    exact = F.when(F.col("r.end") > F.col("length"), F.raise_error(F.lit("a range outside the file"))).otherwise(data)
+    return whole.select("r.begin", "r.end", exact.cast("binary").alias("data"))
+
+
 def source_key(path: str) -> str:
     return f"url:{path}"
 

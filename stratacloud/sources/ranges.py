@@ -1,10 +1,13 @@
 """Planning byte ranges: coalescing node ranges, fixed blocks, runs of missing blocks, range caches.
 
-Ranges that depend on the ones before (a length cap) are an ordered fold per file; the rest are joins and windows.
+Ranges that depend on the ones before (a length cap) are one sorted pass per file; the rest are joins and windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,34 +15,57 @@ BLOCK = 64 * 1024
 MOST_SPAN = 2 * 1024 * 1024
 
 
+_SPANS = pa.schema([("source", pa.string()), ("key", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("span_begin", pa.int64()), ("span_end", pa.int64())])
+
+
+def _spans(most_gap: int, most_span: int):
+    """One pass over ranges that come sorted by source and place; only the open span is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, span, done = None, [], []
+
+        def close() -> None:
+            done.extend((source, k, b, e, span[0][1], span[-1][2]) for k, b, e in span)
+            span.clear()
+
+        for batch in batches:
+            for s, k, b, e in zip(*(c.to_pylist() for c in batch.columns)):
+                if span and (s != source or not 0 <= b - span[-1][2] <= most_gap or e - span[0][1] > most_span):
+                    close()
+                source = s
+                span.append((k, b, e))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _SPANS)], schema=_SPANS)
+                done = []
+        close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _SPANS)], schema=_SPANS)
+
+    return run
+
+
 def coalesce_ranges(entries: DataFrame, most_gap: int = 0, most_span: int | None = MOST_SPAN, by: str = "source") -> DataFrame:
     """(source, key, begin, length) to (source, key, begin, end, span_begin, span_end).
 
     In the order of begins a range joins the open span if it starts at its end or at most ``most_gap`` after it and the
     span stays within ``most_span``. An overlap starts a new span. Empty ranges stand alone and leave the open span open.
-    A key that comes twice in a source is an error.
+    A key that comes twice in a source is an error. Without a cap on spans this is a window; with one, each span depends
+    on the one before, and a sorted pass per source holds no more than the open span.
     """
-    row = F.struct("begin", (F.col("begin") + F.col("length")).alias("end"), "key")
-    span = "struct<span_begin:bigint,span_end:bigint,rows:array<struct<begin:bigint,end:bigint,key:string>>>"
-    packed = entries.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
-    packed = packed.select(by, F.when(F.col("n") > F.col("keys"), F.raise_error(F.lit("a key comes twice"))).otherwise(F.col("rows")).alias("rows"))
-
-    def step(state: Column, r: Column) -> Column:
-        spans, last = state, F.try_element_at(state, F.lit(-1))
-        gap = r["begin"] - last["span_end"]
-        fits = (gap >= 0) & (gap <= most_gap)
-        if most_span is not None:
-            fits = fits & (r["end"] - last["span_begin"] <= most_span)
-        grown = F.struct(last["span_begin"].alias("span_begin"), r["end"].alias("span_end"), F.concat(last["rows"], F.array(r)).alias("rows"))
-        fresh = F.struct(r["begin"].alias("span_begin"), r["end"].alias("span_end"), F.array(r).alias("rows"))
-        joined = F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(grown))
-        return F.when((F.size(spans) > 0) & F.coalesce(fits, F.lit(False)), joined).otherwise(F.concat(spans, F.array(fresh))).cast(f"array<{span}>")
-
-    full, empty = F.filter("rows", lambda r: r["end"] > r["begin"]), F.filter("rows", lambda r: r["end"] <= r["begin"])
-    folded = packed.select(by, F.aggregate(full, F.array().cast(f"array<{span}>"), step).alias("spans"), empty.alias("empty"))
-    alone = folded.select(by, F.explode("empty").alias("r")).select(by, "r.key", "r.begin", "r.end", F.col("r.begin").alias("span_begin"), F.col("r.end").alias("span_end"))
-    spans = folded.select(by, F.explode("spans").alias("s")).select(by, "s.span_begin", "s.span_end", F.explode("s.rows").alias("r"))
-    return spans.select(by, "r.key", "r.begin", "r.end", "span_begin", "span_end").unionByName(alone)
+    twice = F.count(F.lit(1)).over(Window.partitionBy(by, "key")) > 1
+    once = F.when(twice, F.raise_error(F.lit("a key comes twice"))).otherwise(F.col("key")).cast("string")
+    rows = entries.select(F.col(by).cast("string").alias("source"), once.alias("key"), F.col("begin").cast("bigint").alias("begin"), (F.col("begin") + F.col("length")).cast("bigint").alias("end"))
+    alone = rows.filter("end <= begin").select("source", "key", "begin", "end", F.col("begin").alias("span_begin"), F.col("begin").alias("span_end"))
+    full = rows.filter("end > begin")
+    if most_span is None:
+        order = Window.partitionBy("source").orderBy("begin", "end", "key")
+        gap = F.col("begin") - F.lag("end").over(order)
+        named = full.withColumn("new", F.when(gap.between(0, most_gap), 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
+        whole = Window.partitionBy("source", "island")
+        spans = named.select("source", "key", "begin", "end", F.min("begin").over(whole).alias("span_begin"), F.max_by("end", F.struct("begin", "end", "key")).over(whole).alias("span_end"))
+    else:
+        spans = full.repartition("source").sortWithinPartitions("source", "begin", "end", "key").mapInArrow(_spans(most_gap, most_span), "source string, key string, begin bigint, end bigint, span_begin bigint, span_end bigint")
+    return spans.unionByName(alone).withColumnRenamed("source", by)
 
 
 def islands(entries: DataFrame, by: str = "source") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stratacloud.storage import shared_dir
+
 DEBOUNCE = "30 minutes"
 PREVIEW, DETAIL, WARMUP = 4, 3, 2
 
@@ -33,16 +35,23 @@ def newest(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "value")).alias("last")).select("user_id", "last.ts", "last.event_id", "last.value")
 
 
-def run_to_end(frame: DataFrame, mode: str, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame | StreamingQuery:
-    """Process all that is there and stop. Without a sink the result is a table in the driver's memory: for tests and small state."""
+def run_to_end(frame: DataFrame, mode: str, sink: Callable[[DataFrame, int], None] | None = None, folder: str | None = None) -> DataFrame | StreamingQuery:
+    """Process all that is there and stop. Without a sink the result is a table of files, a folder per micro-batch.
+
+    A batch that runs again writes its folder again, so each counts once. In mode complete the last batch is the result.
+    """
+    spark = frame.sparkSession
+    root = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    write = sink or (lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}"))
+    q = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
     if sink is not None:
-        q = frame.writeStream.outputMode(mode).trigger(availableNow=True).foreachBatch(sink).start()
-        q.awaitTermination()
         return q
-    name = f"stream_{uuid.uuid4().hex}"
-    q = frame.writeStream.outputMode(mode).trigger(availableNow=True).format("memory").queryName(name).start()
-    q.awaitTermination()
-    return frame.sparkSession.table(name)
+    epochs = [p["batchId"] for p in q.recentProgress if p["numInputRows"] or mode == "complete"] or [q.lastProgress["batchId"]] if q.lastProgress else []
+    if not epochs:
+        return spark.createDataFrame([], frame.schema)
+    paths = [f"{root}/out/epoch={e}" for e in (epochs[-1:] if mode == "complete" else sorted(set(epochs)))]
+    return spark.read.schema(frame.schema).parquet(*paths)
 
 
 def request_priority(request: Column, kind: Column) -> Column:
