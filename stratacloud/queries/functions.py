@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratacloud.fixtures import CUBE, NODES_SQL, POINTS_SQL, ROOT_SPACING, nodes, points, table
-from stratacloud.functions import color, crs, geometry, keys, morton
+from stratacloud.functions import color, crs, geometry, keys, morton, status
 from stratacloud.queries import query
 
 EYE = (500.0, 500.0, 1800.0)
@@ -304,9 +304,73 @@ def fn_27(spark, d):
     return rows.groupBy("node_key").agg(F.count(F.lit(1)).alias("n"), F.sum("red").cast("bigint").alias("red_sum"), F.sum("green").cast("bigint").alias("green_sum"), F.sum("classification").cast("bigint").alias("class_sum"))
 
 
-@query("fn_28_status_lines", N + "SELECT depth, 'depth ' || depth || ': ' || count(*) || ' nodes, ' || sum(point_count) || ' points' AS line FROM nodes GROUP BY depth")
+#: Whole numbers with separators, and decimals without trailing zeros, for the checking engine.
+def _num(c: str) -> str:
+    return f"format('{{:,}}', CAST(({c}) AS BIGINT))"
+
+
+def _dec(c: str, digits: int) -> str:
+    return f"regexp_replace(format('{{:,.{digits}f}}', CAST({c} AS DOUBLE)), '\\.?0+$', '')"
+
+
+def _cap(now: str, most: str, label: str) -> str:
+    return f"CASE WHEN {now} = {most} THEN {_num(most)} || ' {label}' ELSE {_num(now)} || ' / ' || {_num(most)} || ' {label} adaptive' END"
+
+
+_BY_DEPTH = ", g AS (SELECT depth, count(*) AS n, CAST(sum(point_count) AS BIGINT) AS p, CAST(sum(data_length) AS BIGINT) AS b FROM nodes GROUP BY depth) "
+
+
+def _by_depth(spark, d):
+    return nodes(spark, d).groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.sum("point_count").alias("p"), F.sum("data_length").alias("b"))
+
+
+@query("fn_28_status_lines", N.rstrip() + _BY_DEPTH + f"""SELECT depth, 'expand ' || {_num("n")} || ' ms, apply ' || {_num("n * 2")} || ' ms, select ' || {_num("n * 3")} || ' ms, render ' || {_num("n * 1000")} || ' ms, total ' || {_num("n * 1006")} || ' ms, 2 pages, ' || {_num("n")} || ' nodes, depth ' || depth || ', source ' || {_num("p")} || ' pts / ' || {_dec("b / 1048576.0", 1)} || ' MiB' AS line FROM g""")
 def fn_28(spark, d):
-    return nodes(spark, d).groupBy("depth").agg(F.format_string("depth %d: %d nodes, %d points", F.first("depth"), F.count(F.lit(1)), F.sum("point_count")).alias("line"))
+    n, p = F.col("n"), F.col("p")
+    return _by_depth(spark, d).select("depth", status.diagnostics(n, n * 2, n * 3, n * 1000, n * 1006, F.lit(2), n, F.col("depth"), p, F.col("b")).alias("line"))
+
+
+@query("fn_28_detail_progress", f"""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'Not streamed yet' ELSE {_num("event_id")} || ' / ' || {_num("event_id * 3")} || ' current-view nodes (' || {_dec("event_id % 97 / CAST(97 AS DOUBLE) * 100", 1)} || '% coverage' || CASE WHEN event_id % 3 = 0 THEN ', ' || {_dec("(1 + event_id % 97) / CAST(97 AS DOUBLE) * 100", 1)} || '% weighted' ELSE '' END || CASE WHEN event_id % 2 = 0 THEN ', render budget reached' ELSE '' END || ')' END AS line FROM events""")
+def fn_28_detail(spark, d):
+    i = F.col("event_id")
+    final, coverage = F.when(i % 5 != 0, i * 3), i % 97 / 97
+    return table(spark, d, "events").select(i, status.detail_progress(i, final, coverage, F.when(i % 3 == 0, (i % 97 + 1) / 97).otherwise(coverage), i % 2 == 0).alias("line"))
+
+
+@query("fn_28_lod_summary", f"""SELECT event_id, 'Detail' || ', camera ' || {_dec("event_id / 4.0", 1)} || ' m, depth <= ' || (event_id % 9) || ', tile target 80 px, point spacing 2.25 px, source budget ' || {_cap("event_id * 100", "900000", "source pts")} || ' / ' || {_cap("900000", "900000", "per-node source pts")} || ', up to 1,024 nodes' AS line FROM events""")
+def fn_28_lod(spark, d):
+    i = F.col("event_id")
+    most = F.lit(900_000)
+    budgets = [status.budget(i * 100, most, "source pts"), status.budget(most, most, "per-node source pts")]
+    return table(spark, d, "events").select(i, status.lod_summary(F.lit("Detail"), i / 4, i % 9, F.lit(80), F.lit(2.25), F.lit(1024), budgets).alias("line"))
+
+
+@query("fn_28_selection", f"""SELECT event_id, {_num("event_id")} || CASE event_id % 4 WHEN 0 THEN ' nearest' WHEN 1 THEN ' coverage' WHEN 2 THEN ' progressive coverage' ELSE ' mixed-depth coverage' END || ' nodes at ' || CASE WHEN event_id % 3 = 0 THEN 'depth 2' ELSE 'depths ' || (2 - event_id % 3) || '-2' END || ' (target depth 3, selected depth ' || {_num("event_id % 900")} || ' px / 80 px target, root 2,000 px' || CASE WHEN event_id % 2 = 0 THEN ', spacing ' || {_dec("event_id / 8.0", 1)} || ' px / 3.5 px target' ELSE '' END || CASE WHEN event_id % 5 > 0 THEN ', ' || (event_id % 5) || ' outside frustum' ELSE '' END || CASE WHEN event_id % 7 > 0 THEN ', ' || (event_id % 7) || ' outside view' ELSE '' END || CASE WHEN event_id % 11 > 0 THEN ', ' || (event_id % 11) || ' skipped by budget' ELSE '' END || ')' AS line FROM events""")
+def fn_28_selection(spark, d):
+    i = F.col("event_id")
+    mode = F.get(F.array(*[F.lit(m) for m in status.MODES]), (i % 4).cast("int"))
+    spacing = F.when(i % 2 == 0, i / 8)
+    return table(spark, d, "events").select(i, status.selection(mode, i, 2 - i % 3, F.lit(2), F.lit(3), i % 900, F.lit(80), F.lit(2000), spacing, F.lit(3.5), i % 5, i % 7, i % 11).alias("line"))
+
+
+@query("fn_28_pages_and_mix", f"""SELECT event_id, CASE WHEN event_id % 4 > 0 THEN ' after loading ' || (event_id % 4) || ' hierarchy pages' ELSE '' END AS pages, CASE WHEN event_id % 3 > 0 THEN {_num("event_id")} || ' selected detail nodes for the current view' ELSE {_num("event_id * 2")} || ' coverage nodes for this zoom level' END AS mix FROM events""")
+def fn_28_pages(spark, d):
+    i = F.col("event_id")
+    return table(spark, d, "events").select(i, status.loaded_pages(i % 4).alias("pages"), status.final_node_mix(F.when(i % 3 > 0, i).otherwise(0), i * 2).alias("mix"))
+
+
+@query("fn_28_budget_summary", f"""SELECT event_id, {_cap("event_id * 10", "360000", "render pts cap")} || CASE WHEN event_id % 2 = 0 THEN ' (720,000 configured max)' ELSE '' END || ' / ' || {_cap("event_id * 20", "900000", "source pts")} AS line FROM events""")
+def fn_28_budget(spark, d):
+    i = F.col("event_id")
+    configured = F.when(i % 2 == 0, 720_000).otherwise(360_000)
+    return table(spark, d, "events").select(i, status.budget_summary(i * 10, F.lit(360_000), configured, [status.budget(i * 20, F.lit(900_000), "source pts")]).alias("line"))
+
+
+@query("fn_28_visual_quality", f"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'terminal-ready' ELSE 'refining' END || ', ' || {_num("event_id")} || ' / ' || {_num("event_id + 5")} || ' additive nodes, ' || {_num("event_id")} || ' / ' || {_num("event_id")} || ' frontier nodes, ' || CASE event_id % 3 WHEN 0 THEN 'no frontier' WHEN 1 THEN 'frontier depth 4' ELSE 'frontier depth 2-4' END || ', 5 missing, ' || (event_id % 6) || ' stale/unexpected, 0 frontier overlaps, ' || CASE WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 8 = 0 THEN 'hierarchy complete for view' ELSE 'hierarchy completeness unknown' END WHEN event_id % 4 = 1 THEN '1 pending hierarchy page' ELSE (event_id % 4) || ' pending hierarchy pages' END AS line FROM events""")
+def fn_28_quality(spark, d):
+    i = F.col("event_id")
+    low = F.when(i % 3 == 1, 4).when(i % 3 == 2, 2)
+    return table(spark, d, "events").select(i, status.visual_quality(i % 2 == 0, i, i + 5, i, i, low, F.lit(4), F.lit(5), i % 6, F.lit(0), i % 4, i % 8 == 0).alias("line"))
 
 
 @query("fn_29_lambert_forward", P + f"SELECT point_id, round(({_RHO} * sin({_THETA}) + {_L.x0}) / {_L.unit}, 3) AS px, round(({_L.rho0!r} - {_RHO} * cos({_THETA}) + {_L.y0}) / {_L.unit}, 3) AS py FROM points")
