@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import functools
 import inspect
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,26 +15,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from stratacloud.storage import shared_dir
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+#: Rows of a few numbers each that one task of a shuffle should get.
+LIGHT_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only where a local session names none (tests, a laptop) a temporary folder is made and set. On a cluster that would
-    be another folder on every machine, so it is an error there.
-    """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        master = spark.sparkContext.master
-        if not current.isDefined() and not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
-        folder = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='stratacloud-')}"
-        spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder.rstrip("/")
+def light_partitions(rows: int) -> int:
+    """How many partitions light rows are shuffled into: by their number, whatever the session has set for others."""
+    return int(rows) // LIGHT_ROWS + 1
 
 
 class Scratch:
@@ -45,19 +36,19 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, frame: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-        """Write and read again. ``batch_rows`` is the size of Arrow batches while it is made, where it matters.
+    def save(self, frame: DataFrame, name: str, batch_rows: int | None = None, partitions: int | None = None) -> DataFrame:
+        """Write and read again. ``batch_rows`` is the size of Arrow batches while it is made, ``partitions`` that of its shuffles.
 
         The shuffle files of the write are removed at its end.
         """
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        with self._batches(batch_rows):
+        with self._batches(batch_rows, partitions):
             frame.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     @contextlib.contextmanager
-    def _batches(self, rows: int | None):
-        wanted = {SHUFFLE_CLEANUP: "true"} | ({BATCH_ROWS: str(rows)} if rows else {})
+    def _batches(self, rows: int | None, partitions: int | None = None):
+        wanted = {SHUFFLE_CLEANUP: "true"} | ({BATCH_ROWS: str(rows)} if rows else {}) | ({SHUFFLE_PARTITIONS: str(partitions)} if partitions else {})
         before = {k: self.spark.conf.get(k) for k in wanted}
         for k, v in wanted.items():
             self.spark.conf.set(k, v)

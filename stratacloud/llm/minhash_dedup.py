@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, binary_array, bounded, column_bytes, grouped, join_counted, n_partitions, pieces_of, read_table
+from stratacloud.llm._shared import Scratch, binary_array, bounded, column_bytes, grouped, join_counted, light_partitions, n_partitions, pieces_of, read_table
 from stratacloud.llm._text import PIECE_BYTES, mix, shingles
 from stratacloud.llm.components import connected_components
 
@@ -192,19 +192,19 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), sc
     classes = scratch.save(sets.groupBy(*equal).agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("key_rows")), "classes")
     n_sets, n_classes = classes.agg(F.coalesce(F.sum("key_rows"), F.lit(0)), F.count(F.lit(1))).first()
     member = join_counted(sets.select("doc_id", *equal), classes, equal, n_sets).filter("doc_id <> cid").select(F.col("doc_id").alias("a"), F.col("cid").alias("b")).distinct()
-    member = scratch.save(member, "members")
+    member = scratch.save(member, "members", partitions=light_partitions(n_sets))
     # An id that stands for its own class carries that class's bands; others of its rows follow by identity.
     heads = sets.select("doc_id", "n_shingles", "low", "bands").join(member.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti").unionAll(
         sets.select("doc_id", "n_shingles", "low", "bands").join(classes.groupBy("cid").count().filter("count > 1").select(F.col("cid").alias("doc_id")), "doc_id", "left_semi")
     )
     banded = heads.select(F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"), "bands").mapInArrow(_banded, "bucket long, cid long, n long")
     lead = banded.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("lead"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("key_rows")).filter("last > lead.cid")
-    lead = scratch.save(lead.select("bucket", F.col("lead.cid").alias("lead"), F.col("lead.n").alias("lead_n"), "key_rows"), "leads")
-    shared = scratch.save(join_counted(banded, lead, ["bucket"], BANDS * n_classes), "buckets")
+    lead = scratch.save(lead.select("bucket", F.col("lead.cid").alias("lead"), F.col("lead.n").alias("lead_n"), "key_rows"), "leads", partitions=light_partitions(BANDS * n_classes))
+    shared = scratch.save(join_counted(banded, lead, ["bucket"], BANDS * n_classes), "buckets", partitions=light_partitions(BANDS * n_classes))
     pairs = shared.filter("cid <> lead and 4 * least(n, lead_n) >= 3 * greatest(n, lead_n)").select(F.col("cid").alias("a"), F.col("lead").alias("b"), F.ceil(F.col("key_rows") / MEMBER_BLOCK).alias("blocks"))
     first = scratch.save(_verify(pairs, texts, similarity), "links")
     comps = connected_components(first.unionAll(member), scratch)
-    comps = scratch.save(comps, "first")
+    comps = scratch.save(comps, "first", partitions=light_partitions(n_classes))
     # Buckets that still hold several components: strays against all others of the bucket, in blocks.
     seen = shared.select("bucket", "cid", "n").distinct().join(comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("component_id", "cid"))
     per = seen.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), sc
     asked = scratch.save(cross.mapInArrow(_stray_components, "stray long, comp long").distinct(), "asked")
     # Each stray against all members of the component, in blocks: members come once, strays once per block.
     sizes = asked.select("comp").distinct().join(heads.select(F.col("doc_id").alias("cid")).distinct().join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("cid", F.coalesce("component_id", "cid").alias("comp")), "comp")
-    sizes = scratch.save(sizes, "asked_members")
+    sizes = scratch.save(sizes, "asked_members", partitions=light_partitions(n_classes))
     blocks = sizes.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / MEMBER_BLOCK).cast("int").alias("blocks"))
     ask = asked.join(blocks, "comp").select("comp", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.col("stray").alias("cid"), F.lit(True).alias("is_stray"))
     held = sizes.join(blocks, "comp").select("comp", F.pmod(h, F.col("blocks")).cast("int").alias("block"), "cid", F.lit(False).alias("is_stray"))
