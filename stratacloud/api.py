@@ -16,6 +16,8 @@ from stratacloud.plans.selection import Camera, select_nodes
 
 #: A user transform: columns x, y, z to longitude, latitude, height.
 Transform = Callable[[Column, Column, Column], tuple[Column, Column, Column]]
+#: A user's sampler: points and (key, budget) to the points that are drawn.
+Sampler = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def projected_transform(horizontal: Callable[[Column, Column], tuple[Column, Column]], height_scale: float = 1.0) -> Transform:
@@ -71,6 +73,7 @@ class PointCloud:
     transform: Transform = geographic
     sink: Sink | None = None
     revision: int = 0
+    sampler: Sampler = sample
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str, **options) -> PointCloud:
@@ -91,7 +94,7 @@ class PointCloud:
 
     def sample(self, nodes: DataFrame, total: int, per_node: int) -> DataFrame:
         """Points of the nodes, each node's share of the total from the front of its progressive order."""
-        return sample(self.points, node_budgets(nodes, total, per_node))
+        return self.sampler(self.points, node_budgets(nodes, total, per_node))
 
     def node_sample(self, key: str, count: int = 5_000) -> DataFrame:
         return prefix(self.points.filter(F.col("node_key") == key), count)
@@ -144,7 +147,7 @@ class PointCloud:
     def with_pages(self, loaded: DataFrame) -> PointCloud:
         """The cloud as far as its catalog is loaded."""
         known = self.page_of().join(loaded.unionByName(self.nodes.sparkSession.createDataFrame([("root",)], "page string")), "page", "left_semi").drop("page")
-        return PointCloud(self.points, known, self.transform, self.sink, self.revision)
+        return PointCloud(self.points, known, self.transform, self.sink, self.revision, self.sampler)
 
     def progressive(self, camera: Camera, total: int, per_node: int, batch: int, on_progress: Callable[[DataFrame, int], bool] | None = None) -> int:
         """Draw the selection in batches of nodes, shallow ones first; stops when ``on_progress`` says so. Returns the batches."""

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratacloud.api import PointCloud, Sink
-from stratacloud.fixtures import NODES_SQL, POINTS_SQL, nodes, points
+from stratacloud.fixtures import NODES_SQL, POINTS_SQL, nodes, points, table
 from stratacloud.functions.geometry import half_up
 from stratacloud.plans import mixed_depth, selection
 from stratacloud.queries import query
 from stratacloud.queries.aggregates import RANKED_SQL
 from stratacloud.queries.planners import CAMERA
-from stratacloud.streaming.tasks import Prefetch, SharedTask, runs_engine
+from stratacloud.streaming.tasks import SharedTask, prefetches, runs_engine
 
 P, N = "WITH " + POINTS_SQL, "WITH " + NODES_SQL
 
@@ -58,6 +59,18 @@ def udf_5(spark, d):
     return spark.createDataFrame([(done,)], "batches bigint")
 
 
+@query("udf_6_source_options", P + ", k AS (SELECT point_id, node_key, row_number() OVER (PARTITION BY node_key ORDER BY point_id DESC) AS i FROM points WHERE depth = 1) SELECT point_id, node_key FROM k WHERE i <= 25")
+def udf_6(spark, d):
+    """Options of a source: a sampler of the user's in place of the progressive one."""
+
+    def newest(p, budgets):
+        place = F.row_number().over(Window.partitionBy("node_key").orderBy(F.col("point_id").desc()))
+        return p.join(budgets.withColumnRenamed("key", "node_key"), "node_key").withColumn("i", place).filter("i <= budget").drop("i")
+
+    cloud = PointCloud.load(spark, d, sampler=newest)
+    return cloud.sample(cloud.nodes.filter("depth = 1"), 1_000_000, 25).select("point_id", "node_key")
+
+
 @query("rt_6_warmed_samples", "WITH " + RANKED_SQL + " SELECT node_key, point_id FROM placed WHERE prog_rank < 3")
 def rt_6(spark, d):
     """Ranked points kept in memory or on disk: a later sample is a filter on them."""
@@ -79,13 +92,12 @@ def rt_9(spark, d):
     return cloud.with_pages(loaded).nodes.select("key")
 
 
-@query("str_11_one_prefetch", "SELECT true AS first_aborted, false AS second_aborted")
+@query("str_11_one_prefetch", """WITH p AS (SELECT event_id, user_id, ts, ts + to_seconds(CAST(floor(value * 30) AS BIGINT)) AS done FROM events WHERE event_type = 'click')
+ SELECT event_id, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < done, false) AS aborted FROM p""")
 def str_11(spark, d):
-    p = Prefetch()
-    first, second = (SharedTask(spark, lambda: nodes(spark, d).filter("depth = 3")) for _ in range(2))
-    p.start(first)
-    p.start(second)
-    return spark.createDataFrame([(first.aborted, second.aborted)], "first_aborted boolean, second_aborted boolean")
+    """One prefetch at a time in a session: a new one aborts the one that still runs."""
+    p = table(spark, d, "events").filter("event_type = 'click'").withColumn("done", F.col("ts") + F.make_dt_interval(secs=F.floor(F.col("value") * 30)))
+    return prefetches(p, "user_id").select("event_id", "aborted")
 
 
 @query("str_13_shared_result", N + " SELECT CAST(count(*) AS BIGINT) AS one, CAST(count(*) AS BIGINT) AS two FROM nodes")

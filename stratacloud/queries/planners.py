@@ -77,7 +77,20 @@ def pln_4(spark, d):
     return selection.select_complete(found, CAMERA, target).select(F.col("pos").cast("bigint").alias("pos"), "key")
 
 
-@query("pln_5_progressive")
+_CELL = "least(cells - 1, floor(((min_{a} + max_{a}) / 2 - min(min_{a}) OVER w) / greatest(max(max_{a}) OVER w - min(min_{a}) OVER w, pow(2, -52)) * cells))"
+_PROGRESSIVE = _COMPLETE + f""", u AS (SELECT count(*) AS n, coalesce(sum(point_count), 0) AS p, max(depth) AS d FROM sel),
+ r AS (SELECT greatest(0, 96 - n) AS most, greatest(0, 20000 - p) AS room, d, CAST(ceil(sqrt(greatest(0, 96 - n))) AS BIGINT) AS cells FROM u),
+ dp AS (SELECT c.*, most, room, count(*) OVER w AS many, {_CELL.format(a="x")} * cells + {_CELL.format(a="y")} AS bucket FROM c, r WHERE c.depth > r.d AND most > 0 WINDOW w AS (PARTITION BY depth)),
+ s1 AS (SELECT *, row_number() OVER (PARTITION BY depth, bucket ORDER BY dist, x, y, z, key) AS round, min(dist) OVER (PARTITION BY depth, bucket) AS near FROM dp),
+ o AS (SELECT *, CASE WHEN many > most THEN row_number() OVER (PARTITION BY depth ORDER BY round, near, bucket) ELSE row_number() OVER (PARTITION BY depth ORDER BY dist, x, y, z, key) END AS i FROM s1),
+ g(depth, i, taken, points, keys) AS (SELECT depth, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS HUGEINT), CAST([] AS VARCHAR[]) FROM (SELECT DISTINCT depth FROM o)
+ UNION ALL SELECT g.depth, o.i, CASE WHEN taken < most AND g.points + point_count <= room THEN taken + 1 ELSE taken END, CASE WHEN taken < most AND g.points + point_count <= room THEN g.points + point_count ELSE g.points END,
+ CASE WHEN taken < most AND g.points + point_count <= room THEN list_append(keys, key) ELSE keys END FROM g JOIN o ON o.depth = g.depth AND o.i = g.i + 1),
+ l AS (SELECT g.depth, keys FROM g JOIN (SELECT depth, max(i) AS i FROM o GROUP BY depth) m ON m.depth = g.depth AND m.i = g.i WHERE len(keys) > 0), b AS (SELECT keys FROM l, t ORDER BY abs(depth - target), -depth LIMIT 1)
+ SELECT 'coverage' AS part, CAST(row_number() OVER (ORDER BY dist, x, y, z, key) - 1 AS BIGINT) AS pos, key FROM sel UNION ALL SELECT 'detail', CAST(p - 1 AS BIGINT), keys[p] FROM (SELECT keys, unnest(range(1, len(keys) + 1)) AS p FROM b)"""
+
+
+@query("pln_5_progressive", NR + _PROGRESSIVE)
 def pln_5(spark, d):
     found = selection.candidates(nodes(spark, d), CAMERA)
     target = selection.target_depth(selection.depth_estimates(found, CAMERA), CAMERA)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratacloud.fixtures import NODES_SQL, nodes, table
 from stratacloud.plans import render_plan
 from stratacloud.queries import query
+from stratacloud.queries.planners import _CLOSED
 from stratacloud.queries.trees import _KEYS, stream_keys
 from stratacloud.streaming import budget, camera, quality
 
@@ -40,7 +41,13 @@ def str_2_stream(spark, d):
     return camera.run_to_end(camera.debounced(camera.read_events(spark, d)), "complete").select("user_id", "event_id", "ts")
 
 
-@query("str_3_engine")
+_FROM_MIDDLE = "sqrt(pow(greatest(min_x - 500, 500 - max_x, 0), 2) + pow(greatest(min_y - 500, 500 - max_y, 0), 2))"
+_LOADED = NODES_SQL.replace("nodes AS (SELECT key, depth, x", "every_node AS (SELECT key, depth, x") + f""", q1 AS (SELECT * FROM every_node WHERE depth = 1 ORDER BY {_FROM_MIDDLE}, depth, key LIMIT 8),
+ q2 AS (SELECT n.* FROM every_node n WHERE n.depth = 2 AND EXISTS (SELECT 1 FROM q1 WHERE n.x >> 1 = q1.x AND n.y >> 1 = q1.y AND n.z >> 1 = q1.z) ORDER BY {_FROM_MIDDLE}, depth, key LIMIT 64),
+ nodes AS (SELECT * FROM every_node WHERE depth = 0 OR key IN (SELECT key FROM q1) OR key IN (SELECT key FROM q2))"""
+
+
+@query("str_3_engine", "WITH " + _LOADED + _CLOSED + " SELECT key, depth FROM closed")
 def str_3(spark, d):
     """Select over the loaded catalog, load pages, select again, close."""
     from stratacloud.api import PointCloud

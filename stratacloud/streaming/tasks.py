@@ -6,7 +6,8 @@ import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 class SharedTask:
@@ -76,3 +77,9 @@ class Prefetch:
 def runs_engine(layer: object) -> bool:
     """Whether an object can be driven by the camera stream: it selects, samples and draws."""
     return all(callable(getattr(layer, name, None)) for name in ("select", "sample", "render"))
+
+
+def prefetches(log: DataFrame, session: str) -> DataFrame:
+    """A log of background loads (event_id, ts, done) with ``aborted``: whether the next one of its session came before it was done."""
+    after = F.lead("ts").over(Window.partitionBy(session).orderBy("ts", "event_id"))
+    return log.withColumn("aborted", F.coalesce(after < F.col("done"), F.lit(False)))
