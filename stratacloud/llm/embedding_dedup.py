@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm._shared import Scratch, bounded, grouped, n_partitions, read_table
+from stratacloud.llm._shared import Scratch, bounded, n_partitions, read_table
 from stratacloud.llm._text import mix
 from stratacloud.llm.components import connected_components
 
 TABLES, PROJECTIONS, WIDTH = 20, 6, 1.4
 LEAST_COSINE = 0.98
 BLOCK = 2048
+#: Buckets up to this size are taken many at once, and pairs of them by this number.
+SMALL_GROUP, PAIRS = 48, 40_000
 _families: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -127,20 +129,85 @@ def _block_links(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
             yield cid[rows[a]], cid[rows[root[a]]], np.zeros(len(a), np.int64)
 
 
+def _small_links(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same for many small buckets at once: their pairs side by side, in portions."""
+    size = ends - starts
+    row = np.repeat(starts, size) + _counting(size)
+    partners = np.repeat(ends, size) - 1 - row
+    cid, n, tab = (t.column(c).to_numpy() for c in ("cid", "n", "tab"))
+    flat, stops = _vectors(t)
+    dims = np.diff(np.concatenate(([0], stops)))
+    links, root, keys = np.zeros(len(cid), np.int64), np.arange(len(cid)), {}
+    x, at = {}, np.zeros(len(cid), np.int64)
+    for dim in np.unique(dims[row]):
+        own = row[dims[row] == dim]
+        x[dim], at[own] = units(flat[(stops[own, None] - dim) + np.arange(dim)]), np.arange(len(own))
+    cuts = np.searchsorted(np.cumsum(partners), np.arange(PAIRS, int(partners.sum()) + PAIRS, PAIRS), side="left") + 1
+    for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+        k = partners[i:j]
+        p = np.repeat(row[i:j], k)
+        q = p + 1 + _counting(k)
+        for dim in x:
+            same = (dims[p] == dim) & (dims[q] == dim)
+            a, b = p[same], q[same]
+            sure = np.einsum("nd,nd->n", x[dim][at[a]], x[dim][at[b]]) >= LEAST_COSINE
+            a, b = a[sure], b[sure]
+            if not len(a):
+                continue
+            if dim not in keys:
+                keys[dim] = buckets(x[dim])
+            # Pairs that met in a table before this one are counted there.
+            met = (keys[dim][at[a]] == keys[dim][at[b]]) & (np.arange(TABLES) < tab[a][:, None])
+            fresh = ~met.any(axis=1)
+            np.add.at(links, a[fresh], n[b[fresh]])
+            np.add.at(links, b[fresh], n[a[fresh]])
+            united(root, a, b)
+    some, apart = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(root)))
+    yield cid[some], cid[some], links[some]
+    yield cid[apart], cid[root[apart]], np.zeros(len(apart), np.int64)
+
+
+def _counting(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+_GROUP = ("tab", "bucket", "label", "i", "j")
+
+
 @bounded
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], names=["a", "b", "links"])
-
-    for t in grouped(batches, ["tab", "bucket", "label", "i", "j"]):
-        held += _block_links(t)
-        if len(held) > 2_000:
-            yield flush()
-            held = []
-    if held:
-        yield flush()
+    """Rows that come sorted by bucket and pair of blocks; only the last group waits for the next batch."""
+
+    def found(t: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
+        columns = [t.column(c).to_numpy() for c in _GROUP]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [t.num_rows]))
+        if not last:
+            starts, ends = starts[:-1], ends[:-1]
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        small = (ends - starts <= SMALL_GROUP) & (columns[3][starts] == columns[4][starts])
+        if small.any():
+            held += _small_links(t, starts[small], ends[small])
+        for a, b in zip(starts[~small].tolist(), ends[~small].tolist()):
+            held += _block_links(t.slice(a, b - a).combine_chunks())
+        rest = t.slice(int(ends[-1]) if len(ends) else 0).combine_chunks()
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], names=["a", "b", "links"]) if held else None
+        return out, rest
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        out, rest = found(pa.concat_tables([rest, t]).combine_chunks() if rest is not None and rest.num_rows else t.combine_chunks(), False)
+        if out is not None:
+            yield out
+    if rest is not None and rest.num_rows:
+        out, _ = found(rest, True)
+        if out is not None:
+            yield out
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
