@@ -54,7 +54,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: The stages learn, hash and sample; SQL does not express them. tests/llm holds each against brute force.
+#: The stages learn and encode, which SQL does not express; tests/llm holds each stage against a plain version of it.
 ORACLE_SQL: str | None = None
 
 
