@@ -6,6 +6,7 @@ candidates (``applyInPandas``), and its sets are joined to points by key.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -109,43 +110,55 @@ def _threshold(retained: bool) -> float:
     return REFINE_ERROR * (RETAIN_SHARE if retained else 1.0)
 
 
-def _best(options: list[tuple[float, tuple[int, int, int], Node, list[str]]], budget: Budget):
-    """The option with the best gain per cost; ties by gain, lower cost, deeper, then place."""
-
-    def rank(option):
-        gain, usage, node, _ = option
-        cost = budget.cost(usage)
-        d, z, y, x, key = node.order
-        return (-(gain / cost) if cost else float("-inf"), -gain, cost, -d, z, y, x, key)
-
-    return min(options, key=rank) if options else None
+def _rank(gain: float, usage: tuple[int, int, int], node: Node, budget: Budget) -> tuple:
+    """Order of options, best first: gain per cost; ties by gain, lower cost, deeper, then place."""
+    cost = budget.cost(usage)
+    d, z, y, x, key = node.order
+    return (-(gain / cost) if cost else float("-inf"), -gain, cost, -d, z, y, x, key)
 
 
 def refine_nodes(nodes: dict[str, Node], budget: Budget, previous: set[str] = frozenset(), chosen: set[str] = frozenset()) -> set[str]:
-    """Node mode: each pick is a node with those of its ancestors that aren't chosen yet."""
+    """Node mode: each pick is a node with those of its ancestors that aren't chosen yet.
+
+    A pick changes the options of the nodes below what it adds, and only these: they go on the heap anew, and older
+    entries of theirs are passed over. What doesn't fit now may fit when an ancestor has been picked, and comes again then.
+    """
     picked = set(chosen)
     used = usage_of(nodes[k] for k in picked)
     worthy = {k: n for k, n in nodes.items() if n.visible and not n.empty and (n.address[0] == 0 or n.error >= _threshold(k in previous))}
-    while True:
-        options = []
-        for key, node in worthy.items():
-            if key in picked:
-                continue
-            new = [k for k in path_of(key) if k not in picked]
-            if any(k not in nodes or nodes[k].empty for k in new):
-                continue
-            usage = usage_of(nodes[k] for k in new)
-            if budget.holds(_add(used, usage)):
-                options.append((sum(worthy[k].benefit for k in new if k in worthy), usage, node, new))
-        best = _best(options, budget)
-        if best is None:
-            return picked
-        picked.update(best[3])
-        used = _add(used, best[1])
+    under: dict[str, list[str]] = {}
+    for key in worthy:
+        for up in path_of(key)[:-1]:
+            under.setdefault(up, []).append(key)
+    heap: list[tuple] = []
+    now: dict[str, tuple] = {}
+
+    def offer(key: str) -> None:
+        new = [k for k in path_of(key) if k not in picked]
+        if key in picked or any(k not in nodes or nodes[k].empty for k in new):
+            return
+        usage = usage_of(nodes[k] for k in new)
+        now[key] = _rank(sum(worthy[k].benefit for k in new if k in worthy), usage, nodes[key], budget)
+        heapq.heappush(heap, (now[key], usage, key, new))
+
+    for key in worthy:
+        offer(key)
+    while heap:
+        rank, usage, key, new = heapq.heappop(heap)
+        if key in picked or now[key] != rank or not budget.holds(_add(used, usage)):
+            continue
+        picked.update(new)
+        used = _add(used, usage)
+        for below in {k for n in new for k in under.get(n, ())}:
+            offer(below)
+    return picked
 
 
 def refine_siblings(nodes: dict[str, Node], budget: Budget, baseline: set[str], previous: set[str] = frozenset()) -> set[str]:
-    """Sibling mode: a frontier node's visible children come all together or not at all."""
+    """Sibling mode: a frontier node's visible children come all together or not at all.
+
+    The rank of a family never changes and the room only shrinks, so each family is weighed once, when its parent is in.
+    """
     if not baseline:
         return set()
     picked = set(baseline)
@@ -155,22 +168,26 @@ def refine_siblings(nodes: dict[str, Node], budget: Budget, baseline: set[str],
     for key, node in nodes.items():
         if node.visible and not node.empty and (parent := parent_of(key)):
             children.setdefault(parent, []).append(key)
-    refined: set[str] = set()
-    while True:
-        options = []
-        for parent, family in children.items():
-            if parent not in picked or parent in refined or any(k in picked for k in family):
-                continue
-            due = nodes[parent].error >= _threshold(parent in kept) or any(nodes[k].error >= _threshold(k in kept) for k in family)
+    heap: list[tuple] = []
+
+    def offer(parent: str) -> None:
+        family = children.get(parent, [])
+        if not family or any(k in picked for k in family):
+            return
+        if nodes[parent].error >= _threshold(parent in kept) or any(nodes[k].error >= _threshold(k in kept) for k in family):
             usage = usage_of(nodes[k] for k in family)
-            if due and budget.holds(_add(used, usage)):
-                options.append((sum(nodes[k].benefit for k in family), usage, nodes[parent], family))
-        best = _best(options, budget)
-        if best is None:
-            return picked
-        picked.update(best[3])
-        refined.add(best[2].key)
-        used = _add(used, best[1])
+            heapq.heappush(heap, (_rank(sum(nodes[k].benefit for k in family), usage, nodes[parent], budget), usage, parent))
+
+    for key in sorted(picked):
+        offer(key)
+    while heap:
+        _, usage, parent = heapq.heappop(heap)
+        if budget.holds(_add(used, usage)):
+            picked.update(children[parent])
+            used = _add(used, usage)
+            for key in children[parent]:
+                offer(key)
+    return picked
 
 
 def tree_cut(nodes: dict[str, Node], depth: int) -> set[str]:

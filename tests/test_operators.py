@@ -316,3 +316,60 @@ def test_range_store(spark, tmp_path):
         assert getter.fetched_blocks == fetched, turn
     store.delete(getter.source)
     assert store.blocks(getter.source).count() == 0
+
+
+def random_tree(seed):
+    rng = random.Random(seed)
+    keys, level = ["0-0-0-0"], ["0-0-0-0"]
+    for _ in range(3):
+        level = [f"{d + 1}-{2 * x + a}-{2 * y + b}-{2 * z + c}" for d, x, y, z in (map(int, k.split("-")) for k in level) for a in (0, 1) for b in (0, 1) for c in (0, 1) if rng.random() < 0.4]
+        keys += level
+    return {k: md.Node(k, rng.choice((0, 5, 9, 20)) if i else 3, 36, rng.uniform(0, 60), rng.choice((1.0, 2.0, 5.0, 9.5)), rng.random() < 0.9) for i, k in enumerate(keys)}
+
+
+def best_first(nodes, budget, options):
+    """Plain refinement: all options are rated again for each pick; ``options(picked)`` gives (gain, new keys, ranking node)."""
+    picked = yield
+    while True:
+        used = md.usage_of(nodes[k] for k in picked)
+        fits = [(md._rank(gain, md.usage_of(nodes[k] for k in new), nodes[at], budget), new) for gain, new, at in options(picked) if budget.holds(md._add(used, md.usage_of(nodes[k] for k in new)))]
+        if not fits:
+            return picked
+        picked = picked | set(min(fits)[1])
+
+
+def plainly(nodes, budget, start, options):
+    run = best_first(nodes, budget, options)
+    next(run)
+    try:
+        run.send(set(start))
+    except StopIteration as end:
+        return end.value
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_refinement_by_heap_equals_rating_all(seed):
+    nodes = random_tree(seed)
+    budget = md.Budget(5 + seed, 60 + 10 * seed, None)
+    usable = lambda new: all(k in nodes and not nodes[k].empty for k in new)
+    worthy = {k: n for k, n in nodes.items() if n.visible and not n.empty and (n.address[0] == 0 or n.error >= md.REFINE_ERROR)}
+
+    def by_node(picked):
+        for k in worthy:
+            new = [p for p in md.path_of(k) if p not in picked]
+            if k not in picked and usable(new):
+                yield sum(worthy[p].benefit for p in new if p in worthy), new, k
+
+    assert md.refine_nodes(nodes, budget) == plainly(nodes, budget, (), by_node)
+    families = {}
+    for k, n in nodes.items():
+        if n.visible and not n.empty and md.parent_of(k):
+            families.setdefault(md.parent_of(k), []).append(k)
+
+    def by_family(picked):
+        for parent, family in families.items():
+            due = nodes[parent].error >= md.REFINE_ERROR or any(nodes[k].error >= md.REFINE_ERROR for k in family)
+            if parent in picked and not any(k in picked for k in family) and due:
+                yield sum(nodes[k].benefit for k in family), family, parent
+
+    assert md.refine_siblings(nodes, budget, {"0-0-0-0"}) == plainly(nodes, budget, ("0-0-0-0",), by_family)
