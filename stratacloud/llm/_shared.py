@@ -30,11 +30,18 @@ def light_partitions(rows: int) -> int:
 
 
 class Scratch:
-    """Written tables that cut lineage. They lie in the shared folder, so a lost executor loses nothing of them."""
+    """Written tables that cut lineage. They lie in the shared folder, so a lost executor loses nothing of them.
+
+    What is not dropped before, as a result still reads it or a run has failed, goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
 
     def save(self, frame: DataFrame, name: str, batch_rows: int | None = None, partitions: int | None = None) -> DataFrame:
         """Write and read again. ``batch_rows`` is the size of Arrow batches while it is made, ``partitions`` that of its shuffles.
