@@ -1,6 +1,6 @@
 """The adaptive budget: slow runs cut it at once, three fast ones in a row raise it again.
 
-One transition serves tables (an ordered fold per session) and streams (keyed state).
+One transition serves tables (a sorted pass over sessions) and streams (keyed state).
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from math import ceil, floor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIB = 1 << 20
@@ -47,35 +48,31 @@ def start(limits: dict = LIMITS) -> dict:
     return dict(limits) | {"streak": 0}
 
 
-def fold(runs: DataFrame, by: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """(by, budgets, streak) after all runs of a session, as columns: nothing leaves the JVM."""
-    big = lambda c: c.cast("bigint")
-    rows = F.array_sort(F.collect_list(F.struct(*order, *SLOW)))
-    first = F.struct(*[big(F.lit(LIMITS[k])).alias(k) for k in BUDGETS], big(F.lit(0)).alias("streak"))
-
-    def after(s: Column, r: Column) -> Column:
-        slow_render = r["render"] > SLOW["render"]
-        slow_source = (r["total"] > SLOW["total"]) | (r["decode"] > SLOW["decode"]) | (r["worker"] > SLOW["worker"]) | (r["trip"] > SLOW["trip"])
-        slow = slow_render | slow_source
-        below, fast = F.lit(False), F.lit(True)
-        for k in BUDGETS:
-            below = below | (s[k] < LIMITS[k])
-        for k, v in FAST.items():
-            fast = fast & (r[k] < v)
-        stable = ~slow & below & fast
-        up = stable & (s["streak"] + 1 >= STREAK)
-        cols = []
-        for k in BUDGETS:
-            hit, factor = (slow_render, RENDER_CUT) if k == "rendered" else (slow_source, SOURCE_CUT)
-            lower = F.least(s[k], F.greatest(F.lit(LEAST[k]), F.floor(s[k] * factor)))
-            cols.append(big(F.when(hit, lower).when(up, F.least(F.lit(LIMITS[k]), F.ceil(s[k] * RAISE))).otherwise(s[k])).alias(k))
-        cols.append(big(F.when(stable & ~up, s["streak"] + 1).otherwise(0)).alias("streak"))
-        return F.struct(*cols)
-
-    return runs.groupBy(by).agg(rows.alias("rows")).select(by, F.aggregate("rows", first, after).alias("s")).select(by, "s.*")
+_STATE = ", ".join(f"{k} long" for k in (*BUDGETS, "streak"))
 
 
-_STATE = ", ".join(f"{k} long" for k in (*BUDGETS, "streak"))
+def fold(runs: DataFrame, by: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """(by, budgets, streak) after all runs of a session. One pass over sorted rows holds one state, however long a session lives."""
+    names = (*BUDGETS, "streak")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, done = None, None, []
+        for batch in batches:
+            columns = batch.to_pydict()
+            for session, *values in zip(*(columns[c] for c in (by, *SLOW))):
+                if session != key or now is None:
+                    if now is not None:
+                        done.append((key, *(now[k] for k in names)))
+                    key, now = session, start()
+                now = step(now, dict(zip(SLOW, values)))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], names=[by, *names])
+                done = []
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (key, *(now[k] for k in names))], names=[by, *names])
+
+    ordered = runs.repartition(by).sortWithinPartitions(by, *order).select(F.col(by).cast("bigint").alias(by), *SLOW)
+    return ordered.mapInArrow(run, f"{by} long, {_STATE}")
 
 
 def stream(runs: DataFrame, by: str = "user_id") -> DataFrame:
