@@ -1,14 +1,15 @@
 """Level-of-detail selection for a camera over the node catalog.
 
-Filters and estimates are columns; budgets that skip and go on are ordered folds (``aggregate`` over a sorted array of a
-depth's nodes); complete depths need sums only. The catalog is small beside the points, and points are read for the
+Filters and estimates are columns; budgets that skip and go on are one sorted pass per depth; complete depths need sums only. The catalog is small beside the points, and points are read for the
 chosen nodes alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,27 +76,47 @@ def down_then_up(depth: Column, target: Column) -> list[Column]:
     return [F.when(depth <= target, 0).otherwise(1), F.when(depth <= target, -depth).otherwise(depth)]
 
 
-def greedy(found: DataFrame, camera: Camera, order: list[Column], by: list[str]) -> DataFrame:
+def _fitting(camera: Camera):
+    """One pass over nodes that come sorted by group and order; held are the keys chosen so far, and nothing of what is skipped."""
+    most = lambda budget: float("inf") if budget is None else budget
+    nodes, points, bytes_, node_points, node_bytes = (most(b) for b in (camera.max_nodes, camera.max_points, camera.max_bytes, camera.max_node_points, camera.max_node_bytes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, keys, p, b, skipped = None, [], 0, 0, 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([keys], pa.list_(pa.string())), pa.array([skipped], pa.int64())], names=["g", "chosen", "skipped"])
+        for batch in batches:
+            for g, key, own_p, own_b in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != group:
+                    if group is not None:
+                        yield row()
+                    group, keys, p, b, skipped = g, [], 0, 0, 0
+                if len(keys) >= nodes:
+                    continue
+                if own_p > node_points or own_b > node_bytes or p + own_p > points or b + own_b > bytes_:
+                    skipped += 1
+                    continue
+                keys.append(key)
+                p, b = p + own_p, b + own_b
+        if group is not None:
+            yield row()
+
+    return run
+
+
+def greedy(found: DataFrame, camera: Camera, order: list[Column], by: str) -> DataFrame:
     """Per group the nodes that fit one after the other; one that doesn't is skipped and the next is tried.
 
     Returns (by, chosen, skipped): keys in order, and how many were skipped before the last could be chosen.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("o"), F.col("key"), F.col("point_count").cast("bigint").alias("p"), F.col("data_length").cast("bigint").alias("b"))))
-    state = F.struct(F.array().cast("array<string>").alias("keys"), F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("skipped"))
-
-    def step(s: Column, r: Column) -> Column:
-        full = F.lit(False) if camera.max_nodes is None else F.size(s["keys"]) >= camera.max_nodes
-        bad = over_budget(r["p"], camera.max_node_points) | over_budget(r["b"], camera.max_node_bytes) | over_budget(s["p"] + r["p"], camera.max_points) | over_budget(s["b"] + r["b"], camera.max_bytes)
-        skip = F.struct(s["keys"].alias("keys"), s["p"].alias("p"), s["b"].alias("b"), (s["skipped"] + 1).alias("skipped"))
-        take = F.struct(F.concat(s["keys"], F.array(r["key"])).alias("keys"), (s["p"] + r["p"]).alias("p"), (s["b"] + r["b"]).alias("b"), s["skipped"].alias("skipped"))
-        return F.when(full, s).when(bad, skip).otherwise(take)
-
-    return found.groupBy(*by).agg(rows.alias("rows")).select(*by, F.aggregate("rows", state, step).alias("s")).select(*by, F.col("s.keys").alias("chosen"), F.col("s.skipped").alias("skipped"))
+    rows = found.select(F.col(by).cast("bigint").alias("g"), "key", F.col("point_count").cast("bigint").alias("p"), F.col("data_length").cast("bigint").alias("b"), *[c.alias(f"o{i}") for i, c in enumerate(order)])
+    ordered = rows.repartition("g").sortWithinPartitions("g", *[f"o{i}" for i in range(len(order))]).select("g", "key", "p", "b")
+    picked = ordered.mapInArrow(_fitting(camera), "g bigint, chosen array<string>, skipped bigint")
+    return picked.select(F.col("g").cast(found.schema[by].dataType).alias(by), "chosen", "skipped")
 
 
 def select_nearest(found: DataFrame, camera: Camera, target: DataFrame) -> DataFrame:
     """(pos, key) of the first depth, nearest to the target depth, that gives any node within the budgets."""
-    picks = greedy(found, camera, [F.col("distance"), -F.col("depth"), -F.col("point_count"), F.col("key")], ["depth"]).filter(F.size("chosen") > 0)
+    picks = greedy(found, camera, [F.col("distance"), -F.col("depth"), -F.col("point_count"), F.col("key")], "depth").filter(F.size("chosen") > 0)
     best = picks.crossJoin(F.broadcast(target)).orderBy(*nearest_first(F.col("depth"), F.col("target"))).limit(1)
     return best.select(F.posexplode("chosen").alias("pos", "key"))
 
@@ -139,7 +160,7 @@ def select_progressive(found: DataFrame, camera: Camera, target: DataFrame) -> D
     if used["d"] < 0 or rest.max_nodes == 0:
         return out
     deeper = spread_order(found.filter(F.col("depth") > used["d"]), rest)
-    picks = greedy(deeper, rest, [F.col("place")], ["depth"]).filter(F.size("chosen") > 0).crossJoin(F.broadcast(target)).orderBy(*nearest_first(F.col("depth"), F.col("target"))).limit(1)
+    picks = greedy(deeper, rest, [F.col("place")], "depth").filter(F.size("chosen") > 0).crossJoin(F.broadcast(target)).orderBy(*nearest_first(F.col("depth"), F.col("target"))).limit(1)
     return out.unionByName(picks.select(F.lit("detail").alias("part"), F.posexplode("chosen").alias("pos", "key")).withColumn("pos", F.col("pos").cast("bigint")))
 
 

@@ -59,7 +59,7 @@ _FOLD = """, o AS (SELECT depth, key, point_count, row_number() OVER (PARTITION
 @query("pln_3_greedy", NR + _EST + _FOLD + " SELECT g.depth, array_to_string(g.keys, ',') AS chosen, CAST(g.skipped AS BIGINT) AS skipped FROM g JOIN (SELECT depth, max(i) AS i FROM o GROUP BY depth) m ON m.depth = g.depth AND m.i = g.i")
 def pln_3(spark, d):
     found = selection.candidates(nodes(spark, d), TIGHT)
-    picks = selection.greedy(found, TIGHT, [F.col("distance"), -F.col("depth"), -F.col("point_count"), F.col("key")], ["depth"])
+    picks = selection.greedy(found, TIGHT, [F.col("distance"), -F.col("depth"), -F.col("point_count"), F.col("key")], "depth")
     return picks.select("depth", F.array_join("chosen", ",").alias("chosen"), "skipped")
 
 
