@@ -107,24 +107,67 @@ def win_2(spark, d):
     return selection.spread_order(found, TIGHT).select("key", F.col("place").cast("bigint").alias("place"))
 
 
-@query("pln_6_mixed_depth")
+def _siblings_sql(cameras: str, factor: int, wanted: str, ready: str) -> str:
+    """Mixed-depth plans of cameras (cam, ex, ey, ez): the deepest whole cut that fits, then families by gain per cost, one per turn."""
+    away = "sqrt(pow(greatest(min_x - ex, ex - max_x, 0), 2) + pow(greatest(min_y - ey, ey - max_y, 0), 2) + pow(greatest(min_z - ez, ez - max_z, 0), 2))"
+    px = "(max_x - min_x) / greatest(away, max_x - min_x) * 1080"
+    spx = f"{ROOT_SPACING} / (1 << depth) / greatest(away, {ROOT_SPACING} / (1 << depth)) * 1080"
+    up = "a.depth <= n.depth AND n.x >> (n.depth - a.depth) = a.x AND n.y >> (n.depth - a.depth) = a.y AND n.z >> (n.depth - a.depth) = a.z"
+    return f""", cams(cam, ex, ey, ez) AS (VALUES {cameras}), seen AS (SELECT n.*, cam, {away} AS away FROM nodes n, cams),
+ v AS (SELECT cam, key, depth, x, y, z, point_count, {spx} * {factor} AS error, least(9007199254740991, {spx} * greatest(1, pow({px}, 2))) AS benefit, {ready} AS ready FROM seen),
+ paths AS (SELECT n.key, count(*) = n.depth + 1 AS entire FROM nodes n JOIN nodes a ON {up} GROUP BY n.key, n.depth),
+ cut AS (SELECT cam, d, bool_and(entire) AND count(*) <= 96 AND sum(point_count) <= 20000 AS good FROM v JOIN paths USING (key), (SELECT DISTINCT depth AS d FROM nodes) WHERE v.depth <= d AND d <= {wanted} GROUP BY cam, d),
+ base AS (SELECT cam, max(d) AS d FROM cut WHERE good GROUP BY cam),
+ fam AS (SELECT a.cam, a.key, a.depth, a.x, a.y, a.z, list(n.key) AS new, count(*) AS n, CAST(sum(n.point_count) AS BIGINT) AS p, list_sum(list(n.benefit ORDER BY n.z, n.y, n.x)) AS g FROM v a JOIN v n ON n.cam = a.cam AND n.depth = a.depth + 1 AND n.x >> 1 = a.x AND n.y >> 1 = a.y AND n.z >> 1 = a.z GROUP BY a.cam, a.key, a.depth, a.x, a.y, a.z, a.error HAVING a.error >= 16 OR bool_or(n.error >= 16)),
+ pick(cam, turn, taken, nodes, points) AS (SELECT v.cam, 0, list(key), CAST(count(*) AS BIGINT), CAST(sum(point_count) AS BIGINT) FROM v JOIN base ON base.cam = v.cam AND v.depth <= base.d GROUP BY v.cam
+  UNION ALL SELECT cam, turn + 1, list_concat(taken, b.new), nodes + len(b.new), points + b.p FROM (
+   SELECT *, (SELECT min(struct_pack(r := -(g / c), g := -g, c := c, d := -depth, z := z, y := y, x := x, k := key, new := new, p := p)) FROM (
+    SELECT *, n / CAST(96 AS DOUBLE) + p / CAST(20000 AS DOUBLE) AS c FROM fam WHERE fam.cam = pick.cam AND list_contains(pick.taken, key) AND NOT list_has_any(pick.taken, new) AND pick.nodes + n <= 96 AND pick.points + p <= 20000)) AS b FROM pick) WHERE b IS NOT NULL),
+ k AS (SELECT v.* FROM v JOIN (SELECT cam, unnest(max_by(taken, turn)) AS key FROM pick GROUP BY cam) USING (cam, key)),
+ s AS (SELECT n.cam, n.key, n.depth, n.x, n.y, n.z, n.ready, bool_and(a.ready) AND count(*) = n.depth + 1 AS render FROM k n JOIN k a ON a.cam = n.cam AND {up} GROUP BY n.cam, n.key, n.depth, n.x, n.y, n.z, n.ready),
+ f AS (SELECT n.*, EXISTS (SELECT 1 FROM s c WHERE c.cam = n.cam AND c.depth = n.depth + 1 AND c.x >> 1 = n.x AND c.y >> 1 = n.y AND c.z >> 1 = n.z) AS parent, EXISTS (SELECT 1 FROM s c WHERE c.cam = n.cam AND c.render AND c.depth = n.depth + 1 AND c.x >> 1 = n.x AND c.y >> 1 = n.y AND c.z >> 1 = n.z) AS drawn FROM s n) """
+
+
+_ONE_CAMERA = _siblings_sql("(0, 500, 500, 1800)", 1, "(SELECT CASE WHEN target > 0 THEN greatest(1, target - 1) ELSE 0 END FROM t)", "true")
+
+
+@query("pln_6_mixed_depth", NR + _EST + _ONE_CAMERA + "SELECT key, true AS planned, NOT parent AS frontier, render FROM f")
 def pln_6(spark, d):
     return mixed_depth.select_mixed(nodes(spark, d), CAMERA).select("key", "planned", "frontier", "render")
 
 
-@query("pln_7_traversal_sets")
+_THREE_CAMERAS = _siblings_sql("(0, 200, 500, 1200), (1, 500, 500, 1200), (2, 800, 500, 1200)", 8, "1", "(x * 7 + y * 3 + z) % 5 <> 1 OR depth = 0")
+
+
+@query("pln_7_traversal_sets", NR + _THREE_CAMERAS + "SELECT CAST(cam AS BIGINT) AS camera_id, key, true AS planned, NOT parent AS frontier, parent AS ancestor, render, NOT ready AS request, ready AND NOT render AS blocked, render AND NOT drawn AND parent AS retained_parent FROM f")
 def pln_7(spark, d):
     """Several cameras over one catalog, each its own group; a fifth of the nodes isn't ready."""
     n = nodes(spark, d)
+    unready = n.filter("(x * 7 + y * 3 + z) % 5 = 1 and depth > 0").select("key", F.lit(True).alias("unready"))
     views = None
     for i, x in enumerate((200.0, 500.0, 800.0)):
         camera = Camera(**(CAMERA.__dict__ | {"eye": (x, 500.0, 1200.0), "target": (x, 500.0, 1200.0)}))
-        v = mixed_depth.view_states(selection.candidates(n, camera), camera).withColumn("camera_id", F.lit(i).cast("bigint")).withColumn("error", F.col("error") * 8).withColumn("ready", (F.hash("key") % 5 != 0) | (F.col("depth") == 0))
+        v = mixed_depth.view_states(selection.candidates(n, camera), camera).join(unready, "key", "left").withColumn("camera_id", F.lit(i).cast("bigint")).withColumn("error", F.col("error") * 8).withColumn("ready", F.col("unready").isNull())
         views = v if views is None else views.unionByName(v)
     return mixed_depth.plan_views(views.filter("visible"), mixed_depth.Budget(96, 20_000, None), 2)
 
 
-@query("pln_8_node_refinement")
+_PX = "(max_x - min_x) / greatest(dist, max_x - min_x) * 1080"
+_SPX = f"{ROOT_SPACING} / (1 << depth) / greatest(dist, {ROOT_SPACING} / (1 << depth)) * 1080"
+_PLANNED = """SELECT CAST(0 AS BIGINT) AS camera_id, p.key, true AS planned, NOT parent AS frontier, parent AS ancestor, true AS render, false AS request, false AS blocked, false AS retained_parent FROM (SELECT p.key, EXISTS (SELECT 1 FROM taken k JOIN v ON v.key = k.key JOIN v o ON o.key = p.key WHERE v.depth = o.depth + 1 AND v.x >> 1 = o.x AND v.y >> 1 = o.y AND v.z >> 1 = o.z) AS parent FROM taken p) p"""
+#: Each turn rates all nodes with the ancestors that they still need, and takes the best that fits.
+_REFINED = _EST + f""", v AS (SELECT key, depth, x, y, z, point_count, {_SPX} * 8 AS error, least(9007199254740991, {_SPX} * greatest(1, pow({_PX}, 2))) AS benefit FROM c),
+ w AS (SELECT *, depth = 0 OR error >= 16 AS worthy FROM v),
+ path AS (SELECT n.key, n.depth, n.x, n.y, n.z, u.key AS up, u.depth AS up_depth, u.point_count AS points, CASE WHEN u.worthy THEN u.benefit ELSE 0 END AS benefit FROM w n JOIN w u ON u.depth <= n.depth AND n.x >> (n.depth - u.depth) = u.x AND n.y >> (n.depth - u.depth) = u.y AND n.z >> (n.depth - u.depth) = u.z WHERE n.worthy AND (SELECT count(*) FROM w a WHERE a.depth <= n.depth AND n.x >> (n.depth - a.depth) = a.x AND n.y >> (n.depth - a.depth) = a.y AND n.z >> (n.depth - a.depth) = a.z) = n.depth + 1),
+ pick(turn, taken, nodes, points) AS (SELECT 0, CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL SELECT turn + 1, list_concat(taken, b.new), nodes + len(b.new), points + b.p FROM (
+   SELECT turn, taken, nodes, points, (SELECT min(struct_pack(r := -(g / c), g := -g, c := c, d := -depth, z := z, y := y, x := x, k := key, new := new, p := p)) FROM (
+    SELECT *, n / CAST(24 AS DOUBLE) + p / CAST(10000 AS DOUBLE) AS c FROM (SELECT key, depth, x, y, z, list(up ORDER BY up_depth) AS new, count(*) AS n, CAST(sum(points) AS BIGINT) AS p, list_sum(list(benefit ORDER BY up_depth)) AS g FROM path WHERE NOT list_contains(pick.taken, up) GROUP BY ALL)
+    WHERE list_contains(new, key) AND pick.nodes + n <= 24 AND pick.points + p <= 10000)) AS b FROM pick) WHERE b IS NOT NULL),
+ taken AS (SELECT unnest(taken) AS key FROM pick WHERE turn = (SELECT max(turn) FROM pick)) """
+
+
+@query("pln_8_node_refinement", NR + _REFINED + _PLANNED)
 def pln_8(spark, d):
     found = selection.candidates(nodes(spark, d), CAMERA)
     views = mixed_depth.view_states(found, CAMERA).withColumn("error", F.col("error") * 8)
