@@ -120,7 +120,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: tuple[int, int]) ->
     salted = pairs.groupBy("a", "b").agg(F.max("blocks").alias("blocks")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("salt"))
     right = salted.select("b", "salt").distinct().join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
     left = salted.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-    return left.join(right, ["b", "salt"]).select("a", "b", "a_text", "b_text").mapInArrow(_verified(*similarity), "a long, b long").distinct()
+    return left.join(right, ["b", "salt"]).select("a", "b", "a_text", "b_text").mapInArrow(_verified(*similarity), "a long, b long")
 
 
 def _stray_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), sc
     sets = signed.filter("n_shingles > 0 and doc_id is not null")
     # Classes of equal sets; the least id stands for each.
     equal = ["set_1", "set_2", "n_shingles"]
-    classes = scratch.save(sets.groupBy(*equal).agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("key_rows")), "classes")
+    classes = scratch.save(sets.groupBy(*equal).agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("key_rows")), "classes", partitions=light_partitions(signed.count()))
     n_sets, n_classes = classes.agg(F.coalesce(F.sum("key_rows"), F.lit(0)), F.count(F.lit(1))).first()
     member = join_counted(sets.select("doc_id", *equal), classes, equal, n_sets).filter("doc_id <> cid").select(F.col("doc_id").alias("a"), F.col("cid").alias("b")).distinct()
     member = scratch.save(member, "members", partitions=light_partitions(n_sets))
@@ -203,14 +203,17 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), sc
     shared = scratch.save(join_counted(banded, lead, ["bucket"], BANDS * n_classes), "buckets", partitions=light_partitions(BANDS * n_classes))
     pairs = shared.filter("cid <> lead and 4 * least(n, lead_n) >= 3 * greatest(n, lead_n)").select(F.col("cid").alias("a"), F.col("lead").alias("b"), F.ceil(F.col("key_rows") / MEMBER_BLOCK).alias("blocks"))
     first = scratch.save(_verify(pairs, texts, similarity), "links")
-    comps = connected_components(first.unionAll(member), scratch)
+    # Links and memberships together are no more than bands of all documents.
+    most = BANDS * n_sets
+    comps = connected_components(first.unionAll(member), scratch, most=most)
     comps = scratch.save(comps, "first", partitions=light_partitions(n_classes))
     # Buckets that still hold several components: strays against all others of the bucket, in blocks.
     seen = shared.select("bucket", "cid", "n").distinct().join(comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("component_id", "cid"))
     per = seen.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
     main = per.groupBy("bucket").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("size").alias("all")).filter("comps > 1")
     open_ = seen.join(main, "bucket").select("bucket", "cid", "n", "comp", (F.col("comp") != F.col("top.comp")).alias("stray"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("stray_blocks"))
-    lows = heads.groupBy(F.col("doc_id").alias("cid")).agg(F.min("low").alias("low"))
+    open_ = scratch.save(open_, "open", partitions=light_partitions(BANDS * n_classes))
+    lows = heads.join(open_.select(F.col("cid").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("cid")).agg(F.min("low").alias("low"))
     open_ = open_.join(lows, "cid")
     h, zero, parts = F.xxhash64("cid"), F.lit(0), n_partitions(spark)
     whole = lambda c: F.col(c).cast("int").alias(c)
@@ -228,7 +231,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), sc
     met = ask.unionAll(held).join(texts.withColumnRenamed("doc_id", "cid"), "cid").select("comp", whole("block"), "cid", "is_stray", "text")
     met = met.repartition(parts, "comp", "block").sortWithinPartitions("comp", "block")
     second = scratch.save(met.mapInArrow(_stray_links(*similarity), "a long, b long"), "links")
-    final = connected_components(second.unionAll(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b"))), scratch)
+    final = connected_components(second.unionAll(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b"))), scratch, most=most)
     comp = F.coalesce("component_id", "doc_id")
     return signed.join(final.withColumnRenamed("id", "vertex"), F.col("doc_id") == F.col("vertex"), "left").select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
