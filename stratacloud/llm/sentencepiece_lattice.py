@@ -27,6 +27,7 @@ meet their texts by cogroup.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import struct
@@ -46,13 +47,13 @@ from stratacloud.llm._text import Rolling
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_BYTES = 8 << 20
 PIECE_ROWS = 2_500
-#: The same where whole lists come back, which take more memory.
-LIST_ROWS = 800
+#: The same where lists of piece numbers come back, and where texts do too, which take more memory.
+ID_ROWS, LIST_ROWS = 1_600, 800
 LONG = 200
 #: Blocks in which words are asked and answered, and words that one part of a block should hold.
 WORD_BLOCKS, PART_WORDS = 2, 300_000
-#: Blocks in which texts and answers meet where only digests are asked for.
-DIGEST_BLOCKS = 3
+#: Blocks of texts. Where texts don't come back, a block meets its answers, is written, and goes before the next.
+TEXT_BLOCKS = 5
 #: Words that the fold takes at a time.
 FOLD_WORDS = 20_000
 SPACE = "▁"
@@ -393,7 +394,12 @@ class Lattice:
 _PIECE = "piece long, kind int, doc_ids binary, no_id binary, lengths binary, tokens binary, n_words int, words binary, word_lengths binary, digests binary"
 _PIECE_NAMES = [f.split()[0] for f in _PIECE.split(", ")]
 _PIECE_KINDS = [pa.int64(), pa.int32()] + [pa.binary()] * 4 + [pa.int32()] + [pa.binary()] * 3
-TEXTS, WORDS = 0, 1
+WORDS = -1  # of ``kind``; texts have the number of their block
+
+
+def block_of(piece):
+    """The block of a piece: of its number, or of a column of numbers."""
+    return (piece // (1 << 24) + piece % (1 << 24)) % TEXT_BLOCKS
 
 
 def _packed_ranks(ranks: np.ndarray) -> bytes:
@@ -470,7 +476,7 @@ def _encoded(prefix: bool):
                 piece = (TaskContext.get().partitionId() << 24) + serial
                 serial += 1
                 # Texts and words go to folders of their own, as the words can go once they are answered.
-                rows = [(piece, TEXTS, *row, len(first), None, None, digests), (piece, WORDS, *[None] * 4, len(first), packed(words), packed(sizes_[first].astype(np.uint32)), None)]
+                rows = [(piece, block_of(piece), *row, len(first), None, None, digests), (piece, WORDS, *[None] * 4, len(first), packed(words), packed(sizes_[first].astype(np.uint32)), None)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _PIECE_KINDS)], names=_PIECE_NAMES)
 
     return bounded(run)
@@ -527,15 +533,15 @@ def _answered(vocabulary: Vocabulary):
     return bounded(run)
 
 
-#: What is made of a text: packed piece numbers and decoded bytes, digests of both, or lists and strings.
-PACKED, DIGEST, LISTS = range(3)
+#: What is made of a text: packed piece numbers and decoded bytes, a list and a digest, or a list and a string.
+PACKED, IDS, LISTS = range(3)
 _RESULT = "doc_id long, n_pieces long, ids binary, decoded binary, text_sha256 binary"
-_LISTS = "doc_id long, n_pieces long, ids array<int>, decoded string, text_sha256 binary"
+_FORMS = {PACKED: _RESULT, IDS: _RESULT.replace("ids binary", "ids array<int>"), LISTS: _RESULT.replace("ids binary, decoded binary", "ids array<int>, decoded string")}
 
 
 def _assembled(vocabulary: Vocabulary, form: int):
     def run(_key, piece: pa.Table, answers: pa.Table) -> pa.Table:
-        kinds = [pa.int64(), pa.int64(), *((pa.list_(pa.int32()), pa.string()) if form == LISTS else (pa.binary(), pa.binary())), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.binary() if form == PACKED else pa.list_(pa.int32()), pa.string() if form == LISTS else pa.binary(), pa.binary()]
         names = [f.split()[0] for f in _RESULT.split(", ")]
         if not piece.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
@@ -559,8 +565,8 @@ def _assembled(vocabulary: Vocabulary, form: int):
             text = b"".join([surfaces[i] for i in ids.tolist()])
             text = text[1:] if vocabulary.add_prefix and text[:1] == b" " else text
             out[0].append(len(ids))
-            out[1].append(hashlib.sha256(ids.tobytes()).digest() if form == DIGEST else ids.astype(np.int32) if form == LISTS else ids.tobytes())
-            out[2].append(hashlib.sha256(text).digest() if form == DIGEST else text.decode("utf-8", "replace") if form == LISTS else text)
+            out[1].append(ids.tobytes() if form == PACKED else ids.astype(np.int32))
+            out[2].append(hashlib.sha256(text).digest() if form == IDS else text.decode("utf-8", "replace") if form == LISTS else text)
             out[3].append(row["digests"][32 * k : 32 * k + 32])
         ids = pa.array(unpacked(row["doc_ids"], np.int64), mask=unpacked(row["no_id"], bool))
         return pa.table([ids, *(pa.array(c, k) for c, k in zip(out, kinds[1:]))], names=names)
@@ -571,8 +577,8 @@ def _assembled(vocabulary: Vocabulary, form: int):
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, form: int = PACKED, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(doc_id, n_pieces, ids, decoded, text_sha256) per row of ``docs`` (doc_id, text).
 
-    ``ids`` packs the piece numbers as 32-bit integers, ``decoded`` is the text that they decode to. In the form DIGEST
-    both are SHA-256 digests, in the form LISTS an array and a string. Null and empty texts have no pieces. Repeated rows are encoded each; a null
+    ``ids`` packs the piece numbers as 32-bit integers, ``decoded`` is the text that they decode to. In the form IDS
+    ids are an array and decoded is the SHA-256 digest of the text, in the form LISTS an array and a string. Null and empty texts have no pieces. Repeated rows are encoded each; a null
     doc_id stays null. The escape sign U+2581 in a text counts as a space and so comes back as one; all else comes back
     as it was if the file has byte pieces. An empty table gives no rows.
     """
@@ -580,28 +586,28 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, form: in
     vocabulary = vocabulary or Vocabulary.read()
     scratch = Scratch(spark, "sentencepiece")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces, words = scratch.save_split(texts.mapInArrow(_encoded(vocabulary.add_prefix), _PIECE), "pieces", "kind", (TEXTS, WORDS), batch_rows=piece_rows)
+    blocks = range(TEXT_BLOCKS)
+    words, *pieces = scratch.save_split(texts.mapInArrow(_encoded(vocabulary.add_prefix), _PIECE), "pieces", "kind", (WORDS, *blocks), batch_rows=piece_rows)
     n_pieces, n_words = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     parts = max(n_words // (WORD_BLOCKS * PART_WORDS) + 1, min(8, n_words // 5_000 + 1))
-    answers = None
+    answers: list[list[DataFrame]] = []
     for block in range(WORD_BLOCKS):
         asked = words.select("piece", "words", "word_lengths").mapInArrow(_requests(parts, block, WORD_BLOCKS), _ASK)
-        done = scratch.save(asked.repartitionById(parts, F.col("part")).mapInArrow(_answered(vocabulary), _ANSWER), "answers")
-        answers = done if answers is None else answers.unionAll(done)
-        del asked, done
+        done = asked.repartitionById(parts, F.col("part")).mapInArrow(_answered(vocabulary), _ANSWER)
+        kind = ((F.floor(F.col("piece") / (1 << 24)) + F.col("piece") % (1 << 24)) % TEXT_BLOCKS).cast("int")
+        answers.append(scratch.save_split(done.withColumn("kind", kind), "answers", "kind", tuple(blocks)))
     scratch.drop(words)
-    rest = pieces.select("piece", "doc_ids", "no_id", "lengths", "tokens", "n_words", "digests")
     # About a piece for each task, whatever the session's number of partitions is.
-    by_piece = lambda frame: frame.repartition(max(n_pieces, 1), "piece").groupBy("piece")
-    assemble = lambda t, a: by_piece(t).cogroup(by_piece(a)).applyInArrow(_assembled(vocabulary, form), _LISTS if form == LISTS else _RESULT)
-    if form != DIGEST:
-        return assemble(rest, answers)
-    # Digests are small: they are written block by block, and each block's shuffle goes before the next.
+    by_piece = lambda frame: frame.repartition(n_pieces // TEXT_BLOCKS + 1, "piece").groupBy("piece")
     out = None
-    for block in range(DIGEST_BLOCKS):
-        mine = F.pmod(F.hash("piece"), F.lit(DIGEST_BLOCKS)) == block
-        done = scratch.save(assemble(rest.filter(mine), answers.filter(mine)), "digests")
-        out = done if out is None else out.unionAll(done)
+    for k in blocks:
+        rest, told = pieces[k].select("piece", "doc_ids", "no_id", "lengths", "tokens", "n_words", "digests"), functools.reduce(DataFrame.unionAll, [a[k] for a in answers])
+        met = by_piece(rest).cogroup(by_piece(told)).applyInArrow(_assembled(vocabulary, form), _FORMS[form])
+        if form == IDS:
+            met = scratch.save(met, "ids")
+            for table in (pieces[k], *(a[k] for a in answers)):
+                scratch.drop(table)
+        out = met if out is None else out.unionAll(met)
     return out
 
 
@@ -618,7 +624,6 @@ def sentencepiece_stage(docs: DataFrame) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its piece numbers, a digest of them and of the decoded text, and whether it came back whole."""
-    out = encode_texts(read_table(spark, sf_dir, "documents"), form=LISTS, piece_rows=LIST_ROWS)
-    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
-    return out.select("doc_id", "n_pieces", "ids", decoded.alias("decoded_sha256"), (decoded == F.lower(F.hex("text_sha256"))).alias("round_trip"))
+    """Every document with its piece numbers, a digest of the text that they decode to, and whether it came back whole."""
+    out = encode_texts(read_table(spark, sf_dir, "documents"), form=IDS, piece_rows=ID_ROWS)
+    return out.select("doc_id", "n_pieces", "ids", F.lower(F.hex("decoded")).alias("decoded_sha256"), (F.col("decoded") == F.col("text_sha256")).alias("round_trip"))

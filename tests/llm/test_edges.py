@@ -627,7 +627,7 @@ def test_mixing_meets_targets(make):
 
 @pytest.mark.parametrize("run", [
     lambda d, s: minhash_dedup.near_duplicates(d), lambda d, s: minhash_dedup.minhash_stage(d), lambda d, s: suffix_dedup.repeated_passages(d), lambda d, s: lm_pitman_yor.score_documents(d),
-    lambda d, s: sentencepiece_lattice.encode_texts(d), lambda d, s: sentencepiece_lattice.encode_texts(d, form=sentencepiece_lattice.DIGEST), lambda d, s: secret_scan.find_secrets(d), lambda d, s: secret_scan.secrets_stage(d), lambda d, s: mixing.mix_sources(d), lambda d, s: mixing.mixing_stage(d),
+    lambda d, s: sentencepiece_lattice.encode_texts(d), lambda d, s: sentencepiece_lattice.encode_texts(d, form=sentencepiece_lattice.IDS), lambda d, s: secret_scan.find_secrets(d), lambda d, s: secret_scan.secrets_stage(d), lambda d, s: mixing.mix_sources(d), lambda d, s: mixing.mixing_stage(d),
     lambda d, s: langid.predict(d.select("doc_id", "text"), langid.train(d)), lambda d, s: quality.quality_stage(d, s.createDataFrame([], "doc_id long, quality int, toxic int")),
     lambda d, s: embedding_dedup.near_vectors(s.createDataFrame([], "vec_id long, embedding array<float>, label int")),
 ])
