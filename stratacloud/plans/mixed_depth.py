@@ -111,8 +111,11 @@ def _threshold(retained: bool) -> float:
 
 
 def _rank(gain: float, usage: tuple[int, int, int], node: Node, budget: Budget) -> tuple:
-    """Order of options, best first: gain per cost; ties by gain, lower cost, deeper, then place."""
-    cost = budget.cost(usage)
+    """Order of options, best first: gain per cost; ties by gain, lower cost, deeper, then place.
+
+    Gains are whole thousandths, so that ties do not hang on the order in which benefits are summed.
+    """
+    gain, cost = round(gain, 3), budget.cost(usage)
     d, z, y, x, key = node.order
     return (-(gain / cost) if cost else float("-inf"), -gain, cost, -d, z, y, x, key)
 

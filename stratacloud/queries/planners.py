@@ -118,7 +118,7 @@ def _siblings_sql(cameras: str, factor: int, wanted: str, ready: str) -> str:
  paths AS (SELECT n.key, count(*) = n.depth + 1 AS entire FROM nodes n JOIN nodes a ON {up} GROUP BY n.key, n.depth),
  cut AS (SELECT cam, d, bool_and(entire) AND count(*) <= 96 AND sum(point_count) <= 20000 AS good FROM v JOIN paths USING (key), (SELECT DISTINCT depth AS d FROM nodes) WHERE v.depth <= d AND d <= {wanted} GROUP BY cam, d),
  base AS (SELECT cam, max(d) AS d FROM cut WHERE good GROUP BY cam),
- fam AS (SELECT a.cam, a.key, a.depth, a.x, a.y, a.z, list(n.key) AS new, count(*) AS n, CAST(sum(n.point_count) AS BIGINT) AS p, list_sum(list(n.benefit ORDER BY n.z, n.y, n.x)) AS g FROM v a JOIN v n ON n.cam = a.cam AND n.depth = a.depth + 1 AND n.x >> 1 = a.x AND n.y >> 1 = a.y AND n.z >> 1 = a.z GROUP BY a.cam, a.key, a.depth, a.x, a.y, a.z, a.error HAVING a.error >= 16 OR bool_or(n.error >= 16)),
+ fam AS (SELECT a.cam, a.key, a.depth, a.x, a.y, a.z, list(n.key) AS new, count(*) AS n, CAST(sum(n.point_count) AS BIGINT) AS p, round(list_sum(list(n.benefit ORDER BY n.z, n.y, n.x)), 3) AS g FROM v a JOIN v n ON n.cam = a.cam AND n.depth = a.depth + 1 AND n.x >> 1 = a.x AND n.y >> 1 = a.y AND n.z >> 1 = a.z GROUP BY a.cam, a.key, a.depth, a.x, a.y, a.z, a.error HAVING a.error >= 16 OR bool_or(n.error >= 16)),
  pick(cam, turn, taken, nodes, points) AS (SELECT v.cam, 0, list(key), CAST(count(*) AS BIGINT), CAST(sum(point_count) AS BIGINT) FROM v JOIN base ON base.cam = v.cam AND v.depth <= base.d GROUP BY v.cam
   UNION ALL SELECT cam, turn + 1, list_concat(taken, b.new), nodes + len(b.new), points + b.p FROM (
    SELECT *, (SELECT min(struct_pack(r := -(g / c), g := -g, c := c, d := -depth, z := z, y := y, x := x, k := key, new := new, p := p)) FROM (
@@ -162,7 +162,7 @@ _REFINED = _EST + f""", v AS (SELECT key, depth, x, y, z, point_count, {_SPX} *
  pick(turn, taken, nodes, points) AS (SELECT 0, CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
   UNION ALL SELECT turn + 1, list_concat(taken, b.new), nodes + len(b.new), points + b.p FROM (
    SELECT turn, taken, nodes, points, (SELECT min(struct_pack(r := -(g / c), g := -g, c := c, d := -depth, z := z, y := y, x := x, k := key, new := new, p := p)) FROM (
-    SELECT *, n / CAST(24 AS DOUBLE) + p / CAST(10000 AS DOUBLE) AS c FROM (SELECT key, depth, x, y, z, list(up ORDER BY up_depth) AS new, count(*) AS n, CAST(sum(points) AS BIGINT) AS p, list_sum(list(benefit ORDER BY up_depth)) AS g FROM path WHERE NOT list_contains(pick.taken, up) GROUP BY ALL)
+    SELECT *, n / CAST(24 AS DOUBLE) + p / CAST(10000 AS DOUBLE) AS c FROM (SELECT key, depth, x, y, z, list(up ORDER BY up_depth) AS new, count(*) AS n, CAST(sum(points) AS BIGINT) AS p, round(list_sum(list(benefit ORDER BY up_depth)), 3) AS g FROM path WHERE NOT list_contains(pick.taken, up) GROUP BY ALL)
     WHERE list_contains(new, key) AND pick.nodes + n <= 24 AND pick.points + p <= 10000)) AS b FROM pick) WHERE b IS NOT NULL),
  taken AS (SELECT unnest(taken) AS key FROM pick WHERE turn = (SELECT max(turn) FROM pick)) """
 
