@@ -5,13 +5,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import inspect
+import sys
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,18 +103,35 @@ def _give_back() -> None:
         pass
 
 
+_settled = 0
+
+
+def _settle() -> None:
+    """Take what has been imported out of the collection of garbage that a worker makes after every task.
+
+    Once, and again where a later task has imported more: what lives at that time is not collected any more.
+    """
+    global _settled
+    if TaskContext.get() and len(sys.modules) != _settled:
+        gc.collect()
+        gc.freeze()
+        _settled = len(sys.modules)
+
+
 def bounded(f):
     """Wrap a batch function, or a cogroup function of a key and two tables, so that its worker gives memory back after it."""
     if len(inspect.signature(f).parameters) == 1:
 
         @functools.wraps(f)
         def batches_(batches):
+            _settle()
             yield from f(batches)
             _give_back()
 
         return batches_
 
     def group(key, left, right):
+        _settle()
         out = f(key, left, right)
         _give_back()
         return out

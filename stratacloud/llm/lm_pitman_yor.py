@@ -27,8 +27,8 @@ own and written once. All that a piece asks of the corpus it asks once per disti
    logarithms of its documents' tokens.
 
 A context that holds more than a quarter of a part is dealt by pairs; its tables are added up by an owner in every sweep.
-Parts and owners are numbered by the size of the corpus, one task takes one of them, and random numbers hang on words:
-scores depend on neither partitions nor executors. Messages hold what goes from one piece to one part, so there are never
+Parts and owners are numbered by the size of the corpus, one task counts one of them, or sweeps TOGETHER of them one after
+the other, and random numbers hang on words: scores depend on neither partitions nor executors. Messages hold what goes from one piece to one part, so there are never
 more of them than pairs. Nothing is broadcast; the driver sees totals only. Words are told apart by 64-bit hashes.
 """
 
@@ -53,6 +53,8 @@ PIECE_BYTES = 12 << 20
 PIECE_ROWS = 5_000
 #: Tokens of the corpus for each part of the pairs, and for each owner of words.
 PART_TOKENS, OWNER_TOKENS = 1_200_000, 3_000_000
+#: Parts, or owners, that one task takes one after the other from the sweeps on, as little is left of each; the fewest such tasks.
+TOGETHER, LEAST_TASKS = 8, 8
 MODULUS, HELD_OUT = 7, 2
 DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
@@ -577,6 +579,11 @@ def _listed_pairs(plan: Plan):
     return bounded(run)
 
 
+def together(n: int) -> int:
+    """How many tasks take n parts, or owners, from the sweeps on."""
+    return min(n, max(LEAST_TASKS, -(-n // TOGETHER)))
+
+
 def _totals(table: DataFrame) -> dict[int, int]:
     return {r["what"]: r["n"] for r in table.filter(F.col("what") >= TOTAL).groupBy("what").agg(F.sum("sender").alias("n")).collect()}
 
@@ -594,6 +601,7 @@ def _trained(docs: DataFrame, seed: int, burn_in: int, samples: int, part_tokens
     n_pieces, size = pieces.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     parts, owners = (size // n + 1 + min(7, size // 50_000) for n in (part_tokens, OWNER_TOKENS))
     at = lambda frame, n: frame.repartitionById(n, F.col("part"))
+    few = lambda frame, n: frame.repartitionById(together(n), F.col("part") % together(n))
     # About a piece for each task, whatever the session's number of partitions is.
     by_piece = lambda frame: frame.withColumnRenamed("sender", "piece").repartition(max(n_pieces, 1), "piece").groupBy("piece")
 
@@ -611,12 +619,12 @@ def _trained(docs: DataFrame, seed: int, burn_in: int, samples: int, part_tokens
         keep = sweep > burn_in
         gamma = float(gammas(np.array([PARENT_STRENGTH / PARENT_DISCOUNT + tables]), salted(np.zeros(1, np.uint64), seed, sweep, _DRIVER))[0])
         if sweep:
-            moved = at(_of(before, STATE, MASS, HOT), parts).mapInArrow(_swept(owners, seed, sweep, total_mass, sweep > burn_in + 1, keep), _ROWS)
+            moved = few(_of(before, STATE, MASS, HOT), parts).mapInArrow(_swept(owners, seed, sweep, total_mass, sweep > burn_in + 1, keep), _ROWS)
         else:
             moved = _of(before, STATE, SUM, HOT_SUM)
         # Seatings go past the owners unchanged, so that one job does both sides of a sweep.
         routed = moved.withColumn("part", F.when(F.col("what") == STATE, F.col("part") % owners).otherwise(F.col("part")).cast("int")).unionAll(base)
-        after = scratch.save(at(routed, owners).mapInArrow(_owned(owners, seed, sweep, gamma, plan.vocabulary, keep), _ROWS), f"sweep-{sweep}")
+        after = scratch.save(few(routed, owners).mapInArrow(_owned(owners, seed, sweep, gamma, plan.vocabulary, keep), _ROWS), f"sweep-{sweep}")
         got = _totals(after)
         # In one draw what no part asks for: words that occur once, others without a cell of two, and the unknown word.
         own = got.get(QUIET_CUSTOMERS, 0) + plan.once - PARENT_DISCOUNT * (got.get(QUIET_TABLES, 0) + plan.once)
@@ -634,11 +642,11 @@ def _trained(docs: DataFrame, seed: int, burn_in: int, samples: int, part_tokens
             scratch.drop(before)
         before = after
 
-    cells = at(_of(before, STATE, HOT).unionAll(_of(paired, ASKED_CELLS)), parts).mapInArrow(_cell_answers(owners), _ROWS)
+    cells = few(_of(before, STATE, HOT).unionAll(_of(paired, ASKED_CELLS)), parts).mapInArrow(_cell_answers(owners), _ROWS)
     seated = _of(counted, ASKED_WORDS)
     for table in read[2:]:
         seated = seated.unionAll(_of(table, SEATED))
-    answers = counts.unionAll(_of(paired, PAIR_COUNT)).unionAll(cells).unionAll(at(seated, owners).mapInArrow(_seated_words, _ROWS))
+    answers = counts.unionAll(_of(paired, PAIR_COUNT)).unionAll(cells).unionAll(few(seated, owners).mapInArrow(_seated_words, _ROWS))
     return by_piece(pieces), by_piece(answers), replace(plan, samples=tuple(totals))
 
 

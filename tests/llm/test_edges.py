@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing names; and parts against plain versions."""
 
 import collections
+import gc
 import hashlib
 import random
 import zlib
@@ -248,6 +249,26 @@ def test_lm_scores_do_not_hang_on_partitions(make, spark, odd_rows):
     assert {k: sorted(r["score"] for r in v) for k, v in one.items()} == {k: sorted(r["score"] for r in v) for k, v in many.items()}
 
 
+def test_lm_sweeps_take_parts_together(make, spark, monkeypatch):
+    """Only counting takes a task for each part; scores do not hang on how many parts a task sweeps."""
+    rows = [doc(500 + i, prose(200, i)) for i in range(60)]
+    score = lambda: lm_pitman_yor.score_documents(make(rows), burn_in=1, samples=1, part_tokens=500).collect()
+    tokens = sum(r["n_tokens"] for r in score())
+    parts = tokens // 500 + 1
+    assert parts > 24 and tokens < 50_000
+    spark.sparkContext.setJobGroup("together", "together")
+    try:
+        found = score()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("together") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(tracker.getStageInfo(s).numTasks >= parts for s in stages if tracker.getStageInfo(s)) == 1
+    monkeypatch.setattr(lm_pitman_yor, "TOGETHER", 1, raising=False)
+    alone = {r["doc_id"]: r["score"] for r in score()}
+    assert alone == {r["doc_id"]: r["score"] for r in found}
+
+
 def test_sentencepiece_edges(make, odd_rows):
     import sentencepiece
 
@@ -653,6 +674,18 @@ def test_components(spark):
     assert got == {k: find(k) for a, b in edges if a != b for k in (a, b)}
 
 
+def test_workers_do_not_collect_what_is_imported(spark):
+    """A worker collects garbage after every task: that may look at what tasks have made only."""
+
+    @_shared.bounded
+    def tracked(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(gc.get_objects())], pa.int64())], names=["n"])
+
+    got = spark.range(8).repartition(8).mapInArrow(tracked, "n long").toPandas()
+    assert len(got) and got.n.max() < 20_000
+
+
 def test_words_and_shingles():
     texts = ["A b\x0bC\x1fd  e\tf", "", "x", " one Two\r\nthree four five "]
     raw = [t.encode() for t in texts]
