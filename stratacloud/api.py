@@ -96,8 +96,10 @@ class PointCloud:
         """Points of the nodes, each node's share of the total from the front of its progressive order."""
         return self.sampler(self.points, node_budgets(nodes, total, per_node))
 
-    def node_sample(self, key: str, count: int = 5_000) -> DataFrame:
-        return prefix(self.points.filter(F.col("node_key") == key), count)
+    def node_sample(self, key: str, count: int | None = 5_000) -> DataFrame:
+        """The first ``count`` points of a node; with None all of them, in no order."""
+        whole = self.points.filter(F.col("node_key") == key)
+        return whole if count is None else prefix(whole, count)
 
     def project(self, sampled: DataFrame, elevation: bool = False) -> DataFrame:
         """(point_id, node_key, lon, lat, height, rgb) of sampled points."""
