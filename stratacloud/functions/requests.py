@@ -22,10 +22,15 @@ def content_range(header: Column) -> dict[str, Column]:
     return {"first": part(1), "last": part(2), "total": part(3)}
 
 
-def response_error(status: Column, header: Column, length: Column, begin: Column, end: Column) -> Column:
-    """Null for a good partial response, else what is wrong with it."""
+def response_error(status: Column, header: Column, length: Column, begin: Column, end: Column, check_total: bool = True) -> Column:
+    """Null for a good partial response, else what is wrong with it.
+
+    A total below the end of the range is wrong too, unless ``check_total`` is off: for logs whose total isn't the file's.
+    """
     r = content_range(header)
-    matches = (r["first"] == begin) & (r["last"] == end - 1) & (r["total"].isNull() | (r["total"] >= end))
+    matches = (r["first"] == begin) & (r["last"] == end - 1)
+    if check_total:
+        matches = matches & (r["total"].isNull() | (r["total"] >= end))
     return F.when(~valid_range(begin, end), "invalid-range").when(status.isNull(), "network").when(status != 206, "http-status").when(~F.coalesce(matches, F.lit(False)), "content-range").when(length != end - begin, "body-length")
 
 
