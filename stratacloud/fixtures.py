@@ -46,7 +46,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog, one row per node with points: a few hundred rows whatever the number of points."""
-    g = points(spark, sf_dir).groupBy("node_key", "depth", "nx", "ny", "nz").agg(F.count(F.lit(1)).alias("point_count"))
+    cell = ("depth", "nx", "ny", "nz")
+    # The cells come as aggregates: Spark would carry what is asked of a grouping column down to every point, once per use of the catalog.
+    g = points(spark, sf_dir).groupBy(*cell).agg(F.count(F.lit(1)).alias("point_count"), *[F.max(c).alias(f"the_{c}") for c in cell]).select("point_count", *[F.col(f"the_{c}").alias(c) for c in cell])
+    g = g.withColumn("node_key", node_key(*cell))
     size = F.col("point_count") * RECORD_BYTES
     gap = 40 * ((F.col("nx") + F.col("ny") + F.col("nz")) % 3)
     ordered = Window.orderBy("depth", "nz", "ny", "nx").rowsBetween(Window.unboundedPreceding, -1)
